@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_staged: dict[tuple, str] = {}
+_staged: dict[tuple, DataFrame] = {}
 _folders: dict[str, str] = {}
 
 
@@ -53,15 +53,16 @@ def write_table(df: DataFrame, name: str) -> str:
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut the lineage: the rows survive the loss of any executor because they are in the shared folder."""
-    return df.sparkSession.read.parquet(write_table(df, name))
+    path = write_table(df, name)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def staged(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A table derived once per application from the tables under `source`, then read back by every query."""
     key = (spark.sparkContext.applicationId, name, source)
     if key not in _staged:
-        _staged[key] = write_table(build(), name)
-    return spark.read.parquet(_staged[key])
+        _staged[key] = materialize(build(), name)
+    return _staged[key]
 
 
 def forget_staged() -> None:

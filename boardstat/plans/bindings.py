@@ -20,8 +20,15 @@ AS_OF_YEAR = 2026
 START_YEAR, END_YEAR = 2015, 2021
 
 
+_sources: dict[tuple[str, str], DataFrame] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A source table; its file listing and schema are looked up once per application."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{table}.parquet")
+    if key not in _sources:
+        _sources[key] = spark.read.parquet(key[1])
+    return _sources[key]
 
 
 def month_name(number: Column) -> Column:

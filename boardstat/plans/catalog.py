@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_national, oracle_national
+from . import catalog_national, catalog_schools, oracle_national, oracle_schools
 
-QUERIES = {**catalog_national.QUERIES}
-ORACLE = {**oracle_national.SQL}
+QUERIES = {**catalog_national.QUERIES, **catalog_schools.QUERIES}
+ORACLE = {**oracle_national.SQL, **oracle_schools.SQL}

@@ -51,6 +51,16 @@ def _plain(v):
         return str(v)
 
 
+def _kind(name: str) -> str:
+    if name.endswith("]") or name.startswith("array"):
+        return "array"
+    for kind, words in {"whole": ("int", "integer", "bigint", "smallint", "long"), "real": ("double", "float"),
+                        "text": ("string", "varchar"), "flag": ("boolean",)}.items():
+        if name in words:
+            return kind
+    return name.split("(")[0].split("_")[0].split(" ")[0]
+
+
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return [columns[i] for i in order], sorted(tuple(_plain(r[i]) for i in order) for r in rows)
@@ -65,6 +75,10 @@ def check(spark, con, name, query, sql, sf_dir) -> tuple[bool, str]:
     ecols, want = rows_of([d[0] for d in cur.description], cur.fetchall())
     if cols != ecols:
         return False, f"columns {cols} vs {ecols}"
+    kinds = {c: _kind(t) for c, t in df.dtypes}
+    other = {d[0]: _kind(str(d[1]).lower()) for d in cur.description}
+    if kinds != other:
+        return False, f"types {[(c, kinds[c], other[c]) for c in cols if kinds[c] != other[c]]}"
     if got != want:
         g, w = set(got) - set(want), set(want) - set(got)
         return False, (f"rows {len(got)} vs {len(want)}; {cols}\n   only spark {sorted(g)[:2]}"
