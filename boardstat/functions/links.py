@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..frames import literal
 from ..registry import (CALENDAR, GENERIC_NAME_WORDS, MIRROR_SITE, MONTH_ALIASES, MONTHS, NAME_STOP_WORDS, OFFICIAL,
                         PROGRAMS, SOURCE_PRIORITY, TITLE_RULES, Program, name_words)
 
@@ -134,24 +135,33 @@ def keep_score(code: Column, month: Column, year: Column, url: Column) -> Column
             + F.when(url_year(url) == year, 5).otherwise(0))
 
 
-def token_in(text: Column, token: str) -> Column:
-    """Short tokens only as whole words, longer ones anywhere."""
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value evaluated a single time per row, however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def word_text(text: Column) -> Column:
+    """The text as words between single spaces, so that ` word ` finds whole words without a regex per word."""
+    return F.concat(F.lit(" "), F.regexp_replace(text, r"\W+", " "), F.lit(" "))
+
+
+def _feature(token: str, weight: int) -> tuple[str, int, bool]:
+    """Short tokens count only as whole words, longer ones anywhere."""
     token = token.lower().strip()
-    if len(token) <= 4:
-        return text.rlike(rf"\b{_quote(token)}\b")
-    return text.contains(token)
+    return (f" {token} ", weight, True) if len(token) <= 4 else (token, weight, False)
 
 
-def exam_score(text: Column, program: Program) -> Column:
-    """Evidence that a lower-cased text is about a program."""
-    score = F.when(token_in(text, program.site_slug), 10).otherwise(0)
-    score = score + F.when(text.contains(program.slug.replace("-", " ")), 8).otherwise(0)
-    score = score + F.when(token_in(text, program.exam_code), 6).otherwise(0)
-    for keyword in program.keywords:
-        score = score + F.when(token_in(text, keyword), 5).otherwise(0)
-    for word in name_words(program, GENERIC_NAME_WORDS + NAME_STOP_WORDS):
-        score = score + F.when(text.contains(word), 3).otherwise(0)
-    return score
+def _features(p: Program) -> list[tuple[str, int, bool]]:
+    found = [_feature(p.site_slug, 10), (p.slug.replace("-", " "), 8, False), _feature(p.exam_code, 6)]
+    found += [_feature(k, 5) for k in p.keywords]
+    return found + [(w, 3, False) for w in name_words(p, GENERIC_NAME_WORDS + NAME_STOP_WORDS)]
+
+
+def _feature_table(rows: list[list[tuple[str, int, bool]]]) -> Column:
+    """All features as one literal: array per program of (token, weight, whole)."""
+    return F.expr("array(" + ", ".join("array(" + ", ".join(
+        f"named_struct('token', {literal(t)}, 'weight', {w}, 'whole', {literal(whole)})" for t, w, whole in row) + ")"
+        for row in rows) + ")")
 
 
 def inference_text(url: Column, title: Column, body: Column | None = None) -> Column:
@@ -160,18 +170,27 @@ def inference_text(url: Column, title: Column, body: Column | None = None) -> Co
 
 
 def exam_scores(text: Column, programs: tuple[Program, ...] = PROGRAMS) -> Column:
-    """Scores of all programs in registry order, evaluated in place: no join, no shuffle."""
-    return F.array(*[exam_score(text, p).cast("int") for p in programs])
+    """Evidence for each program in a lower-cased text, in registry order, computed in place: no join, no shuffle."""
+    table = _feature_table([_features(p) for p in programs])
+    hay = F.struct(text.alias("raw"), word_text(text).alias("words"))
+
+    def total(h: Column) -> Column:
+        return F.transform(table, lambda features: F.aggregate(features, F.lit(0), lambda acc, f: acc + F.when(
+            F.contains(F.when(f["whole"], h["words"]).otherwise(h["raw"]), f["token"]), f["weight"]).otherwise(0)))
+
+    return once(hay, total)
 
 
 def inferred_exam(scores: Column, programs: tuple[Program, ...] = PROGRAMS) -> Column:
     """Best program of a score array; UNKNOWN below 5 or when the runner-up is within 3 points."""
     codes = F.array(*[F.lit(p.exam_code) for p in programs])
-    best = F.array_max(scores)
-    at = F.array_position(scores, best)
-    second = F.element_at(F.sort_array(scores, asc=False), 2)
-    clear = (best >= 5) & ((second < 5) | (best - second >= 3))
-    return F.when(clear, F.element_at(codes, at.cast("int"))).otherwise("UNKNOWN")
+
+    def decide(s: Column) -> Column:
+        best, second = F.array_max(s), F.element_at(F.sort_array(s, asc=False), 2)
+        clear = (best >= 5) & ((second < 5) | (best - second >= 3))
+        return F.when(clear, F.element_at(codes, F.array_position(s, best).cast("int"))).otherwise("UNKNOWN")
+
+    return once(scores, decide)
 
 
 def score_of(scores: Column, code: Column, programs: tuple[Program, ...] = PROGRAMS) -> Column:
@@ -181,18 +200,14 @@ def score_of(scores: Column, code: Column, programs: tuple[Program, ...] = PROGR
 
 def collector_exam(text: Column, programs: tuple[Program, ...] = PROGRAMS) -> Column:
     """Looser inference of the link collector: plain containment, best score wins, no margin."""
-    low = F.lower(text)
-    scores = []
-    for p in programs:
-        score = F.when(low.contains(p.site_slug.lower()), 10).otherwise(0)
-        score = score + F.when(low.contains(p.slug.replace("-", " ")), 8).otherwise(0)
-        for keyword in p.keywords:
-            score = score + F.when(low.contains(keyword.lower()), 5).otherwise(0)
-        scores.append(score + F.when(low.contains(p.exam_code.lower()), 6).otherwise(0))
-    scores = F.array(*scores)
+    table = _feature_table([
+        [(p.site_slug.lower(), 10, False), (p.slug.replace("-", " "), 8, False), (p.exam_code.lower(), 6, False)]
+        + [(k.lower(), 5, False) for k in p.keywords] for p in programs])
     codes = F.array(*[F.lit(p.exam_code) for p in programs])
-    best = F.array_max(scores)
-    return F.when(best > 0, F.element_at(codes, F.array_position(scores, best).cast("int"))).otherwise("UNKNOWN")
+    scores = once(F.lower(text), lambda low: F.transform(table, lambda features: F.aggregate(
+        features, F.lit(0), lambda acc, f: acc + F.when(F.contains(low, f["token"]), f["weight"]).otherwise(0))))
+    return once(scores, lambda s: F.when(
+        F.array_max(s) > 0, F.element_at(codes, F.array_position(s, F.array_max(s)).cast("int"))).otherwise("UNKNOWN"))
 
 
 # Titles that are not result announcements, and rolls that list only part of the passers.
@@ -225,22 +240,23 @@ def school_performance_page(url: Column, title: Column) -> Column:
             | (t.rlike(r"top[\s-]?schools") & F.concat_ws(" ", t, u).rlike(r"\b20\d{2}\b")))
 
 
-def article_matches(title: Column, program: Program) -> Column:
-    """An official article is about a program: any strong token, or two words of its name."""
-    text = F.lower(title)
-    tokens = [program.exam_code.lower(), program.site_slug.lower(), program.slug.replace("-", " ")]
-    tokens += [k.lower() for k in program.keywords]
-    strong = contains_any(text, [t for t in tokens if len(t) >= 3])
-    hits = F.lit(0)
-    for word in name_words(program, ("licensure", "examination", "examinations") + NAME_STOP_WORDS):
-        hits = hits + F.when(text.contains(word), 1).otherwise(0)
-    return ~title.rlike(EXCLUDED_ARTICLE) & (strong | (hits >= 2))
-
-
 def matching_articles(title: Column, programs: tuple[Program, ...] = PROGRAMS) -> Column:
-    """Codes of all programs an article title matches, in registry order."""
-    hits = F.array(*[F.when(article_matches(title, p), F.lit(p.exam_code)) for p in programs])
-    return F.filter(hits, lambda c: c.isNotNull())
+    """Codes of all programs an official article title is about, in registry order: any strong token, or two words of
+    the program's name."""
+    rows = []
+    for p in programs:
+        strong = [p.exam_code.lower(), p.site_slug.lower(), p.slug.replace("-", " ")] + [k.lower() for k in p.keywords]
+        words = name_words(p, ("licensure", "examination", "examinations") + NAME_STOP_WORDS)
+        rows.append([(t, 2, False) for t in strong if len(t) >= 3] + [(w, 1, False) for w in words])
+    table = F.arrays_zip(F.array(*[F.lit(p.exam_code) for p in programs]).alias("code"),
+                         _feature_table(rows).alias("features"))
+
+    def hits(low: Column) -> Column:
+        return F.filter(table, lambda p: F.aggregate(p["features"], F.lit(0), lambda acc, f: acc + F.when(
+            F.contains(low, f["token"]), f["weight"]).otherwise(0)) >= 2)
+
+    matched = F.transform(once(F.lower(title), hits), lambda p: p["code"])
+    return F.when(title.rlike(EXCLUDED_ARTICLE), F.array().cast("array<string>")).otherwise(matched)
 
 
 def title_fits(code: Column, title: Column) -> Column:

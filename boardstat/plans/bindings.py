@@ -17,7 +17,7 @@ from ..registry import MONTHS, NATIONAL_CSV_TAG, OFFICIAL_SITE, MIRROR_SITE, PRO
 from ..schemas import Tables
 
 AS_OF_YEAR = 2026
-START_YEAR, END_YEAR = 2015, 2021
+START_YEAR, END_YEAR = 2015, 2023
 
 
 _sources: dict[tuple[str, str], DataFrame] = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_national, catalog_schools, oracle_national, oracle_schools
+from . import (catalog_audit, catalog_national, catalog_schools, oracle_audit, oracle_national, oracle_schools)
 
-QUERIES = {**catalog_national.QUERIES, **catalog_schools.QUERIES}
-ORACLE = {**oracle_national.SQL, **oracle_schools.SQL}
+QUERIES = {**catalog_national.QUERIES, **catalog_schools.QUERIES, **catalog_audit.QUERIES}
+ORACLE = {**oracle_national.SQL, **oracle_schools.SQL, **oracle_audit.SQL}
