@@ -25,6 +25,15 @@ def literal(value) -> str:
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def literal_array(values: Sequence) -> Column:
+    """A constant array as one expression."""
+    return F.expr(literal(tuple(values)))
+
+
+def literal_map(pairs: dict) -> Column:
+    return F.expr("map(" + ", ".join(f"{literal(k)}, {literal(v)}" for k, v in pairs.items()) + ")")
+
+
 def literal_frame(spark: SparkSession, schema: dict[str, str], rows: Sequence[Sequence]) -> DataFrame:
     """Fixed rows as a literal relation, whose exact size the optimizer knows."""
     values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..frames import literal_array, literal_map
 from ..registry import MONTH_ALIASES, MONTHS, WINDOW_YEARS
 
 
@@ -16,8 +17,7 @@ def base_month(month: Column) -> Column:
 
 def month_number(month: Column) -> Column:
     """Calendar number of the first month; 0 when unknown or absent."""
-    names = F.array(*[F.lit(m) for m in MONTHS])
-    return F.coalesce(F.array_position(names, base_month(month)), F.lit(0)).cast("int")
+    return F.coalesce(F.array_position(literal_array(MONTHS), base_month(month)), F.lit(0)).cast("int")
 
 
 def phase_number(month: Column) -> Column:
@@ -37,11 +37,10 @@ def cycle_order(year: Column, month: Column, tie: Column) -> Column:
 def month_abbreviation(name: Column) -> Column:
     """Three-letter month; unknown text keeps its first three letters, blank text becomes `?`."""
     pairs = {**{m.lower(): m[:3] for m in MONTHS}, **{a: full[:3] for a, full in MONTH_ALIASES.items()}}
-    lookup = F.create_map(*[F.lit(v) for pair in sorted(pairs.items()) for v in pair])
     trimmed = F.trim(name)
     head = F.concat(F.upper(F.substring(trimmed, 1, 1)), F.lower(F.substring(trimmed, 2, 2)))
     return F.when(F.coalesce(trimmed, F.lit("")) == "", "?").otherwise(
-        F.coalesce(F.element_at(lookup, F.lower(trimmed)), head))
+        F.coalesce(F.element_at(literal_map(pairs), F.lower(trimmed)), head))
 
 
 def short_year(year: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..frames import literal
+from ..frames import literal, literal_array, literal_map
 from ..registry import (CALENDAR, GENERIC_NAME_WORDS, MIRROR_SITE, MONTH_ALIASES, MONTHS, NAME_STOP_WORDS, OFFICIAL,
                         PROGRAMS, SOURCE_PRIORITY, TITLE_RULES, Program, name_words)
 
@@ -18,6 +18,16 @@ def _quote(text: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() else ch for ch in text)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value evaluated a single time per row, however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def word_text(text: Column) -> Column:
+    """The text as words between single spaces, so that ` word ` finds whole words without a regex per word."""
+    return F.concat(F.lit(" "), F.regexp_replace(text, r"\W+", " "), F.lit(" "))
+
+
 def contains_any(text: Column, words: Iterable[str]) -> Column:
     out = F.lit(False)
     for word in words:
@@ -42,13 +52,12 @@ def slug_owner(url: Column, programs: tuple[Program, ...] = PROGRAMS) -> Column:
 
 
 def month_in_order(text: Column) -> Column:
-    """The first full month name in calendar order that occurs in the text, else a short spelling."""
-    out = F.lit(None).cast("string")
-    low = F.lower(text)
-    spellings = [(m.lower(), m) for m in MONTHS] + list(MONTH_ALIASES.items())
-    for word, month in reversed(spellings):
-        out = F.when(low.rlike(rf"\b{word}\b"), month).otherwise(out)
-    return out
+    """The first full month name in calendar order that occurs in the text as a word, else a short spelling."""
+    spellings = [(f" {m.lower()} ", m) for m in MONTHS] + [(f" {w} ", m) for w, m in MONTH_ALIASES.items()]
+    table = F.expr("array(" + ", ".join(f"named_struct('word', {literal(w)}, 'month', {literal(m)})"
+                                        for w, m in spellings) + ")")
+    found = once(word_text(F.lower(text)), lambda words: F.filter(table, lambda s: F.contains(words, s["word"])))
+    return F.get(found, F.lit(0))["month"]
 
 
 def first_year(text: Column) -> Column:
@@ -73,24 +82,18 @@ def announced_date(title: Column, text: Column) -> Column:
     return F.coalesce(pair(title), pair(text), F.struct(F.lit(None).cast("string").alias("month"), bare.alias("year")))
 
 
-def first_contained(text: Column, words: Iterable[str]) -> Column:
-    out = F.lit(None).cast("string")
-    for word in reversed(list(words)):
-        out = F.when(text.contains(word.lower()), word).otherwise(out)
-    return out
+def first_contained(text: Column, words: Column) -> Column:
+    """The first word of an array that a lower-cased text contains."""
+    return F.get(F.filter(words, lambda w: F.contains(text, F.lower(w))), F.lit(0))
 
 
 def calendar_month(code: Column, text: Column, calendar: dict[str, tuple[str, ...]] = CALENDAR) -> Column:
     """First expected month of the program that the text mentions."""
-    low = F.lower(text)
-    out = F.lit(None).cast("string")
-    for exam, months in calendar.items():
-        out = F.when(code == exam, first_contained(low, months)).otherwise(out)
-    return out
+    return first_contained(F.lower(text), expected_months(code, calendar))
 
 
 def inferred_month(code: Column, text: Column) -> Column:
-    return F.coalesce(calendar_month(code, text), first_contained(F.lower(text), MONTHS))
+    return F.coalesce(calendar_month(code, text), first_contained(F.lower(text), literal_array(MONTHS)))
 
 
 def source_priority(source: Column) -> Column:
@@ -118,9 +121,7 @@ def is_manual(url: Column) -> Column:
 
 
 def expected_months(code: Column, calendar: dict[str, tuple[str, ...]] = CALENDAR) -> Column:
-    lookup = F.create_map(*[c for exam, months in calendar.items()
-                            for c in (F.lit(exam), F.array(*[F.lit(m) for m in months]))])
-    return F.element_at(lookup, code)
+    return F.element_at(literal_map(calendar), code)
 
 
 def expected_month(code: Column, month: Column, calendar: dict[str, tuple[str, ...]] = CALENDAR) -> Column:
@@ -135,16 +136,6 @@ def keep_score(code: Column, month: Column, year: Column, url: Column) -> Column
             + F.when(url_year(url) == year, 5).otherwise(0))
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use(value)` with the value evaluated a single time per row, however often `use` refers to it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def word_text(text: Column) -> Column:
-    """The text as words between single spaces, so that ` word ` finds whole words without a regex per word."""
-    return F.concat(F.lit(" "), F.regexp_replace(text, r"\W+", " "), F.lit(" "))
-
-
 def _feature(token: str, weight: int) -> tuple[str, int, bool]:
     """Short tokens count only as whole words, longer ones anywhere."""
     token = token.lower().strip()
@@ -183,7 +174,7 @@ def exam_scores(text: Column, programs: tuple[Program, ...] = PROGRAMS) -> Colum
 
 def inferred_exam(scores: Column, programs: tuple[Program, ...] = PROGRAMS) -> Column:
     """Best program of a score array; UNKNOWN below 5 or when the runner-up is within 3 points."""
-    codes = F.array(*[F.lit(p.exam_code) for p in programs])
+    codes = literal_array([p.exam_code for p in programs])
 
     def decide(s: Column) -> Column:
         best, second = F.array_max(s), F.element_at(F.sort_array(s, asc=False), 2)
@@ -194,7 +185,7 @@ def inferred_exam(scores: Column, programs: tuple[Program, ...] = PROGRAMS) -> C
 
 
 def score_of(scores: Column, code: Column, programs: tuple[Program, ...] = PROGRAMS) -> Column:
-    codes = F.array(*[F.lit(p.exam_code) for p in programs])
+    codes = literal_array([p.exam_code for p in programs])
     return F.get(scores, (F.array_position(codes, code) - 1).cast("int"))
 
 
@@ -203,7 +194,7 @@ def collector_exam(text: Column, programs: tuple[Program, ...] = PROGRAMS) -> Co
     table = _feature_table([
         [(p.site_slug.lower(), 10, False), (p.slug.replace("-", " "), 8, False), (p.exam_code.lower(), 6, False)]
         + [(k.lower(), 5, False) for k in p.keywords] for p in programs])
-    codes = F.array(*[F.lit(p.exam_code) for p in programs])
+    codes = literal_array([p.exam_code for p in programs])
     scores = once(F.lower(text), lambda low: F.transform(table, lambda features: F.aggregate(
         features, F.lit(0), lambda acc, f: acc + F.when(F.contains(low, f["token"]), f["weight"]).otherwise(0))))
     return once(scores, lambda s: F.when(
@@ -248,7 +239,7 @@ def matching_articles(title: Column, programs: tuple[Program, ...] = PROGRAMS) -
         strong = [p.exam_code.lower(), p.site_slug.lower(), p.slug.replace("-", " ")] + [k.lower() for k in p.keywords]
         words = name_words(p, ("licensure", "examination", "examinations") + NAME_STOP_WORDS)
         rows.append([(t, 2, False) for t in strong if len(t) >= 3] + [(w, 1, False) for w in words])
-    table = F.arrays_zip(F.array(*[F.lit(p.exam_code) for p in programs]).alias("code"),
+    table = F.arrays_zip(literal_array([p.exam_code for p in programs]).alias("code"),
                          _feature_table(rows).alias("features"))
 
     def hits(low: Column) -> Column:

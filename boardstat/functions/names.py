@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..frames import literal_map
 from ..registry import NAME_ABBREVIATIONS, PROGRAMS, REGION_HINTS, SEARCH_ALIASES, Program
 
 
@@ -32,17 +33,14 @@ def slugify(text: Column) -> Column:
 
 def resolve_code(code: Column, programs: tuple[Program, ...] = PROGRAMS) -> Column:
     """Registered spelling of an exam code, whatever its case; null when unknown."""
-    lookup = F.create_map(*[F.lit(v) for p in programs for v in (p.exam_code.upper(), p.exam_code)])
-    return F.element_at(lookup, F.upper(code))
+    return F.element_at(literal_map({p.exam_code.upper(): p.exam_code for p in programs}), F.upper(code))
 
 
 def search_tokens(query: Column) -> Column:
     """Words a search must find: an alias gives its words, other text its words of two letters or more."""
     text = F.lower(F.trim(query))
-    aliases = F.create_map(*[c for alias, words in SEARCH_ALIASES.items()
-                             for c in (F.lit(alias), F.array(*[F.lit(w) for w in words]))])
     words = F.filter(F.split(text, r"\s+"), lambda w: F.length(w) >= 2)
-    return F.coalesce(F.element_at(aliases, text), words)
+    return F.coalesce(F.element_at(literal_map(SEARCH_ALIASES), text), words)
 
 
 def matches_search(name: Column, query: Column) -> Column:

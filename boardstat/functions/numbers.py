@@ -30,7 +30,8 @@ def gap(rate: Column, reference: Column) -> Column:
 
 def to_int(text: Column) -> Column:
     """Whole number from report text: thousands separators dropped, anything else unreadable is null."""
-    return F.regexp_replace(F.trim(text), ",", "").try_cast("int")
+    cleaned = F.trim(F.regexp_replace(text, ",", ""))
+    return F.when(cleaned.rlike(r"^[+-]?[0-9]+$"), cleaned.try_cast("int"))
 
 
 def to_rate(text: Column) -> Column:

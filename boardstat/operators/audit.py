@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..frames import literal_frame
+from ..frames import literal_array, literal_frame
 from ..functions import links, numbers
 from ..registry import CALENDAR, DEFAULT_MONTHS, MIRROR, OFFICIAL
 from ..schemas import Tables
@@ -172,7 +172,7 @@ def calendar_frame(spark: SparkSession, calendar: dict[str, tuple[str, ...]] = C
 def missing_cycles(codes: DataFrame, cycles: DataFrame, start_year: int, end_year: int,
                    calendar: dict[str, tuple[str, ...]] = CALENDAR) -> DataFrame:
     """Expected (exam_code, year, month) without examinees on record; uncalendared programs get the default months."""
-    default = F.array(*[F.lit(m) for m in DEFAULT_MONTHS])
+    default = literal_array(DEFAULT_MONTHS)
     grid = (codes.join(calendar_frame(codes.sparkSession, calendar), "exam_code", "left")
             .select("exam_code", F.posexplode(F.coalesce("months", default)).alias("month_pos", "month"))
             .withColumn("year", F.explode(F.sequence(F.lit(start_year), F.lit(end_year)))))
@@ -314,7 +314,7 @@ def audit(tables: Tables, start_year: int, end_year: int, scope: str = "national
 
 
 def _severity_rank(severity: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(s) for s in SEVERITY]), severity)
+    return F.array_position(literal_array(SEVERITY), severity)
 
 
 def in_report_order(findings: DataFrame) -> DataFrame:
@@ -329,7 +329,7 @@ def findings_summary(findings: DataFrame) -> DataFrame:
     worst = F.min(_severity_rank(F.col("severity")))
     counts = findings.groupBy("check_id").agg(F.count("*").alias("findings"), worst.cast("int").alias("severity_rank"))
     return (counts.join(labels, "check_id", "left")
-            .select("check_id", "label", "findings", F.element_at(F.array(*[F.lit(s) for s in SEVERITY]),
+            .select("check_id", "label", "findings", F.element_at(literal_array(SEVERITY),
                                                                   F.col("severity_rank")).alias("highest_severity"),
                     "severity_rank").orderBy("severity_rank", "check_id"))
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import literal_frame, top_per_key
+from ..frames import literal_array, literal_frame, top_per_key
 from ..functions import cycles as cy
 from ..functions import names, numbers
 from ..registry import CATEGORY_ORDER
@@ -132,7 +132,7 @@ def hardest_easiest(tables: Tables, as_of_year: int, hardest: int = 5, easiest:
 def catalog_browse(tables: Tables, as_of_year: int, category: str | None = None) -> DataFrame:
     """The program catalog by category order and name, with its statistics and shown/total counts."""
     everything = Window.partitionBy()  # the catalog is a fixed short list
-    order = F.array_position(F.array(*[F.lit(c) for c in CATEGORY_ORDER]), F.col("category"))
+    order = F.array_position(literal_array(CATEGORY_ORDER), F.col("category"))
     shown = tables.programs.withColumn("total", F.count("*").over(everything))
     if category:
         shown = shown.where(F.col("category") == category)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..frames import literal_frame, number_rows, staged, top_per_key
+from ..frames import literal_array, literal_frame, number_rows, staged, top_per_key
 from ..functions import cycles as cy
 from ..functions import names, numbers
 from ..registry import MONTHS, NATIONAL_CSV_TAG, OFFICIAL_SITE, MIRROR_SITE, PROGRAMS
@@ -32,7 +32,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def month_name(number: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(m) for m in MONTHS]), number)
+    return F.element_at(literal_array(MONTHS), number)
 
 
 def _passer() -> Column:
