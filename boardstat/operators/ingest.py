@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import first_per_key, literal_array, number_rows
+from ..frames import first_per_key, literal_array, materialize, number_rows
 from ..functions import links, numbers
 from ..registry import CALENDAR, DEFAULT_MONTHS, MONTHS
 from ..schemas import Tables
@@ -89,12 +89,13 @@ def ingest_announcements(pages: DataFrame, tables: Tables, compat: bool = False,
 
     `pages` has exam_code, year, month, url, source, title, html and a unique `arrival`.
     """
-    checked = checked_announcements(pages)
+    # Read once, used for the next tables, the status rows and the audit rows alike.
+    checked = materialize(checked_announcements(pages), "checked")
     programs = tables.programs.select(F.col("id").alias("program_id"), "exam_code")
     valid = (checked.where("reason IS NULL").join(programs, "exam_code")
              .select("program_id", F.col("final_month").alias("month"), "year", "exam_code", "url", "source", *STATS,
                      "arrival"))
-    decided = _with_precedence(valid, tables.exam_results, compat)
+    decided = materialize(_with_precedence(valid, tables.exam_results, compat), "decided")
     accepted = decided.where("accepted")
     row = F.struct(*STATS, F.col("url").alias("source_url"))
     last = accepted.groupBy(*CYCLE_KEY).agg(F.max_by(row, "arrival").alias("row"), F.min("arrival").alias("arrival"))
@@ -148,7 +149,7 @@ def reingest_placeholders(tables: Tables, pages: DataFrame) -> IngestResult:
               .join(dual.select("exam_code", "year", "month"), wanted, "left_anti")
               .withColumn("month", F.coalesce("final_month", "month")))
     columns = ["arrival", "exam_code", "year", "month", "url", "source", *STATS, "reason"]
-    rows = dual.select(*columns).unionByName(single.select(*columns))
+    rows = materialize(dual.select(*columns).unionByName(single.select(*columns)), "refilled")
     good = first_per_key(rows.where("reason IS NULL"), wanted, [F.asc("arrival"), F.asc("url")])
     incoming = good.join(programs, "exam_code").select(*CYCLE_KEY, *STATS, F.col("url").alias("source_url"), "arrival")
     # Two programs may come from one page: their arrivals are told apart by program.

@@ -77,7 +77,9 @@ def _cycle_of(name: Column, pattern: str) -> Column:
 
 
 def _normal_header(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    """Header in lower case with single underscores; a header of symbols only (`#`, `%`) stays as it is."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.when(plain == "", F.trim(text)).otherwise(plain)
 
 
 def _positions(header: Column) -> list[Column]:
@@ -120,7 +122,7 @@ def school_csv_rows(files: DataFrame) -> DataFrame:
 
     school = F.trim(cell("school"))
     return rows.where(school != "").select(
-        F.col("file_name").alias("doc_id"), (F.col("line") + 1).alias("line_no"), school.alias("school"),
+        F.col("file_name").alias("doc_id"), (F.col("line") + 2).alias("line_no"), school.alias("school"),
         numbers.to_int(cell("rank")).alias("rank"), numbers.to_int(cell("takers")).alias("takers"),
         numbers.to_int(cell("passers")).alias("passers"), numbers.to_rate(cell("pass_rate")).alias("pass_rate"),
         names.infer_region(school).alias("region"))
