@@ -30,16 +30,26 @@ def gap(rate: Column, reference: Column) -> Column:
 
 def to_int(text: Column) -> Column:
     """Whole number from report text: thousands separators dropped, anything else unreadable is null."""
-    cleaned = F.trim(F.regexp_replace(text, ",", ""))
+    cleaned = F.trim(F.replace(text, F.lit(","), F.lit("")))
     return F.when(cleaned.rlike(r"^[+-]?[0-9]+$"), cleaned.try_cast("int"))
 
 
 def to_rate(text: Column) -> Column:
     """Percentage from report text; only plain decimal notation is read."""
-    cleaned = F.trim(F.regexp_replace(text, "[%,]", ""))
+    cleaned = F.trim(F.translate(text, "%,", ""))
     return F.when(cleaned.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), cleaned.try_cast("double"))
 
 
+def digits(group: Column) -> Column:
+    """Whole number from a pattern group that holds only digits and commas."""
+    return F.replace(group, F.lit(","), F.lit("")).try_cast("int")
+
+
+def decimal(group: Column) -> Column:
+    """Number from a pattern group that holds only digits and dots."""
+    return group.try_cast("double")
+
+
 def complete(takers: Column | str = "total_takers", rate: Column | str = "pass_rate") -> Column:
     """A cycle with real national statistics."""
     takers = F.col(takers) if isinstance(takers, str) else takers

@@ -191,71 +191,101 @@ OFFICIAL_LINE = (r"(?i)^(.+?)\s+(\d+)\s+(\d+)\s+(\d+)\s+([\d.]+)%?\s+(\d+)\s+(\d
 SIMPLE_LINE = rf"(?i)^\s*(\d+)?\s*(.+?)\s+{NUMBER}\s+{NUMBER}\s+{NUMBER}\s+([\d.]+)\s*%?\s*$"
 
 
+def _known(row: Column) -> Column:
+    """The row if all its numbers could be read."""
+    return F.when(row["takers"].isNotNull() & row["passers"].isNotNull() & row["pass_rate"].isNotNull(), row)
+
+
 def _table_line(line: Column) -> Column:
     """`| 1 | NAME | 139 | 113 | 81.29% |` or `1 NAME 139 113 81.29`."""
-    line = F.trim(line)
-    cells = F.filter(F.transform(F.split(line, r"\|"), lambda p: F.trim(p)), lambda p: p != "")
-
     def piped(c: Column) -> Column:
-        rank, takers, passers = (_count(F.get(c, F.lit(i))) for i in (0, 2, 3))
-        rate = numbers.to_rate(F.get(c, F.lit(4)))
-        readable = rank.isNotNull() & takers.isNotNull() & passers.isNotNull() & rate.isNotNull()
-        return F.when(readable, _school_row(rank, F.get(c, F.lit(1)), takers, passers, rate))
-
-    parts = [F.regexp_extract(line, SPACED, i) for i in range(1, 6)]
-    rank, takers, passers = _count(parts[0]), _count(parts[2]), _count(parts[3])
-    rate = numbers.to_rate(parts[4])
-    spaced = F.when(rank.isNotNull() & takers.isNotNull() & passers.isNotNull() & rate.isNotNull(),
-                    _school_row(rank, F.trim(parts[1]), takers, passers, rate))
-    is_piped = (F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit(""))) >= 5) & (F.size(cells) >= 5)
-    header = F.upper(F.get(cells, F.lit(0))).isin("RANK", "---", "---|") | F.contains(
-        F.upper(F.get(cells, F.lit(1))), F.lit("SCHOOL"))
-    return F.when(is_piped & header, None).otherwise(F.coalesce(F.when(is_piped, links.once(cells, piped)), spaced))
+        header = F.upper(F.get(c, F.lit(0))).isin("RANK", "---", "---|") | F.contains(
+            F.upper(F.get(c, F.lit(1))), F.lit("SCHOOL"))
+        row = _school_row(_count(F.get(c, F.lit(0))), F.get(c, F.lit(1)), _count(F.get(c, F.lit(2))),
+                          _count(F.get(c, F.lit(3))), numbers.to_rate(F.get(c, F.lit(4))))
+        return F.struct(header.alias("header"),
+                        links.once(row, lambda r: F.when(r["rank"].isNotNull(), _known(r))).alias("row"))
+
+    def read(text: Column) -> Column:
+        parts = [F.regexp_extract(text, SPACED, i) for i in range(1, 6)]
+        spaced = F.when(text.rlike(SPACED), links.once(_school_row(
+            numbers.digits(parts[0]), F.trim(parts[1]), numbers.digits(parts[2]), numbers.digits(parts[3]),
+            numbers.decimal(parts[4])), lambda r: F.when(r["rank"].isNotNull(), _known(r))))
+        cells = F.filter(F.transform(F.split(text, r"\|"), lambda p: F.trim(p)), lambda p: p != "")
+        bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
+        tabular = F.when(bars >= 5, links.once(cells, lambda c: F.when(F.size(c) >= 5, piped(c))))
+        return links.once(tabular, lambda t: F.when(F.coalesce(t["header"], F.lit(False)), None).otherwise(
+            F.coalesce(t["row"], spaced)))
+
+    return links.once(F.trim(line), read)
+
+
+def _collapsed(raw: Column) -> Column:
+    return F.trim(F.regexp_replace(raw, r"\s+", " "))
+
+
+def _ends_in_number(line: Column) -> Column:
+    """Cheap test before a layout pattern: after the last digit at most `. %` may follow."""
+    return F.right(line, F.lit(4)).rlike(r"\d")
 
 
 def _official_line(raw: Column) -> Column:
     """School and its overall group from a line of first-timers, repeaters and overall."""
-    line = F.trim(F.regexp_replace(raw, r"\s+", " "))
-    header = line.rlike(r"(?i)^(seq|school|first timers|repeaters|overall|performance|pos\s*-)")
-    school = names.clean_report_school(F.regexp_extract(line, OFFICIAL_LINE, 1))
-    passers, failed, takers = (_count(F.regexp_extract(line, OFFICIAL_LINE, i)) for i in (10, 11, 12))
-    rate = numbers.to_rate(F.regexp_extract(line, OFFICIAL_LINE, 13))
-    broken = ((passers + failed != takers) & (F.abs(F.try_divide(passers, takers) * 100 - rate) > 2)
-              & (passers > takers))
-    keep = (F.length(line) >= 20) & ~header & (F.length(school) >= 4) & (takers > 0) & rate.isNotNull() & ~broken
-    return F.when(keep, _school_row(F.lit(None).cast("int"), school, takers, passers, rate))
+    def read(line: Column) -> Column:
+        header = line.rlike(r"(?i)^(seq|school|first timers|repeaters|overall|performance|pos\s*-)")
+        number = [numbers.digits(F.regexp_extract(line, OFFICIAL_LINE, i)) for i in (10, 11, 12)]
+        group = F.struct(_school_row(
+            F.lit(None).cast("int"), names.clean_report_school(F.regexp_extract(line, OFFICIAL_LINE, 1)), number[2],
+            number[0], numbers.decimal(F.regexp_extract(line, OFFICIAL_LINE, 13))).alias("row"),
+            number[1].alias("failed"))
+        return F.when((F.length(line) >= 20) & _ends_in_number(line) & line.rlike(OFFICIAL_LINE) & ~header, links.once(group, keep))
+
+    def keep(g: Column) -> Column:
+        row = g["row"]
+        off = F.abs(F.try_divide(row["passers"], row["takers"]) * 100 - row["pass_rate"]) > 2
+        broken = (row["passers"] + g["failed"] != row["takers"]) & off & (row["passers"] > row["takers"])
+        return F.when((F.length(row["school"]) >= 4) & (row["takers"] > 0) & row["pass_rate"].isNotNull() & ~broken, row)
+
+    return links.once(_collapsed(raw), read)
 
 
 def _simple_line(raw: Column) -> Column:
     """Fallback of six fields, where only takers and rate can be trusted."""
-    line = F.trim(F.regexp_replace(raw, r"\s+", " "))
-    header = line.rlike(r"(?i)^(seq|school|first timers|repeaters|overall|performance)\b")
-    takers = _count(F.regexp_extract(line, SIMPLE_LINE, 5))
-    rate = numbers.to_rate(F.regexp_extract(line, SIMPLE_LINE, 6))
-    keep = (F.length(line) >= 15) & ~header & (takers > 0) & rate.isNotNull()
-    passers = F.floor(takers * rate / 100 + F.lit(0.5)).cast("int")
-    return F.when(keep, _school_row(_count(F.regexp_extract(line, SIMPLE_LINE, 1)),
-                                    F.trim(F.regexp_extract(line, SIMPLE_LINE, 2)), takers, passers, rate))
+    def read(line: Column) -> Column:
+        header = line.rlike(r"(?i)^(seq|school|first timers|repeaters|overall|performance)\b")
+        parts = F.struct(*[F.regexp_extract(line, SIMPLE_LINE, i).alias(f"g{i}") for i in (1, 2, 5, 6)])
+        return F.when((F.length(line) >= 15) & _ends_in_number(line) & line.rlike(SIMPLE_LINE) & ~header, links.once(parts, row))
 
+    def row(g: Column) -> Column:
+        takers, rate = numbers.digits(g["g5"]), numbers.decimal(g["g6"])
+        passers = F.floor(takers * rate / 100 + F.lit(0.5)).cast("int")
+        return F.when((takers > 0) & rate.isNotNull(),
+                      _school_row(_count(g["g1"]), F.trim(g["g2"]), takers, passers, rate))
 
-def _merged_line(raw: Column) -> Column:
-    """`SCHOOL … numbers … rate%`: the last percentage, and the last whole numbers as passers, failed, takers."""
-    line = F.trim(F.regexp_replace(raw, r"\s+", " "))
-    rates = F.regexp_extract_all(line, F.lit(r"([\d.]+)\s*%"), F.lit(1))
-    rate = numbers.to_rate(F.get(F.reverse(rates), F.lit(0)))
-    found = F.regexp_extract_all(F.replace(line, F.lit("%"), F.lit(" ")), F.lit(r"[\d,]+\.?\d*"), F.lit(0))
-    whole = F.reverse(F.transform(F.filter(found, lambda n: n.rlike(r"^[\d,]*\d[\d,]*$")), _count))
-    name = F.regexp_extract(line, r"^(.+?)\s+[\d,]", 1)
-    school = names.clean_scanned_school(F.when(name != "", name).otherwise(F.get(F.split(line, " "), F.lit(0))))
+    return links.once(_collapsed(raw), read)
 
-    def row(n: Column) -> Column:
-        takers = F.get(n, F.lit(0))
-        passers = (F.when(F.size(n) >= 3, F.get(n, F.lit(2))).when(F.size(n) == 2, F.get(n, F.lit(1)))
-                   .otherwise(F.floor(takers * rate / 100 + F.lit(0.5)).cast("int")))
-        keep = rate.isNotNull() & (takers > 0) & (passers <= takers) & (F.length(school) >= 4)
-        return F.when(keep, _school_row(F.lit(None).cast("int"), school, takers, passers, rate))
 
-    return links.once(whole, row)
+def _merged_line(raw: Column) -> Column:
+    """`SCHOOL … numbers … rate%`: the last percentage, and the last whole numbers as passers, failed, takers."""
+    def read(line: Column) -> Column:
+        rates = F.regexp_extract_all(line, F.lit(r"([\d.]+)\s*%"), F.lit(1))
+        found = F.regexp_extract_all(F.replace(line, F.lit("%"), F.lit(" ")), F.lit(r"[\d,]+\.?\d*"), F.lit(0))
+        whole = F.transform(F.filter(found, lambda n: n.rlike(r"^[\d,]*\d[\d,]*$")), numbers.digits)
+        lead = F.regexp_extract(line, r"^(.+?)\s+[\d,]", 1)
+        parts = F.struct(
+            numbers.decimal(F.get(F.reverse(rates), F.lit(0))).alias("rate"), F.reverse(whole).alias("n"),
+            links.once(lead, lambda x: names.clean_scanned_school(
+                F.when(x != "", x).otherwise(F.get(F.split(line, " "), F.lit(0))))).alias("school"))
+        return F.when(F.contains(line, F.lit("%")), links.once(parts, row))
+
+    def row(p: Column) -> Column:
+        takers = F.get(p["n"], F.lit(0))
+        passers = (F.when(F.size(p["n"]) >= 3, F.get(p["n"], F.lit(2))).when(F.size(p["n"]) == 2, F.get(p["n"], F.lit(1)))
+                   .otherwise(F.floor(takers * p["rate"] / 100 + F.lit(0.5)).cast("int")))
+        keep = p["rate"].isNotNull() & (takers > 0) & (passers <= takers) & (F.length(p["school"]) >= 4)
+        return F.when(keep, _school_row(F.lit(None).cast("int"), p["school"], takers, passers, p["rate"]))
+
+    return links.once(_collapsed(raw), read)
 
 
 _PARSERS = {"table": _table_line, "official": _official_line, "simple": _simple_line, "merged": _merged_line}
@@ -285,13 +315,21 @@ def parse_school_reports(texts: DataFrame, enough: int = 20) -> DataFrame:
 
     Rows of one school (upper-cased name) merge, the last one wins.
     """
-    official = school_lines(F.col("text"), "official")
-    both = texts.select("doc_id", "text", official.alias("official"))
-    schools = F.size(F.array_distinct(F.transform("official", lambda r: F.upper(r["row"]["school"]))))
-    first = _exploded(both, F.col("official")).withColumn("source_no", F.lit(0))
-    poor = both.where(schools < enough)
-    second = _exploded(poor, school_lines(F.col("text"), "simple")).withColumn("source_no", F.lit(1))
-    keyed = first.unionByName(second).withColumn("key", F.upper(F.trim("school"))).where("key <> ''")
+    def tagged(rows: Column, source: int) -> Column:
+        return F.transform(rows, lambda r, at: F.struct(
+            F.lit(source).alias("source_no"), F.coalesce(r["row"]["rank"], at + 1).alias("rank"), r["line_no"]
+            .alias("line_no"), r["row"].alias("row")))
+
+    def completed(official: Column) -> Column:
+        schools = F.size(F.array_distinct(F.transform(official, lambda r: F.upper(r["row"]["school"]))))
+        return F.when(schools >= enough, tagged(official, 0)).otherwise(
+            F.concat(tagged(official, 0), tagged(school_lines(F.col("text"), "simple"), 1)))
+
+    found = links.once(school_lines(F.col("text"), "official"), completed)
+    rows = texts.select("doc_id", F.explode(found).alias("r")).select(
+        "doc_id", "r.line_no", "r.rank", "r.row.school", "r.row.takers", "r.row.passers", "r.row.pass_rate",
+        names.infer_region(F.col("r.row.school")).alias("region"), "r.source_no")
+    keyed = rows.withColumn("key", F.upper(F.trim("school"))).where("key <> ''")
     return first_per_key(keyed, ["doc_id", "key"], [F.desc("source_no"), F.desc("line_no")]).drop("key")
 
 
@@ -387,25 +425,41 @@ HEADER_START = r"(?i)^(School|Institution|Name|Examinee|Passer|Passed|Total|Seq|
 
 def _table_rows(table: Column) -> Column:
     """School rows of one table, in the four-column or the numbered wide layout."""
-    sample = F.filter(F.slice(table, 2, 5), lambda c: F.size(c) > 0)
-    numbered = F.size(F.filter(sample, lambda c: F.get(c, F.lit(0)).rlike(r"^\d+$"))) >= F.floor(F.size(sample) / 2)
-
     def cell(c: Column, at: int) -> Column:
         return F.get(c, F.lit(at) if at >= 0 else F.size(c) + at)
 
-    def row(c: Column) -> Column:
-        name = F.trim(F.when(numbered, cell(c, 1)).otherwise(cell(c, 0)))
-        takers = _count(F.when(numbered, cell(c, -2)).otherwise(cell(c, 1)))
-        passers = _count(F.when(numbered, cell(c, -4)).otherwise(cell(c, 2)))
-        rate = numbers.to_rate(F.when(numbered, cell(c, -1)).otherwise(F.coalesce(cell(c, 3), cell(c, -1))))
-        known = takers.isNotNull() & passers.isNotNull() & rate.isNotNull()
-        skip = ((F.size(c) < F.when(numbered, 5).otherwise(3)) | (name == "") | name.rlike(MONTH_START)
-                | name.rlike(r"^\d+$") | name.rlike(HEADER_START))
-        return F.when(~skip, F.struct(name.alias("school"), F.when(known, takers).alias("takers"),
-                                      F.when(known, passers).alias("passers"), F.when(known, rate).alias("pass_rate")))
-
-    body = F.filter(F.transform(F.slice(table, 2, F.greatest(F.size(table), F.lit(1))), row), lambda r: r.isNotNull())
-    return F.when((F.size(table) >= 3) & (F.size(sample) > 0), body).otherwise(F.slice(body, 1, 0))
+    def narrow(c: Column) -> Column:
+        rate = F.coalesce(cell(c, 3), cell(c, -1))
+        return _cells(F.size(c) >= 3, cell(c, 0), cell(c, 1), cell(c, 2), rate)
+
+    def wide(c: Column) -> Column:
+        return _cells(F.size(c) >= 5, cell(c, 1), cell(c, -2), cell(c, -4), cell(c, -1))
+
+    def body(rows: Column, layout) -> Column:
+        return F.filter(F.transform(F.slice(rows, 2, F.size(rows)), layout), lambda r: r.isNotNull())
+
+    def read(sample: Column) -> Column:
+        numbered = F.size(F.filter(sample, lambda c: F.get(c, F.lit(0)).rlike(r"^\d+$")))
+        return F.when(F.size(sample) == 0, F.slice(body(table, narrow), 1, 0)).when(
+            numbered >= F.floor(F.size(sample) / 2), body(table, wide)).otherwise(body(table, narrow))
+
+    sample = F.filter(F.slice(table, 2, 5), lambda c: F.size(c) > 0)
+    return F.when(F.size(table) >= 3, links.once(sample, read)).otherwise(F.slice(body(table, narrow), 1, 0))
+
+
+def _cells(enough: Column, name: Column, takers: Column, passers: Column, rate: Column) -> Column:
+    """A school row, its numbers kept only if all three can be read; null for headers, dates and numbers."""
+    def read(c: Column) -> Column:
+        skip = ((c["school"] == "") | c["school"].rlike(MONTH_START) | c["school"].rlike(r"^\d+$")
+                | c["school"].rlike(HEADER_START))
+        known = c["takers"].isNotNull() & c["passers"].isNotNull() & c["pass_rate"].isNotNull()
+        return F.when(~skip, F.struct(c["school"].alias("school"), F.when(known, c["takers"]).alias("takers"),
+                                      F.when(known, c["passers"]).alias("passers"),
+                                      F.when(known, c["pass_rate"]).alias("pass_rate")))
+
+    parts = F.struct(F.trim(name).alias("school"), _count(takers).alias("takers"), _count(passers).alias("passers"),
+                     numbers.to_rate(rate).alias("pass_rate"))
+    return F.when(enough, links.once(parts, read))
 
 
 def html_tables(pages: DataFrame) -> DataFrame:

@@ -26,7 +26,9 @@ def school_rows(spark, sf: str) -> DataFrame:
     t = b.schools(spark, sf)
     named = t.schools.select(F.col("id").alias("school_id"), F.upper("name").alias("school"))
     cycles = t.exam_results.select(F.col("id").alias("exam_result_id"), "program_id", "year", "month")
-    return (t.school_performance.where("rank IS NOT NULL").join(named, "school_id").join(cycles, "exam_result_id"))
+    rows = t.school_performance.where("rank IS NOT NULL").join(named, "school_id").join(cycles, "exam_result_id")
+    # The texts made of these rows cost far more to read than the rows cost to move: use all cores.
+    return rows.repartition(spark.sparkContext.defaultParallelism, "id")
 
 
 def report_texts(spark, sf: str, kind: str) -> DataFrame:
