@@ -6,7 +6,7 @@ third of all results costs no more than any other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..frames import literal_frame, top_per_key
@@ -54,6 +54,11 @@ def rankings(tables: Tables, exam_code: str | None = None, year: int | None = No
                        "pass_rate", "year", "month", "national_rate")
 
 
+def years_seen() -> Column:
+    """Distinct years as a bit set of one long: exact for results that span less than 64 years, and hash-aggregated."""
+    return F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("year") % 64)))
+
+
 def aggregate_rankings(tables: Tables, exam_code: str | None = None, region: str | None = None,
                        school: str | None = None, min_takers: int | None = None, min_years: int = 1,
                        limit: int = 1000) -> DataFrame:
@@ -70,7 +75,7 @@ def aggregate_rankings(tables: Tables, exam_code: str | None = None, region: str
             .agg(F.count(rate).alias("rates"), F.max(rate).alias("best"), F.min(rate).alias("worst"),
                  F.coalesce(F.sum("takers"), F.lit(0)).alias("total_takers"),
                  F.coalesce(F.sum("passers"), F.lit(0)).alias("total_passers"),
-                 F.size(F.collect_set("year")).alias("years_participated")))
+                 years_seen().alias("years_participated")))
     sums = sums.where((F.col("rates") > 0) & (F.col("years_participated") >= min_years))
     if min_takers:
         sums = sums.where(F.col("total_takers") >= min_takers)

@@ -30,6 +30,13 @@ def cycle_dimension(tables: Tables, exam_code: str | None = None, year: int | No
                        F.col("pass_rate").alias("national_rate"), F.col("program_id"))
 
 
+def with_cycle_no(cycles: DataFrame) -> DataFrame:
+    """Cycles numbered in time over all programs. The calendar bounds their number, so one window may see them all; a
+    plain number keeps the aggregations of school rows by latest or first cycle hash-based."""
+    order = Window.orderBy("year", "month_no", "phase", "exam_result_id")
+    return cycles.withColumn("cycle_no", F.row_number().over(order))
+
+
 def school_list(tables: Tables, search: str | None = None, region: str | None = None, page: int = 1,
                 per_page: int = 20, region_mode: str = "filter") -> DataFrame:
     """One page of the school directory by name, with the total and the number of pages.
@@ -57,15 +64,11 @@ def school_list(tables: Tables, search: str | None = None, region: str | None =
 def school_history(tables: Tables, exam_code: str | None = None) -> DataFrame:
     """Every result of every school with the national rate of its cycle and the gap to it."""
     rows = tables.school_performance.select("id", "school_id", "exam_result_id", "takers", "passers", "pass_rate", "rank")
-    return (rows.join(cycle_dimension(tables, exam_code), "exam_result_id")
+    return (rows.join(with_cycle_no(cycle_dimension(tables, exam_code)), "exam_result_id")
             .select("id", "school_id", "exam_result_id", "program_id", "exam_code", "exam_fullname", "exam_slug",
                     "month", "year", "takers", "passers", "pass_rate", "rank", "national_rate",
                     numbers.gap(F.col("pass_rate"), F.col("national_rate")).alias("gap_from_national"),
-                    "month_no", "phase"))
-
-
-def _recency() -> Column:
-    return F.struct("year", "month_no", "phase", "exam_result_id", "id")
+                    "month_no", "phase", "cycle_no"))
 
 
 def _consistency() -> list[Column]:
@@ -107,7 +110,7 @@ def school_rank_history(history: DataFrame) -> DataFrame:
     """Best, lowest and latest rank, cycles ranked, and the latest pass rate of each school."""
     return history.groupBy("school_id").agg(
         F.min("rank").alias("best_rank"), F.max("rank").alias("lowest_rank"), F.count("rank").alias("cycles_ranked"),
-        F.max_by("rank", _recency()).alias("latest_rank"), F.max_by("pass_rate", _recency()).alias("latest_pass_rate"))
+        F.max_by("rank", "cycle_no").alias("latest_rank"), F.max_by("pass_rate", "cycle_no").alias("latest_pass_rate"))
 
 
 def school_vs_national_series(history: DataFrame) -> DataFrame:
@@ -123,7 +126,7 @@ def school_vs_national_series(history: DataFrame) -> DataFrame:
 def school_trend(tables: Tables, exam_code: str | None = None) -> DataFrame:
     """Trend class of each school over its known rates in chronological order."""
     known = school_history(tables, exam_code)
-    order = F.when(F.col("pass_rate").isNotNull(), _recency())
+    order = F.when(F.col("pass_rate").isNotNull(), F.col("cycle_no"))
     rows = known.groupBy("school_id").agg(
         F.count("*").alias("results"), F.count("pass_rate").alias("n"),
         F.min_by("pass_rate", order).alias("first_rate"), F.max_by("pass_rate", order).alias("last_rate"))

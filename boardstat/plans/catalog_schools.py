@@ -50,7 +50,7 @@ QUERIES = {
     "school_list_region": lambda spark, sf: schools.school_list(b.schools(spark, sf), region="as"),
     "school_list_embedded": lambda spark, sf: schools.school_list(b.schools(spark, sf), region="as", per_page=500,
                                                                   region_mode="embed"),
-    "school_history": lambda spark, sf: schools.school_history(b.schools(spark, sf)),
+    "school_history": lambda spark, sf: schools.school_history(b.schools(spark, sf)).drop("cycle_no"),
     "school_summary": lambda spark, sf: schools.school_summary(b.schools(spark, sf)),
     "consistency_pooled": lambda spark, sf: schools.consistency_pooled(schools.school_history(b.schools(spark, sf))),
     "consistency_scores": lambda spark, sf: schools.consistency_scores(b.schools(spark, sf)),

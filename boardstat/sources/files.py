@@ -54,7 +54,7 @@ CSV_CELLS = ", ".join(f"c{i} string" for i in range(WIDTH))
 
 def read_text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Small text files, one row each: file_name and content."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern)
     return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content"))
 
 
@@ -137,7 +137,7 @@ def folder_cycles(files: DataFrame) -> DataFrame:
 
 def read_link_index(spark: SparkSession, path: str, exam_code: str | None = None) -> DataFrame:
     """A link index: files that are JSON arrays of announcements; anything else is refused."""
-    start = spark.read.option("wholetext", True).text(path).select(F.substring(F.ltrim("value"), 1, 1).alias("c"))
+    start = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1).alias("c"))
     if start.where("c <> '['").take(1):
         raise ValueError("index must be a JSON array")
     rows = spark.read.schema(COLUMNS["link_index"]).json(path, multiLine=True)
