@@ -101,16 +101,20 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return top_per_key(df, keys, order, 1).drop("position")
 
 
-def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
-                column: str = "position") -> DataFrame:
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(column, F.row_number().over(window)).where(F.col(column) <= k)
-
-
-def eq_null_safe(left: DataFrame, right: DataFrame, plain: Sequence[str], nullable: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for c in plain:
-        condition = condition & (left[c] == right[c])
-    for c in nullable:
-        condition = condition & left[c].eqNullSafe(right[c])
-    return condition
+SALTS = 64
+
+
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, column: str = "position",
+                spread: str | None = None) -> DataFrame:
+    """The first k rows of every key with their positions.
+
+    Every task sends at most k rows of a key. For a large k, `spread` names an id column: a hot key is first cut down
+    in many parts by that id, so the last step sees a fixed number of rows however many tasks read the key.
+    """
+    place = F.row_number()
+    if spread:
+        salt = F.pmod(F.xxhash64(spread), F.lit(SALTS))
+        parts = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = df.withColumn("_salt", salt).withColumn("_place", place.over(parts)).where(F.col("_place") <= k).drop(
+            "_salt", "_place")
+    return df.withColumn(column, place.over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(column) <= k)

@@ -23,7 +23,7 @@ def _ranked_rows(tables: Tables, cycles: DataFrame, min_takers: int | None, limi
     if min_takers:
         rows = rows.where(F.col("takers") >= min_takers)
     joined = rows.join(cycles, "exam_result_id")
-    best = top_per_key(joined, ["exam_code"], [F.asc_nulls_last("rank"), F.asc("id")], limit)
+    best = top_per_key(joined, ["exam_code"], [F.asc_nulls_last("rank"), F.asc("id")], limit, spread="id")
     return best.join(_school_region(tables), "school_id")
 
 
@@ -85,7 +85,7 @@ def aggregate_rankings(tables: Tables, exam_code: str | None = None, region: str
     if region or school:
         scored = scored.join(schools.select("school_id"), "school_id", "left_semi")
     best = top_per_key(scored, ["exam_code"], [F.desc("pass_rate"), F.desc("total_takers"), F.desc("total_passers"),
-                                               F.asc("school_id")], limit, "rank")
+                                               F.asc("school_id")], limit, "rank", spread="school_id")
     return best.join(schools, "school_id").select(
         "exam_code", "rank", "school_id", "school", "slug", "region", "pass_rate",
         F.col("pass_rate").alias("avg_pass_rate"), numbers.js_round(F.col("best"), 2).alias("best_pass_rate"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import first_per_key, top_per_key
+from ..frames import first_per_key, literal_array, top_per_key
 from ..functions import names
 from ..schemas import Tables
 from .national import with_program
@@ -38,7 +38,8 @@ def containing_pairs(patterns: DataFrame, texts: DataFrame, size: int = PIECE) -
     shared = parts.groupBy("piece").agg(F.count("*").alias("shared"))
     keyed = first_per_key(parts.join(shared, "piece"), ["pattern"], [F.asc("shared"), F.asc("piece")])
     keys = keyed.select("pattern", "piece")
-    lengths = F.array(*[F.lit(i) for i in range(1, size + 1)])
+    # At most `size` numbers; texts are cut into pieces of these lengths only.
+    lengths = literal_array(sorted(r["size"] for r in sized.select("size").distinct().collect()) or [size])
     wanted = keys.select("piece").distinct()
     cut = texts.select("text", F.explode(F.array_distinct(F.flatten(F.transform(
         lengths, lambda n: pieces(F.col("text"), n))))).alias("piece"))

@@ -13,7 +13,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import number_rows, top_per_key
+from ..frames import materialize, number_rows, top_per_key
 from ..functions import links, names, numbers
 from ..registry import CALENDAR, SCHOOL_CSV_TAG
 from ..schemas import Tables
@@ -157,8 +157,9 @@ def resolve_schools(schools: DataFrame, regions: DataFrame, rows: DataFrame) ->
     named = named.withColumn("slug", names.slugify(F.col("clean_name")))
     by_name = schools.groupBy(F.col("name").alias("clean_name")).agg(F.min("id").alias("name_id"))
     by_slug = schools.groupBy("slug").agg(F.min("id").alias("slug_id"))
-    matched = (named.join(by_name, "clean_name", "left").join(by_slug, "slug", "left")
-               .withColumn("id", F.coalesce("name_id", "slug_id")))
+    # One row per spelling, read twice below.
+    matched = materialize(named.join(by_name, "clean_name", "left").join(by_slug, "slug", "left")
+                          .withColumn("id", F.coalesce("name_id", "slug_id")), "spellings")
     unknown = matched.where("id IS NULL").groupBy("slug").agg(
         F.min("arrival").alias("arrival"), F.min_by("clean_name", "arrival").alias("name"),
         F.min_by("region", "arrival").alias("region_text"))

@@ -381,6 +381,34 @@ SQL: dict[str, str] = {
       c.total_takers end as total_takers, case when ok then x_passers else c.total_passers end as total_passers,
       case when ok then x_rate else c.pass_rate end as pass_rate, case when ok then d.url else c.source_url end as
       source_url from decided d join cycles c using (id)""",
+    "reingest_placeholders": f"""{ANNOUNCED} {SCORED}, ruled as (select *, case when x_takers is null then
+      'no summary stats' else {reasons('title', 'year', 'x_passers', 'x_takers', 'x_rate')} end as reason from guessed),
+      dual as (select * from ordered where program_id = 1 and done),
+      state as (select c.*, (c.id // 10) % 2 = 0 as hollow, d.id is not null and c.program_id <= 2 as by_dual,
+        g.reason is null and c.program_id > 2 as by_page, d.total_takers * c.program_id as d_takers,
+        d.total_passers * c.program_id as d_passers, d.pass_rate as d_rate, d.source_url as d_url, g.x_takers,
+        g.x_passers, g.x_rate, g.url as x_url
+        from cycles c join ruled g using (id) left join dual d on d.year = c.year and d.month = c.month)
+      select program_id, month, year,
+        case when not hollow then total_takers when by_dual then d_takers when by_page then x_takers else 0 end::integer
+          as total_takers,
+        case when not hollow then total_passers when by_dual then d_passers when by_page then x_passers else 0
+          end::integer as total_passers,
+        case when not hollow then pass_rate when by_dual then d_rate when by_page then x_rate else 0.0 end::double
+          as pass_rate,
+        case when not hollow then source_url when by_dual then d_url when by_page then x_url end as source_url
+      from state""",
+    "direct_links": f"""{REGISTERED}, g as (select o.exam_code, o.year, o.month, coalesce((select month_pos from calendar c
+        where c.exam_code = o.exam_code and c.month = o.month), 100 + o.month_no) as month_pos, u.pos as url_pos,
+        a.name || ' results ' || o.month as title, 'https://www.prcboard.com/' || a.site_slug || '-results-'
+        || lower(o.month) || '-' || o.year || case u.pos when 0 then '-' || replace(replace(replace(lower(a.name),
+        ' licensure examination', ''), ' / ', '-'), ' ', '-') else '' end || '-list-of-passers' as url
+        from ordered o join programs a using (exam_code), (values (0), (1)) u(pos)
+        where o.done and o.phase = 0 and o.year % 5 <> 0),
+      sc as (select *, {scores('low')} as s from (select *, trim(lower(url || ' ' || title || ' ')) as low from g))
+      select exam_code, year, month, url, 'prcboard.com/direct' as source, 'direct_url' as discovered_via, title from sc
+      where {inferred('s')} = exam_code
+      qualify row_number() over (partition by exam_code, year order by month_pos, url_pos) = 1""",
     "throttle_events": """with recursive ev as (select user_id as key, epoch_us(ts) // 1000 as at_ms, count(*) as hits
       from events group by all),
       win(key, start) as (select key, min(at_ms) from ev group by key union all
