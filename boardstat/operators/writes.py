@@ -269,9 +269,9 @@ def last_row_per_school(rows: DataFrame) -> DataFrame:
 
 
 def fill_ranks(rows: DataFrame, group: str = "doc_id", line: str = "line_no") -> DataFrame:
-    """Missing or zero ranks become the position of the row in its document."""
-    position = F.row_number().over(Window.partitionBy(group).orderBy(line))  # lines of one document
-    return rows.withColumn("rank", F.coalesce(F.nullif("rank", F.lit(0)), position))
+    """Missing or zero ranks become the position of the row in its document, however long the document."""
+    placed = number_rows(rows, [group], [F.asc(line), F.asc("arrival")], "_place")
+    return placed.withColumn("rank", F.coalesce(F.nullif("rank", F.lit(0)), F.col("_place").cast("int"))).drop("_place")
 
 
 def import_job_islands(rows: DataFrame, block: int = 100_000) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frames import literal_array, literal_frame
-from ..functions import names, numbers
+from ..functions import links, names, numbers
 from ..operators import national, rankings, schools, series
 from ..operators.writes import stats_error, upsert_keeping_ids
 from ..registry import NATIONAL_CSV_TAG, PROGRAMS, PROVINCES, REGIONS, WINDOW_YEARS
@@ -82,43 +82,40 @@ def _normal_header(text: Column) -> Column:
     return F.when(plain == "", F.trim(text)).otherwise(plain)
 
 
-def _positions(header: Column) -> list[Column]:
-    """1-based position of each canonical column in a normalised header; 0 when absent."""
-    out = []
-    for canonical, aliases in HEADERS.items():
-        places = F.transform(_normal_header_list(aliases), lambda a: F.array_position(header, a))
-        out.append(F.coalesce(F.get(F.filter(places, lambda p: p > 0), F.lit(0)), F.lit(0)).alias(canonical))
-    return out
-
-
-def _normal_header_list(aliases: tuple[str, ...]) -> Column:
-    return F.transform(literal_array(aliases), _normal_header)
+def _csv_files(files: DataFrame) -> DataFrame:
+    """Lines of each file and, per canonical column, the 1-based position of its first accepted header; 0 if absent."""
+    aliases = F.transform(literal_array(list(HEADERS.values())), lambda names_: F.transform(names_, _normal_header))
+    cells = F.split(F.get(F.col("lines"), F.lit(0)), ",")
+    header = F.transform(cells, lambda h: _normal_header(F.regexp_replace(h, '^"|"$', "")))
 
+    def positions(h: Column) -> Column:
+        return F.transform(aliases, lambda options: F.coalesce(F.get(F.filter(F.transform(
+            options, lambda a: F.array_position(h, a)), lambda p: p > 0), F.lit(0)), F.lit(0).cast("long")))
 
-def _csv_files(files: DataFrame) -> DataFrame:
     lines = F.split(F.regexp_replace("content", "^﻿", ""), r"\r\n|\n|\r")
-    split = files.select("file_name", lines.alias("lines")).withColumn(
-        "header", F.transform(F.split(F.get("lines", F.lit(0)), ","),
-                              lambda h: _normal_header(F.regexp_replace(h, '^"|"$', ""))))
-    return split.withColumn("at", F.struct(*_positions(F.col("header"))))
+    return files.select("file_name", lines.alias("lines")).withColumn("at", links.once(header, positions))
 
 
 def school_file_errors(files: DataFrame) -> DataFrame:
     """Files that lack required columns, with the missing ones."""
-    missing = F.array_compact(F.array(*[F.when(F.col(f"at.{c}") == 0, F.lit(c)) for c in HEADERS]))
-    return _csv_files(files).select("file_name", F.array_join(missing, ", ").alias("missing")).where("missing <> ''")
+    names_ = literal_array(list(HEADERS))
+    missing = F.filter(names_, lambda c, i: F.get(F.col("at"), i) == 0)
+    # An exploded constant keeps the header reading from being repeated in filter and projection.
+    rows = _csv_files(files).select("file_name", F.explode(F.array(F.array_join(missing, ", "))).alias("missing"))
+    return rows.where("missing <> ''")
 
 
 def school_csv_rows(files: DataFrame) -> DataFrame:
     """School rows of CSV files whose headers may differ from file to file, with the region read off the name."""
-    usable = _csv_files(files).where(" AND ".join(f"at.{c} > 0" for c in HEADERS))
+    usable = _csv_files(files).where(F.forall("at", lambda p: p > 0))
     body = usable.select("file_name", "at", F.posexplode(F.slice("lines", 2, F.greatest(
         F.size("lines"), F.lit(1)))).alias("line", "text")).where(F.trim("text") != "")
-    cells = F.array(*[F.col(f"_csv.c{i}") for i in range(WIDTH)])
-    rows = body.withColumn("_csv", F.from_csv("text", CSV_CELLS)).withColumn("cells", cells)
+    rows = body.withColumn("_csv", F.from_csv("text", CSV_CELLS)).withColumn(
+        "cells", F.array(*[F.col(f"_csv.c{i}") for i in range(WIDTH)]))
+    order = list(HEADERS)
 
     def cell(name: str) -> Column:
-        return F.get("cells", (F.col(f"at.{name}") - 1).cast("int"))
+        return F.get("cells", (F.get("at", F.lit(order.index(name))) - 1).cast("int"))
 
     school = F.trim(cell("school"))
     return rows.where(school != "").select(
