@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from sys import modules
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from ..frames import first_per_key
 from ..functions import links, names, numbers
 from ..registry import OFFICIAL_SITE, PROGRAMS, Program
 
+# The table reader travels with the job: executors need no installed package.
+cloudpickle.register_pickle_by_value(modules[__name__])
+
 NUMBER = r"([\d,]+)"
 
 

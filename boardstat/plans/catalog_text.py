@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import literal_frame, number_rows, shared_folder
+from ..frames import fresh_path, literal_frame, number_rows
 from ..functions import cycles as cy
 from ..functions import links, names, numbers
 from ..operators import audit, ingest, writes
@@ -130,8 +130,8 @@ def national_csv(spark, sf: str) -> DataFrame:
                            numbers.grouped_text(F.col("total_takers")).alias("total_takers"),
                            F.concat(F.col("pass_rate").cast("string"), F.lit("%")).alias("pass_rate"),
                            F.when(F.col("id") % 3 == 0, F.col("source_url")).otherwise("").alias("source_url"))
-        path = f"{shared_folder(spark)}/national-csv-{hash(sf) & 0xffffffff}-{spark.sparkContext.applicationId}"
-        text.write.mode("overwrite").option("header", True).csv(path)
+        path = fresh_path(spark, "national-csv")
+        text.write.option("header", True).csv(path)
         return path
     return files.read_national_csv(spark, _written(spark, "national_csv", sf, build))
 

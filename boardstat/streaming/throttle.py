@@ -7,13 +7,18 @@ one. Requests beyond `limit` in a window are rejected, and still counted.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from sys import modules
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# The state step travels with the job: executors need no installed package.
+cloudpickle.register_pickle_by_value(modules[__name__])
+
 OUTPUT = "key long, at_ms long, hits long, allowed long, rejected long, retry_after long"
 STATE = "count long, reset long"
 
