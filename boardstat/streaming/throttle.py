@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 from sys import modules
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
@@ -20,6 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 cloudpickle.register_pickle_by_value(modules[__name__])
 
 OUTPUT = "key long, at_ms long, hits long, allowed long, rejected long, retry_after long"
+NONE = -(2 ** 62)  # no opening
 STATE = "count long, reset long"
 
 
@@ -40,36 +42,103 @@ def _hits(events: DataFrame, partners: Iterable[int], limit: int) -> DataFrame:
             .agg(F.count("*").alias("hits")).withColumn("limit", tier.cast("long")))
 
 
-def throttle_events(events: DataFrame, limit: int = 60, window_ms: int = 60_000,
-                    partners: Iterable[int] = ()) -> DataFrame:
+def _stretches(batches: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+    """Rows sorted by (key, stretch) as one (key, stretch, arrays ...) per stretch, across batch limits."""
+    rest = None
+    for batch in batches:
+        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        key, stretch = rest["key"].to_numpy(), rest["stretch"].to_numpy()
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (stretch[1:] != stretch[:-1])) + 1)]
+        arrays = [rest[c].to_numpy() for c in columns]
+        for low, high in zip(cuts, cuts[1:]):
+            yield key[low], stretch[low], *(a[low:high] for a in arrays)
+        rest = rest.iloc[cuts[-1]:]
+    if rest is not None and len(rest):
+        yield rest["key"].iloc[0], rest["stretch"].iloc[0], *(rest[c].to_numpy() for c in columns)
+
+
+def _gathered(parts: Iterator[dict], rows: int = 10_000) -> Iterator[pd.DataFrame]:
+    """Small column sets as frames of a useful size."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(next(iter(part.values())))
+        if size >= rows:
+            yield pd.DataFrame({c: np.concatenate([p[c] for p in held]) for c in part})
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame({c: np.concatenate([p[c] for p in held]) for c in held[0]})
+
+
+def throttle_events(events: DataFrame, limit: int = 60, window_ms: int = 60_000, partners: Iterable[int] = (),
+                    slots: int = 256) -> DataFrame:
     """Decisions for a whole log of (key, ts), one row per key and millisecond.
 
-    Requests are first added up per millisecond. A key's history is then cut wherever it is silent for longer than a
-    window, because whatever came before has expired there; the silences are found from the first and last request of
-    fixed time slots. Each stretch is read in order as a stream of rows with two numbers of state, so neither a key nor
-    a stretch is ever held in memory.
+    Where a window opens depends on where the one before it opened, but only through a single number. So each stretch of
+    `slots` window lengths of a key is read on its own: for every moment that can open its first window it is worked out
+    where its last one opens. Only those short lists are followed from stretch to stretch in order; then each stretch
+    marks its windows, and the requests of a window are counted by a plain window function. No task sees more than one
+    stretch of a key, and a stretch is bounded by its milliseconds, not by its requests.
     """
-    moments = _hits(events, partners, limit).withColumn("slot", F.floor(F.col("at_ms") / window_ms))
-    slots = moments.groupBy("key", "slot").agg(F.min("at_ms").alias("first"), F.max("at_ms").alias("last"))
-    order = Window.partitionBy("key").orderBy("slot")  # one row per active slot of a key, whatever its requests
-    silent = F.col("first") - F.lag("last").over(order) > window_ms
-    stretches = slots.select("key", "slot", F.sum(F.when(silent, 1).otherwise(0)).over(order).alias("stretch"))
-    ordered = (moments.join(stretches, ["key", "slot"]).drop("slot")
-               .repartition("key", "stretch").sortWithinPartitions("key", "stretch", "at_ms"))
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, count, reset = None, 0, None
+    length = window_ms + 1  # openings are further apart than a window, so at most one falls into a slot
+    span = slots * length
+    moments = _hits(events, partners, limit).withColumn("stretch", F.floor(F.col("at_ms") / span))
+
+    def openings(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+        for key, stretch, at in _stretches(batches, "at_ms"):
+            following = np.searchsorted(at, at + window_ms, "right")
+            last = np.arange(len(at))
+            for i in range(len(at) - 1, -1, -1):
+                if following[i] < len(at):
+                    last[i] = last[following[i]]
+            first = min(len(at), int(np.searchsorted(at, stretch * span + length)) + 1)
+            yield {"key": np.full(first, key), "stretch": np.full(first, stretch), "entry": at[:first],
+                   "last": at[last[:first]]}
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, key, opened, found = None, None, NONE, True
         for batch in batches:
             rows = []
-            for key, stretch, at, hits, tier in zip(batch["key"], batch["stretch"], batch["at_ms"], batch["hits"],
-                                                    batch["limit"]):
-                if (key, stretch) != current:
-                    current, count, reset = (key, stretch), 0, None
-                count, reset, allowed, rejected, retry = _step(at, hits, tier, window_ms, count, reset)
-                rows.append((key, at, hits, allowed, rejected, retry))
-            yield pd.DataFrame(rows, columns=["key", "at_ms", "hits", "allowed", "rejected", "retry_after"])
-
-    return ordered.select("key", "stretch", "at_ms", "hits", "limit").mapInPandas(decide, OUTPUT)
+            for k, stretch, entry, last in batch.itertuples(index=False):
+                if (k, stretch) != here:
+                    if not found:
+                        rows.append((*here, NONE, opened))
+                    opened = opened if k == key else NONE
+                    here, key, found = (k, stretch), k, False
+                if not found and (opened == NONE or entry > opened + window_ms):
+                    rows.append((k, stretch, entry, opened))
+                    opened, found = last, True
+            yield pd.DataFrame(rows, columns=["key", "stretch", "entry", "before"])
+        if not found:
+            yield pd.DataFrame([(*here, NONE, opened)], columns=["key", "stretch", "entry", "before"])
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+        for key, _, at, hits, tier, entry, before in _stretches(batches, "at_ms", "hits", "limit", "entry", "before"):
+            opening, starts = entry[0], [before[0]]
+            while opening != NONE:
+                starts.append(opening)
+                nxt = int(np.searchsorted(at, opening + window_ms, "right"))
+                opening = at[nxt] if nxt < len(at) else NONE
+            place = np.maximum(np.searchsorted(np.array(starts), at, "right") - 1, 0)
+            yield {"key": np.full(len(at), key), "at_ms": at, "hits": hits, "limit": tier,
+                   "opened": np.array(starts)[place]}
+
+    def in_order(df: DataFrame) -> DataFrame:
+        return df.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "at_ms")
+
+    lists = in_order(moments.select("key", "stretch", "at_ms")).mapInPandas(
+        lambda batches: _gathered(openings(batches)), "key long, stretch long, entry long, last long")
+    entries = (lists.repartition("key").sortWithinPartitions("key", "stretch", "entry")
+               .mapInPandas(follow, "key long, stretch long, entry long, before long"))
+    marked = in_order(moments.join(entries, ["key", "stretch"])).mapInPandas(
+        lambda batches: _gathered(mark(batches)), "key long, at_ms long, hits long, limit long, opened long")
+    earlier = Window.partitionBy("key", "opened").orderBy("at_ms").rowsBetween(Window.unboundedPreceding, -1)
+    free = F.col("limit") - F.coalesce(F.sum("hits").over(earlier), F.lit(0))
+    allowed = F.greatest(F.lit(0), F.least("hits", free)).cast("long")
+    wait = F.ceil((F.col("opened") + window_ms - F.col("at_ms")) / 1000)
+    return (marked.withColumn("allowed", allowed).withColumn("rejected", F.col("hits") - F.col("allowed"))
+            .withColumn("retry_after", F.when(F.col("rejected") > 0, wait).otherwise(0))
+            .select("key", "at_ms", "hits", "allowed", "rejected", "retry_after"))
 
 
 def throttle_stream(events: DataFrame, limit: int = 60, window_ms: int = 60_000,

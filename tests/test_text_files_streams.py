@@ -121,7 +121,7 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
 
 
 def _events(spark):
-    rows = [(k, t) for k in range(4) for t in ([0, 10, 10, 20, 1000, 1001, 1002, 2500, 9000] if k else range(0, 4000, 7))]
+    rows = [(k, t) for k in range(4) for t in ([0, 10, 10, 20, 1000, 1001, 1002, 2500, 9000] if k else range(0, 14000, 7))]
     start = 1_700_000_000_000
     return spark.createDataFrame(rows, "key long, ms long").select("key", F.timestamp_millis(F.col("ms") + start)
                                                                    .alias("ts"))
@@ -146,6 +146,9 @@ def test_throttle_batch_and_stream(spark, tmp_path):
     want = _naive(raw, 3, 1000)
     batch = throttle_events(events, 3, 1000)
     assert {(r.key, r.at_ms): (r.allowed, r.rejected) for r in batch.collect()} == want
+    for slots in (1, 2, 3):
+        cut = throttle_events(events, 3, 1000, slots=slots)
+        assert {(r.key, r.at_ms): (r.allowed, r.rejected) for r in cut.collect()} == want
     big = throttle_events(events, 3, 1000, partners=[2])
     assert all(r.rejected == 0 for r in big.where("key = 2").collect())
     events.repartitionByRange(1, "ts").sortWithinPartitions("ts").write.parquet(str(tmp_path / "log"))
