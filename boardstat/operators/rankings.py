@@ -13,7 +13,7 @@ from ..frames import literal_frame, top_per_key
 from ..functions import cycles as cy
 from ..functions import names, numbers
 from ..schemas import Tables
-from .national import filter_cycles, with_program
+from .national import filter_cycles
 from .schools import _school_region, cycle_dimension, consistency_scores
 
 

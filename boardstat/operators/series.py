@@ -121,7 +121,6 @@ def series_stats(cycles: DataFrame) -> DataFrame:
             .withColumn("_low", F.min("pass_rate").over(everything)))
     rows = rows.withColumn("_low_ord", F.min(F.when(rate == F.col("_low"), F.col("_ord"))).over(everything))
     cell = F.struct("cycle_label", "chart_label", "pass_rate", "total_takers", "prev_rate", "prev_takers")
-    # Descending order for minima: the smallest value first, among equals the earliest cycle.
     recovered = (F.col("_ord") > F.col("_low_ord")) & (rate >= F.col("_low") + 5)
     return rows.groupBy(KEY).agg(
         F.count("*").alias("cycle_count"), numbers.mean_rate(rate).alias("avg_pass_rate"),

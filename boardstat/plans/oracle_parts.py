@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..registry import CALENDAR, DEFAULT_MONTHS, MONTHS, PROGRAMS
+from ..registry import CALENDAR, MONTHS, PROGRAMS
 
 
 def quote(value) -> str:

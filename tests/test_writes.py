@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from boardstat.frames import number_rows
+from boardstat.frames import number_rows, top_per_key
 from boardstat.operators import ingest, rankings, search, writes
 from boardstat.operators.ingest import _with_precedence
 from boardstat.schemas import Tables
@@ -119,6 +119,15 @@ def test_number_rows_with_a_hot_group(spark):
         assert [v for _, v in rows] == sorted((v for _, v in rows), reverse=True)
 
 
+def test_top_of_a_hot_key(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 < 2, "hot").otherwise("cold").alias("k"), "id",
+                                  (F.col("id") * 7919 % 500).alias("v"))
+    order = [F.desc("v"), F.asc("id")]
+    plain = top_per_key(df, ["k"], order, 200).collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, top_per_key(df, ["k"], order, 200, spread="id").collect()))
+    assert len(plain) == 400
+
+
 def test_containing_pairs_brute_force(spark):
     rng = random.Random(3)
     words = ["ab", "state", "university", "of", "cebu", "a", "main", "st", "xy z"]
