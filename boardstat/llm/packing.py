@@ -36,14 +36,10 @@ def _id_bytes(path: str, texts: list[bytes], words: tokens.Words) -> list[bytes]
     else:
         for group in tokens.whole_groups(path, texts):
             for (row, _), ids in zip(group, tokens.encode_whole(path, [part for _, part in group])):
-                found[row].append(_packed(ids))
+                found[row].append(words.value(ids))
     return [b"".join(parts) for parts in found]
 
 
-def _packed(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, with_ids: bool = False,
            id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Token pieces of documents: their ids and then `end`, cut into pieces of `capacity` ids, the last one shorter.
@@ -60,7 +56,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, w
     def cut(batches):
         import numpy as np
 
-        words = tokens.Words(path, "ids", _packed)
+        words = tokens.Words(path, "ids")
         for batch in batches:
             rows = {name: [] for name in schema}
             of = []

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from sys import modules
 
 import pyarrow as pa
@@ -24,8 +24,10 @@ from . import shared
 cloudpickle.register_pickle_by_value(modules[__name__])
 
 GROUP = 1 << 20
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 600_000
+JOINED_WORDS = 4096
 LONG_TEXT = 1 << 16
+_FINAL = b".,;:!?#$%&*|)"
 _BETWEEN_WORDS = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 
 
@@ -85,22 +87,87 @@ def safe_parts(path: str, text: str, size: int = LONG_TEXT) -> list[str]:
 
 
 class Words:
-    """Values of words by the library; a Python worker remembers up to `KNOWN_WORDS` words of each `kind` of value."""
+    """Values of words, their number of ids or their ids as bytes, remembered by the Python worker.
 
-    def __init__(self, path: str, kind: str, value: Callable[[list[int]], object]):
-        self.path, self.value = path, value
-        self.known = shared.worker_cache().setdefault((kind, path), {})
+    `known` has words as they stand. A new one is cut before its final ASCII punctuation, which pre-tokenizers of this
+    kind keep apart from a letter or digit before it, and looked up in lower case among `stems`; what is not there yet
+    goes to the library. Each table starts anew when it is full.
+    """
+
+    def __init__(self, path: str, kind: str):
+        self.path, self.kind = path, kind
+        cache = shared.worker_cache()
+        self.known = cache.setdefault(("known", kind, path), {})
+        self.stems = cache.setdefault(("stems", kind, path), {})
+
+    def value(self, ids: list[int]):
+        return len(ids) if self.kind == "count" else b"".join(i.to_bytes(4, "little") for i in ids)
 
     def of(self, texts: list[bytes]) -> list[list]:
         words = [t.split() for t in texts]
-        new = list(set().union(*words).difference(self.known))
+        new = set().union(*words).difference(self.known)
         if new:
             if len(self.known) + len(new) > KNOWN_WORDS:
                 self.known.clear()
-                new = list(set().union(*words))
-            self.known.update(zip(new, map(self.value, encode_whole(self.path, [w.decode() for w in new]))))
+                new = set().union(*words)
+            self._learn(list(new))
         return [list(map(self.known.__getitem__, w)) for w in words]
 
+    def _learn(self, new: list[bytes]) -> None:
+        cut = []
+        for word in new:
+            low = word if b"<|" in word else word.lower()
+            stem = low.rstrip(_FINAL)
+            cut.append((stem, low[len(stem):]) if stem and len(stem) < len(low) and stem[-1:].isalnum() else (low, b""))
+        stems = self.stems
+        missing = {part for pair in cut for part in pair if part and part not in stems}
+        if len(stems) + len(missing) > KNOWN_WORDS:
+            stems.clear()
+            missing = {part for pair in cut for part in pair if part}
+        self._encode([m.decode() for m in missing])
+        for word, (stem, tail) in zip(new, cut):
+            self.known[word] = stems[stem] + stems[tail] if tail else stems[stem]
+
+    def _encode(self, missing: list[str]) -> None:
+        ends = _word_ends(self.path)
+        plain = [m for m in missing if m.isalpha() and max(m) < "\u0250"] if ends is not None else []
+        rest = set(missing).difference(plain)
+        for start in range(0, len(plain), JOINED_WORDS):
+            part = plain[start:start + JOINED_WORDS]
+            if not self._encode_joined(part, ends):
+                rest.update(part)
+        rest = list(rest)
+        for word, ids in zip(rest, encode_whole(self.path, rest)):
+            self.stems[word.encode()] = self.value(ids)
+
+    def _encode_joined(self, part: list[str], ends) -> bool:
+        """Words of Latin letters in one text: each is one pre-token, whose last id alone carries the end mark."""
+        import numpy as np
+
+        ids = np.array(encode_whole(self.path, [" ".join(part)])[0], "<u4")
+        last = np.flatnonzero(ends[ids]) + 1
+        if len(last) != len(part):
+            return False
+        bounds, data = [0, *last.tolist()], ids.tobytes()
+        for word, a, b in zip(part, bounds, bounds[1:]):
+            self.stems[word.encode()] = b - a if self.kind == "count" else data[4 * a:4 * b]
+        return True
+
+
+def _word_ends(path: str):
+    """Per id whether it ends a pre-token, for vocabularies that mark it; otherwise None."""
+    import numpy as np
+
+    cache = shared.worker_cache()
+    if ("ends", path) not in cache:
+        with open(path, encoding="utf-8") as file:
+            mark = json.load(file)["model"].get("end_of_word_suffix")
+        vocabulary = _library(path)[0].get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for token, i in vocabulary.items() if mark and token.endswith(mark)]] = True
+        cache["ends", path] = ends if mark else None
+    return cache["ends", path]
+
 
 def groups(texts: list[bytes], size: int = GROUP) -> Iterator[list[tuple[int, bytes]]]:
     """(row, part) lists of about `size` bytes each; a text over `size` is cut at white space over several lists."""
@@ -152,7 +219,7 @@ def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
     kind = dict(docs.dtypes)[id_column]
 
     def count(batches):
-        words = Words(path, "count", len)
+        words = Words(path, "count")
         for batch in batches:
             texts = shared.as_bytes(batch.column(1))
             yield pa.RecordBatch.from_arrays(
