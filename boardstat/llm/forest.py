@@ -7,8 +7,8 @@ only, in double precision; a pair that shares leaves of several trees counts in
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
-from sys import modules
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -19,7 +19,7 @@ from boardstat.frames import materialize
 
 from . import shared
 
-cloudpickle.register_pickle_by_value(modules[__name__])
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 THRESHOLD = 0.93
 TREES = 6

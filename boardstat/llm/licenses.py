@@ -8,10 +8,10 @@ that are aligned.
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping
-from sys import modules
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from . import shared
 
-cloudpickle.register_pickle_by_value(modules[__name__])
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COVERAGE = 0.8
 WORD = re.compile(r"[^\W_]+")

@@ -6,10 +6,10 @@ and gives runs of equal slots. Pieces then take their slots by joining on their
 
 from __future__ import annotations
 
+import sys
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Mapping
-from sys import modules
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -20,7 +20,7 @@ from boardstat.frames import materialize
 
 from . import shared, tokens
 
-cloudpickle.register_pickle_by_value(modules[__name__])
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CAPACITY = 2048
 #: Rows of one length that are ranked together at most, on average; longer runs of a length are dealt into buckets.
@@ -101,25 +101,26 @@ def best_fit(counts: Mapping[int, int], capacity: int = CAPACITY) -> list[tuple[
         left, rank = counts[length], 0
         while left:
             at = bisect_left(sizes, length)
-            if at < len(sizes):
+            fresh = at == len(sizes)
+            if fresh:
+                size, start, n = capacity, sequences, left
+            else:
                 size = sizes[at]
                 start, n = room[size].pop()
                 if not room[size]:
                     del room[size], sizes[at]
-                taken = min(n, left)
-                plan.append((length, rank, taken, start, capacity - size))
-                if taken < n:
-                    keep(size, start + taken, n - taken)
-                keep(size - length, start, taken)
-                rank, left = rank + taken, left - taken
-                continue
-            each = min(capacity // length, left)
-            n = left // each
+            # the tightest sequence stays the tightest while a piece of this length still fits
+            each = min(size // length, left)
+            taken = min(n, left // each)
             for slot in range(each):
-                plan.append((length, rank, n, sequences, slot * length))
-                rank += n
-            keep(capacity - each * length, sequences, n)
-            sequences, left = sequences + n, left - each * n
+                plan.append((length, rank, taken, start, capacity - size + slot * length))
+                rank += taken
+            if fresh:
+                sequences += taken
+            elif taken < n:
+                keep(size, start + taken, n - taken)
+            keep(size - each * length, start, taken)
+            left -= each * taken
     return plan
 
 
@@ -128,12 +129,13 @@ def pack(parts: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFr
 
     `order` names columns that make the ranking within a length total; rows equal in all of them are alike and take
     neighbouring ranks in any order. Only the histogram and the plan pass through the driver; both are bounded by
-    `capacity`. An empty input gives an empty result.
+    `capacity`. Columns that are called sequence_id or offset already are replaced. An empty input gives an empty result.
     """
     spark = parts.sparkSession
-    parts = materialize(parts, "pieces")
+    kept = [c for c in parts.columns if c not in ("sequence_id", "offset")]
+    parts = materialize(parts.select(kept), "pieces")
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = shared.frame(spark, dict.fromkeys(["length", "rank_from", "n", "sequence_from", "offset"], pa.int64()),
+    plan = shared.frame(spark, dict.fromkeys(["length", "_rank_from", "_n", "_sequence_from", "_offset"], pa.int64()),
                         best_fit(counts, capacity))
     buckets = -(-sum(counts.values()) // BUCKET_ROWS) or 1
     parts = parts.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
@@ -141,15 +143,14 @@ def pack(parts: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFr
     earlier = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = (sizes.withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
              .join(plan, "length")
-             .where("rank_from < _start + _rows and rank_from + n > _start")
-             .select("length", "_bucket", (F.col("rank_from") - F.col("_start")).alias("_low"), "n",
-                     "sequence_from", "offset"))
+             .where("_rank_from < _start + _rows and _rank_from + _n > _start")
+             .select("length", "_bucket", (F.col("_rank_from") - F.col("_start")).alias("_low"), "_n",
+                     "_sequence_from", "_offset"))
     place = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*order)) - 1
     slot = F.col("_place") - F.col("_low")
     return (parts.withColumn("_place", place.cast("long")).join(cells, ["length", "_bucket"])
-            .where((slot >= 0) & (slot < F.col("n")))
-            .withColumn("sequence_id", F.col("sequence_from") + slot)
-            .select(*[c for c in parts.columns if c != "_bucket"], "sequence_id", "offset"))
+            .where((slot >= 0) & (slot < F.col("_n")))
+            .select(*kept, (F.col("_sequence_from") + slot).alias("sequence_id"), F.col("_offset").alias("offset")))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -8,8 +8,8 @@ of the labelled rows calibrates the raw scores by isotonic regression over a his
 from __future__ import annotations
 
 import operator
+import sys
 from dataclasses import dataclass
-from sys import modules
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -20,7 +20,7 @@ from boardstat.frames import materialize
 
 from . import shared
 
-cloudpickle.register_pickle_by_value(modules[__name__])
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bound of the labelled rows that a model is fitted on; beyond it rows are taken by a hash of their id.
 TRAINING_ROWS = 200_000

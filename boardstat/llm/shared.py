@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 import types
 from collections.abc import Iterator
-from sys import modules
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from boardstat.frames import materialize
 
-cloudpickle.register_pickle_by_value(modules[__name__])
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -22,7 +22,7 @@ _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker; functions shipped by value have no module of their own."""
     name = "corpus_worker_cache"
-    return modules.setdefault(name, types.ModuleType(name)).__dict__
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
 def slices(data: bytes, size: int) -> Iterator[bytes]:

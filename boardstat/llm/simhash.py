@@ -8,8 +8,8 @@ which is verified on the whole fingerprints.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
-from sys import modules
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -20,7 +20,7 @@ from boardstat.frames import materialize
 
 from . import shared
 
-cloudpickle.register_pickle_by_value(modules[__name__])
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE = 4
 SEED = 42

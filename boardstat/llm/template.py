@@ -9,9 +9,9 @@ slot that holds the article is chosen from the template, and what each page has
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
-from sys import modules
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -22,7 +22,7 @@ from boardstat.frames import materialize
 
 from . import shared
 
-cloudpickle.register_pickle_by_value(modules[__name__])
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A class belongs to the template if its tokens are on this part of the host's pages, on two pages at least, and it has
 #: this many tokens.
