@@ -8,7 +8,7 @@ diagonal, and windows with at least 11 of 13 equal words are overlaps.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardstat.frames import materialize
@@ -19,6 +19,8 @@ WINDOW = 13
 SUBSTITUTIONS = 2
 #: Seeds of a benchmark that may be broadcast: 16 bytes each. Larger benchmarks are joined by shuffle.
 BROADCAST_SEEDS = 2_000_000
+#: Hits that may be broadcast to find their documents' texts again; more are joined by shuffle.
+BROADCAST_HITS = 200_000
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -40,7 +42,8 @@ def _hashed(rows: DataFrame, key: str) -> DataFrame:
             .select(key, F.posexplode(seeds("hashes")).alias(f"{key}_at", "seed")))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS,
+             broadcast_hits: int = BROADCAST_HITS) -> DataFrame:
     """One row per document and benchmark item that overlap: doc_id, item_id, item_words, doc_start, doc_end (word
     positions, the end excluded), best_match (most equal words in a window).
 
@@ -57,27 +60,30 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROAD
     hits = (_hashed(texts.select("doc_id", words(F.col("text")).alias("words")), "doc_id").join(tests, "seed")
             .select("doc_id", "item_id", (F.col("doc_id_at") - F.col("item_id_at")).alias("diagonal")).distinct())
     hits = materialize(hits, "hits")
-    near = hits.join(items.withColumnRenamed("words", "test"), "item_id").join(texts, "doc_id").select(
-        "doc_id", "item_id", "diagonal", "test", words(F.col("text")).alias("words"))
-    lead = F.when(F.col("words")[0] == "", 1).otherwise(0)
-    near = near.withColumn("diagonal", F.col("diagonal") - lead).withColumn(
-        "words", F.filter("words", lambda w: w != ""))
-    size = f"least({WINDOW}, size(test))"
-    near = near.withColumn("equal", F.expr(
-        "transform(test, (w, i) -> CAST(coalesce(get(words, i + diagonal) = w, false) AS int))"))
-    near = near.withColumn("at", F.expr(
-        f"filter(sequence(0, size(test) - {size}), i -> i + diagonal >= 0 AND i + diagonal + {size} <= size(words))"))
-    near = near.withColumn("match", F.expr(f"transform(at, i -> aggregate(slice(equal, i + 1, {size}), 0, (a, x) -> a + x))"))
-    least = f"{size} - IF(size(test) < {WINDOW}, 0, {SUBSTITUTIONS})"
-    near = near.withColumn("found", F.expr(f"filter(arrays_zip(at, match), x -> x.match >= {least})"))
-    return (near.where(F.size("found") > 0)
-            .select("doc_id", "item_id", F.size("test").alias("item_words"),
-                    (F.array_min("found.at") + F.col("diagonal")).alias("doc_start"),
-                    (F.array_max("found.at") + F.col("diagonal") + F.expr(size)).alias("doc_end"),
-                    F.array_max("found.match").alias("best_match"))
-            .groupBy("doc_id", "item_id")
-            .agg(F.max("item_words").alias("item_words"), F.min("doc_start").alias("doc_start"),
-                 F.max("doc_end").alias("doc_end"), F.max("best_match").alias("best_match")))
+    if hits.count() <= broadcast_hits:
+        hits = F.broadcast(hits)
+    raw = words(F.col("text"))
+    diagonal = F.col("diagonal") - F.when(raw[0] == "", 1).otherwise(0)
+    near = texts.join(hits, "doc_id").join(items.withColumnRenamed("words", "test"), "item_id").select(
+        "doc_id", "item_id", F.xxhash64("text").alias("version"), diagonal.alias("diagonal"), "test",
+        F.filter(raw, lambda w: w != "").alias("words"))
+    # only the part of a text that lies beside the item goes on
+    skipped, start = F.greatest(-F.col("diagonal"), F.lit(0)), F.greatest("diagonal", F.lit(0))
+    beside = F.slice("words", start + 1, F.size("test") - skipped)
+    pairs = near.select(
+        "doc_id", "item_id", "version", "diagonal", F.size("test").alias("n"), start.alias("start"),
+        F.posexplode(F.arrays_zip(F.slice("test", skipped + 1, F.size("test")).alias("t"), beside.alias("d"))))
+    pairs = pairs.where("col.t is not null and col.d is not null").select(
+        "doc_id", "item_id", "version", "diagonal", "n", (F.col("start") + F.col("pos")).alias("place"),
+        (F.col("col.t") == F.col("col.d")).cast("int").alias("equal")).distinct()
+    ahead = Window.partitionBy("doc_id", "item_id", "version", "diagonal").orderBy("place").rowsBetween(0, WINDOW - 1)
+    size = F.least(F.lit(WINDOW), F.col("n"))
+    windows = pairs.select("doc_id", "item_id", "n", "place", F.sum("equal").over(ahead).cast("int").alias("match"),
+                           F.count("*").over(ahead).alias("seen"))
+    least = size - F.when(F.col("n") < WINDOW, 0).otherwise(SUBSTITUTIONS)
+    return (windows.where((F.col("seen") == size) & (F.col("match") >= least)).groupBy("doc_id", "item_id")
+            .agg(F.max("n").alias("item_words"), F.min("place").alias("doc_start"),
+                 F.max(F.col("place") + size).alias("doc_end"), F.max("match").alias("best_match")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def planted():
         part = t[draw.randrange(3):] if i % 3 == 0 else t
         docs.append((i, f"..{prose(i, draw.randrange(20))} {' '.join(part).upper()}, {prose(500 + i, draw.randrange(20))}!"))
     docs += [(40, None), (41, ""), (42, "--"), (43, prose(77, 30_000)), (44, prose(78, 500) + " " + items[6][1]),
-             (None, items[0][1]), (3, docs[3][1])]
+             (None, items[0][1]), (3, docs[3][1]), (4, prose(4, 9) + items[0][1])]
     return docs, items
 
 
@@ -57,9 +57,9 @@ def test_overlaps_against_brute_force(spark):
         spark.createDataFrame(items, "item_id long, text string")
     expected = brute([x for x in docs if x[0] != 43], items)
     assert len(expected) > 20
-    for bound in (d.BROADCAST_SEEDS, 0):
+    for bounds in ((d.BROADCAST_SEEDS, d.BROADCAST_HITS), (0, 0)):
         got = {(r["doc_id"], r["item_id"]): (r["doc_start"], r["doc_end"], r["best_match"])
-               for r in d.overlaps(*frames, bound).collect()}
+               for r in d.overlaps(*frames, *bounds).collect()}
         assert {k: v for k, v in got.items() if k[0] != 43} == expected
     kept = d.decontaminate(*frames)
     assert kept.columns == ["doc_id", "text", "seed", "item_id"]
