@@ -11,8 +11,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 from collections.abc import Iterator
-from sys import modules
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-cloudpickle.register_pickle_by_value(modules[__name__])
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GROUP = 1 << 20
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 300_000
+STEMS = 500_000
 JOINED_WORDS = 4096
 LONG_TEXT = 1 << 16
 _FINAL = b".,;:!?#$%&*|)"
@@ -91,7 +92,7 @@ class Words:
 
     `known` has words as they stand. A new one is cut before its final ASCII punctuation, which pre-tokenizers of this
     kind keep apart from a letter or digit before it, and looked up in lower case among `stems`; what is not there yet
-    goes to the library. Each table starts anew when it is full.
+    goes to the library. Each table starts anew when it is full, at `KNOWN_WORDS` and `STEMS` words.
     """
 
     def __init__(self, path: str, kind: str):
@@ -105,52 +106,63 @@ class Words:
 
     def of(self, texts: list[bytes]) -> list[list]:
         words = [t.split() for t in texts]
-        new = set().union(*words).difference(self.known)
+        values = [list(map(self.known.get, w)) for w in words]
+        new = list({w for row, found in zip(words, values) for w, v in zip(row, found) if v is None})
         if new:
             if len(self.known) + len(new) > KNOWN_WORDS:
                 self.known.clear()
-                new = set().union(*words)
-            self._learn(list(new))
-        return [list(map(self.known.__getitem__, w)) for w in words]
+            self._learn(new)
+            known = self.known
+            values = [[known[w] if v is None else v for w, v in zip(row, found)] for row, found in zip(words, values)]
+        return values
 
     def _learn(self, new: list[bytes]) -> None:
-        cut = []
+        stems, known = self.stems, self.known
+        cut, missing = [], set()
         for word in new:
-            low = word if b"<|" in word else word.lower()
-            stem = low.rstrip(_FINAL)
-            cut.append((stem, low[len(stem):]) if stem and len(stem) < len(low) and stem[-1:].isalnum() else (low, b""))
-        stems = self.stems
-        missing = {part for pair in cut for part in pair if part and part not in stems}
-        if len(stems) + len(missing) > KNOWN_WORDS:
+            stem, tail = word if b"<|" in word else word.lower(), b""
+            if stem[-1] in _FINAL:
+                bare = stem.rstrip(_FINAL)
+                if bare[-1:].isalnum():
+                    stem, tail = bare, stem[len(bare):]
+                    if tail not in stems:
+                        missing.add(tail)
+            if stem not in stems:
+                missing.add(stem)
+            cut.append((stem, tail))
+        if len(stems) + len(missing) > STEMS:
             stems.clear()
             missing = {part for pair in cut for part in pair if part}
-        self._encode([m.decode() for m in missing])
+        self._encode(list(missing))
         for word, (stem, tail) in zip(new, cut):
-            self.known[word] = stems[stem] + stems[tail] if tail else stems[stem]
+            known[word] = stems[stem] + stems[tail] if tail else stems[stem]
 
-    def _encode(self, missing: list[str]) -> None:
+    def _encode(self, missing: list[bytes]) -> None:
         ends = _word_ends(self.path)
-        plain = [m for m in missing if m.isalpha() and max(m) < "\u0250"] if ends is not None else []
-        rest = set(missing).difference(plain)
+        plain, rest = [], []
+        for data, word in zip(missing, b" ".join(missing).decode().split(" ")):
+            latin = ends is not None and word.isalpha() and (word.isascii() or max(word) < "\u0250")
+            (plain if latin else rest).append((data, word))
         for start in range(0, len(plain), JOINED_WORDS):
             part = plain[start:start + JOINED_WORDS]
             if not self._encode_joined(part, ends):
-                rest.update(part)
-        rest = list(rest)
-        for word, ids in zip(rest, encode_whole(self.path, rest)):
-            self.stems[word.encode()] = self.value(ids)
+                rest += part
+        for (data, _), ids in zip(rest, encode_whole(self.path, [word for _, word in rest])):
+            self.stems[data] = self.value(ids)
 
-    def _encode_joined(self, part: list[str], ends) -> bool:
+    def _encode_joined(self, part: list[tuple[bytes, str]], ends) -> bool:
         """Words of Latin letters in one text: each is one pre-token, whose last id alone carries the end mark."""
         import numpy as np
 
-        ids = np.array(encode_whole(self.path, [" ".join(part)])[0], "<u4")
+        ids = np.array(encode_whole(self.path, [" ".join([word for _, word in part])])[0], "<u4")
         last = np.flatnonzero(ends[ids]) + 1
         if len(last) != len(part):
             return False
         bounds, data = [0, *last.tolist()], ids.tobytes()
-        for word, a, b in zip(part, bounds, bounds[1:]):
-            self.stems[word.encode()] = b - a if self.kind == "count" else data[4 * a:4 * b]
+        if self.kind == "count":
+            self.stems.update((key, b - a) for (key, _), a, b in zip(part, bounds, bounds[1:]))
+        else:
+            self.stems.update((key, data[4 * a:4 * b]) for (key, _), a, b in zip(part, bounds, bounds[1:]))
         return True
 
 
@@ -220,7 +232,7 @@ def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
 
     def count(batches):
         words = Words(path, "count")
-        for batch in batches:
+        for batch in shared.parts(batches):
             texts = shared.as_bytes(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(t) for t in texts], pa.int64()),
