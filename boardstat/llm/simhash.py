@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     def hashes(batches):
         import numpy as np
 
-        for batch in batches:
+        for batch in shared.parts(batches):
             found = np.array([_fingerprint(t) for t in shared.as_bytes(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], [id_column, "fp"])
 
@@ -246,7 +246,8 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     found = near_duplicates(docs.where(F.col(id_column).isNotNull()), id_column, text_column)
     kept = materialize(found.where(F.col(id_column) == F.col("component_id")).groupBy(id_column)
                        .agg(F.count("*").alias("_rows")), "kept")
-    once = docs.join(kept.where("_rows = 1").select(id_column), id_column, "left_semi")
+    # texts are shuffled at every size: what stays is a constant part of the input and never surely small
+    once = docs.join(kept.where("_rows = 1").select(id_column).hint("merge"), id_column, "left_semi")
     again = (docs.join(kept.where("_rows > 1").select(id_column), id_column, "left_semi")
              .groupBy(id_column).agg(F.min(F.struct(*[c for c in docs.columns if c != id_column])).alias("_row"))
              .select(id_column, "_row.*"))
