@@ -86,7 +86,7 @@ def document_statistics(docs: DataFrame, id_column: str = "doc_id", text_column:
     kind = dict(docs.dtypes)[id_column]
 
     def measure(batches):
-        for batch in batches:
+        for batch in shared.parts(batches):
             rows = [statistics(t) for t in shared.as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))],
                                              [id_column, "stats"])
@@ -161,7 +161,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_co
     if n > max_rows:
         known = known.where(F.pmod(F.xxhash64(id_column), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
     part = F.pmod(F.xxhash64(F.lit(SEED), id_column), F.lit(5))
-    teach = known.where(part != 0).select("stats", "y")
+    teach = known.where(part != 0).select("stats", "y", F.xxhash64(id_column).alias("at"))
     if not teach.take(1):
         return Model()
     moments = teach.select("y", F.posexplode("stats")).groupBy("pos").agg(
@@ -174,7 +174,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_co
 
     def sums(batches):
         total = np.zeros((FEATURES + 1, FEATURES + 2))
-        for batch in batches:
+        for batch in shared.parts(batches):
             if len(batch):
                 z = model.features(_matrix(batch.column(0)))
                 total += z.T @ np.column_stack([z, batch.column(1).to_numpy()])
@@ -185,8 +185,8 @@ def fit(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_co
         total = _matrix(table.column("sums").combine_chunks()).sum(axis=0)
         return pa.table({"line": table.column("line")[:1], "sums": pa.array([total])})
 
-    spread = teach.repartition(max(1, min(32, n // 4096)), "stats")
-    lines = (spread.mapInArrow(sums, "line int, sums array<double>").groupBy("line")
+    spread = teach.repartition(max(1, min(32, n // 4096)), "at")
+    lines = (spread.select("stats", "y").mapInArrow(sums, "line int, sums array<double>").groupBy("line")
              .applyInArrow(add, "line int, sums array<double>").collect())
     equations = np.array([r["sums"] for r in sorted(lines, key=lambda r: r["line"])])
     gram = equations[:, :-1]
@@ -195,7 +195,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_co
     model.weights = np.linalg.solve(gram + penalty, equations[:, -1])
 
     def raw(batches):
-        for batch in batches:
+        for batch in shared.parts(batches):
             values = model.features(_matrix(batch.column(0))) @ model.weights if len(batch) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([pa.array(values), batch.column(1)], ["raw", "y"])
 
@@ -211,7 +211,7 @@ def scored(stats: DataFrame, model: Model, id_column: str = "doc_id", threshold:
     kind = dict(stats.dtypes)[id_column]
 
     def score(batches):
-        for batch in batches:
+        for batch in shared.parts(batches):
             values = model.score(_matrix(batch.column(1))) if len(batch) else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], [id_column, "score"])
 
@@ -235,7 +235,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def keep(batches):
         at = columns.index("text")
-        for batch in batches:
+        for batch in shared.parts(batches):
             if len(batch):
                 import numpy as np
 

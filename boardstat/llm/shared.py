@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 import types
@@ -25,6 +26,20 @@ def worker_cache() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in smaller pieces, so a step holds the texts and results of few rows at a time.
+
+    The cyclic garbage collector rests meanwhile: the steps make millions of small objects and no cycles.
+    """
+    gc.disable()
+    try:
+        for batch in batches:
+            for start in range(0, len(batch), rows):
+                yield batch.slice(start, rows)
+    finally:
+        gc.enable()
+
+
 def slices(data: bytes, size: int) -> Iterator[bytes]:
     """Consecutive parts of about `size` bytes, cut only at ASCII white space, so no word is torn."""
     start = 0
