@@ -13,10 +13,13 @@ def js_round(x: Column, digits: int = 0) -> Column:
 
 
 def mean_rate(rate: Column, digits: int = 2) -> Column:
-    """Rounded mean of percentages. Sums ten-thousandths as integers, so the result has no summation order."""
-    units = F.sum(F.round(rate * 10000).cast("long"))
-    mean = units / (F.count(rate) * F.lit(10000 / 10 ** digits))
-    return F.floor(mean + F.lit(0.5)) / float(10 ** digits)
+    """Rounded mean of percentages, see `rate_sum`."""
+    return js_round(rate_sum(rate).cast("double") / F.count(rate), digits)
+
+
+def rate_sum(rate: Column) -> Column:
+    """Sum of percentages as exact decimals of 15 places, so the result has no summation order."""
+    return F.sum(rate.try_cast("decimal(30, 15)"))
 
 
 def pass_rate(passers: Column, takers: Column) -> Column:

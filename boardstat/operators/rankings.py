@@ -6,10 +6,10 @@ third of all results costs no more than any other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import literal_frame, top_per_key
+from ..frames import literal_frame, number_rows, top_per_key
 from ..functions import cycles as cy
 from ..functions import names, numbers
 from ..schemas import Tables
@@ -17,25 +17,34 @@ from .national import filter_cycles
 from .schools import _school_region, cycle_dimension, consistency_scores
 
 
-def _ranked_rows(tables: Tables, cycles: DataFrame, min_takers: int | None, limit: int) -> DataFrame:
-    """The first `limit` school rows of each exam by published rank."""
+def _school_rows(tables: Tables, cycles: DataFrame, min_takers: int | None = None) -> DataFrame:
     rows = tables.school_performance.select("id", "exam_result_id", "school_id", "takers", "passers", "pass_rate", "rank")
     if min_takers:
         rows = rows.where(F.col("takers") >= min_takers)
-    joined = rows.join(cycles, "exam_result_id")
-    best = top_per_key(joined, ["exam_code"], [F.asc_nulls_last("rank"), F.asc("id")], limit, spread="id")
+    return rows.join(cycles, "exam_result_id")
+
+
+def _ranked_rows(tables: Tables, cycles: DataFrame, min_takers: int | None, limit: int | None) -> DataFrame:
+    """The first `limit` school rows of each exam by published rank, all of them without a limit."""
+    rows, order = _school_rows(tables, cycles, min_takers), [F.asc_nulls_last("rank"), F.asc("id")]
+    best = (number_rows(rows, ["exam_code"], order, "position").withColumn("position", F.col("position").cast("int"))
+            if limit is None else top_per_key(rows, ["exam_code"], order, limit, spread="id"))
     return best.join(_school_region(tables), "school_id")
 
 
-def top_schools(tables: Tables, exam_code: str | None = None, year: int | None = None, month: str | None = None,
-                limit: int = 20) -> DataFrame:
-    """Best-ranked schools of a year (the newest with any cycle), over all cycles of that year together."""
+def _year_cycles(tables: Tables, exam_code: str | None, year: int | None, month: str | None = None) -> DataFrame:
+    """Cycles of a year, or of the newest year of each exam."""
     cycles = cycle_dimension(tables, exam_code, year)
     if not year:
         newest = cycles.groupBy("exam_code").agg(F.max("year").alias("year"))
         cycles = cycles.join(newest, ["exam_code", "year"])
-    cycles = filter_cycles(cycles, month=month)
-    return (_ranked_rows(tables, cycles, None, limit)
+    return filter_cycles(cycles, month=month)
+
+
+def top_schools(tables: Tables, exam_code: str | None = None, year: int | None = None, month: str | None = None,
+                limit: int | None = 20) -> DataFrame:
+    """Best-ranked schools of a year (the newest with any cycle), over all cycles of that year together."""
+    return (_ranked_rows(tables, _year_cycles(tables, exam_code, year, month), None, limit)
             .withColumn("gap", numbers.gap(F.col("pass_rate"), F.col("national_rate")))
             .select("exam_code", "position", "rank", "school", "school_id", "slug", "region", "takers", "passers",
                     "pass_rate", "year", "month", "national_rate", "gap"))
@@ -43,7 +52,7 @@ def top_schools(tables: Tables, exam_code: str | None = None, year: int | None =
 
 def rankings(tables: Tables, exam_code: str | None = None, year: int | None = None, month: str | None = None,
              region: str | None = None, school: str | None = None, min_takers: int | None = None,
-             limit: int = 1000) -> DataFrame:
+             limit: int | None = 1000) -> DataFrame:
     """Published ranking rows of each exam. The limit comes before the school and region filters."""
     rows = _ranked_rows(tables, cycle_dimension(tables, exam_code, year, month), min_takers, limit)
     if school:
@@ -54,15 +63,11 @@ def rankings(tables: Tables, exam_code: str | None = None, year: int | None = No
                        "pass_rate", "year", "month", "national_rate")
 
 
-def years_seen() -> Column:
-    """Distinct years as a bit set of one long: exact for results that span less than 64 years, and hash-aggregated."""
-    return F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("year") % 64)))
-
-
 def aggregate_rankings(tables: Tables, exam_code: str | None = None, region: str | None = None,
                        school: str | None = None, min_takers: int | None = None, min_years: int = 1,
                        limit: int = 1000) -> DataFrame:
-    """Schools of each exam over all its cycles, by passers over takers."""
+    """Schools of each exam over all its cycles, by passers over takers. Results are summed per year first, which leaves
+    one row for each year a school took part in."""
     cycles = cycle_dimension(tables, exam_code).select("exam_result_id", "exam_code", "year")
     schools = _school_region(tables)
     if region:
@@ -71,11 +76,14 @@ def aggregate_rankings(tables: Tables, exam_code: str | None = None, region: str
         schools = schools.where(names.matches_search(F.col("school"), F.lit(school)))
     rows = tables.school_performance.select("exam_result_id", "school_id", "takers", "passers", "pass_rate")
     rate = F.col("pass_rate")
-    sums = (rows.join(cycles, "exam_result_id").groupBy("exam_code", "school_id")
-            .agg(F.count(rate).alias("rates"), F.max(rate).alias("best"), F.min(rate).alias("worst"),
-                 F.coalesce(F.sum("takers"), F.lit(0)).alias("total_takers"),
-                 F.coalesce(F.sum("passers"), F.lit(0)).alias("total_passers"),
-                 years_seen().alias("years_participated")))
+    yearly = (rows.join(cycles, "exam_result_id").groupBy("exam_code", "school_id", "year")
+              .agg(F.count(rate).alias("rates"), F.max(rate).alias("best"), F.min(rate).alias("worst"),
+                   F.sum("takers").alias("takers"), F.sum("passers").alias("passers")))
+    sums = yearly.groupBy("exam_code", "school_id").agg(
+        F.sum("rates").alias("rates"), F.max("best").alias("best"), F.min("worst").alias("worst"),
+        F.coalesce(F.sum("takers"), F.lit(0)).alias("total_takers"),
+        F.coalesce(F.sum("passers"), F.lit(0)).alias("total_passers"),
+        F.count("year").cast("int").alias("years_participated"))
     sums = sums.where((F.col("rates") > 0) & (F.col("years_participated") >= min_years))
     if min_takers:
         sums = sums.where(F.col("total_takers") >= min_takers)
@@ -99,11 +107,11 @@ def program_leaderboard(tables: Tables, limit: int = 15, min_takers: int = 10) -
     whole = aggregate_rankings(tables, min_takers=min_takers).where(F.col("rank") <= limit).select(
         "exam_code", "rank", "school", "school_id", "region", "pass_rate", "total_takers", "total_passers",
         F.col("years_participated").alias("cycles"), F.lit(None).cast("string").alias("cycle_label"))
-    latest = top_schools(tables, limit=1000).where(F.coalesce("takers", F.lit(0)) >= min_takers)
-    latest = latest.join(whole.select("exam_code"), "exam_code", "left_anti").drop("rank", "position")
+    latest = _school_rows(tables, _year_cycles(tables, None, None)).where(F.coalesce("takers", F.lit(0)) >= min_takers)
+    latest = latest.join(whole.select("exam_code"), "exam_code", "left_anti").drop("rank")
     latest = top_per_key(latest, ["exam_code"], [F.desc(F.coalesce("pass_rate", F.lit(0.0))),
                                                  F.desc(F.coalesce("takers", F.lit(0))), F.asc("school_id")],
-                         limit, "rank")
+                         limit, "rank", spread="id").join(_school_region(tables), "school_id")
     fallback = latest.select(
         "exam_code", "rank", "school", "school_id", "region", "pass_rate", F.col("takers").alias("total_takers"),
         F.coalesce("passers", F.lit(0)).alias("total_passers"), F.lit(1).alias("cycles"),
@@ -119,7 +127,8 @@ def leaderboard_flat(board: DataFrame, limit: int = 25) -> DataFrame:
 def rate_distribution(tables: Tables, exam_code: str | None = None, year: int | None = None) -> DataFrame:
     """Schools per pass-rate band of each exam's newest (or given) year; empty bands are listed with zero."""
     spark = tables.programs.sparkSession
-    rows = top_schools(tables, exam_code, year, limit=1000)
+    rows = _school_rows(tables, _year_cycles(tables, exam_code, year)).join(
+        tables.schools.select(F.col("id").alias("school_id")), "school_id", "left_semi")
     bands = literal_frame(spark, {"band_no": "int", "band": "string"}, list(enumerate(numbers.RATE_BANDS, 1)))
     exams = filter_cycles(tables.programs.select("exam_code"), exam_code)
     grid = exams.withColumn("band", F.explode(F.array(*[F.lit(b) for b in numbers.RATE_BANDS])))
@@ -142,8 +151,8 @@ def topnotcher_list(tables: Tables, exam_code: str | None = None, year: int | No
             .drop("exam_result_id"))
 
 
-def ranking_with_consistency(tables: Tables, limit: int = 1000) -> DataFrame:
-    """Ranking rows with the gap to the national rate and the school's consistency label for that program."""
+def ranking_with_consistency(tables: Tables, limit: int | None = None) -> DataFrame:
+    """All ranking rows (or the first ones of each exam) with the gap to the national rate and the school's consistency label for that program."""
     labels = (consistency_scores(tables).join(tables.programs.select(F.col("id").alias("program_id"), "exam_code"),
                                               "program_id")
               .select("school_id", "exam_code", F.col("label").alias("consistency_label")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..functions import cycles as cy
 from ..functions import names, numbers
 from ..schemas import Tables
 from .national import filter_cycles, with_order, with_program
+from .writes import upsert_keeping_ids
 
 
 def _school_region(tables: Tables) -> DataFrame:
@@ -31,10 +33,12 @@ def cycle_dimension(tables: Tables, exam_code: str | None = None, year: int | No
 
 
 def with_cycle_no(cycles: DataFrame) -> DataFrame:
-    """Cycles numbered in time over all programs. The calendar bounds their number, so one window may see them all; a
-    plain number keeps the aggregations of school rows by latest or first cycle hash-based."""
-    order = Window.orderBy("year", "month_no", "phase", "exam_result_id")
-    return cycles.withColumn("cycle_no", F.row_number().over(order))
+    """Cycles with their place in time over all programs as one number, computed row by row: year, month, phase and id
+    as the digits of a decimal. A plain number keeps the aggregations of school rows by latest or first cycle
+    hash-based."""
+    place = ((F.col("year") * 100 + F.col("month_no")) * 10 + F.col("phase")).cast("decimal(18, 0)")
+    number = place * F.lit("10000000000000000000").cast("decimal(20, 0)") + F.col("exam_result_id")
+    return cycles.withColumn("cycle_no", number.cast("decimal(38, 0)"))
 
 
 def school_list(tables: Tables, search: str | None = None, region: str | None = None, page: int = 1,
@@ -106,6 +110,16 @@ def consistency_scores(tables: Tables) -> DataFrame:
     return (rows.where("years >= 2").withColumn("label", numbers.consistency_label(F.col("score"))))
 
 
+def store_consistency(tables: Tables, computed_at: str) -> Tables:
+    """The next snapshot of the stored scores: those computed now replace the rows of their school and program."""
+    now = consistency_scores(tables).select(
+        F.lit(None).cast("long").alias("id"), "school_id", "program_id", "avg_rate", "volatility", "score", "label", "years",
+        F.lit(computed_at).cast("timestamp").alias("computed_at"),
+        (F.col("school_id") * 1_000_000 + F.col("program_id")).alias("arrival"))
+    return replace(tables, consistency_scores=upsert_keeping_ids(
+        tables.consistency_scores, now, ["school_id", "program_id"]))
+
+
 def school_rank_history(history: DataFrame) -> DataFrame:
     """Best, lowest and latest rank, cycles ranked, and the latest pass rate of each school."""
     return history.groupBy("school_id").agg(
@@ -134,6 +148,14 @@ def school_trend(tables: Tables, exam_code: str | None = None) -> DataFrame:
                        numbers.trend_label(F.col("n"), F.col("first_rate"), F.col("last_rate")).alias("trend"))
 
 
+def school_trend_series(tables: Tables, exam_code: str | None = None) -> DataFrame:
+    """The results behind `school_trend`, each beside the class of its school."""
+    classes = school_trend(tables, exam_code).select("school_id", "trend")
+    rows = school_history(tables, exam_code).select(
+        "school_id", "year", "month", "exam_code", F.col("pass_rate").alias("school_rate"), "national_rate", "rank")
+    return rows.join(classes, "school_id")
+
+
 def compare_schools(tables: Tables, ids: Iterable[int] | DataFrame, exam_code: str | None = None) -> DataFrame:
     """Histories of chosen schools (of one exam if given) beside their summaries over all exams."""
     if not isinstance(ids, DataFrame):
@@ -157,14 +179,13 @@ def regional_analytics(tables: Tables, exam_code: str | None = None, year: int |
     if exam_code:
         rows = rows.join(cycle_dimension(tables, exam_code, year).select("exam_result_id"), "exam_result_id",
                          "left_semi")
-    units = F.round(F.col("pass_rate") * 10000).cast("long")
     per_school = rows.groupBy("school_id").agg(
-        F.sum(units).alias("units"), F.count("pass_rate").alias("n"),
+        numbers.rate_sum(F.col("pass_rate")).alias("rates"), F.count("pass_rate").alias("n"),
         F.sum("passers").alias("passers"), F.sum("takers").alias("takers"))
     located = (tables.schools.select(F.col("id").alias("school_id"), "region_id")
                .join(tables.regions.select(F.col("id").alias("region_id"), F.col("name").alias("region")),
                      "region_id").select("school_id", "region"))
-    mean = F.floor(F.sum("units") / (F.sum("n") * F.lit(100.0)) + F.lit(0.5)) / 100.0
+    mean = numbers.js_round(F.sum("rates").cast("double") / F.sum("n"), 2)
     return (per_school.join(located, "school_id").groupBy("region")
             .agg(F.count("*").alias("schools"), F.when(F.sum("n") > 0, mean).alias("avg_pass_rate"),
                  F.coalesce(F.sum("passers"), F.lit(0)).alias("total_passers"),

@@ -1,8 +1,8 @@
 """Substring search at scale: school directory search for many queries, top examinees of a school.
 
-Containment is no equality, but whoever contains a text contains every piece of it. Each pattern is looked up by one of
-its own character pieces, the rarest one, so the join is an equi join on pieces followed by the exact test. No side is
-broadcast by force and no pair is formed that does not share the piece.
+Containment is no equality, but whoever contains a text contains every piece of it. Each set of words is looked up by one
+of its character pieces, the rarest one among the texts, so the join is an equi join on pieces followed by the exact
+test. Equal searches are answered once. No side is broadcast by force and no pair is formed that does not share the piece.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..frames import first_per_key, literal_array, top_per_key
 from ..functions import names
+from ..registry import MONTHS
 from ..schemas import Tables
-from .national import with_program
+from .national import with_order, with_program
 
 PIECE = 8
 
@@ -27,25 +28,28 @@ def pieces(text: Column, size: int | Column) -> Column:
         F.array().cast("array<string>"))
 
 
-def containing_pairs(patterns: DataFrame, texts: DataFrame, size: int = PIECE) -> DataFrame:
-    """All (pattern, text) with the pattern inside the text. Both frames hold distinct lower-cased strings.
+def containing_all(sets: DataFrame, texts: DataFrame, size: int = PIECE) -> DataFrame:
+    """All (tokens, text) whose text holds every token of a set. Both frames hold distinct lower-cased values.
 
-    Patterns shorter than `size` are looked up whole, by pieces of their own length.
+    A set is looked up by the one piece, of any of its tokens, that the fewest texts have; tokens shorter than `size`
+    are pieces themselves. Pieces no set asks for are dropped where they are cut.
     """
-    sized = patterns.select("pattern", F.least(F.length("pattern"), F.lit(size)).alias("size")).where("size > 0")
-    parts = sized.select("pattern", "size", F.explode(pieces(F.col("pattern"), F.col("size"))).alias("piece"))
-    # How many patterns share a piece: the rarest piece of a pattern brings the fewest candidate texts.
-    shared = parts.groupBy("piece").agg(F.count("*").alias("shared"))
-    keyed = first_per_key(parts.join(shared, "piece"), ["pattern"], [F.asc("shared"), F.asc("piece")])
-    keys = keyed.select("pattern", "piece")
-    # At most `size` numbers; texts are cut into pieces of these lengths only.
-    lengths = literal_array(sorted(r["size"] for r in sized.select("size").distinct().collect()) or [size])
-    wanted = keys.select("piece").distinct()
+    parts = sets.select("tokens", F.explode("tokens").alias("token")).where("token <> ''").select(
+        "tokens", F.explode(pieces(F.col("token"), F.least(F.length("token"), F.lit(size)))).alias("piece"))
+    wanted = parts.select("piece").distinct()
+    lengths = literal_array(range(1, size + 1))
     cut = texts.select("text", F.explode(F.array_distinct(F.flatten(F.transform(
-        lengths, lambda n: pieces(F.col("text"), n))))).alias("piece"))
-    # Only pieces that some pattern is keyed by travel on to the pair join.
-    return (cut.join(wanted, "piece", "left_semi").join(keys, "piece")
-            .where(F.contains(F.col("text"), F.col("pattern"))).select("pattern", "text"))
+        lengths, lambda n: pieces(F.col("text"), n))))).alias("piece")).join(wanted, "piece", "left_semi")
+    held = cut.groupBy("piece").agg(F.count("*").alias("texts"))
+    keys = first_per_key(parts.join(held, "piece"), ["tokens"], [F.asc("texts"), F.asc("piece")]).select("tokens", "piece")
+    return (cut.join(keys, "piece").where(F.forall("tokens", lambda t: F.contains(F.col("text"), t)))
+            .select("tokens", "text"))
+
+
+def containing_pairs(patterns: DataFrame, texts: DataFrame, size: int = PIECE) -> DataFrame:
+    """All (pattern, text) with the pattern inside the text. Both frames hold distinct lower-cased strings."""
+    sets = patterns.select(F.array("pattern").alias("tokens"))
+    return containing_all(sets, texts, size).select(F.get("tokens", F.lit(0)).alias("pattern"), "text")
 
 
 def school_topnotchers(tables: Tables) -> DataFrame:
@@ -59,21 +63,43 @@ def school_topnotchers(tables: Tables) -> DataFrame:
     return found.join(cycles, "exam_result_id").drop("exam_result_id")
 
 
-def _by_longest_token(queries: DataFrame) -> DataFrame:
-    longest = F.array_max(F.transform("tokens", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    return queries.withColumn("pattern", longest)
+def match_schools(schools: DataFrame, sets: DataFrame) -> DataFrame:
+    """(tokens, school_id, name) where the school name holds every token; `sets` has distinct token arrays, not empty."""
+    named = schools.select(F.col("id").alias("school_id"), "name", F.lower("name").alias("text"))
+    return containing_all(sets, named.select("text").distinct()).join(named, "text").select("tokens", "school_id", "name")
 
 
-def match_schools(schools: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, school_id, name) where the school name holds every token of the query.
+def search_counts(schools: DataFrame, queries: DataFrame) -> DataFrame:
+    """Schools found by each query (query_id, tokens); every distinct set of tokens is counted once."""
+    counts = match_schools(schools, queries.select("tokens").distinct()).groupBy("tokens").agg(
+        F.count("*").alias("schools"))
+    return queries.join(counts, "tokens").select("query_id", "schools")
 
-    `queries` has query_id and tokens, never empty; the longest token is the one looked up by its pieces.
-    """
-    keyed = _by_longest_token(queries)
-    names_ = schools.select(F.col("id").alias("school_id"), "name", F.lower("name").alias("text"))
-    pairs = containing_pairs(keyed.select("pattern").distinct(), names_.select("text").distinct(), 4)
-    return (pairs.join(keyed, "pattern").where(F.forall("tokens", lambda t: F.contains(F.col("text"), t)))
-            .join(names_, "text").select("query_id", "school_id", "name"))
+
+def search_cycles(tables: Tables, queries: DataFrame) -> DataFrame:
+    """Cycles asked for by year and month words in a search text (query_id, query); the other words must all be in the
+    program's code, name or slug. Texts without a year or month ask for no cycle."""
+    lists = F.split(F.lower(F.trim("query")), r"\s+")
+    months = literal_array([m.lower() for m in MONTHS])
+
+    def month(word: Column) -> Column:
+        return F.array_position(F.transform(months, lambda m: (m == word) | (F.substring(m, 1, 3) == word)), F.lit(True))
+
+    is_year = lambda w: w.rlike(r"^(19|20)\d{2}$")
+    asked = queries.select("query_id", lists.alias("words")).select(
+        "query_id", F.coalesce(F.get(F.filter("words", is_year), F.lit(0)).cast("int"), F.lit(0)).alias("asked_year"),
+        F.coalesce(F.array_max(F.transform("words", month)), F.lit(0)).cast("int").alias("asked_month"),
+        F.filter("words", lambda w: ~is_year(w) & (month(w) == 0)).alias("rest"))
+    cycles = with_order(with_program(tables)).select(
+        F.col("id").alias("exam_result_id"), "exam_code", "year", "month", F.lower(F.concat_ws(
+            " ", "exam_code", "exam_fullname", "slug")).alias("text"),
+        F.explode(F.array(F.struct(F.col("year").alias("asked_year"), F.col("month_no").alias("asked_month")),
+                          F.struct(F.col("year").alias("asked_year"), F.lit(0).alias("asked_month")),
+                          F.struct(F.lit(0).alias("asked_year"), F.col("month_no").alias("asked_month")))).alias("key"))
+    rows = cycles.select("*", "key.*").drop("key").join(asked.where("asked_year > 0 or asked_month > 0"),
+                                                        ["asked_year", "asked_month"])
+    return rows.where(F.forall("rest", lambda w: F.contains(F.col("text"), w))).select(
+        "query_id", "exam_result_id", "exam_code", "year", "month")
 
 
 def global_search(tables: Tables, queries: DataFrame, school_limit: int = 25, person_limit: int = 5) -> DataFrame:
@@ -84,8 +110,10 @@ def global_search(tables: Tables, queries: DataFrame, school_limit: int = 25, pe
     # A text without tokens but of two letters or more is looked up whole; anything shorter restricts nothing.
     asked = text.select("query_id", F.when(F.size(tokens) > 0, tokens).when(
         F.length(trimmed) >= 2, F.array(F.lower(trimmed))).otherwise(F.array().cast("array<string>")).alias("tokens"))
-    found = top_per_key(match_schools(tables.schools, asked.where(F.size("tokens") > 0)), ["query_id"],
-                        [F.asc("name"), F.asc("school_id")], school_limit)
+    # Equal token sets are matched once, and keep their first schools before the queries are attached.
+    sets = asked.where(F.size("tokens") > 0)
+    found = top_per_key(match_schools(tables.schools, sets.select("tokens").distinct()), ["tokens"],
+                        [F.asc("name"), F.asc("school_id")], school_limit).join(sets, "tokens").drop("tokens")
     first = _numbered_page(tables.schools.select("id", "name"), school_limit).withColumnRenamed("id", "school_id")
     open_queries = asked.where(F.size("tokens") == 0).select("query_id")
     open_found = (open_queries.withColumn("_one", F.lit(1))
@@ -97,11 +125,11 @@ def global_search(tables: Tables, queries: DataFrame, school_limit: int = 25, pe
     people = tables.topnotchers.select("id", "name", F.lower("name").alias("text"))
     wanted = text.select("query_id", F.lower("query").alias("pattern"))
     pairs = containing_pairs(wanted.where("pattern <> ''").select("pattern").distinct(),
-                             people.select("text").distinct(), 4)
+                             people.select("text").distinct())
     person_order = [F.asc("name"), F.asc("id")]
     # A name met by many rows: keep the best few rows per name before pairing names with queries.
     few = top_per_key(people, ["text"], person_order, person_limit).drop("position")
-    hits = top_per_key(pairs.join(few, "text").join(wanted, "pattern"), ["query_id"], person_order, person_limit)
+    hits = top_per_key(pairs.join(few, "text"), ["pattern"], person_order, person_limit).join(wanted, "pattern")
     any_person = _numbered_page(people.select("id", "name"), person_limit).withColumn("_one", F.lit(1))
     blanks = (wanted.where("pattern = ''").select("query_id").withColumn("_one", F.lit(1))
               .join(any_person, "_one").drop("_one"))
@@ -123,7 +151,7 @@ def _program_hits(text: DataFrame, programs: DataFrame) -> DataFrame:
     asked = text.where(F.trim("query") != "").select("query_id", F.lower("query").alias("pattern"))
     fields = programs.select("id", "exam_code", "name", F.explode(F.array(
         F.lower("name"), F.lower("exam_code"), F.col("slug"))).alias("text"))
-    pairs = containing_pairs(asked.select("pattern").distinct(), fields.select("text").distinct(), 4)
+    pairs = containing_pairs(asked.select("pattern").distinct(), fields.select("text").distinct())
     hits = pairs.join(fields, "text").select("pattern", "id", "exam_code", "name").distinct().join(asked, "pattern")
     position = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))  # at most the catalog per query
     return hits.select("query_id", F.lit("exam").alias("entity"), position.alias("position"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,33 @@ def _school_search_count(spark, sf: str) -> DataFrame:
     tokens = names.search_tokens(F.col("query"))
     asked = texts.select("query_id", F.when(F.size(tokens) > 0, tokens).otherwise(
         F.array(F.lower(F.trim("query")))).alias("tokens"))
-    found = search.match_schools(b.schools(spark, sf).schools, asked)
-    return found.groupBy("query_id").agg(F.count("*").alias("schools"))
+    return search.search_counts(b.schools(spark, sf).schools, asked)
+
+
+def _cycle_texts(spark, sf: str) -> DataFrame:
+    """Search texts with year and month words, one per registered cycle."""
+    rows = national.with_order(national.with_program(b.registered(spark, sf)))
+    mark, year = F.expr("id div 10") % 3, F.col("year").cast("string")
+    month = F.element_at(F.split("month", " "), 1)
+    text = (F.when(mark == 0, F.concat(F.lower("exam_code"), F.lit(" "), year))
+            .when(mark == 1, F.concat(F.substring(month, 1, 3), F.lit("  "), year))
+            .otherwise(F.concat(month, F.lit(" "), "exam_code")))
+    return rows.select(F.col("id").alias("query_id"), text.alias("query"))
+
+
+def _consistency_table(spark, sf: str) -> DataFrame:
+    """Stored scores, some of schools that are gone, after new ones were computed."""
+    t = b.schools(spark, sf)
+    now = schools.consistency_scores(t)
+    old = now.where("school_id % 4 = 0").select(
+        F.explode(F.array("school_id", -F.col("school_id"))).alias("school_id"), "program_id")
+    stored = old.select(
+        (F.col("school_id") * 100 + F.col("program_id")).alias("id"), "school_id", "program_id", F.lit(1.0).alias("avg_rate"),
+        F.lit(0.0).alias("volatility"), F.lit(0.0).alias("score"), F.lit("old").alias("label"), F.lit(9).alias("years"),
+        F.lit("2020-01-01").cast("timestamp").alias("computed_at"))
+    done = schools.store_consistency(replace(t, consistency_scores=stored), "2026-01-02").consistency_scores
+    return done.select("school_id", "program_id", "avg_rate", "label", "years",
+                       F.date_format("computed_at", "yyyy-MM-dd").alias("computed_on"))
 
 
 def _program_search(spark, sf: str) -> DataFrame:
@@ -58,6 +85,13 @@ QUERIES = {
     "school_vs_national": lambda spark, sf: schools.school_vs_national_series(
         schools.school_history(b.schools(spark, sf))),
     "school_trend": lambda spark, sf: schools.school_trend(b.schools(spark, sf)),
+    "school_trend_series": lambda spark, sf: schools.school_trend_series(b.schools(spark, sf)),
+    "consistency_table": _consistency_table,
+    "school_filter_province": lambda spark, sf: schools.school_filter(b.schools(spark, sf), province="Nation_3"),
+    "sorted_cycles": lambda spark, sf: logs.apply_sort(
+        b.registered(spark, sf).exam_results.where("total_takers is not null"), "total_takers.desc",
+        ["year", "total_takers"], F.asc("id")).select("exam_code", "year", "month", "total_takers", "id"),
+    "search_cycles": lambda spark, sf: search.search_cycles(b.registered(spark, sf), _cycle_texts(spark, sf)),
     "school_topnotchers": lambda spark, sf: search.school_topnotchers(b.schools(spark, sf)),
     "compare_schools": lambda spark, sf: schools.compare_schools(
         b.schools(spark, sf), b.schools(spark, sf).schools.select(F.col("id").alias("school_id")), "building"),

@@ -16,7 +16,8 @@ def r(x: str, digits: int) -> str:
 
 
 def mean(rate: str) -> str:
-    return (f"(floor(sum(cast(round(({rate}) * 10000) as bigint))::double / (count({rate}) * 100.0::double) + 0.5)"
+    """Mean of rates of two decimals, which all rates of the bindings have: summed as whole hundredths."""
+    return (f"(floor(sum(cast(round(({rate}) * 100) as bigint)) / 100.0::double / count({rate}) * 100.0::double + 0.5)"
             f" / 100.0::double)")
 
 

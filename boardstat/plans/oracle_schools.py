@@ -108,6 +108,29 @@ SQL: dict[str, str] = {
       (array_agg(pass_rate order by ord desc, exam_result_id desc, id desc) filter (where pass_rate is not null))[1]
       as last_rate from history group by school_id)
       select school_id, results, first_rate, last_rate, {trend('n', 'first_rate', 'last_rate')} as trend from f""",
+    "school_trend_series": f"""{SCHOOLS}, f as (select school_id, count(pass_rate) as n,
+      (array_agg(pass_rate order by ord, exam_result_id, id) filter (where pass_rate is not null))[1] as first_rate,
+      (array_agg(pass_rate order by ord desc, exam_result_id desc, id desc) filter (where pass_rate is not null))[1]
+      as last_rate from history group by school_id)
+      select school_id, year, month, exam_code, pass_rate as school_rate, national_rate, rank,
+      {trend('n', 'first_rate', 'last_rate')} as trend from history join f using (school_id)""",
+    "consistency_table": f"""{SCHOOLS}, c as (select school_id, program_id, {mean('pass_rate')} as avg_rate,
+      {score('pass_rate', 'national_rate')} as score, count(*)::integer as years from history
+      where pass_rate is not null group by school_id, program_id)
+      select school_id, program_id, avg_rate, {score_label('score')} as label, years, '2026-01-02' as computed_on
+      from c where years >= 2 union all
+      select -school_id, program_id, 1.0::double, 'old', 9, '2020-01-01' from c where years >= 2 and school_id % 4 = 0 and school_id <> 0""",
+    "school_filter_province": f"""{SCHOOLS} select school_id, s.name as school, n_name as province, exam_code, year, month,
+      pass_rate, rank from history h join schools s on s.id = h.school_id join nation on n_nationkey = s.province_id
+      where n_name = 'NATION_3'""",
+    "sorted_cycles": f"""{REGISTERED} select exam_code, year, month, total_takers, id from ordered
+      where total_takers is not null""",
+    "search_cycles": f"""{REGISTERED}, q as (select id as query_id, case when id // 10 % 3 <> 1 then exam_code end as code,
+        case when id // 10 % 3 < 2 then year end as q_year, case when id // 10 % 3 > 0 then month_no end as q_month
+        from ordered)
+      select query_id, o.id as exam_result_id, o.exam_code, o.year, o.month from q join ordered o
+      on (q_year is null or q_year = o.year) and (q_month is null or q_month = o.month_no)
+        and (code is null or contains(lower(o.exam_code || ' ' || o.exam_fullname || ' ' || o.slug), lower(code)))""",
     "school_topnotchers": f"""{SCHOOLS} select t.id, s.id as school_id, t.rank, t.name, t.rating, d.exam_code,
       d.exam_fullname, d.year, d.month from top t join schools s on contains(lower(t.school), lower(s.name))
       join dim d using (exam_result_id)""",
@@ -146,7 +169,7 @@ SQL: dict[str, str] = {
     "rate_distribution": f"""{SCHOOLS}, {NEWEST}, {RANKED.format(where=TOP_WHERE)},
       bands(band_no, band) as (values (1, '90-100%'), (2, '80-89%'), (3, '70-79%'), (4, 'Below 70%')),
       b as (select exam_code, case when pass_rate >= 90 then 1 when pass_rate >= 80 then 2 when pass_rate >= 70 then 3
-        else 4 end as band_no from ranked where position <= 1000 and pass_rate is not null)
+        else 4 end as band_no from ranked where pass_rate is not null)
       select a.exam_code, bands.band_no, band, (select count(*) from b where b.exam_code = a.exam_code
         and b.band_no = bands.band_no) as schools from programs a, bands""",
     "topnotcher_list": f"""{SCHOOLS} select t.id, t.rank, t.name, t.school, t.rating, exam_code, exam_fullname, year,
@@ -178,7 +201,7 @@ SQL: dict[str, str] = {
       select r.exam_code, position::integer as position, rank, l.name as school, school_id, l.region, takers, passers,
       pass_rate, year, month, national_rate, {_gap('pass_rate', 'national_rate')} as gap,
       {score_label('c.score')} as consistency_label from ranked r join located l on l.id = school_id
-      left join c using (school_id, exam_code) where position <= 1000""",
+      left join c using (school_id, exam_code)""",
     "global_search": f"""{SCHOOLS}, {QUERIES} {TOKENS}, hits as (
       select query_id, 'school' as entity, s.id::varchar as entity_id, name,
         row_number() over (partition by query_id order by name, s.id) as position

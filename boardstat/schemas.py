@@ -44,6 +44,7 @@ class Tables:
     exam_results: DataFrame | None = None
     school_performance: DataFrame | None = None
     topnotchers: DataFrame | None = None
+    consistency_scores: DataFrame | None = None
     import_jobs: DataFrame | None = None
     audit_logs: DataFrame | None = None
     creator_feedback: DataFrame | None = None

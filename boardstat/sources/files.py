@@ -16,8 +16,9 @@ NATIONAL_COLUMNS = ("exam_code", "month", "year", "total_passers", "total_takers
 
 
 def read_national_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A national CSV as text columns; refuses a file without the required ones."""
-    rows = spark.read.option("header", True).csv(path)
+    """A national CSV, or a folder of them, as text columns; refuses a file without the required ones, and a folder whose
+    files have their columns in different orders."""
+    rows = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     missing = [c for c in NATIONAL_COLUMNS if c not in rows.columns]
     if missing:
         raise ValueError(f"missing columns {missing}")
@@ -48,8 +49,24 @@ HEADERS: dict[str, tuple[str, ...]] = {
     "passers": ("passers", "no_of_passers", "passed", "no_passers"),
     "pass_rate": ("pass_rate", "passing_rate", "rate", "percentage", "%"),
 }
-WIDTH = 32
-CSV_CELLS = ", ".join(f"c{i} string" for i in range(WIDTH))
+# A record runs to a line end outside quotes; a cell is quoted or free of commas.
+_RECORD = r'((?:[^"\r\n]++|"[^"]*+"|")*+)(\r\n|\n|\r|$)'
+_CELL = r'(\s*"[^"]*+(?:""[^"]*+)*+"\s*|[^,]*+),'
+
+
+def csv_records(text: Column) -> Column:
+    """Records of a CSV text; quoted cells may hold line ends."""
+    return F.regexp_extract_all(text, F.lit(_RECORD), F.lit(1))
+
+
+def csv_cells(record: Column) -> Column:
+    """Cells of a record of any width, unquoted."""
+    def plain(cell: Column) -> Column:
+        bare = F.trim(cell)
+        quoted = bare.startswith('"') & bare.endswith('"') & (F.length(bare) >= 2)
+        return F.when(quoted, F.replace(F.substr(bare, F.lit(2), F.length(bare) - 2), F.lit('""'), F.lit('"'))).otherwise(cell)
+
+    return F.transform(F.regexp_extract_all(F.concat(record, F.lit(",")), F.lit(_CELL), F.lit(1)), plain)
 
 
 def read_text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -64,11 +81,6 @@ def file_cycle(name: Column) -> Column:
     return _cycle_of(name, pattern)
 
 
-def report_cycle(name: Column) -> Column:
-    """struct(month, year) from `May_2019_CELE.pdf`."""
-    return _cycle_of(name, r"(?i)^(march|may|nov|november|april)_(\d{4})_cele\.pdf$")
-
-
 def _cycle_of(name: Column, pattern: str) -> Column:
     month = F.initcap(F.regexp_extract(name, pattern, 1))
     month = F.when(month == "Nov", "November").otherwise(month)
@@ -85,14 +97,13 @@ def _normal_header(text: Column) -> Column:
 def _csv_files(files: DataFrame) -> DataFrame:
     """Lines of each file and, per canonical column, the 1-based position of its first accepted header; 0 if absent."""
     aliases = F.transform(literal_array(list(HEADERS.values())), lambda names_: F.transform(names_, _normal_header))
-    cells = F.split(F.get(F.col("lines"), F.lit(0)), ",")
-    header = F.transform(cells, lambda h: _normal_header(F.regexp_replace(h, '^"|"$', "")))
+    header = F.transform(csv_cells(F.get(F.col("lines"), F.lit(0))), _normal_header)
 
     def positions(h: Column) -> Column:
         return F.transform(aliases, lambda options: F.coalesce(F.get(F.filter(F.transform(
             options, lambda a: F.array_position(h, a)), lambda p: p > 0), F.lit(0)), F.lit(0).cast("long")))
 
-    lines = F.split(F.regexp_replace("content", "^﻿", ""), r"\r\n|\n|\r")
+    lines = csv_records(F.regexp_replace("content", "^\ufeff", ""))
     return files.select("file_name", lines.alias("lines")).withColumn("at", links.once(header, positions))
 
 
@@ -110,8 +121,7 @@ def school_csv_rows(files: DataFrame) -> DataFrame:
     usable = _csv_files(files).where(F.forall("at", lambda p: p > 0))
     body = usable.select("file_name", "at", F.posexplode(F.slice("lines", 2, F.greatest(
         F.size("lines"), F.lit(1)))).alias("line", "text")).where(F.trim("text") != "")
-    rows = body.withColumn("_csv", F.from_csv("text", CSV_CELLS)).withColumn(
-        "cells", F.array(*[F.col(f"_csv.c{i}") for i in range(WIDTH)]))
+    rows = body.withColumn("cells", csv_cells(F.col("text")))
     order = list(HEADERS)
 
     def cell(name: str) -> Column:
@@ -134,7 +144,9 @@ def folder_cycles(files: DataFrame) -> DataFrame:
 
 def read_link_index(spark: SparkSession, path: str, exam_code: str | None = None) -> DataFrame:
     """A link index: files that are JSON arrays of announcements; anything else is refused."""
-    start = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1).alias("c"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.ltrim("value").alias("line"),
+                                         F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
+    start = lines.where("line <> ''").groupBy("file").agg(F.min_by(F.substring("line", 1, 1), "at").alias("c"))
     if start.where("c <> '['").take(1):
         raise ValueError("index must be a JSON array")
     rows = spark.read.schema(COLUMNS["link_index"]).json(path, multiLine=True)
@@ -165,14 +177,15 @@ def drive_counts(rows: DataFrame) -> DataFrame:
 
 
 def report(kind: str, tables: Tables, as_of_year: int, exam_code: str | None = None, year: int | None = None,
-           region: str | None = None, min_takers: int | None = None, years: int = WINDOW_YEARS) -> DataFrame:
-    """The five export reports by name."""
+           region: str | None = None, min_takers: int | None = None, years: int = WINDOW_YEARS,
+           limit: int | None = None) -> DataFrame:
+    """The five export reports by name; rankings and top schools are whole unless a limit is given."""
     if kind in ("rankings", "exam_top", "exam_history") and exam_code is None:
         raise ValueError("exam_code is required")
     if kind == "rankings":
-        return rankings.rankings(tables, exam_code, year, region=region, min_takers=min_takers, limit=1000)
+        return rankings.rankings(tables, exam_code, year, region=region, min_takers=min_takers, limit=limit)
     if kind == "exam_top":
-        return rankings.top_schools(tables, exam_code, year, limit=1000)
+        return rankings.top_schools(tables, exam_code, year, limit=limit)
     if kind == "regions":
         return schools.regional_analytics(tables, exam_code)
     if kind == "exams":
