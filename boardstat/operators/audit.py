@@ -1,7 +1,7 @@
 """Data-quality checks. Every check returns findings of one shape; the audit is their union.
 
-National checks read one scan of the cycles in range; checks on school rows are row filters or groupings with partial
-aggregation, so a school or cycle with a third of all rows is no special case.
+Checks of single rows are made together in one pass over the cycles and one over the school rows; the others are groupings
+with partial aggregation, so a school or cycle with a third of all rows is no special case.
 """
 
 from __future__ import annotations
@@ -46,16 +46,20 @@ CHECKS: dict[str, tuple[str, str, str]] = {
 }
 
 
-def _findings(rows: DataFrame, check: str, detail: Column, *, exam_code="exam_code", month="month", year="year",
-              row_id="id", url="source_url") -> DataFrame:
+def _shaped(rows: DataFrame, check: Column, severity: Column, detail: Column, action: Column, *, exam_code="exam_code",
+            month="month", year="year", row_id="id", url="source_url") -> DataFrame:
     def column(name: str | None, kind: str) -> Column:
         return F.lit(None).cast(kind) if name is None else F.col(name).cast(kind)
 
-    severity, _, action = CHECKS[check]
     return rows.select(
-        F.lit(check).alias("check_id"), F.lit(severity).alias("severity"), column(exam_code, "string").alias("exam_code"),
+        check.alias("check_id"), severity.alias("severity"), column(exam_code, "string").alias("exam_code"),
         column(month, "string").alias("month"), column(year, "int").alias("year"), column(row_id, "long").alias("id"),
-        detail.alias("detail"), column(url, "string").alias("source_url"), F.lit(action).alias("action"))
+        detail.alias("detail"), column(url, "string").alias("source_url"), action.alias("action"))
+
+
+def _findings(rows: DataFrame, check: str, detail: Column, **columns) -> DataFrame:
+    severity, _, action = CHECKS[check]
+    return _shaped(rows, F.lit(check), F.lit(severity), detail, F.lit(action), **columns)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -82,47 +86,77 @@ def _codes(tables: Tables, program: str | None = None) -> DataFrame:
     return filter_cycles(tables.programs.select("exam_code"), program)
 
 
+RowCheck = tuple[str, Column, Column]
+
+
+def _row_findings(rows: DataFrame, checks: list[RowCheck], **columns) -> DataFrame:
+    """Findings of checks (name, condition, detail) that look at single rows, all in one pass over them."""
+    found = F.array(*[F.when(condition, F.struct(
+        F.lit(check).alias("check_id"), F.lit(CHECKS[check][0]).alias("severity"), detail.alias("detail"),
+        F.lit(CHECKS[check][2]).alias("action"))) for check, condition, detail in checks])
+    each = rows.select("*", F.explode(F.filter(found, lambda f: f.isNotNull())).alias("_found"))
+    return _shaped(each, F.col("_found.check_id"), F.col("_found.severity"), F.col("_found.detail"),
+                   F.col("_found.action"), **columns)
+
+
+def _url_year() -> RowCheck:
+    found = links.url_year(F.col("source_url"))
+    return "url_year_mismatch", found != F.col("year"), _text("url_year=", found, " != stored=", F.col("year"))
+
+
+def _rate_mismatch() -> RowCheck:
+    expected = numbers.pass_rate(F.coalesce(F.col("total_passers"), F.lit(0)), F.col("total_takers"))
+    off = (F.col("total_takers") > 0) & F.col("pass_rate").isNotNull() & (F.abs(F.col("pass_rate") - expected) > 1.0)
+    return "rate_mismatch", off, _text("stored rate ", F.col("pass_rate"), "% vs computed ", expected, "%")
+
+
+def _placeholder() -> RowCheck:
+    return "placeholder_row", _shell(), F.lit("total_takers=0 (list-of-passers shell; may pollute charts)")
+
+
+def _content_mismatch() -> RowCheck:
+    url = F.col("source_url")
+    inferred = links.inferred_exam(links.exam_scores(links.inference_text(url, url)))
+    other = ~_shell() & url.contains(MIRROR) & (inferred != "UNKNOWN") & (inferred != F.col("exam_code"))
+    return "exam_content_mismatch", other, _text("URL/content infers ", inferred, ", stored as ", F.col("exam_code"))
+
+
+def _slug_mismatch() -> RowCheck:
+    url = F.col("source_url")
+    owner = links.slug_owner(url)
+    return ("slug_mismatch", ~_shell() & url.contains(MIRROR) & (owner != F.col("exam_code")),
+            _text("URL slug matches ", owner, ", stored as ", F.col("exam_code")))
+
+
+def _unexpected_month(calendar: dict[str, tuple[str, ...]]) -> RowCheck:
+    code, month = F.col("exam_code"), F.col("month")
+    months = links.expected_months(code, calendar)
+    return ("unexpected_month", ~_shell() & (month != "") & months.isNotNull() & ~links.expected_month(code, month, calendar),
+            _text(month, " not in EXAM_CYCLES (", F.array_join(months, ", "), ")"))
+
+
 def check_url_year_mismatch(cycles: DataFrame) -> DataFrame:
-    rows = cycles.withColumn("url_year", links.url_year(F.col("source_url"))).where("url_year <> year")
-    return _findings(rows, "url_year_mismatch", _text("url_year=", F.col("url_year"), " != stored=", F.col("year")))
+    return _row_findings(cycles, [_url_year()])
 
 
 def check_rate_mismatch(cycles: DataFrame) -> DataFrame:
-    expected = numbers.pass_rate(F.coalesce(F.col("total_passers"), F.lit(0)), F.col("total_takers"))
-    rows = (cycles.where("total_takers > 0 AND pass_rate IS NOT NULL").withColumn("expected", expected)
-            .where(F.abs(F.col("pass_rate") - F.col("expected")) > 1.0))
-    return _findings(rows, "rate_mismatch",
-                     _text("stored rate ", F.col("pass_rate"), "% vs computed ", F.col("expected"), "%"))
+    return _row_findings(cycles, [_rate_mismatch()])
 
 
 def check_placeholder_row(cycles: DataFrame) -> DataFrame:
-    return _findings(cycles.where(_shell()), "placeholder_row",
-                     F.lit("total_takers=0 (list-of-passers shell; may pollute charts)"))
+    return _row_findings(cycles, [_placeholder()])
 
 
 def check_exam_content_mismatch(cycles: DataFrame) -> DataFrame:
-    url = F.col("source_url")
-    rows = (cycles.where(~_shell() & url.contains(MIRROR))
-            .withColumn("inferred", links.inferred_exam(links.exam_scores(links.inference_text(url, url))))
-            .where("inferred <> 'UNKNOWN' AND inferred <> exam_code"))
-    return _findings(rows, "exam_content_mismatch",
-                     _text("URL/content infers ", F.col("inferred"), ", stored as ", F.col("exam_code")))
+    return _row_findings(cycles, [_content_mismatch()])
 
 
 def check_slug_mismatch(cycles: DataFrame) -> DataFrame:
-    url = F.col("source_url")
-    rows = (cycles.where(~_shell() & url.contains(MIRROR)).withColumn("owner", links.slug_owner(url))
-            .where("owner <> exam_code"))
-    return _findings(rows, "slug_mismatch",
-                     _text("URL slug matches ", F.col("owner"), ", stored as ", F.col("exam_code")))
+    return _row_findings(cycles, [_slug_mismatch()])
 
 
 def check_unexpected_month(cycles: DataFrame, calendar: dict[str, tuple[str, ...]] = CALENDAR) -> DataFrame:
-    code, month = F.col("exam_code"), F.col("month")
-    months = links.expected_months(code, calendar)
-    rows = cycles.where(~_shell() & (month != "") & months.isNotNull() & ~links.expected_month(code, month, calendar))
-    return _findings(rows, "unexpected_month",
-                     _text(month, " not in EXAM_CYCLES (", F.array_join(months, ", "), ")"))
+    return _row_findings(cycles, [_unexpected_month(calendar)])
 
 
 def check_duplicate_stats(cycles: DataFrame) -> DataFrame:
@@ -236,6 +270,13 @@ def duplicate_schools(schools: DataFrame) -> DataFrame:
     return keyed.join(repeated, "key").select("id", "name", "copies")
 
 
+def duplicate_performance(tables: Tables) -> DataFrame:
+    """All rows of school results that repeat a school in a cycle, with the number of copies."""
+    key = ["exam_result_id", "school_id"]
+    repeated = tables.school_performance.groupBy(*key).agg(F.count("*").alias("copies")).where("copies > 1")
+    return tables.school_performance.join(repeated, key).select("id", *key, "copies")
+
+
 def _cycle_labels(tables: Tables) -> DataFrame:
     return with_program(tables).select(F.col("id").alias("exam_result_id"), "exam_code", "month", "year")
 
@@ -262,32 +303,47 @@ def check_exam_no_schools(tables: Tables) -> DataFrame:
                      row_id="exam_result_id", url=None)
 
 
-def _performance_check(tables: Tables, check: str, condition: str, detail: Column) -> DataFrame:
-    return _findings(_with_school_and_cycle(tables.school_performance.where(condition), tables), check, detail, url=None)
+def _missing_rate() -> RowCheck:
+    return "perf_missing_rate", F.col("pass_rate").isNull(), _text("Missing pass_rate for ", F.col("school"))
+
+
+def _rate_out_of_range() -> RowCheck:
+    rate = F.col("pass_rate")
+    return "perf_rate_out_of_range", (rate < 0) | (rate > 100), _text(F.col("school"), ": pass_rate=", rate, " out of 0-100")
+
+
+def _more_passers() -> RowCheck:
+    return ("perf_passers_gt_takers", F.col("passers") > F.col("takers"), _text(
+        F.col("school"), ": passers (", F.col("passers"), ") > takers (", F.col("takers"), ")"))
+
+
+def _performance_checks(tables: Tables, checks: list[RowCheck]) -> DataFrame:
+    """Row checks of school results; only rows that some check objects to are joined with their names."""
+    wrong = checks[0][1]
+    for _, condition, _ in checks[1:]:
+        wrong = wrong | condition
+    rows = _with_school_and_cycle(tables.school_performance.where(F.coalesce(wrong, F.lit(False))), tables)
+    return _row_findings(rows, checks, url=None)
 
 
 def check_perf_missing_rate(tables: Tables) -> DataFrame:
-    return _performance_check(tables, "perf_missing_rate", "pass_rate IS NULL",
-                              _text("Missing pass_rate for ", F.col("school")))
+    return _performance_checks(tables, [_missing_rate()])
 
 
 def check_perf_rate_out_of_range(tables: Tables) -> DataFrame:
-    return _performance_check(tables, "perf_rate_out_of_range", "pass_rate < 0 OR pass_rate > 100",
-                              _text(F.col("school"), ": pass_rate=", F.col("pass_rate"), " out of 0-100"))
+    return _performance_checks(tables, [_rate_out_of_range()])
 
 
 def check_perf_passers_gt_takers(tables: Tables) -> DataFrame:
-    return _performance_check(tables, "perf_passers_gt_takers", "passers > takers",
-                              _text(F.col("school"), ": passers (", F.col("passers"), ") > takers (", F.col("takers"),
-                                    ")"))
+    return _performance_checks(tables, [_more_passers()])
 
 
 def audit_national(tables: Tables, start_year: int, end_year: int, program: str | None = None,
                    index: DataFrame | None = None, calendar: dict[str, tuple[str, ...]] = CALENDAR) -> DataFrame:
     cycles, codes = cycles_in_range(tables, start_year, end_year, program), _codes(tables, program)
     frames = [
-        check_url_year_mismatch(cycles), check_rate_mismatch(cycles), check_placeholder_row(cycles),
-        check_exam_content_mismatch(cycles), check_slug_mismatch(cycles), check_unexpected_month(cycles, calendar),
+        _row_findings(cycles, [_url_year(), _rate_mismatch(), _placeholder(), _content_mismatch(), _slug_mismatch(),
+                               _unexpected_month(calendar)]),
         check_duplicate_stats(cycles), check_rate_outlier(cycles),
         check_mirror_only_program(cycles, start_year, end_year),
         check_hard_coverage_gap(codes, cycles, start_year, end_year),
@@ -299,8 +355,8 @@ def audit_national(tables: Tables, start_year: int, end_year: int, program: str
 
 def audit_platform(tables: Tables) -> DataFrame:
     return _union([check_dup_school_name(tables.schools), check_dup_school_performance(tables),
-                   check_exam_no_schools(tables), check_perf_missing_rate(tables),
-                   check_perf_rate_out_of_range(tables), check_perf_passers_gt_takers(tables)])
+                   check_exam_no_schools(tables),
+                   _performance_checks(tables, [_missing_rate(), _rate_out_of_range(), _more_passers()])])
 
 
 def audit(tables: Tables, start_year: int, end_year: int, scope: str = "national", program: str | None = None,

@@ -40,6 +40,9 @@ QUERIES = {
     "check_perf_rate_out_of_range": lambda s, sf: audit.check_perf_rate_out_of_range(b.defective_schools(s, sf)),
     "check_perf_passers_gt_takers": lambda s, sf: audit.check_perf_passers_gt_takers(b.defective_schools(s, sf)),
     "audit_national": _national,
+    "audit_full": lambda s, sf: audit.in_report_order(audit.audit(
+        b.registered(s, sf), START, END, "full", index=b.link_index(s, sf), platform=b.defective_schools(s, sf))),
+    "duplicate_performance": lambda s, sf: audit.duplicate_performance(b.defective_schools(s, sf)),
     "findings_summary": lambda s, sf: audit.findings_summary(_national(s, sf)),
     "coverage_by_program": lambda s, sf: audit.coverage_by_program(b.registered(s, sf), START, END),
     "gap_report": lambda s, sf: audit.gap_report(b.registered(s, sf), START, END),

@@ -186,6 +186,10 @@ SQL: dict[str, str] = {
     **{f"check_{name}": f"{WITH_INDEX} {sql}" for name, sql in NATIONAL_CHECKS.items()},
     **{f"check_{name}": f"{BROKEN} {sql}" for name, sql in PLATFORM_CHECKS.items()},
     "audit_national": f"{WITH_INDEX} {ALL_NATIONAL}",
+    "audit_full": f"""select * from ({WITH_INDEX} {ALL_NATIONAL}) union all
+      select * from ({BROKEN} {' union all '.join(PLATFORM_CHECKS.values())})""",
+    "duplicate_performance": f"""{BROKEN} select id, exam_result_id, school_id, copies from (select *, count(*) over
+      (partition by exam_result_id, school_id) as copies from dperf) where copies > 1""",
     "findings_summary": f"""{WITH_INDEX}, f as ({ALL_NATIONAL}), labels(check_id, label) as (values {', '.join(
         f'({quote(c)}, {quote(v[1])})' for c, v in CHECKS.items())})
       select check_id, label, count(*) as findings, [{', '.join(quote(s) for s in SEVERITY)}][min(list_position(
