@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _staged: dict[tuple, DataFrame] = {}
 _folders: dict[str, str] = {}
+_runs: list[str] = []
 
 
 def literal(value) -> str:
@@ -54,8 +57,37 @@ def shared_folder(spark: SparkSession) -> str:
     return _folders[app]
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _remove_at_exit(spark: SparkSession, folder: str) -> None:
+    try:
+        remove(spark, folder)
+    except Exception:  # the JVM may be gone already; what is left is one folder named after the application
+        pass
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own part of the shared folder, which is removed when the application ends."""
+    app = f"{shared_folder(spark)}/boardstat-{spark.sparkContext.applicationId}"
+    if app not in _folders:
+        _folders[app] = app
+        atexit.register(_remove_at_exit, spark, app)
+    return f"{_runs[-1] if _runs else app}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end: for jobs that keep nothing but their own output."""
+    folder = fresh_path(spark, "job")
+    _runs.append(folder)
+    try:
+        yield
+    finally:
+        _runs.remove(folder)
+        remove(spark, folder)
 
 
 def write_table(df: DataFrame, name: str) -> str:
@@ -78,11 +110,6 @@ def staged(spark: SparkSession, name: str, source: str, build: Callable[[], Data
     return _staged[key]
 
 
-def forget_staged() -> None:
-    """Drop all knowledge of staged tables, for when the source tables have changed."""
-    _staged.clear()
-
-
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], column: str) -> DataFrame:
     """Exact 1-based positions inside each key, for groups of any size.
 

@@ -152,8 +152,7 @@ def reingest_placeholders(tables: Tables, pages: DataFrame) -> IngestResult:
     rows = materialize(dual.select(*columns).unionByName(single.select(*columns)), "refilled")
     good = first_per_key(rows.where("reason IS NULL"), wanted, [F.asc("arrival"), F.asc("url")])
     incoming = good.join(programs, "exam_code").select(*CYCLE_KEY, *STATS, F.col("url").alias("source_url"), "arrival")
-    # Two programs may come from one page: their arrivals are told apart by program.
-    incoming = incoming.withColumn("arrival", F.col("arrival") * 1000 + F.col("program_id"))
+    # Two programs may come from one page and so share its arrival; the keys of the cycles settle the order of their ids.
     cycles = upsert_national(tables.exam_results, incoming)
     status = rows.select("arrival", "exam_code", "year", "month",
                          F.when(F.col("reason").isNull(), "saved").otherwise("skipped").alias("status"),

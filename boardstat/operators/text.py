@@ -190,12 +190,23 @@ def _school_row(rank: Column, school: Column, takers: Column, passers: Column, r
                     rate.alias("pass_rate"))
 
 
+# Line layouts of reports.
 SPACED = rf"(?i)^\s*(\d+)\s+(.+?)\s+{NUMBER}\s+{NUMBER}\s+([\d.]+)\s*%?\s*$"
 OFFICIAL_LINE = (r"(?i)^(.+?)\s+(\d+)\s+(\d+)\s+(\d+)\s+([\d.]+)%?\s+(\d+)\s+(\d+)\s+(\d+)\s+([\d.]+)%?\s+"
                  r"(\d+)\s+(\d+)\s+(\d+)\s+([\d.]+)%?\s*$")
 SIMPLE_LINE = rf"(?i)^\s*(\d+)?\s*(.+?)\s+{NUMBER}\s+{NUMBER}\s+{NUMBER}\s+([\d.]+)\s*%?\s*$"
 
 
+GROUP_MARK = "\u0001"
+
+
+def _groups(text: Column, pattern: str, *wanted: int) -> Column:
+    """Groups of a pattern that spans the whole text, two or more, from a single match; null if it does not match."""
+    marked = F.regexp_replace(F.translate(text, GROUP_MARK, " "), F.lit(pattern),
+                              F.lit(GROUP_MARK.join(f"${g}" for g in wanted)))
+    return links.once(F.split(marked, GROUP_MARK), lambda g: F.when(F.size(g) == len(wanted), g))
+
+
 def _known(row: Column) -> Column:
     """The row if all its numbers could be read."""
     return F.when(row["takers"].isNotNull() & row["passers"].isNotNull() & row["pass_rate"].isNotNull(), row)
@@ -212,10 +223,9 @@ def _table_line(line: Column) -> Column:
                         links.once(row, lambda r: F.when(r["rank"].isNotNull(), _known(r))).alias("row"))
 
     def read(text: Column) -> Column:
-        parts = [F.regexp_extract(text, SPACED, i) for i in range(1, 6)]
-        spaced = F.when(text.rlike(SPACED), links.once(_school_row(
-            numbers.digits(parts[0]), F.trim(parts[1]), numbers.digits(parts[2]), numbers.digits(parts[3]),
-            numbers.decimal(parts[4])), lambda r: F.when(r["rank"].isNotNull(), _known(r))))
+        spaced = links.once(_groups(text, SPACED, 1, 2, 3, 4, 5), lambda g: F.when(g.isNotNull(), links.once(_school_row(
+            numbers.digits(g[0]), F.trim(g[1]), numbers.digits(g[2]), numbers.digits(g[3]),
+            numbers.decimal(g[4])), lambda r: F.when(r["rank"].isNotNull(), _known(r)))))
         cells = F.filter(F.transform(F.split(text, r"\|"), lambda p: F.trim(p)), lambda p: p != "")
         bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
         tabular = F.when(bars >= 5, links.once(cells, lambda c: F.when(F.size(c) >= 5, piped(c))))
@@ -238,12 +248,14 @@ def _official_line(raw: Column) -> Column:
     """School and its overall group from a line of first-timers, repeaters and overall."""
     def read(line: Column) -> Column:
         header = line.rlike(r"(?i)^(seq|school|first timers|repeaters|overall|performance|pos\s*-)")
-        number = [numbers.digits(F.regexp_extract(line, OFFICIAL_LINE, i)) for i in (10, 11, 12)]
-        group = F.struct(_school_row(
-            F.lit(None).cast("int"), names.clean_report_school(F.regexp_extract(line, OFFICIAL_LINE, 1)), number[2],
-            number[0], numbers.decimal(F.regexp_extract(line, OFFICIAL_LINE, 13))).alias("row"),
-            number[1].alias("failed"))
-        return F.when((F.length(line) >= 20) & _ends_in_number(line) & line.rlike(OFFICIAL_LINE) & ~header, links.once(group, keep))
+        found = F.when((F.length(line) >= 20) & _ends_in_number(line) & ~header,
+                       _groups(line, OFFICIAL_LINE, 1, 10, 11, 12, 13))
+        return links.once(found, lambda g: F.when(g.isNotNull(), links.once(group(g), keep)))
+
+    def group(g: Column) -> Column:
+        number = [numbers.digits(g[i]) for i in (1, 2, 3)]
+        return F.struct(_school_row(F.lit(None).cast("int"), names.clean_report_school(g[0]), number[2], number[0],
+                                    numbers.decimal(g[4])).alias("row"), number[1].alias("failed"))
 
     def keep(g: Column) -> Column:
         row = g["row"]
@@ -258,14 +270,13 @@ def _simple_line(raw: Column) -> Column:
     """Fallback of six fields, where only takers and rate can be trusted."""
     def read(line: Column) -> Column:
         header = line.rlike(r"(?i)^(seq|school|first timers|repeaters|overall|performance)\b")
-        parts = F.struct(*[F.regexp_extract(line, SIMPLE_LINE, i).alias(f"g{i}") for i in (1, 2, 5, 6)])
-        return F.when((F.length(line) >= 15) & _ends_in_number(line) & line.rlike(SIMPLE_LINE) & ~header, links.once(parts, row))
+        found = F.when((F.length(line) >= 15) & _ends_in_number(line) & ~header, _groups(line, SIMPLE_LINE, 1, 2, 5, 6))
+        return links.once(found, lambda g: F.when(g.isNotNull(), row(g)))
 
     def row(g: Column) -> Column:
-        takers, rate = numbers.digits(g["g5"]), numbers.decimal(g["g6"])
+        takers, rate = numbers.digits(g[2]), numbers.decimal(g[3])
         passers = F.floor(takers * rate / 100 + F.lit(0.5)).cast("int")
-        return F.when((takers > 0) & rate.isNotNull(),
-                      _school_row(_count(g["g1"]), F.trim(g["g2"]), takers, passers, rate))
+        return F.when((takers > 0) & rate.isNotNull(), _school_row(_count(g[0]), F.trim(g[1]), takers, passers, rate))
 
     return links.once(_collapsed(raw), read)
 
@@ -338,6 +349,7 @@ def parse_school_reports(texts: DataFrame, enough: int = 20) -> DataFrame:
     return first_per_key(keyed, ["doc_id", "key"], [F.desc("source_no"), F.desc("line_no")]).drop("key")
 
 
+# Layouts of lists of top examinees.
 NOTCHER_LINE = r"^\s*(\d+)\s+([A-Z\s,.-]+?)\s+([A-Z\s.-]+?)\s+([\d.]+)"
 NOTCHER_ITEM = r"(\d+)[.)]\s*([A-Z][A-Z\s,.']+?)\s*[-–]\s*(.+?)\s*[-–]\s*([\d.]+)\s*%"
 

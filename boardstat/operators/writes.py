@@ -32,10 +32,6 @@ def stats_error(takers: Column, passers: Column, rate: Column) -> Column:
                 F.lit("pass_rate mismatch ("), rate.cast("string"), F.lit(" vs "), expected.cast("string"), F.lit(")"))))
 
 
-def validate_stats(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("reason", stats_error(F.col("total_takers"), F.col("total_passers"), F.col("pass_rate")))
-
-
 def validate_rows(candidates: DataFrame, calendar: dict[str, tuple[str, ...]] = CALENDAR) -> DataFrame:
     """Ordered checks of extracted announcements; adds final_month and the first reason of refusal.
 
@@ -88,7 +84,7 @@ def upsert_national(current: DataFrame, incoming: DataFrame, force: bool = False
 
     Arrivals of one key, in order: a manual row with statistics stays for good, a placeholder never replaces
     statistics, otherwise the last row wins. A manual placeholder yields to statistics unless `compat` is set.
-    `incoming` has the cycle columns and a unique `arrival`; new cycles get the next free ids in order of arrival.
+    `incoming` has the cycle columns and an `arrival` that is unique per key; new cycles get the next free ids in order of arrival.
     """
     columns = ["total_takers", "total_passers", "pass_rate", "source_url"]
     old = current.select(*CYCLE_KEY, "id", *columns, F.lit(-1).cast("long").alias("arrival"))
@@ -109,15 +105,20 @@ def upsert_national(current: DataFrame, incoming: DataFrame, force: bool = False
         .otherwise(F.coalesce("manual_real", "last_real", "last")))
     rows = picked.select(*CYCLE_KEY, "id", "first_arrival", chosen.alias("row")).select(
         *CYCLE_KEY, "id", "first_arrival", *[F.col(f"row.{c}").alias(c) for c in columns])
-    return assign_ids(rows, "first_arrival")
+    return assign_ids(rows, "first_arrival", CYCLE_KEY)
 
 
-def assign_ids(rows: DataFrame, order: str) -> DataFrame:
-    """Rows without id get the numbers after the greatest one, in a given order; the order column is dropped."""
+def assign_ids(rows: DataFrame, order: str, ties: Sequence[str] = ()) -> DataFrame:
+    """Rows without id get the numbers after the greatest one, in a given order; the order column is dropped.
+
+    The rows are stored first: the known ones, the greatest id and the new ones are then read from that table instead of
+    computing the rows three times. `ties` settle equal places in the order.
+    """
     columns = [c for c in rows.columns if c != order]
+    rows = materialize(rows, "grouped")
     known = rows.where("id IS NOT NULL")
     top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).withColumn("_one", F.lit(1))
-    fresh = number_rows(rows.where("id IS NULL"), [], [F.asc(order)], "n").withColumn("_one", F.lit(1))
+    fresh = number_rows(rows.where("id IS NULL"), [], [F.asc(order), *map(F.asc, ties)], "n").withColumn("_one", F.lit(1))
     numbered = fresh.join(top, "_one").withColumn("id", F.col("top") + F.col("n"))
     return known.select(*columns).unionByName(numbered.select(*columns))
 
@@ -262,12 +263,6 @@ def merge_index(existing: DataFrame, incoming: DataFrame, arrival: str = "post_i
     return top_per_key(both, ["exam_code", "month", "year"], order, 1).drop("seq", "position")
 
 
-def last_row_per_school(rows: DataFrame) -> DataFrame:
-    """Parsed rows merged by upper-cased school name; the last line of the last source wins."""
-    keyed = rows.withColumn("key", F.upper(F.trim("school"))).where("key <> ''")
-    return top_per_key(keyed, ["doc_id", "key"], [F.desc("source_no"), F.desc("line_no")], 1).drop("key", "position")
-
-
 def fill_ranks(rows: DataFrame, group: str = "doc_id", line: str = "line_no") -> DataFrame:
     """Missing or zero ranks become the position of the row in its document, however long the document."""
     placed = number_rows(rows, [group], [F.asc(line), F.asc("arrival")], "_place")
@@ -278,16 +273,20 @@ def import_job_islands(rows: DataFrame, block: int = 100_000) -> DataFrame:
     """Import jobs: a new one whenever (exam_code, year) changes along the input; rows and rows saved of each.
 
     `rows` has line_no (consecutive numbers), exam_code, year, status. The predecessor of a line is found by its number,
-    and starts are counted per block of lines first, so no task sees the whole input.
+    and starts are counted per block of lines first and then per block of blocks, so no task sees the whole input.
     """
     prior = rows.select((F.col("line_no") + 1).alias("line_no"), F.col("exam_code").alias("prior_code"),
                         F.col("year").alias("prior_year"))
     same = F.col("prior_code").eqNullSafe(F.col("exam_code")) & F.col("prior_year").eqNullSafe(F.col("year"))
     marked = (rows.join(prior, "line_no", "left").withColumn("start", F.when(same, 0).otherwise(1))
               .withColumn("block", F.floor(F.col("line_no") / block)))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    offsets = marked.groupBy("block").agg(F.sum("start").alias("starts")).select(
-        "block", F.coalesce(F.sum("starts").over(before), F.lit(0)).alias("offset"))
+    starts = marked.groupBy("block", F.floor(F.col("block") / block).alias("part")).agg(F.sum("start").alias("starts"))
+    before = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per block of blocks
+    parts = starts.groupBy("part").agg(F.sum("starts").alias("starts")).select(
+        "part", F.coalesce(F.sum("starts").over(earlier), F.lit(0)).alias("_before"))
+    offsets = starts.join(parts, "part").select(
+        "block", (F.col("_before") + F.coalesce(F.sum(starts["starts"]).over(before), F.lit(0))).alias("offset"))
     inside = Window.partitionBy("block").orderBy("line_no")
     jobs = (marked.join(offsets, "block")
             .withColumn("job_no", F.col("offset") + F.sum("start").over(inside)))
@@ -296,11 +295,24 @@ def import_job_islands(rows: DataFrame, block: int = 100_000) -> DataFrame:
         F.count_if(F.col("status") == "saved").alias("rows_affected"))
 
 
-def finish_jobs(jobs: DataFrame, tables: Tables) -> DataFrame:
-    """Import-job rows for the log, with the program resolved."""
+def finish_jobs(jobs: DataFrame, tables: Tables, started_at: str, finished_at: str) -> DataFrame:
+    """Import-job rows for the log of one run, with the program resolved: `failed` without any saved row or program,
+    `partial` if rows were left out, else `success`; the notes say how many rows were saved."""
     programs = tables.programs.select(F.col("id").alias("program_id"), "exam_code")
+    saved, total = F.col("rows_affected"), F.col("rows")
+    status = (F.when((saved == 0) | F.col("program_id").isNull(), "failed").when(saved < total, "partial")
+              .otherwise("success"))
     return jobs.join(programs, "exam_code", "left").select(
-        F.col("job_no").alias("id"), "program_id", "year", F.lit("success").alias("status"), "rows_affected")
+        F.col("job_no").alias("id"), "program_id", "year", status.alias("status"),
+        saved.cast("int").alias("rows_affected"), F.lit(started_at).cast("timestamp").alias("started_at"),
+        F.lit(finished_at).cast("timestamp").alias("finished_at"),
+        F.concat(saved.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" rows saved")).alias("notes"))
+
+
+def saved_counts(rows: DataFrame) -> DataFrame:
+    """Per cycle, how many incoming school rows are saved and how many fail for want of a school name."""
+    known = F.coalesce(names.normalize_school(F.col("school")), F.lit("")) != ""
+    return rows.groupBy("exam_result_id").agg(F.count_if(known).alias("saved"), F.count_if(~known).alias("failed"))
 
 
 def ingest_school_rows(tables: Tables, rows: DataFrame) -> tuple[Tables, DataFrame]:

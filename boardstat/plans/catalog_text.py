@@ -17,16 +17,20 @@ from ..operators import text as tx
 from ..operators.national import with_program
 from ..schemas import Tables
 from ..sources import files
+from ..streaming import ingest as stream
 from ..streaming.throttle import throttle_events
 from . import bindings as b
 
 
 def school_rows(spark, sf: str) -> DataFrame:
-    """Ranked school results with names and programs, as a report would print them."""
+    """School results with names and programs, as a report would print them: a result whose rate and rank are not on record
+    has its computed rate and rank 0."""
     t = b.schools(spark, sf)
     named = t.schools.select(F.col("id").alias("school_id"), F.upper("name").alias("school"))
     cycles = t.exam_results.select(F.col("id").alias("exam_result_id"), "program_id", "year", "month")
-    rows = t.school_performance.where("rank IS NOT NULL").join(named, "school_id").join(cycles, "exam_result_id")
+    rows = t.school_performance.withColumn("rank", F.coalesce("rank", F.lit(0))).withColumn("pass_rate", F.coalesce(
+        "pass_rate", numbers.pass_rate(F.col("passers"), F.col("takers"))))
+    rows = rows.join(named, "school_id").join(cycles, "exam_result_id")
     # The texts made of these rows cost far more to read than the rows cost to move: use all cores.
     return rows.repartition(spark.sparkContext.defaultParallelism, "id")
 
@@ -56,6 +60,26 @@ def report_texts(spark, sf: str, kind: str) -> DataFrame:
     return reports.unionByName(corpus)
 
 
+def report_blocks(spark, sf: str) -> DataFrame:
+    """Reports of up to 25 schools of a cycle in the official layout, every fourth school again in lower case, and every
+    document of the corpus."""
+    rows = school_rows(spark, sf)
+    passers, takers = F.col("passers").cast("string"), F.col("takers").cast("string")
+    group = F.concat_ws(" ", passers, (F.col("takers") - F.col("passers")).cast("string"), takers,
+                        F.format_string("%.2f%%", "pass_rate"))
+    school = F.translate("school", "0123456789", "ABCDEFGHIJ")
+    again = F.explode(F.when(F.col("school_id") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    lines = rows.select("*", again.alias("copy")).select(
+        (F.col("exam_result_id") * 1000 + F.expr("school_id div 25")).alias("doc_id"), F.struct(
+            "school_id", "copy", F.concat(F.when(F.col("copy") == 1, F.lower(school)).otherwise(school), F.lit("  "), group,
+                                          F.lit(" 0 0 0 0.00% "), group).alias("line")).alias("row"))
+    made = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    text = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
+    reports = made.select("doc_id", F.concat(F.lit("SCHOOL PASSED FAILED TOTAL RATE\n---\n"), text, F.lit("\nend")).alias("text"))
+    corpus = b.read(spark, sf, "documents").select((-F.col("doc_id") - 1).alias("doc_id"), "text")
+    return reports.unionByName(corpus)
+
+
 def result_pages(spark, sf: str) -> DataFrame:
     """One page per school result with a table in the narrow or the wide layout, and every page of the corpus."""
     rows = school_rows(spark, sf)
@@ -147,15 +171,21 @@ def _written(spark, name: str, sf: str, build) -> str:
 
 
 def school_files(spark, sf: str) -> DataFrame:
-    """One small CSV file per school result, under three spellings of the header."""
+    """One small CSV file per school result, under five spellings of the header; one is wide, one has quoted commas."""
     rows = school_rows(spark, sf)
+    filler = ",".join(f"note {i}" for i in range(40))
     styles = F.array(F.lit("Rank,School Name,No. of Examinees,No. of Passers,Passing Rate"),
-                     F.lit("#,Institution,Examinees,Passed,%"), F.lit("pass_rate,passers,takers,school,rank"))
-    at = (F.col("school_id") % 3 + 1).cast("int")
+                     F.lit("#,Institution,Examinees,Passed,%"), F.lit("pass_rate,passers,takers,school,rank"),
+                     F.lit(filler + ",Rank,School,Takers,Passers,Rate"),
+                     F.lit('"Notes, national",Rank,"School",Takers,Passers,"Pass ""Rate"""'))
+    at = (F.col("school_id") % 7 % 5 + 1).cast("int")
     t, p = F.col("takers").cast("string"), F.col("passers").cast("string")
     rate, name = F.format_string("%.2f%%", "pass_rate"), F.concat(F.lit('"'), "school", F.lit(', Inc"'))
     rank = F.col("rank").cast("string")
-    body = (F.when(at == 3, F.concat_ws(",", rate, p, t, name, rank)).otherwise(F.concat_ws(",", rank, name, t, p, rate)))
+    plain = F.concat_ws(",", rank, name, t, p, rate)
+    body = (F.when(at == 3, F.concat_ws(",", rate, p, t, name, rank))
+            .when(at == 4, F.concat(F.lit("," * 40), plain))
+            .when(at == 5, F.concat(F.lit('"a, ""b""\r\nc",'), plain)).otherwise(plain))
     # Every tenth school's file lacks the passers and is refused.
     header = F.when(F.col("school_id") % 10 == 0, "Rank,School,Takers,Rate").otherwise(F.element_at(styles, at))
     return rows.select(F.concat(F.when(F.col("school_id") % 2 == 0, "CELE_").otherwise(""), F.when(
@@ -287,6 +317,75 @@ def _jobs(spark, sf: str) -> DataFrame:
     return writes.import_job_islands(numbered, block=100)
 
 
+def _job_rows(spark, sf: str) -> DataFrame:
+    """The job log of a run over the link index: one job per run of rows of an exam and year."""
+    t = b.registered(spark, sf)
+    rows = with_program(t).withColumn("arrival", F.col("id"))
+    status = rows.select("arrival", F.when(numbers.complete(), "saved").otherwise("skipped").alias("status"))
+    known = Tables(programs=t.programs.where("exam_code <> 'CPALE'"))
+    jobs = writes.import_job_islands(ingest.job_log_rows(rows, status), block=100)
+    return writes.finish_jobs(jobs, known, "2026-01-02 03:04:05", "2026-01-02 04:05:06").select(
+        "id", "program_id", "year", "status", "rows_affected", "notes",
+        F.date_format("finished_at", "yyyy-MM-dd HH:mm").alias("finished"))
+
+
+def _saved_counts(spark, sf: str) -> DataFrame:
+    rows = incoming_school_rows(spark, sf)
+    return writes.saved_counts(rows.withColumn("school", F.when(F.col("takers").cast("int") % 7 == 0, " ").otherwise(
+        F.col("school"))))
+
+
+def _link_index_file(spark, sf: str) -> DataFrame:
+    """The link index written as one JSON array per program and read back for one program."""
+    def build() -> str:
+        rows = _index(spark, sf).withColumn("row", F.to_json(F.struct(*_index(spark, sf).columns)))
+        arrays = rows.groupBy("exam_code").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("row"), ",\n"), F.lit(
+            "\n]")).alias("value"))
+        path = fresh_path(spark, "link-index")
+        arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+        return path
+    path = _written(spark, "link_index", sf, build)
+    return files.read_link_index(spark, path, "CPALE").select("exam_code", "year", "month", "url", "source", "post_id")
+
+
+def _written_index(spark, sf: str) -> DataFrame:
+    """What the written index files hold: links per program, read back from the CSV and the JSON lines."""
+    folder = _written(spark, "index_out", sf, lambda: _sink(fresh_path(spark, "index"), lambda at: files.write_link_index(
+        _index(spark, sf), at)))
+    csv = spark.read.option("header", True).csv(f"{folder}/national_links_csv").groupBy("exam_code").agg(
+        F.count("*").alias("csv_links"))
+    lines = spark.read.json(f"{folder}/national_links_json").groupBy("exam_code").agg(F.count("*").alias("json_links"))
+    return csv.join(lines, "exam_code", "full")
+
+
+def _sink(folder: str, write) -> str:
+    write(folder)
+    return folder
+
+
+def _written_drive_links(spark, sf: str) -> DataFrame:
+    """Drive links of the announcement pages as written to files, read back."""
+    folder = _written(spark, "drive_out", sf, lambda: _sink(fresh_path(spark, "drive"), lambda at: files.write_drive_links(
+        _drive_links(spark, sf), at)))
+    return spark.read.option("header", True).schema("year int, drive_file_id string").csv(f"{folder}/drive_links_csv")
+
+
+def _streamed(spark, sf: str) -> DataFrame:
+    """The announcements replayed as files through the continuous ingest; its last snapshot."""
+    def build() -> str:
+        root = fresh_path(spark, "stream")
+        pages = arrivals(spark, sf).select("exam_code", "year", "month", "url", "source", "title", "html", "arrival")
+        pages.repartitionByRange(3, "arrival").write.json(f"{root}/in")
+        t = b.registered(spark, sf)
+        stream.start_snapshots(t.exam_results, f"{root}/cycles")
+        run = stream.stream_ingest(spark, f"{root}/in", t.programs, f"{root}/cycles", f"{root}/checkpoint",
+                                   files_per_batch=1)
+        run.awaitTermination()
+        return f"{root}/cycles/version={run.lastProgress['batchId']}"
+    return spark.read.parquet(_written(spark, "stream", sf, build)).select(
+        "program_id", "month", "year", "total_takers", "total_passers", "pass_rate", "source_url")
+
+
 def _topnotcher_upsert(spark, sf: str) -> DataFrame:
     t = b.schools(spark, sf)
     rows = t.topnotchers.select("exam_result_id", (F.col("rank") % 6 + 1).cast("int").alias("rank"), F.upper("name").alias(
@@ -338,19 +437,20 @@ def _direct_links(spark, sf: str) -> DataFrame:
 
 def _notcher_lines(spark, sf: str) -> DataFrame:
     t = b.schools(spark, sf).topnotchers
-    text = F.concat(F.lit("RANK NAME SCHOOL RATING\n"), F.col("rank").cast("string"),
-                    F.lit(" DELA CRUZ, JUAN UNIVERSITY OF XYZ "), F.format_string("%.2f", "rating"), F.lit("\nend"))
+    name = F.upper(F.translate("name", "#0123456789", "-ABCDEFGHIJ"))
+    school = F.translate(F.upper("school"), "_0123456789", " ABCDEFGHIJ")
+    text = F.concat(F.lit("RANK NAME SCHOOL RATING\n"), F.col("rank").cast("string"), F.lit(" "), name, F.lit(", "), school,
+                    F.lit(" "), F.format_string("%.2f", "rating"), F.lit("\nend"))
     return tx.parse_topnotchers(t.select(F.col("id").alias("doc_id"), text.alias("text")))
 
 
 def _notcher_items(spark, sf: str) -> DataFrame:
     t = b.schools(spark, sf).topnotchers
-    item = F.concat(F.lit(". DELA CRUZ, ANA - "), F.col("school"), F.lit(" - "), F.format_string("%.2f", "rating"),
-                    F.lit("%\n"))
-    text = F.concat(*[F.concat(F.lit(str(i)), item) for i in range(1, 13)])
-    plain = F.translate(text, "-", "-")
-    return tx.parse_topnotchers(t.select(F.col("id").alias("doc_id"), F.replace(
-        plain, F.lit(" - Main"), F.lit(" Main")).alias("text")), "items")
+    name = F.upper(F.translate("name", "#0123456789", " ABCDEFGHIJ"))
+    school = F.replace("school", F.lit(" - Main"), F.lit(" Main"))
+    text = F.concat(*[F.concat(F.lit(f"{i}. "), name, F.lit(f" {chr(64 + i)} - "), school, F.lit(" - "),
+                               F.format_string("%.2f", "rating"), F.lit("%\n")) for i in range(1, 13)])
+    return tx.parse_topnotchers(t.select(F.col("id").alias("doc_id"), text.alias("text")), "items")
 
 
 def _json_rows(spark, sf: str) -> DataFrame:
@@ -446,11 +546,15 @@ def _articles(spark, sf: str) -> DataFrame:
     return report.drop("source")
 
 
-def _drive_counts(spark, sf: str) -> DataFrame:
+def _drive_links(spark, sf: str) -> DataFrame:
     mined = tx.mine_links(link_pages(spark, sf))
     cycles = b.registered(spark, sf).exam_results.select(F.col("id").alias("page_id"), "year")
-    return files.drive_counts(mined.join(cycles, "page_id").select(
-        "year", F.coalesce(F.get("drive_ids", F.lit(0)), F.lit("")).alias("drive_file_id")))
+    return mined.join(cycles, "page_id").select(
+        "year", F.coalesce(F.get("drive_ids", F.lit(0)), F.lit("")).alias("drive_file_id"))
+
+
+def _drive_counts(spark, sf: str) -> DataFrame:
+    return files.drive_counts(_drive_links(spark, sf))
 
 
 def _seed(spark, sf: str) -> DataFrame:
@@ -508,7 +612,7 @@ QUERIES = {
     "parse_lines_official": lambda s, sf: tx.parse_lines(report_texts(s, sf, "official"), "official"),
     "parse_lines_simple": lambda s, sf: tx.parse_lines(report_texts(s, sf, "simple"), "simple"),
     "parse_lines_merged": lambda s, sf: tx.parse_lines(report_texts(s, sf, "merged"), "merged"),
-    "parse_school_reports": lambda s, sf: tx.parse_school_reports(report_texts(s, sf, "official")),
+    "parse_school_reports": lambda s, sf: tx.parse_school_reports(report_blocks(s, sf)),
     "parse_topnotcher_lines": _notcher_lines,
     "parse_topnotcher_items": _notcher_items,
     "json_rows": _json_rows,
@@ -517,6 +621,12 @@ QUERIES = {
     "discover_articles": lambda s, sf: tx.discover_articles(posts(s, sf), 2016, 2020),
     "article_report": _articles,
     "drive_counts": _drive_counts,
+    "import_job_rows": _job_rows,
+    "school_rows_saved": _saved_counts,
+    "link_index_file": _link_index_file,
+    "written_index": _written_index,
+    "written_drive_links": _written_drive_links,
+    "streamed_announcements": _streamed,
     "index_counts": lambda s, sf: files.index_counts(_index(s, sf)),
     "national_csv": lambda s, sf: files.check_national_rows(national_csv(s, sf)),
     "school_csv_rows": _school_csv,

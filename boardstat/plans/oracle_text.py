@@ -118,9 +118,10 @@ def _first(field: str) -> str:
 
 
 # ── school reports ───────────────────────────────────────────────────────────────────────────────────────────────────
-RANKED = SCHOOLS + """, rr as (select p.*, upper(s.name) as school, translate(upper(s.name), '0123456789', 'ABCDEFGHIJ')
+RANKED = SCHOOLS + """, rr as (select p.* replace (coalesce(p.rank, 0) as rank, coalesce(p.pass_rate,
+    floor((p.passers / p.takers) * 100.0::double * 100.0::double + 0.5) / 100.0::double) as pass_rate), upper(s.name) as school, translate(upper(s.name), '0123456789', 'ABCDEFGHIJ')
   as lettered, c.program_id, c.year, c.month from perf p join schools s on s.id = p.school_id
-  join cycles c on c.id = p.exam_result_id where rank is not null)"""
+  join cycles c on c.id = p.exam_result_id)"""
 GROUP = ("passers || ' ' || (takers - passers) || ' ' || takers || ' ' || printf('%.2f', pass_rate)")
 
 # The merged layout looked for in the corpus.
@@ -263,14 +264,22 @@ SQL: dict[str, str] = {
       school, takers, passers, pass_rate, null::varchar as region from rr union all
       select doc_id, line_no, (row_number() over (partition by doc_id order by line_no))::integer, school, takers,
         passers, rate, null from {CORPUS_MERGED}""",
-    "parse_school_reports": f"""{RANKED} select id as doc_id, 3 as line_no, 1 as rank, lettered as school, takers,
-      passers, pass_rate, null::varchar as region, 0 as source_no from rr union all
-      select id, 3, 1, lettered || ' ' || {GROUP} || '% 0 0 0 0.00%', takers,
-      floor(takers * pass_rate / 100 + 0.5)::integer, pass_rate, null, 1 from rr""",
-    "parse_topnotcher_lines": f"""{SCHOOLS} select id as doc_id, 1 as position, rank, 'DELA CRUZ,' as name,
-      'JUAN UNIVERSITY OF XYZ' as school, rating from top""",
+    "parse_school_reports": f"""{RANKED}, printed as (select rr.*, exam_result_id * 1000 + school_id // 25 as doc_id, copy,
+        case copy when 1 then lower(lettered) else lettered end as shown,
+        row_number() over (partition by exam_result_id, school_id // 25 order by school_id, copy) as place,
+        count(*) filter (where copy = 0) over (partition by exam_result_id, school_id // 25) as named
+        from rr join (values (0), (1)) k(copy) on copy = 0 or school_id % 4 = 0),
+      last as (select * from printed where copy = 1 or school_id % 4 <> 0)
+      select doc_id, (place + 2)::integer as line_no, place::integer as rank, shown as school, takers, passers, pass_rate,
+        null::varchar as region, 0 as source_no from last union all
+      select doc_id, (place + 2)::integer, place::integer, shown || ' ' || {GROUP} || '% 0 0 0 0.00%', takers,
+      floor(takers * pass_rate / 100 + 0.5)::integer, pass_rate, null, 1 from last where named < 20""",
+    "parse_topnotcher_lines": f"""{SCHOOLS} select id as doc_id, 1 as position, rank,
+      upper(translate(name, '#0123456789', '-ABCDEFGHIJ')) || ',' as name,
+      translate(upper(school), '_0123456789', ' ABCDEFGHIJ') as school, rating from top""",
     "parse_topnotcher_items": f"""{SCHOOLS} select id as doc_id, i::integer as position, i::integer as rank,
-      'DELA CRUZ, ANA' as name, replace(school, ' - Main', ' Main') as school, rating from top,
+      upper(translate(name, '#0123456789', ' ABCDEFGHIJ')) || ' ' || chr((64 + i)::integer) as name,
+      replace(school, ' - Main', ' Main') as school, rating from top,
       generate_series(1, 10) g(i)""",
     "json_rows": f"""{RANKED} select id as doc_id, 0 as row_no, rank, school, takers, passers, pass_rate,
       null::varchar as region from rr""",
@@ -353,6 +362,25 @@ SQL: dict[str, str] = {
       j as (select *, sum(start) over (order by id)::bigint as job_no from s)
       select job_no, exam_code, year, min(line_no) as first_line, count(*) as rows, count(*) filter (where done) as
       rows_affected from j group by job_no, exam_code, year""",
+    "import_job_rows": f"""{REGISTERED}, s as (select *, case when lag(exam_code) over (order by id) = exam_code
+        and lag(year) over (order by id) = year then 0 else 1 end as start from ordered),
+      j as (select *, sum(start) over (order by id)::bigint as job_no from s),
+      g as (select job_no, exam_code, year, count(*) as n, count(*) filter (where done) as saved from j group by all)
+      select job_no as id, a.id::bigint as program_id, year, case when saved = 0 or a.id is null then 'failed'
+      when saved < n then 'partial' else 'success' end as status, saved::integer as rows_affected,
+      saved || ' of ' || n || ' rows saved' as notes, '2026-01-02 04:05' as finished
+      from g left join (select * from programs where exam_code <> 'CPALE') a using (exam_code)""",
+    "school_rows_saved": f"""{RESENT} select exam_result_id, count(*) filter (where takers % 7 <> 0) as saved,
+      count(*) filter (where takers % 7 = 0) as failed from res group by exam_result_id""",
+    "link_index_file": f"""{AUDITED} {LINK_INDEX} select exam_code, year, month, url, source, post_id from link_index
+      where exam_code = 'CPALE'""",
+    "written_index": f"""{AUDITED} {LINK_INDEX} select exam_code, count(*) as csv_links, count(*) as json_links
+      from link_index group by exam_code""",
+    "written_drive_links": f"{REGISTERED} select year, 'ID_' || id as drive_file_id from ordered",
+    "streamed_announcements": f"""{INGESTED} select d.program_id, d.month, d.year, case when ok then x_takers else
+      c.total_takers end as total_takers, case when ok then x_passers else c.total_passers end as total_passers,
+      case when ok then x_rate else c.pass_rate end as pass_rate, case when ok then d.url else c.source_url end as
+      source_url from decided d join cycles c using (id)""",
     "delete_cycles": f"{AUDITED}, {BAD} select id from cycles where id not in (select id from bad)",
     "delete_audit": f"{AUDITED}, {BAD} select id as entity_id, 'delete' as action from bad",
     "clean_after_delete": f"""{AUDITED}, {BAD}, f as ({' union all '.join(NATIONAL_CHECKS[c] for c in (

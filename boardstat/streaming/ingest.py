@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..frames import scratch
 from ..operators.ingest import ingest_announcements
 from ..schemas import Tables
 
@@ -31,9 +32,10 @@ def _store(programs: DataFrame, target: str) -> Callable[[DataFrame, int], None]
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         tables = Tables(programs=programs, exam_results=snapshot(spark, target, number - 1))
-        result = ingest_announcements(batch, tables, mode="stream")
-        result.tables.exam_results.write.mode("overwrite").parquet(f"{target}/version={number}")
-        result.status.write.mode("overwrite").parquet(f"{target}-status/version={number}")
+        with scratch(spark):
+            result = ingest_announcements(batch, tables, mode="stream")
+            result.tables.exam_results.write.mode("overwrite").parquet(f"{target}/version={number}")
+            result.status.write.mode("overwrite").parquet(f"{target}-status/version={number}")
     return store
 
 

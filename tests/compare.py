@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 import traceback
@@ -89,7 +90,7 @@ def check(spark, con, name, query, sql, sf_dir) -> tuple[bool, str]:
 def main() -> None:
     import __spark_entry__ as e
     sf_dir = f"/root/testdata/{sys.argv[1]}"
-    spark, con = session(), duck(sf_dir)
+    spark, con = session(os.environ.get("CORES", "8")), duck(sf_dir)
     queries, oracle = e.queries(), e.oracle_sql()
     names = sys.argv[2:] or list(queries)
     names = [n for n in queries if n in names or any(p.endswith("*") and n.startswith(p[:-1]) for p in names)]
