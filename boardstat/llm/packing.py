@@ -11,6 +11,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
@@ -27,19 +28,6 @@ CAPACITY = 2048
 BUCKET_ROWS = 4096
 
 
-def _id_bytes(path: str, texts: list[bytes], words: tokens.Words) -> list[bytes]:
-    found: list[list[bytes]] = [[] for _ in texts]
-    if tokens._library(path)[1]:
-        for group in tokens.groups(texts):
-            for (row, _), values in zip(group, words.of([part for _, part in group])):
-                found[row].append(b"".join(values))
-    else:
-        for group in tokens.whole_groups(path, texts):
-            for (row, _), ids in zip(group, tokens.encode_whole(path, [part for _, part in group])):
-                found[row].append(words.value(ids))
-    return [b"".join(parts) for parts in found]
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, with_ids: bool = False,
            id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Token pieces of documents: their ids and then `end`, cut into pieces of `capacity` ids, the last one shorter.
@@ -51,29 +39,27 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, w
     schema = {id_column: None, "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
     if with_ids:
         schema["ids"] = pa.list_(pa.int32())
-    close = end.to_bytes(4, "little")
+    close = tokens.as_words([end])
 
     def cut(batches):
-        import numpy as np
-
-        words = tokens.Words(path, "ids")
-        for batch in shared.parts(batches):
-            rows = {name: [] for name in schema}
-            of = []
-            for row, data in enumerate(_id_bytes(path, shared.as_bytes(batch.column(1)), words)):
-                data += close
-                for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at:at + 4 * capacity]
-                    of.append(row)
-                    rows["piece"].append(piece)
-                    rows["start"].append(at // 4)
-                    rows["length"].append(len(part) // 4)
-                    rows["ids_crc32"].append(zlib.crc32(part))
-                    if with_ids:
-                        rows["ids"].append(np.frombuffer(part, "<u4").astype("int32"))
-            keys = batch.column(0).take(pa.array(of, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [keys, *(pa.array(rows[n], t) for n, t in schema.items() if t is not None)], list(schema))
+        for batch in batches:
+            for start, _, counts, ids in tokens.encoded(path, batch.column(1), True):
+                rows = {name: [] for name in schema}
+                of, ends = [], counts.cumsum()
+                for row, (n, stop) in enumerate(zip(counts.tolist(), ends.tolist())):
+                    data = ids[stop - n:stop].tobytes() + close
+                    for piece, at in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[at:at + 4 * capacity]
+                        of.append(start + row)
+                        rows["piece"].append(piece)
+                        rows["start"].append(at // 4)
+                        rows["length"].append(len(part) // 4)
+                        rows["ids_crc32"].append(zlib.crc32(part))
+                        if with_ids:
+                            rows["ids"].append(np.frombuffer(part, "<u4").astype("int32"))
+                keys = batch.column(0).take(pa.array(of, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [keys, *(pa.array(rows[n], t) for n, t in schema.items() if t is not None)], list(schema))
 
     columns = f"`{id_column}` {kind}, piece int, start long, length long, ids_crc32 long"
     return docs.select(id_column, text_column).mapInArrow(cut, columns + ", ids array<int>" * with_ids)

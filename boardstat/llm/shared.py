@@ -57,7 +57,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return [v or b"" for v in column.cast(kind).to_pylist()]
+    return column.cast(kind).fill_null(b"").to_numpy(zero_copy_only=False).tolist()
 
 
 def frame(spark: SparkSession, schema: dict[str, pa.DataType], rows: list[tuple]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Texts are encoded in Arrow batches that are dealt into groups of about `GROUP` bytes. A tokenizer that drops white
 space and never joins two words gives each word the same ids wherever it stands; its texts are cut into words, and the
-distinct words of a group that are not known yet are encoded by the library in one batch. Other tokenizers get whole
+distinct words of a group that are not known yet are encoded by the library in batches. Other tokenizers get whole
 texts, long ones cut between two words of ASCII letters, where their pre-tokenizers always cut. A null text is empty.
 """
 
@@ -23,12 +23,11 @@ from . import shared
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-GROUP = 1 << 20
-KNOWN_WORDS = 300_000
-STEMS = 500_000
+GROUP = 1 << 22
+STEMS = 700_000
 JOINED_WORDS = 4096
 LONG_TEXT = 1 << 16
-_FINAL = b".,;:!?#$%&*|)"
+_CUT = r"^(?P<stem>.*[0-9a-z])(?P<tail>[.,;:!?#$%&*|)]+)$"
 _BETWEEN_WORDS = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 
 
@@ -88,84 +87,109 @@ def safe_parts(path: str, text: str, size: int = LONG_TEXT) -> list[str]:
 
 
 class Words:
-    """Values of words, their number of ids or their ids as bytes, remembered by the Python worker.
+    """Ids of texts of a tokenizer that drops white space: each text's ids are its words' ids, one after another.
 
-    `known` has words as they stand. A new one is cut before its final ASCII punctuation, which pre-tokenizers of this
-    kind keep apart from a letter or digit before it, and looked up in lower case among `stems`; what is not there yet
-    goes to the library. Each table starts anew when it is full, at `KNOWN_WORDS` and `STEMS` words.
+    The words of a group of texts are made distinct by Arrow's dictionary encoding, in lower case, and cut before their
+    final ASCII punctuation, which pre-tokenizers of this kind keep apart from a letter or digit before it. Only the
+    distinct parts are looked up among `stems`, which the Python worker keeps and starts anew at `STEMS` words; what is
+    not there yet goes to the library.
     """
 
-    def __init__(self, path: str, kind: str):
-        self.path, self.kind = path, kind
-        cache = shared.worker_cache()
-        self.known = cache.setdefault(("known", kind, path), {})
-        self.stems = cache.setdefault(("stems", kind, path), {})
-
-    def value(self, ids: list[int]):
-        return len(ids) if self.kind == "count" else b"".join(i.to_bytes(4, "little") for i in ids)
-
-    def of(self, texts: list[bytes]) -> list[list]:
-        words = [t.split() for t in texts]
-        values = [list(map(self.known.get, w)) for w in words]
-        new = list({w for row, found in zip(words, values) for w, v in zip(row, found) if v is None})
-        if new:
-            if len(self.known) + len(new) > KNOWN_WORDS:
-                self.known.clear()
-            self._learn(new)
-            known = self.known
-            values = [[known[w] if v is None else v for w, v in zip(row, found)] for row, found in zip(words, values)]
-        return values
-
-    def _learn(self, new: list[bytes]) -> None:
-        stems, known = self.stems, self.known
-        cut, missing = [], set()
-        for word in new:
-            stem, tail = word if b"<|" in word else word.lower(), b""
-            if stem[-1] in _FINAL:
-                bare = stem.rstrip(_FINAL)
-                if bare[-1:].isalnum():
-                    stem, tail = bare, stem[len(bare):]
-                    if tail not in stems:
-                        missing.add(tail)
-            if stem not in stems:
-                missing.add(stem)
-            cut.append((stem, tail))
+    def __init__(self, path: str):
+        self.path = path
+        self.stems = shared.worker_cache().setdefault(("stems", path), {b"": b""})
+
+    def encode(self, texts: pa.Array, with_ids: bool):
+        """(number of ids of each text, ids of all texts or None)."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words = lists.flatten().dictionary_encode()
+        at, distinct = words.indices.to_numpy(), words.dictionary
+        cut = pc.extract_regex(distinct, _CUT)
+        stem, tail = pc.coalesce(pc.struct_field(cut, "stem"), distinct), pc.fill_null(pc.struct_field(cut, "tail"), "")
+        parts = pa.concat_arrays([stem, tail]).dictionary_encode()
+        values = self._values(shared.as_bytes(parts.dictionary))
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        of = parts.indices.to_numpy().reshape(2, -1)
+        lengths = sizes[of].sum(axis=0)
+        ends = np.r_[0, np.cumsum(lengths[at])][lists.offsets.to_numpy()]
+        ids = None
+        if with_ids:
+            ids = _gather(np.frombuffer(b"".join(values), "<u4"), sizes, of.T.ravel())
+            ids = _gather(ids, lengths, at)
+        return np.diff(ends), ids
+
+    def _values(self, parts: list[bytes]) -> list[bytes]:
+        stems = self.stems
+        values = list(map(stems.get, parts))
+        missing = [p for p, v in zip(parts, values) if v is None]
+        if not missing:
+            return values
         if len(stems) + len(missing) > STEMS:
             stems.clear()
-            missing = {part for pair in cut for part in pair if part}
-        self._encode(list(missing))
-        for word, (stem, tail) in zip(new, cut):
-            known[word] = stems[stem] + stems[tail] if tail else stems[stem]
+            stems[b""] = b""
+        self._learn(missing)
+        return [stems[p] if v is None else v for p, v in zip(parts, values)]
 
-    def _encode(self, missing: list[bytes]) -> None:
+    def _learn(self, missing: list[bytes]) -> None:
         ends = _word_ends(self.path)
         plain, rest = [], []
         for data, word in zip(missing, b" ".join(missing).decode().split(" ")):
-            latin = ends is not None and word.isalpha() and (word.isascii() or max(word) < "\u0250")
+            latin = ends is not None and word.isalpha() and (word.isascii() or max(word) < "\u0250" and word == word.lower())
             (plain if latin else rest).append((data, word))
         for start in range(0, len(plain), JOINED_WORDS):
             part = plain[start:start + JOINED_WORDS]
-            if not self._encode_joined(part, ends):
+            if not self._learn_joined(part, ends):
                 rest += part
         for (data, _), ids in zip(rest, encode_whole(self.path, [word for _, word in rest])):
-            self.stems[data] = self.value(ids)
+            self.stems[data] = as_words(ids)
 
-    def _encode_joined(self, part: list[tuple[bytes, str]], ends) -> bool:
-        """Words of Latin letters in one text: each is one pre-token, whose last id alone carries the end mark."""
+    def _learn_joined(self, part: list[tuple[bytes, str]], ends) -> bool:
+        """Lower-case words of Latin letters in one text: normalizing leaves them alone, each is one pre-token, and its last
+        id alone carries the end mark."""
         import numpy as np
 
-        ids = np.array(encode_whole(self.path, [" ".join([word for _, word in part])])[0], "<u4")
+        text = " ".join([word for _, word in part])
+        ids = np.array(_plain(self.path).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         last = np.flatnonzero(ends[ids]) + 1
         if len(last) != len(part):
             return False
-        bounds, data = [0, *last.tolist()], ids.tobytes()
-        if self.kind == "count":
-            self.stems.update((key, b - a) for (key, _), a, b in zip(part, bounds, bounds[1:]))
-        else:
-            self.stems.update((key, data[4 * a:4 * b]) for (key, _), a, b in zip(part, bounds, bounds[1:]))
+        bounds, data = [0, *(4 * last).tolist()], ids.tobytes()
+        self.stems.update((key, data[a:b]) for (key, _), a, b in zip(part, bounds, bounds[1:]))
         return True
 
 
+def as_words(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return b"".join(i.to_bytes(4, "little") for i in ids)
+
+
+def _gather(values, sizes, at):
+    """The runs of `values`, whose lengths are `sizes`, in the order `at`, one after another."""
+    import numpy as np
+
+    starts, wanted = np.cumsum(sizes) - sizes, sizes[at]
+    shift = starts[at] - (np.cumsum(wanted) - wanted)
+    return values[np.repeat(shift, wanted) + np.arange(wanted.sum())]
+
+
+def _plain(path: str):
+    """The same tokenizer without normalizing, its words split at white space: for words that need no more."""
+    from tokenizers import Tokenizer
+
+    cache = shared.worker_cache()
+    if ("plain", path) not in cache:
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        after = parts["pre_tokenizer"].get("pretokenizers", [])[1:]
+        parts |= {"normalizer": None,
+                  "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *after]}}
+        cache["plain", path] = Tokenizer.from_str(json.dumps(parts))
+    return cache["plain", path]
+
+
 def _word_ends(path: str):
     """Per id whether it ends a pre-token, for vocabularies that mark it; otherwise None."""
     import numpy as np
@@ -181,47 +205,68 @@ def _word_ends(path: str):
     return cache["ends", path]
 
 
-def groups(texts: list[bytes], size: int = GROUP) -> Iterator[list[tuple[int, bytes]]]:
-    """(row, part) lists of about `size` bytes each; a text over `size` is cut at white space over several lists."""
-    found, total = [], 0
-    for row, text in enumerate(texts):
-        for part in shared.slices(text, size):
-            found.append((row, part))
-            total += len(part)
-            if total >= size:
-                yield found
-                found, total = [], 0
-    if found:
-        yield found
-
+def _row_groups(texts: pa.Array, size: int = GROUP) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `size` bytes; a longer row, or one that may hold a special token, comes alone."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lengths = pc.binary_length(texts).to_numpy()
+    alone = (lengths > size) | pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for row in range(len(texts)):
+        if alone[row] or total >= size:
+            if start < row:
+                yield start, row
+            start, total = row, 0
+            if alone[row]:
+                yield row, row + 1
+                start = row + 1
+                continue
+        total += int(lengths[row])
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def encoded(path: str, texts: pa.Array, with_ids: bool) -> Iterator[tuple[int, int, object, object]]:
+    """(first row, end row, number of ids of each row, their ids or None) of a text column, in groups of rows."""
+    import numpy as np
 
-def whole_groups(path: str, texts: list[bytes], size: int = GROUP) -> Iterator[list[tuple[int, str]]]:
-    """The same for tokenizers that need white space: parts from `safe_parts`."""
+    texts = texts.cast(pa.string()).fill_null("")
+    if not _library(path)[1]:
+        for row, text in enumerate(texts.to_pylist()):
+            ids = [i for part in _part_groups(safe_parts(path, text)) for found in encode_whole(path, part) for i in found]
+            yield row, row + 1, np.array([len(ids)]), np.array(ids, "<u4") if with_ids else None
+        return
+    words = Words(path)
+    for start, end in _row_groups(texts):
+        group = texts.slice(start, end - start)
+        if end - start > 1 or len(data := group[0].as_buffer().to_pybytes()) <= GROUP and b"<|" not in data:
+            yield start, end, *words.encode(group, with_ids)
+            continue
+        counts, found = 0, []
+        for part in shared.slices(data, GROUP):
+            if b"<|" in part:
+                ids = np.array(encode_whole(path, [part.decode()])[0], "<u4")
+            else:
+                n, ids = words.encode(pa.array([part.decode()]), with_ids)
+                counts += int(n[0])
+            counts += len(ids) if b"<|" in part else 0
+            found.append(ids)
+        yield start, end, np.array([counts]), np.concatenate(found) if with_ids else None
+
+
+def _part_groups(parts: list[str], size: int = GROUP) -> Iterator[list[str]]:
     found, total = [], 0
-    for row, text in enumerate(texts):
-        for part in safe_parts(path, text.decode()):
-            found.append((row, part))
-            total += len(part)
-            if total >= size:
-                yield found
-                found, total = [], 0
+    for part in parts:
+        found.append(part)
+        total += len(part)
+        if total >= size:
+            yield found
+            found, total = [], 0
     if found:
         yield found
 
 
-def lengths(path: str, texts: list[bytes], words: Words) -> list[int]:
-    counts = [0] * len(texts)
-    if _library(path)[1]:
-        for group in groups(texts):
-            for (row, _), values in zip(group, words.of([part for _, part in group])):
-                counts[row] += sum(values)
-    else:
-        for group in whole_groups(path, texts):
-            for (row, _), ids in zip(group, encode_whole(path, [part for _, part in group])):
-                counts[row] += len(ids)
-    return counts
-
-
 def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text",
                  limit: int = 2048) -> DataFrame:
     """One row per row of `docs`: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
@@ -231,12 +276,12 @@ def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
     kind = dict(docs.dtypes)[id_column]
 
     def count(batches):
-        words = Words(path, "count")
-        for batch in shared.parts(batches):
-            texts = shared.as_bytes(batch.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array(lengths(path, texts, words), pa.int64())], [id_column, "n_bytes", "n_tokens"])
+        for batch in batches:
+            for start, end, counts, _ in encoded(path, batch.column(1), False):
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(t) for t in shared.as_bytes(part.column(1))], pa.int64()),
+                     pa.array(counts, pa.int64())], [id_column, "n_bytes", "n_tokens"])
 
     rows = docs.select(id_column, text_column).mapInArrow(count, f"`{id_column}` {kind}, n_bytes long, n_tokens long")
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -1,4 +1,5 @@
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -44,11 +45,11 @@ def test_safe_parts_keep_the_ids(path):
 
 
 def test_full_tables_start_anew(monkeypatch):
-    monkeypatch.setattr(tokens, "KNOWN_WORDS", 10)
-    words = tokens.Words(WORD, "count")
+    monkeypatch.setattr(tokens, "STEMS", 10)
+    words = tokens.Words(WORD)
     for seed in range(5):
         text = prose(seed, 50) + ", end."
-        assert sum(words.of([text.encode()])[0]) == library_count(WORD, text)
+        assert words.encode(pa.array([text]), False)[0].tolist() == [library_count(WORD, text)]
 
 
 def test_empty_table(spark):
