@@ -24,7 +24,7 @@ from . import shared
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GROUP = 1 << 22
-STEMS = 700_000
+STEMS = 500_000
 JOINED_WORDS = 4096
 LONG_TEXT = 1 << 16
 _CUT = r"^(?P<stem>.*[0-9a-z])(?P<tail>[.,;:!?#$%&*|)]+)$"
