@@ -9,6 +9,7 @@ from ..frames import literal_map
 from ..registry import NAME_ABBREVIATIONS, PROGRAMS, REGION_HINTS, SEARCH_ALIASES, Program
 
 
+# The patterns of the next three functions.
 def normalize_school(name: Column) -> Column:
     """Canonical school name: campus suffix off, abbreviations spelled out, all-caps names in title case."""
     out = F.regexp_replace(F.trim(F.coalesce(name, F.lit(""))), r"(?i)\s*[-–—]\s*(main|campus|main campus)\s*$", "")

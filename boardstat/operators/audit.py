@@ -28,7 +28,7 @@ CHECKS: dict[str, tuple[str, str, str]] = {
     "exam_content_mismatch": ("critical", "Exam content mismatch", "Delete row; fix index and re-ingest"),
     "slug_mismatch": ("warning", "URL slug mismatch", "Verify source URL matches program; delete if wrong exam"),
     "duplicate_stats": ("warning", "Duplicate stats across cycles",
-                        "Spot-check both cycles; delete duplicate if mislabeled"),
+                        "Spot-check both cycles; delete duplicate if same exam mislabeled"),
     "placeholder_row": ("warning", "Placeholder row (0 takers)",
                         "Delete placeholder or re-ingest with summary stats"),
     "unexpected_month": ("info", "Unexpected exam month", "Confirm exam was held that month; fix month label if wrong"),

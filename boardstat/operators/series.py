@@ -136,6 +136,7 @@ def series_stats(cycles: DataFrame) -> DataFrame:
         F.min("year").alias("year_from"), F.max("year").alias("year_to"), *_totals())
 
 
+# The wording of the sentences below.
 def rate_insight_text() -> Column:
     """One sentence on the pass-rate series, from the first rule that applies."""
     n, first, last = F.col("cycle_count"), F.col("first"), F.col("last")

@@ -85,6 +85,7 @@ def extract_summary(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.withColumn("_stats", summary_stats(F.col(text))).select("*", "_stats.*").drop("_stats")
 
 
+# The wording for both teacher exams.
 DUAL = (rf"(?is){NUMBER}\s+elementary teachers?\s+out\s+of\s+{NUMBER}\s+examinees?\s*\(([\d.]+)%?\).*?"
         rf"{NUMBER}\s+secondary teachers?\s+out\s+of\s+{NUMBER}\s+examinees?\s*\(([\d.]+)%?\)")
 
@@ -435,6 +436,7 @@ def _read_tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"page_id": batch["page_id"], "tables": tables})
 
 
+# What a cell of a header or another table starts with.
 MONTH_START = (r"(?i)^(January|February|March|April|May|June|July|August|September|October|November|December|"
                r"Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\b")
 HEADER_START = r"(?i)^(School|Institution|Name|Examinee|Passer|Passed|Total|Seq|No\.?)\b"

@@ -137,7 +137,7 @@ def registered(spark: SparkSession, sf_dir: str) -> Tables:
 def _segment_lines(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", *extra)
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    customers = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name")
+    customers = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     return (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .join(customers, F.col("o_custkey") == F.col("c_custkey"))
             .withColumn("year", F.year("o_orderdate") + 20)
@@ -200,7 +200,8 @@ def _school_tables(spark: SparkSession, sf_dir: str) -> Tables:
                            [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber"),
                             F.asc("l_partkey"), F.asc("l_suppkey")], 10, "rank")
         schools = _schools(spark, sf_dir).select(F.col("id").alias("l_suppkey"), F.col("name").alias("school"))
-        return (_segment_cycles(best, programs).join(schools, "l_suppkey")
+        people = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+        return (_segment_cycles(best, programs).join(schools, "l_suppkey").join(people, "c_custkey")
                 .select((F.col("cycle_id") * 100 + F.col("rank")).alias("id"),
                         F.col("cycle_id").alias("exam_result_id"), F.col("rank").cast("int").alias("rank"),
                         F.col("c_name").alias("name"), F.concat("school", F.lit(" - Main")).alias("school"),

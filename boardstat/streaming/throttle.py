@@ -44,16 +44,23 @@ def _hits(events: DataFrame, partners: Iterable[int], limit: int) -> DataFrame:
 
 def _stretches(batches: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
     """Rows sorted by (key, stretch) as one (key, stretch, arrays ...) per stretch, across batch limits."""
-    rest = None
+    held: list[pd.DataFrame] = []
     for batch in batches:
-        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if not len(batch):
+            continue
+        held.append(batch)
+        ends = (held[0][c].iloc[0] == batch[c].iloc[-1] for c in ("key", "stretch"))
+        if all(ends):  # the stretch goes on: joined once, when it is whole
+            continue
+        rest = pd.concat(held, ignore_index=True)
         key, stretch = rest["key"].to_numpy(), rest["stretch"].to_numpy()
         cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (stretch[1:] != stretch[:-1])) + 1)]
         arrays = [rest[c].to_numpy() for c in columns]
         for low, high in zip(cuts, cuts[1:]):
             yield key[low], stretch[low], *(a[low:high] for a in arrays)
-        rest = rest.iloc[cuts[-1]:]
-    if rest is not None and len(rest):
+        held = [rest.iloc[cuts[-1]:]]
+    if held:
+        rest = pd.concat(held, ignore_index=True)
         yield rest["key"].iloc[0], rest["stretch"].iloc[0], *(rest[c].to_numpy() for c in columns)
 
 
@@ -76,9 +83,10 @@ def throttle_events(events: DataFrame, limit: int = 60, window_ms: int = 60_000,
 
     Where a window opens depends on where the one before it opened, but only through a single number. So each stretch of
     `slots` window lengths of a key is read on its own: for every moment that can open its first window it is worked out
-    where its last one opens. Only those short lists are followed from stretch to stretch in order; then each stretch
-    marks its windows, and the requests of a window are counted by a plain window function. No task sees more than one
-    stretch of a key, and a stretch is bounded by its milliseconds, not by its requests.
+    where its last one opens. Later first openings never lead to earlier last ones, so neighbours with the same outcome
+    are one interval. Only these few intervals are followed from stretch to stretch in order; then each stretch marks its
+    windows, and the requests of a window are counted by a plain window function. No task sees more than one stretch of
+    a key, but for its intervals, and a stretch is bounded by its milliseconds, not by its requests.
     """
     length = window_ms + 1  # openings are further apart than a window, so at most one falls into a slot
     span = slots * length
@@ -92,8 +100,10 @@ def throttle_events(events: DataFrame, limit: int = 60, window_ms: int = 60_000,
                 if following[i] < len(at):
                     last[i] = last[following[i]]
             first = min(len(at), int(np.searchsorted(at, stretch * span + length)) + 1)
-            yield {"key": np.full(first, key), "stretch": np.full(first, stretch), "entry": at[:first],
-                   "last": at[last[:first]]}
+            outcome = at[last[:first]]
+            ends = np.flatnonzero(np.r_[outcome[1:] != outcome[:-1], True])
+            yield {"key": np.full(len(ends), key), "stretch": np.full(len(ends), stretch), "entry": at[ends],
+                   "last": outcome[ends]}
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, key, opened, found = None, None, NONE, True
@@ -101,24 +111,20 @@ def throttle_events(events: DataFrame, limit: int = 60, window_ms: int = 60_000,
             rows = []
             for k, stretch, entry, last in batch.itertuples(index=False):
                 if (k, stretch) != here:
-                    if not found:
-                        rows.append((*here, NONE, opened))
                     opened = opened if k == key else NONE
                     here, key, found = (k, stretch), k, False
+                    rows.append((k, stretch, opened))
                 if not found and (opened == NONE or entry > opened + window_ms):
-                    rows.append((k, stretch, entry, opened))
                     opened, found = last, True
-            yield pd.DataFrame(rows, columns=["key", "stretch", "entry", "before"])
-        if not found:
-            yield pd.DataFrame([(*here, NONE, opened)], columns=["key", "stretch", "entry", "before"])
+            yield pd.DataFrame(rows, columns=["key", "stretch", "before"])
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
-        for key, _, at, hits, tier, entry, before in _stretches(batches, "at_ms", "hits", "limit", "entry", "before"):
-            opening, starts = entry[0], [before[0]]
-            while opening != NONE:
-                starts.append(opening)
-                nxt = int(np.searchsorted(at, opening + window_ms, "right"))
-                opening = at[nxt] if nxt < len(at) else NONE
+        for key, _, at, hits, tier, before in _stretches(batches, "at_ms", "hits", "limit", "before"):
+            starts = [before[0]]
+            nxt = 0 if before[0] == NONE else int(np.searchsorted(at, before[0] + window_ms, "right"))
+            while nxt < len(at):
+                starts.append(at[nxt])
+                nxt = int(np.searchsorted(at, at[nxt] + window_ms, "right"))
             place = np.maximum(np.searchsorted(np.array(starts), at, "right") - 1, 0)
             yield {"key": np.full(len(at), key), "at_ms": at, "hits": hits, "limit": tier,
                    "opened": np.array(starts)[place]}
@@ -129,7 +135,7 @@ def throttle_events(events: DataFrame, limit: int = 60, window_ms: int = 60_000,
     lists = in_order(moments.select("key", "stretch", "at_ms")).mapInPandas(
         lambda batches: _gathered(openings(batches)), "key long, stretch long, entry long, last long")
     entries = (lists.repartition("key").sortWithinPartitions("key", "stretch", "entry")
-               .mapInPandas(follow, "key long, stretch long, entry long, before long"))
+               .mapInPandas(follow, "key long, stretch long, before long"))
     marked = in_order(moments.join(entries, ["key", "stretch"])).mapInPandas(
         lambda batches: _gathered(mark(batches)), "key long, at_ms long, hits long, limit long, opened long")
     earlier = Window.partitionBy("key", "opened").orderBy("at_ms").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,6 +1,8 @@
 """Results that no cut may bend: wide files, far years, long decimals, all rows, and what jobs leave behind."""
 
 import os
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from boardstat.operators import ingest, rankings, search, writes
 from boardstat.plans import bindings as b
 from boardstat.schemas import Tables
 from boardstat.sources import files
+from boardstat.streaming import throttle
 
 from .conftest import SF
 
@@ -112,3 +115,19 @@ def test_log_rows_get_the_next_ids(spark):
     new = spark.createDataFrame([("c", 2), ("b", 1)], "action string, arrival long")
     got = {r["id"]: r["action"] for r in ingest.append_log(old, new).collect()}
     assert got == {5: "a", 6: "b", 7: "c"}
+
+
+def test_one_busy_key_is_throttled_like_a_replay(spark):
+    draw = random.Random(6)
+    moments = [(1, draw.randrange(2_000_000)) for _ in range(6000)] + [(2, draw.randrange(9_000_000)) for _ in range(300)]
+    expected, hits = [], Counter(moments)
+    for key in (1, 2):
+        count, reset = 0, None
+        for at in sorted({m for k, m in moments if k == key}):
+            n = hits[key, at]
+            count, reset, allowed, rejected, retry = throttle._step(at, n, 3, 700, count, reset)
+            expected.append((key, at, n, allowed, rejected, retry))
+    frame = spark.createDataFrame(moments, "key long, at long").select("key", F.timestamp_millis("at").alias("ts"))
+    for slots in (4, 256):
+        got = throttle.throttle_events(frame, limit=3, window_ms=700, slots=slots).collect()
+        assert sorted(tuple(r) for r in got) == sorted(expected)
