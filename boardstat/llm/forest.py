@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from boardstat.frames import materialize
 
-from . import shared
+from .shared import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -225,7 +225,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int =
     found = paired.groupBy(*key, "i", "j").applyInArrow(lambda t: _compare(t, threshold), "rep long, links long, peer long")
     found = materialize(found, "found")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = shared.components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")))
+    roots = components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")))
     known = materialize(
         classes.join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
         .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),

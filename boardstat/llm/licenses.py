@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
-from . import shared
+from .shared import as_bytes, small_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -202,8 +202,8 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, cov
 
     def scan(batches):
         scanner = Scanner(templates, coverage)
-        for batch in shared.parts(batches):
-            rows = [(at, *found) for at, text in enumerate(shared.as_bytes(batch.column(1)))
+        for batch in small_batches(batches):
+            rows = [(at, *found) for at, text in enumerate(as_bytes(batch.column(1)))
                     for found in scanner.scan(text.decode())]
             columns = list(zip(*rows)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays(

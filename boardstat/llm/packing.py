@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from boardstat.frames import materialize
 
-from . import shared, tokens
+from .shared import frame
+from .tokens import as_words, encoded
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -39,11 +40,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, w
     schema = {id_column: None, "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
     if with_ids:
         schema["ids"] = pa.list_(pa.int32())
-    close = tokens.as_words([end])
+    close = as_words([end])
 
     def cut(batches):
         for batch in batches:
-            for start, _, counts, ids in tokens.encoded(path, batch.column(1), True):
+            for start, _, counts, ids in encoded(path, batch.column(1), True):
                 rows = {name: [] for name in schema}
                 of, ends = [], counts.cumsum()
                 for row, (n, stop) in enumerate(zip(counts.tolist(), ends.tolist())):
@@ -121,7 +122,7 @@ def pack(parts: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFr
     kept = [c for c in parts.columns if c not in ("sequence_id", "offset")]
     parts = materialize(parts.select(kept), "pieces")
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = shared.frame(spark, dict.fromkeys(["length", "_rank_from", "_n", "_sequence_from", "_offset"], pa.int64()),
+    plan = frame(spark, dict.fromkeys(["length", "_rank_from", "_n", "_sequence_from", "_offset"], pa.int64()),
                         best_fit(counts, capacity))
     buckets = -(-sum(counts.values()) // BUCKET_ROWS) or 1
     parts = parts.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from boardstat.frames import materialize
 
-from . import shared
+from .shared import as_bytes, slices, small_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -48,7 +48,7 @@ def statistics(text: bytes) -> list[float]:
     previous = None
     for start in range(0, len(text), 1 << 20):
         bytes_seen += np.bincount(np.frombuffer(text[start:start + (1 << 20)], np.uint8), minlength=256)
-    for part in shared.slices(text, 1 << 20):
+    for part in slices(text, 1 << 20):
         found = part.split()
         words.update(found)
         lines.update(part.split(b"\n"))
@@ -86,8 +86,8 @@ def document_statistics(docs: DataFrame, id_column: str = "doc_id", text_column:
     kind = dict(docs.dtypes)[id_column]
 
     def measure(batches):
-        for batch in shared.parts(batches):
-            rows = [statistics(t) for t in shared.as_bytes(batch.column(1))]
+        for batch in small_batches(batches):
+            rows = [statistics(t) for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))],
                                              [id_column, "stats"])
 
@@ -174,7 +174,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_co
 
     def sums(batches):
         total = np.zeros((FEATURES + 1, FEATURES + 2))
-        for batch in shared.parts(batches):
+        for batch in small_batches(batches):
             if len(batch):
                 z = model.features(_matrix(batch.column(0)))
                 total += z.T @ np.column_stack([z, batch.column(1).to_numpy()])
@@ -195,7 +195,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_co
     model.weights = np.linalg.solve(gram + penalty, equations[:, -1])
 
     def raw(batches):
-        for batch in shared.parts(batches):
+        for batch in small_batches(batches):
             values = model.features(_matrix(batch.column(0))) @ model.weights if len(batch) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([pa.array(values), batch.column(1)], ["raw", "y"])
 
@@ -211,7 +211,7 @@ def scored(stats: DataFrame, model: Model, id_column: str = "doc_id", threshold:
     kind = dict(stats.dtypes)[id_column]
 
     def score(batches):
-        for batch in shared.parts(batches):
+        for batch in small_batches(batches):
             values = model.score(_matrix(batch.column(1))) if len(batch) else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], [id_column, "score"])
 
@@ -235,11 +235,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def keep(batches):
         at = columns.index("text")
-        for batch in shared.parts(batches):
+        for batch in small_batches(batches):
             if len(batch):
                 import numpy as np
 
-                rows = np.array([statistics(t) for t in shared.as_bytes(batch.column(at))])
+                rows = np.array([statistics(t) for t in as_bytes(batch.column(at))])
                 yield batch.filter(pa.array(model.score(rows) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -26,7 +26,7 @@ def worker_cache() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
-def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Arrow batches in smaller pieces, so a step holds the texts and results of few rows at a time.
 
     The cyclic garbage collector rests meanwhile: the steps make millions of small objects and no cycles.

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from boardstat.frames import materialize
 
-from . import shared
+from .shared import as_bytes, components, slices, small_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -48,7 +48,7 @@ def _fingerprint(text: bytes) -> int:
         else:
             votes += bits.sum(axis=0, dtype=np.int64)
 
-    for part in shared.slices(text.lower(), PART):
+    for part in slices(text.lower(), PART):
         words = last + part.split()
         if len(words) >= SHINGLE:
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
@@ -75,8 +75,8 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     def hashes(batches):
         import numpy as np
 
-        for batch in shared.parts(batches):
-            found = np.array([_fingerprint(t) for t in shared.as_bytes(batch.column(1))], np.uint64)
+        for batch in small_batches(batches):
+            found = np.array([_fingerprint(t) for t in as_bytes(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], [id_column, "fp"])
 
     return docs.select(id_column, text_column).mapInArrow(hashes, f"`{id_column}` {kind}, fp long")
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     prints = materialize(fingerprints(docs, id_column, text_column).withColumnRenamed(id_column, "id"), "fingerprints")
     points = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "points")
-    roots = shared.components(links(points, chunk))
+    roots = components(links(points, chunk))
     points = points.join(roots, points["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     least = points.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from boardstat.frames import materialize
 
-from . import shared
+from .shared import small_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -174,7 +174,7 @@ _TOKENS = "host string, token string, times long, chars long, linked long, page
 
 def _tokens(batches):
     """(host, token, times, chars, linked, page) per page and distinct token; a token is a path, or a path and a text."""
-    for batch in shared.parts(batches):
+    for batch in small_batches(batches):
         rows = {n: [] for n in ("token", "times", "chars", "linked")}
         of = []
         for at, html in enumerate(batch.column(1).to_pylist()):
@@ -255,7 +255,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
         "page_id", "url", "html", "top", "fixed")
 
     def read(batches):
-        for batch in shared.parts(batches):
+        for batch in small_batches(batches):
             found = []
             for html, top, fixed in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4))):
                 page = Page(html or "")

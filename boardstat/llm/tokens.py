@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from .shared import as_bytes, slices, worker_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -46,7 +46,7 @@ def drops_white_space(path: str) -> bool:
 
 def _library(path: str):
     """The tokenizer of a file and whether it drops white space, kept by the Python worker."""
-    cache = shared.worker_cache()
+    cache = worker_cache()
     if ("library", path) not in cache:
         cache["library", path] = _load(path)
     return cache["library", path]
@@ -97,7 +97,7 @@ class Words:
 
     def __init__(self, path: str):
         self.path = path
-        self.stems = shared.worker_cache().setdefault(("stems", path), {b"": b""})
+        self.stems = worker_cache().setdefault(("stems", path), {b"": b""})
 
     def encode(self, texts: pa.Array, with_ids: bool):
         """(number of ids of each text, ids of all texts or None)."""
@@ -110,7 +110,7 @@ class Words:
         cut = pc.extract_regex(distinct, _CUT)
         stem, tail = pc.coalesce(pc.struct_field(cut, "stem"), distinct), pc.fill_null(pc.struct_field(cut, "tail"), "")
         parts = pa.concat_arrays([stem, tail]).dictionary_encode()
-        values = self._values(shared.as_bytes(parts.dictionary))
+        values = self._values(as_bytes(parts.dictionary))
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
         of = parts.indices.to_numpy().reshape(2, -1)
         lengths = sizes[of].sum(axis=0)
@@ -179,7 +179,7 @@ def _plain(path: str):
     """The same tokenizer without normalizing, its words split at white space: for words that need no more."""
     from tokenizers import Tokenizer
 
-    cache = shared.worker_cache()
+    cache = worker_cache()
     if ("plain", path) not in cache:
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
@@ -194,7 +194,7 @@ def _word_ends(path: str):
     """Per id whether it ends a pre-token, for vocabularies that mark it; otherwise None."""
     import numpy as np
 
-    cache = shared.worker_cache()
+    cache = worker_cache()
     if ("ends", path) not in cache:
         with open(path, encoding="utf-8") as file:
             mark = json.load(file)["model"].get("end_of_word_suffix")
@@ -244,7 +244,7 @@ def encoded(path: str, texts: pa.Array, with_ids: bool) -> Iterator[tuple[int, i
             yield start, end, *words.encode(group, with_ids)
             continue
         counts, found = 0, []
-        for part in shared.slices(data, GROUP):
+        for part in slices(data, GROUP):
             if b"<|" in part:
                 ids = np.array(encode_whole(path, [part.decode()])[0], "<u4")
             else:
@@ -280,7 +280,7 @@ def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
             for start, end, counts, _ in encoded(path, batch.column(1), False):
                 part = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(t) for t in shared.as_bytes(part.column(1))], pa.int64()),
+                    [part.column(0), pa.array([len(t) for t in as_bytes(part.column(1))], pa.int64()),
                      pa.array(counts, pa.int64())], [id_column, "n_bytes", "n_tokens"])
 
     rows = docs.select(id_column, text_column).mapInArrow(count, f"`{id_column}` {kind}, n_bytes long, n_tokens long")

@@ -50,8 +50,8 @@ def test_statistics_do_not_depend_on_the_cut(monkeypatch):
     text = ODD_TEXTS[8].encode()
     whole = quality.statistics(text)
     assert len(whole) == quality.STATISTICS == len(quality.statistics(b""))
-    real = quality.shared.slices
-    monkeypatch.setattr(quality.shared, "slices", lambda data, size: real(data, 1000))
+    real = quality.slices
+    monkeypatch.setattr(quality, "slices", lambda data, size: real(data, 1000))
     assert quality.statistics(text)[:15] == pytest.approx(whole[:15]) and quality.statistics(text)[19:23] == pytest.approx(whole[19:23])
 
 
