@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from boardstat.frames import materialize
 
-from .shared import frame
+from .shared import frame, lean
 from .tokens import as_words, encoded
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, w
     close = as_words([end])
 
     def cut(batches):
-        for batch in batches:
+        for batch in lean(batches):
             for start, _, counts, ids in encoded(path, batch.column(1), True):
                 rows = {name: [] for name in schema}
                 of, ends = [], counts.cumsum()

@@ -26,6 +26,13 @@ def worker_cache() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches; what Arrow has freed meanwhile goes back to the system after each."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Arrow batches in smaller pieces, so a step holds the texts and results of few rows at a time.
 
@@ -33,7 +40,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
     """
     gc.disable()
     try:
-        for batch in batches:
+        for batch in lean(batches):
             for start in range(0, len(batch), rows):
                 yield batch.slice(start, rows)
     finally:
@@ -84,7 +91,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         larger = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         larger = materialize(larger, "links")
-        least = materialize(larger.groupBy("u").agg(F.min("v").alias("m")), "least")
+        # every node has few smaller neighbours now, so this minimum needs no table of its own
+        least = larger.groupBy("u").agg(F.min("v").alias("m"))
         rest = larger.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = materialize(rest.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         before, state = state, _state(links)

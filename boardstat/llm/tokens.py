@@ -19,12 +19,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, slices, worker_cache
+from .shared import as_bytes, lean, slices, worker_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-GROUP = 1 << 22
-STEMS = 500_000
+GROUP = 1 << 21
+STEMS = 300_000
 JOINED_WORDS = 4096
 LONG_TEXT = 1 << 16
 _CUT = r"^(?P<stem>.*[0-9a-z])(?P<tail>[.,;:!?#$%&*|)]+)$"
@@ -276,7 +276,7 @@ def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
     kind = dict(docs.dtypes)[id_column]
 
     def count(batches):
-        for batch in batches:
+        for batch in lean(batches):
             for start, end, counts, _ in encoded(path, batch.column(1), False):
                 part = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays(
