@@ -1,8 +1,10 @@
 """Embedding near-duplicates by a forest of random-projection trees with spill overlap.
 
-Each tree splits the vectors at the median of a random projection, again and again; a vector close to a split goes to
-both sides. The trees are fitted on a bounded sample and route every vector. Vectors are compared inside the leaves
-only, in double precision; a pair that shares leaves of several trees counts in the first leaf it shares.
+Each tree splits the vectors near the median of a random projection, again and again; a vector close to a split goes to
+both sides. The band of a split is as wide as the projected distance of a pair at the threshold, times a margin, whatever
+the node holds; a node so dense that the band would hold much of it is not split. The trees are fitted on a bounded
+sample and route every vector. Vectors are compared inside the leaves only, in double precision; a pair that shares
+leaves of several trees counts in the first leaf it shares.
 """
 
 from __future__ import annotations
@@ -23,8 +25,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 THRESHOLD = 0.93
 TREES = 6
-#: Part of the sample on each side of a split that also goes to the other side.
-SPILL = 0.08
+#: Width of a split's band in standard deviations of the projected difference of a pair at the threshold; a split can part
+#: a pair only if its projected difference is wider.
+MARGIN = 1.5
+#: A split whose band would hold more of the sample than this lowers no comparisons: 2 * ((1 + 0.4) / 2)^2 is about 1.
+DENSE = 0.4
+#: Directions tried for a split, of which the one with the emptiest band is taken.
+TRIES = 3
 #: Vectors of one label that a leaf should hold; leaves beyond twice that are compared in blocks of this size.
 LEAF = 1024
 #: Bound of the sample that the trees are fitted on, and the fewest sample vectors that a split is fitted on.
@@ -57,24 +64,42 @@ class Tree:
         return rows, nodes
 
 
-def grow(sample, depth: int, seed: int) -> Tree:
-    """A tree fitted on a sample of unit vectors; a node whose sample is a single point sends it both ways."""
+def grow(sample, depth: int, seed: int, threshold: float = THRESHOLD) -> Tree:
+    """A tree fitted on a sample of unit vectors. A node too dense to split sends all to its left child, as does what is
+    below it, so it is one leaf; a node without a sample sends all both ways."""
     import numpy as np
 
-    draw, inner = np.random.default_rng(seed), (1 << depth) - 1
-    tree = Tree(draw.normal(size=(inner, sample.shape[1])), np.zeros(inner), np.zeros(inner), depth)
+    draw, inner, size = np.random.default_rng(seed), (1 << depth) - 1, sample.shape[1]
+    tree = Tree(np.zeros((inner, size)), np.zeros(inner), np.zeros(inner), depth)
+    half = MARGIN * np.sqrt(2 * (1 - threshold) / size) / 2
     held = [sample]
     for level in range(depth):
         below = []
         for place, rows in enumerate(held):
             at = place + (1 << level) - 1
-            if len(rows):
-                projected = rows @ tree.directions[at]
-                tree.low[at], tree.high[at] = np.quantile(projected, [0.5 - SPILL, 0.5 + SPILL])
-                middle = np.median(projected)
-                below += [rows[projected <= middle], rows[projected > middle]]
-            else:
+            tree.low[at] = tree.high[at] = np.inf
+            if rows is None:
+                below += [None, None]
+                continue
+            if not len(rows):
+                tree.low[at] = -np.inf
                 below += [rows, rows]
+                continue
+            best = (DENSE, 0.0, None)
+            for direction in draw.normal(size=(TRIES, size)):
+                direction /= np.linalg.norm(direction)
+                projected = np.sort(rows @ direction)
+                cuts = np.quantile(projected, np.linspace(0.4, 0.6, 9))
+                inside = np.searchsorted(projected, cuts + half, "right") - np.searchsorted(projected, cuts - half)
+                k = int(inside.argmin())
+                best = min(best, (inside[k] / len(rows), cuts[k], direction), key=lambda x: x[0])
+            _, cut, direction = best
+            if direction is None:
+                below += [None, None]
+                continue
+            tree.directions[at], tree.low[at], tree.high[at] = direction, cut - half, cut + half
+            projected = rows @ direction
+            below += [rows[projected <= cut], rows[projected > cut]]
         held = below
     return tree
 
@@ -214,7 +239,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int =
         sample /= np.linalg.norm(sample, axis=1, keepdims=True)
         deepest = int(np.log2(max(1, len(sample) // SPLIT_ROWS)))
         depth = min(deepest, int(np.ceil(np.log2(max(1, most / leaf_rows)))))
-        forests[width] = [grow(sample, depth, SEED + 1000 * width + t) for t in range(trees if depth else 1)]
+        forests[width] = [grow(sample, depth, SEED + 1000 * width + t, threshold)
+                          for t in range(trees if depth else 1)]
     routed = _routed(classes, forests)
     key = ["width", "label", "leaf"]
     sizes = materialize(routed.groupBy(*key).count(), "leaf-sizes").where("count > 1").withColumn(

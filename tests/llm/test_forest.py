@@ -71,3 +71,25 @@ def test_a_pair_counts_in_its_first_shared_leaf():
     assert forest._first_shared(a, b, 5).tolist() == [True, True]
     assert forest._first_shared(a, b, 9).tolist() == [False, False]
     assert forest._first_shared(a, b, 7).tolist() == [False, True]
+
+
+def test_deep_trees_keep_the_pairs_of_a_dense_group():
+    """Depth 9 is what a label of 262,144 distinct vectors gets; a third of them are near copies of one vector."""
+    draw, n, d = np.random.default_rng(5), 16_384, 64
+    for noise in (0.23, 0.5):  # mean cosine within the group about 0.95 and 0.8
+        vectors = draw.normal(size=(n, d)) / np.sqrt(d)
+        vectors[:n // 3] = vectors[0] / np.linalg.norm(vectors[0]) + draw.normal(size=(n // 3, d)) * noise / np.sqrt(d)
+        vectors[n // 6:n // 3] = vectors[:n // 3 - n // 6] + draw.normal(size=(n // 3 - n // 6, d)) * 0.35 / np.sqrt(d)
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        a = np.r_[np.arange(n // 3 - n // 6), draw.integers(0, n // 6, 4000)]
+        b = np.r_[np.arange(n // 3 - n // 6) + n // 6, draw.integers(0, n // 6, 4000)]
+        near = (vectors[a] * vectors[b]).sum(axis=1) >= forest.THRESHOLD
+        a, b = a[near], b[near]
+        found = np.zeros(len(a), bool)
+        for t in range(forest.TREES):
+            rows, leaves = forest.grow(vectors, 9, t).leaves(vectors)
+            held = [set() for _ in range(n)]
+            for row, leaf in zip(rows.tolist(), leaves.tolist()):
+                held[row].add(leaf)
+            found |= np.array([bool(held[x] & held[y]) for x, y in zip(a, b)])
+        assert len(a) > 1000 and found.mean() >= 0.999
