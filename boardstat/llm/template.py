@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import sys
 from collections import Counter, defaultdict
+from hashlib import blake2b
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -25,9 +26,10 @@ from .shared import small_batches
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A class belongs to the template if its tokens are on this part of the host's pages, on two pages at least, and it has
-#: this many tokens.
+#: this many tokens. Texts of the slot need this many pages that differ in their other text.
 SUPPORT = 0.5
 CLASS_TOKENS = 3
+WITNESSES = 3
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr br img svg math picture source".split())
@@ -159,7 +161,7 @@ def extract(page: Page, top: str, fixed: set[str]) -> str:
     for path, text, block in page.texts:
         if path not in known:
             known[path] = _within(path, top) and not beside(path[len(top):].lstrip("/"))
-        if known[path] and not (fixed and f"{path}\t{text.strip()}" in fixed):
+        if known[path] and not (fixed and _text_token(path, text) in fixed):
             blocks[block].append(text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(line for line in lines if line)
@@ -169,29 +171,72 @@ def _host(url: str) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)", 1))
 
 
-_TOKENS = "host string, token string, times long, chars long, linked long, page long"
+def _text_token(path: str, text: str) -> str:
+    """Token of a text node: its path and text; of a long text its start and a hash of the whole."""
+    text = text.strip()
+    if len(text) >= 200:
+        text = f"{text[:40]}\t{blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
+    return f"{path}\t{text}"
+
+
+_TOKENS = "host string, page long, tokens array<struct<token:string,times:long,chars:long,linked:long>>"
 
 
 def _tokens(batches):
-    """(host, token, times, chars, linked, page) per page and distinct token; a token is a path, or a path and a text."""
+    """(host, page, tokens) per page: its distinct tokens; a token is a path, or a path and a text. `chars` of a path is
+    its own text, that of a text its length."""
     for batch in small_batches(batches):
         rows = {n: [] for n in ("token", "times", "chars", "linked")}
-        of = []
-        for at, html in enumerate(batch.column(1).to_pylist()):
+        ends = [0]
+        for html in batch.column(1).to_pylist():
             page = Page(html or "")
             chars, linked = _own_text(page)
             times = Counter(page.elements)
-            times.update(f"{path}\t{text.strip()}" for path, text, _ in page.texts if text.strip() and len(text) < 200)
-            of.extend([at] * len(times))
+            for path, text, _ in page.texts:
+                if text.strip():
+                    token = _text_token(path, text)
+                    times[token] += 1
+                    chars[token] += len(text.strip())
             rows["token"].extend(times)
             rows["times"].extend(times.values())
             rows["chars"].extend(chars.get(t, 0) for t in times)
             rows["linked"].extend(linked.get(t, 0) for t in times)
-        at = pa.array(of, pa.int64())
+            ends.append(len(rows["token"]))
+        fields = [pa.array(rows["token"], pa.string()), *(pa.array(rows[n], pa.int64()) for n in ("times", "chars", "linked"))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at), pa.array(rows["token"], pa.string()),
-             *(pa.array(rows[n], pa.int64()) for n in ("times", "chars", "linked")), batch.column(2).take(at)],
-            ["host", "token", "times", "chars", "linked", "page"])
+            [batch.column(0), batch.column(2),
+             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, list(rows)))],
+            ["host", "page", "tokens"])
+
+
+def _witnessed(batches):
+    """(host, token, rest) per page and each of the host's fixed texts it has in the slot: a hash of its other text there.
+    A page whose other text is shorter than its fixed texts bears no witness: it may be a copy of an article."""
+    for batch in small_batches(batches):
+        found = []
+        hosts, pages, tops, slots = (batch.column(c).to_pylist() for c in range(4))
+        known: dict[tuple[str, str], bool] = {}
+        for host, tokens, top, texts in zip(hosts, pages, tops, slots):
+            texts, has, rest, size = set(texts), [], [], 0
+            for token in tokens:
+                path, tab, _ = token["token"].partition("\t")
+                if not tab:
+                    continue
+                if (path, top) not in known:
+                    known[path, top] = _within(path, top) and not beside(path[len(top):].lstrip("/"))
+                if known[path, top]:
+                    if token["token"] in texts:
+                        has.append(token["token"])
+                        size -= token["chars"]
+                    else:
+                        rest.append(token["token"])
+                        size += token["chars"]
+            if has and rest and size >= 0:
+                digest = int.from_bytes(blake2b("\n".join(sorted(rest)).encode(), digest_size=8).digest(), "big", signed=True)
+                found.extend((host, token, digest) for token in has)
+        columns = list(zip(*found)) if found else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()),
+                                          pa.array(columns[2], pa.int64())], ["host", "token", "rest"])
 
 
 def _template(table: pa.Table) -> pa.Table:
@@ -229,18 +274,27 @@ def _around(path: str) -> list[str]:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, top, fixed) per host with a template: the path of its article slot and the texts that belong to the template.
 
-    Occurrence vectors are compared by their length, sum and hash, which are added up page by page before any shuffle,
-    so a host with a third of all pages costs no task more than its own tokens.
+    Pages of equal html count once. Occurrence vectors are compared by their length, sum and hash, which are added up
+    page by page before any shuffle, so a host with a third of all pages costs no task more than its own tokens. A text
+    of the slot is the template's only if enough pages that have it differ in their other text, so copied articles stay.
     """
-    rows = pages.select(_host("url").alias("host"), "html", F.xxhash64("page_id", "url", "html").alias("page"))
-    tokens = rows.mapInArrow(_tokens, _TOKENS).groupBy("host", "token").agg(
+    rows = pages.select(_host("url").alias("host"), "html", F.xxhash64("html").alias("page")).where("host <> ''")
+    known = materialize(rows.mapInArrow(_tokens, _TOKENS).groupBy("host", "page").agg(F.first("tokens").alias("tokens")),
+                        "page-tokens")
+    tokens = known.select("host", "page", F.inline("tokens")).groupBy("host", "token").agg(
         F.count("*").alias("pages"), F.sum("times").alias("times"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"),
         F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
+    sizes = materialize(known.groupBy("host").agg(F.count("*").alias("host_pages")), "host-pages")
     common = (materialize(tokens.where("pages > 1"), "tokens").join(sizes, "host")
-              .where((F.col("pages") >= SUPPORT * F.col("host_pages")) & (F.col("host") != "")).drop("host_pages"))
-    return materialize(common.groupBy("host").applyInArrow(_template, "host string, top string, fixed array<string>"),
-                       "templates")
+              .where(F.col("pages") >= SUPPORT * F.col("host_pages")).drop("host_pages"))
+    specs = materialize(common.groupBy("host").applyInArrow(_template, "host string, top string, fixed array<string>"),
+                        "templates")
+    seen = known.join(specs.where("size(fixed) > 0"), "host").select("host", "tokens", "top", "fixed")
+    texts = (seen.mapInArrow(_witnessed, "host string, token string, rest long").distinct().groupBy("host", "token").count()
+             .join(sizes, "host").where((F.col("count") >= WITNESSES) & (F.col("count") >= SUPPORT * F.col("host_pages")))
+             .groupBy("host").agg(F.array_sort(F.collect_list("token")).alias("kept")))
+    return materialize(specs.join(texts, "host", "left").select(
+        "host", "top", F.coalesce("kept", F.array().cast("array<string>")).alias("fixed")), "specs")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

@@ -56,3 +56,25 @@ def test_repeated_articles_are_not_template(spark):
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "page_id long, url string, html string")
     assert template.main_texts(frame).collect() == []
+
+
+def test_copied_articles_of_unmarked_hosts_are_kept(spark):
+    """Short paragraphs that half of the pages share because they are copies, equal or with a line of their own."""
+    def page(i, body, line=""):
+        paragraphs = "".join(f"<p>{prose(body * 10 + k, 9)}</p>" for k in range(6))
+        return f"{HEAD}<div id='top'><a href='/'>Home</a></div><div id='page'>{paragraphs}{line}</div><div class='legal'>Imprint</div></body></html>"
+
+    def text(body):
+        return "\n\n".join(prose(body * 10 + k, 9) for k in range(6))
+
+    cases = [("two.example.com", [(1, ""), (1, "")]), ("four.example.com", [(2, ""), (2, ""), (3, ""), (4, "")]),
+             ("lines.example.com", [(5, f"<p>seen {i} times</p>") for i in range(4)] + [(6, ""), (7, "")])]
+    rows, wanted = [], {}
+    for host, bodies in cases:
+        for body, line in bodies:
+            i = len(rows)
+            rows.append((i, f"http://{host}/{i}", page(i, body, line)))
+            wanted[i] = text(body) + (f"\n\n{line[3:-4]}" if line else "")
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in template.main_texts(frame).collect()}
+    assert {i: wanted[i] in t for i, t in got.items()} == dict.fromkeys(wanted, True)
