@@ -30,6 +30,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SUPPORT = 0.5
 CLASS_TOKENS = 3
 WITNESSES = 3
+#: In a slot marked as an article, a text is the template's only if this part of the text of its element is the template's.
+OWN = 0.8
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr br img svg math picture source".split())
@@ -137,19 +139,24 @@ def choose(chars: dict[str, int], linked: dict[str, int]) -> tuple[str, bool]:
     return max(full, key=lambda p: (p.count("/"), total[p], p), default=""), False
 
 
+def _home(path: str) -> str:
+    """The path of the element that is not inline and holds a text of this path."""
+    parts = path.split("/")
+    depth = len(parts)
+    while depth and parts[depth - 1].split(".")[0].split("#")[0] in INLINE:
+        depth -= 1
+    return "/".join(parts[:depth])
+
+
 def _own_text(page: Page) -> tuple[Counter, Counter]:
     chars, linked = Counter(), Counter()
     for path in page.elements:
         chars[path] += 0
     for path, text, _ in page.texts:
-        parts = path.split("/")
-        depth = len(parts)
-        while depth and parts[depth - 1].split(".")[0].split("#")[0] in INLINE:
-            depth -= 1
-        home = "/".join(parts[:depth])
+        home = _home(path)
         n = len(text.strip())
         chars[home] += n
-        if any(p == "a" or p.startswith(("a.", "a#")) for p in parts[depth:]):
+        if any(p == "a" or p.startswith(("a.", "a#")) for p in path[len(home):].split("/")):
             linked[home] += n
     return chars, linked
 
@@ -261,7 +268,14 @@ def _template(table: pa.Table) -> pa.Table:
                 chars[home] += row["chars"]
                 linked[home] += row["linked"]
     top, marked = choose(chars, linked)
-    fixed = [] if marked else sorted(row["token"] for row in valid if "\t" in row["token"])
+    texts = [(row, _home(row["token"].partition("\t")[0])) for row in valid if "\t" in row["token"]]
+    if marked:
+        # a marked article's own elements hold texts that differ by page, those of notices inside it do not
+        own, ours = {row["token"]: row["chars"] for row in rows}, Counter()
+        for row, home in texts:
+            ours[home] += row["chars"]
+        texts = [(row, home) for row, home in texts if _within(home, top) and ours[home] >= OWN * own.get(home, 0) > 0]
+    fixed = sorted(row["token"] for row, _ in texts)
     return pa.table({"host": [rows[0]["host"]], "top": [top], "fixed": pa.array([fixed], pa.list_(pa.string()))})
 
 

@@ -78,3 +78,22 @@ def test_copied_articles_of_unmarked_hosts_are_kept(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in template.main_texts(frame).collect()}
     assert {i: wanted[i] in t for i, t in got.items()} == dict.fromkeys(wanted, True)
+
+
+def test_template_texts_inside_the_slot_go(spark):
+    """Notices under a neutral class in a marked article, and a long one on a host without marks."""
+    long = "Read more of us every week. " * 12
+    rows, wanted = [], {}
+    for i in range(8):
+        body = f"<p>{prose(i, 70)}</p><p>{prose(i + 50, 8)}</p>"
+        notices = f"<div class='k7'><p>Sign up here</p></div><p class='z'>{long}</p>"
+        rows.append((i, f"http://a.example.com/{i}", f"{HEAD}<nav>n</nav><article><h1>T {i}</h1>{body}{notices}</article></body></html>"))
+        wanted[i] = f"T {i}\n\n{prose(i, 70)}\n\n{prose(i + 50, 8)}"
+        rows.append((i + 20, f"http://b.example.com/{i}", f"{HEAD}<div id='top'>x</div><div id='page'>{body}<div>{long}</div></div></body></html>"))
+        wanted[i + 20] = f"{prose(i, 70)}\n\n{prose(i + 50, 8)}"
+    # a page without the notices, and one whose notice is another
+    for i, notice in ((40, ""), (41, "<div class='k7'><p>Closed today</p></div>")):
+        rows.append((i, f"http://a.example.com/{i}", f"{HEAD}<nav>n</nav><article><h1>T {i}</h1><p>{prose(i, 70)}</p>{notice}</article></body></html>"))
+        wanted[i] = f"T {i}\n\n{prose(i, 70)}" + ("\n\nClosed today" if notice else "")
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in template.main_texts(frame).collect()} == wanted
