@@ -11,7 +11,8 @@ import re
 import sys
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Set
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -55,8 +56,87 @@ warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Gen
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "GPL-2.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "LGPL-2.1": """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser
+General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option)
+any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more
+details.""",
+    "LGPL-3.0": """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser
+General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more
+details.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero
+General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more
+details.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice,
+this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
+notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF
+THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice,
+this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
+notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT
+HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES
+OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1 notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0 notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0 notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "Apache notice": "Released under the Apache License.",
+    "BSD notice": "Released under the BSD License.",
+    "CC-BY-4.0 short notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0 notice": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0 notice": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0 notice": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-SA-4.0 long notice":
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0 long notice":
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0 long notice":
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0 long notice":
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0 long notice":
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
 }
 
+#: Words that tell a license from its relatives: those a template has must be aligned, and a place where only such words
+#: stand between two words that follow each other in the template is another license's.
+NAMES = frozenset("mit apache bsd cc nc sa nd noncommercial sharealike noderivatives lesser affero".split())
+BETWEEN = NAMES | frozenset("non commercial share alike no derivatives derivs noderivs library".split())
+NUMBER = re.compile(r"[0-9]+")
+
+
+def distinguishing(template: list[str]) -> set[str]:
+    """A template's names and the numbers of its version, which follow `version`, a name, or one another."""
+    found: list[int] = []
+    for place, word in enumerate(template):
+        before = template[place - 1] if place else ""
+        if word in NAMES or (NUMBER.fullmatch(word) and (before in ("version", "by", "attribution") or place - 1 in found)):
+            found.append(place)
+    return {template[place] for place in found}
+
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
@@ -143,6 +223,7 @@ class Scanner:
 
     def __init__(self, templates: Mapping[str, str], coverage: float):
         self.coverage, self.templates, self.marks = coverage, {}, {}
+        self.counts, self.needed = {}, {}
         for name, template in templates.items():
             known = words(template)
             if known:
@@ -152,11 +233,16 @@ class Scanner:
                         break
                     marks.add(word)
                     n += counts[word]
-                self.templates[name], self.marks[name] = known, marks
+                self.templates[name], self.marks[name], self.counts[name] = known, marks, counts
+                self.needed[name] = distinguishing(known)
         self.all_marks = sorted(set().union(*self.marks.values())) if self.marks else []
 
     def scan(self, text: str) -> Iterator[tuple[str, float, int, int, int]]:
-        """(license, coverage, matched, first_word, end_word) of the best place of each template that reaches it."""
+        """(license, coverage, matched, first_word, end_word) of the best place of each template that reaches it.
+
+        A word counts for one license: places are taken by aligned words, then coverage, and what a place has taken is
+        no part of another; a place that loses words so is aligned again without them.
+        """
         low = text.lower()
         if not any(mark in low for mark in self.all_marks):
             return
@@ -166,26 +252,46 @@ class Scanner:
         for place, word in enumerate(found):
             if word in marks:
                 places.setdefault(word, []).append(place)
+        order = {name: k for k, name in enumerate(self.templates)}
+        heap = []
         for name, template in self.templates.items():
             hits = sorted(p for mark in self.marks[name] for p in places.get(mark, ()))
-            best = max(self._windows(found, template, hits), default=None)
-            if best:
-                matched, first, end = best[0], -best[1], best[2]
-                yield name, matched / len(template), matched, first, end
-
-    def _windows(self, found: list[str], template: list[str], hits: list[int]) -> Iterator[tuple[int, int, int]]:
-        """Alignments (matched, -first, end) in windows of three template lengths around the marks; consecutive windows
-        overlap by two lengths, so a place of up to two lengths is inside one."""
-        n, need = len(template), self.coverage * len(template) - 1e-9
-        counts = Counter(template)
-        for block in sorted({k for p in hits for k in range(max(0, p // n - 2), p // n + 1)}):
-            window = found[block * n:(block + 3) * n]
-            here = Counter(w for w in window if w in counts)
-            if sum(min(k, counts[w]) for w, k in here.items()) < need:
+            n = len(template)
+            for block in sorted({k for p in hits for k in range(max(0, p // n - 2), p // n + 1)}):
+                heap += self._place(found, name, order[name], block)
+        heapify(heap)
+        best: dict[str, tuple] = {}
+        taken: set[int] = set()
+        while heap:
+            matched, _, first, _, block, name, words_at = heappop(heap)
+            if not taken.isdisjoint(words_at):
+                for again in self._place(found, name, order[name], block, taken):
+                    heappush(heap, again)
                 continue
-            pairs = align(window, template)
-            if len(pairs) >= need:
-                yield len(pairs), -(block * n + pairs[0][0]), block * n + pairs[-1][0] + 1
+            taken.update(words_at)
+            best.setdefault(name, (name, -matched / len(self.templates[name]), -matched, first, words_at[-1] + 1))
+        yield from (best[name] for name in self.templates if name in best)
+
+    def _place(self, found: list[str], name: str, order: int, block: int, taken: Set[int] = frozenset()) -> list[tuple]:
+        """The alignment in a window of three template lengths as an entry of the heap, if it reaches the threshold;
+        consecutive windows overlap by two lengths, so a place of up to two lengths is inside one."""
+        template, counts = self.templates[name], self.counts[name]
+        n, need = len(template), self.coverage * len(template) - 1e-9
+        start = block * n
+        window = found[start:start + 3 * n]
+        if taken:
+            window = ["" if start + k in taken else word for k, word in enumerate(window)]
+        here = Counter(w for w in window if w in counts)
+        if sum(min(k, counts[w]) for w, k in here.items()) < need:
+            return []
+        pairs = align(window, template)
+        if len(pairs) < need or not self.needed[name] <= {template[q] for _, q in pairs}:
+            return []
+        for (a, c), (b, d) in zip(pairs, pairs[1:]):
+            if d == c + 1 and b > a + 1 and all(word in BETWEEN for word in window[a + 1:b]):
+                return []
+        at = [start + p for p, _ in pairs]
+        return [(-len(pairs), -len(pairs) / n, at[0], order, block, name, at)]
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: float = COVERAGE,
@@ -193,7 +299,8 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, cov
     """One row per document and license whose words it covers: id, license, coverage, matched, first_word, end_word.
 
     The place is the one with the most aligned words, the first of several; words are lower-case runs of letters and
-    digits, and an aligned place lies within two template lengths of text. Null and empty texts have none; repeated
+    digits, and an aligned place lies within two template lengths of text. The names and version of a template must be
+    aligned, and a word counts for one license only. Null and empty texts have none; repeated
     rows are scanned each.
     """
     kind = dict(docs.dtypes)[id_column]

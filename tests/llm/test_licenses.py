@@ -79,3 +79,24 @@ def test_marks_lose_no_document():
 
 def test_empty_table(spark):
     assert licenses.scan_licenses(documents(spark, [])).collect() == []
+
+
+def test_relatives_are_told_apart():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+
+    def names(text):
+        return {x[0] for x in scanner.scan(f"{prose(1, 30)}. {text} {prose(2, 30)}")}
+
+    assert names("Licensed under CC BY 4.0.") == {"CC-BY-4.0 short notice"}
+    assert names("Licensed under CC BY-NC 4.0.") == {"CC-BY-NC-4.0 notice"}
+    assert names("Licensed under CC BY-NC 4.0. And CC BY-NC 4.0. Licensed under CC BY 4.0.") >= {
+        "CC-BY-NC-4.0 notice", "CC-BY-4.0 short notice"}
+    assert names("Released under the Apache License.") == {"Apache notice"}
+    assert names("Released under the Zlib License.") == set()
+    assert names("This work is licensed under the GNU General Public License, version 2.") == {"GPL-2.0 notice"}
+    assert names("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.") == {
+        "CC-BY-SA-4.0 long notice"}
+    for name, text in licenses.TEMPLATES.items():
+        assert name in names(text)
+        if name.startswith(("GPL", "LGPL", "AGPL", "BSD", "CC")):
+            assert names(text) == {name}
