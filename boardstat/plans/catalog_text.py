@@ -335,17 +335,38 @@ def _saved_counts(spark, sf: str) -> DataFrame:
         F.col("school"))))
 
 
-def _link_index_file(spark, sf: str) -> DataFrame:
-    """The link index written as one JSON array per program and read back for one program."""
+#: About as many links as one array of a written index holds.
+ARRAY_LINKS = 10_000
+
+
+def link_arrays(links: DataFrame, most: int = ARRAY_LINKS) -> DataFrame:
+    """JSON arrays (value) of the links of a program, dealt by a hash of the link into arrays of about `most` links."""
+    rows = links.withColumn("row", F.to_json(F.struct(*links.columns)))
+    sizes = links.groupBy("exam_code").agg(F.ceil(F.count("*") / most).alias("arrays")).withColumnRenamed("exam_code", "of")
+    dealt = rows.join(sizes, F.col("exam_code").eqNullSafe(F.col("of"))).withColumn(
+        "array", F.pmod(F.xxhash64("row"), F.col("arrays")))
+    return dealt.groupBy("exam_code", "array").agg(F.concat(
+        F.lit("[\n"), F.array_join(F.collect_list("row"), ",\n"), F.lit("\n]")).alias("value")).select("value")
+
+
+def _link_index_path(spark, sf: str) -> str:
     def build() -> str:
-        rows = _index(spark, sf).withColumn("row", F.to_json(F.struct(*_index(spark, sf).columns)))
-        arrays = rows.groupBy("exam_code").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("row"), ",\n"), F.lit(
-            "\n]")).alias("value"))
         path = fresh_path(spark, "link-index")
-        arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+        link_arrays(_index(spark, sf)).write.option("maxRecordsPerFile", 1).text(path)
         return path
-    path = _written(spark, "link_index", sf, build)
-    return files.read_link_index(spark, path, "CPALE").select("exam_code", "year", "month", "url", "source", "post_id")
+    return _written(spark, "link_index", sf, build)
+
+
+def _link_index_file(spark, sf: str) -> DataFrame:
+    """The link index written as JSON arrays per program and read back for one program."""
+    return files.read_link_index(spark, _link_index_path(spark, sf), "CPALE").select(
+        "exam_code", "year", "month", "url", "source", "post_id")
+
+
+def _link_index_files(spark, sf: str) -> DataFrame:
+    """The link index written as JSON arrays per program and read back whole."""
+    return files.read_link_index(spark, _link_index_path(spark, sf)).select(
+        "exam_code", "year", "month", "url", "source", "post_id")
 
 
 def _written_index(spark, sf: str) -> DataFrame:
@@ -624,6 +645,7 @@ QUERIES = {
     "import_job_rows": _job_rows,
     "school_rows_saved": _saved_counts,
     "link_index_file": _link_index_file,
+    "link_index_files": _link_index_files,
     "written_index": _written_index,
     "written_drive_links": _written_drive_links,
     "streamed_announcements": _streamed,

@@ -387,6 +387,7 @@ SQL: dict[str, str] = {
       count(*) filter (where takers % 7 = 0) as failed from res group by exam_result_id""",
     "link_index_file": f"""{AUDITED} {LINK_INDEX} select exam_code, year, month, url, source, post_id from link_index
       where exam_code = 'CPALE'""",
+    "link_index_files": f"{AUDITED} {LINK_INDEX} select exam_code, year, month, url, source, post_id from link_index",
     "written_index": f"""{AUDITED} {LINK_INDEX} select exam_code, count(*) as csv_links, count(*) as json_links
       from link_index group by exam_code""",
     "written_drive_links": f"{REGISTERED} select year, 'ID_' || id as drive_file_id from ordered",

@@ -157,3 +157,15 @@ def test_throttle_batch_and_stream(spark, tmp_path):
              .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
     query.awaitTermination()
     assert {(r.key, r.at_ms): (r.allowed, r.rejected) for r in spark.table("throttled").collect()} == want
+
+
+def test_links_of_a_program_are_written_in_several_arrays(spark, tmp_path):
+    rows = [("CELE", 2019, f"u{i}") for i in range(500)] + [(None, 2018, "v"), ("ALE", 2018, "w"), ("ALE", 2018, "w")]
+    links = spark.createDataFrame(rows, "exam_code string, year int, url string")
+    arrays = [json.loads(r.value) for r in catalog_text.link_arrays(links, most=50).collect()]
+    assert 8 <= len(arrays) <= 12 and max(map(len, arrays)) <= 100
+    assert all(len({x.get("exam_code") for x in a}) == 1 for a in arrays)
+    catalog_text.link_arrays(links, most=50).write.option("maxRecordsPerFile", 1).text(str(tmp_path / "index"))
+    back = files.read_link_index(spark, str(tmp_path / "index"))
+    key = lambda r: (str(r[0]), r[1], r[2])
+    assert sorted((tuple(r) for r in back.select("exam_code", "year", "url").collect()), key=key) == sorted(rows, key=key)
