@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, forest, licenses, packing, quality, revisits, simhash, template, tokens
+from . import (chat, codes, decontaminate, filters, forest, licenses, packing, passages, quality, revisits, simhash, template,
+               tokens)
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -67,10 +68,26 @@ def op10_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_turns(*chat.swapped_replies(table(spark, sf_dir, "conversations")))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings in four integer codebooks."""
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages that earlier ones have; the kept words as a hash."""
+    rows = passages.without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every order of five filters removes, by source."""
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_best_fit_packing, op3_benchmark_decontamination, op4_embedding_near_duplicates,
     op5_html_extraction, op6_warc_revisits, op7_license_scan, op8_token_counts, op9_simhash_near_duplicates,
-    op10_preference_formatting)}
+    op10_preference_formatting, op11_vector_codes, op12_substring_dedup, op13_filter_interactions)}
 
 REVISITS_ORACLE = r"""
 WITH k AS (
@@ -116,4 +133,5 @@ SELECT record_id, url_key, r.id AS target_id, state,
 FROM final"""
 
 ORACLE = {"op3_benchmark_decontamination": decontaminate.ORACLE, "op6_warc_revisits": REVISITS_ORACLE,
-          "op10_preference_formatting": chat.ORACLE}
+          "op10_preference_formatting": chat.ORACLE, "op11_vector_codes": codes.ORACLE,
+          "op12_substring_dedup": passages.ORACLE, "op13_filter_interactions": filters.ORACLE}
