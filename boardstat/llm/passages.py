@@ -28,24 +28,24 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WINDOW, SEED_WORDS = 13, 5
 #: Distinct stretches whose windows one automaton is compiled from.
 SHARD = 16_384
-_STRETCHES = "id long, row long, seed long, stretch long, at int, text string"
 _KEPT = "n_words long, n_removed long, kept string"
 
 
-def _batch_words(texts: list[bytes]):
-    """The words of all texts, the text number of each, and the hash of each word."""
+def _batch_words(texts: pa.Array):
+    """The words of all texts as one array, their number in each text, and a hash of each word."""
     import numpy as np
+    import pyarrow.compute as pc
     import xxhash
 
-    words, sizes = [], []
-    for text in texts:
-        found = text.split()
-        words += found
-        sizes.append(len(found))
-    column = pa.array(words, pa.large_binary()).dictionary_encode()
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in column.dictionary.to_pylist()], np.uint64)
-    hashes = hashes[column.indices.to_numpy()] if words else np.zeros(0, np.uint64)
-    return words, np.repeat(np.arange(len(texts)), sizes), hashes
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts.cast(pa.large_string()).fill_null("")))
+    sizes, words = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten()
+    empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    if empty.any():  # a blank text is one empty word
+        sizes -= np.add.reduceat(empty, np.cumsum(sizes) - sizes) if len(sizes) else 0
+        words = words.filter(pa.array(~empty))
+    column = words.dictionary_encode()
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in column.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
+    return words, sizes, hashes[column.indices.to_numpy()]
 
 
 def _mix(hashes, n: int):
@@ -60,20 +60,22 @@ def _mix(hashes, n: int):
     return total
 
 
-def _window_seeds(texts: list[bytes]):
-    """(words, window starts, their text numbers, seed places, seed hashes) of all windows of all texts."""
+def _window_seeds(texts: pa.Array):
+    """(words, words before each text, window starts, their text numbers, seed places, seed hashes) of all windows."""
     import numpy as np
 
-    words, owner, hashes = _batch_words(texts)
+    words, sizes, hashes = _batch_words(texts)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     short = _mix(hashes, SEED_WORDS)
     size = max(len(words) - WINDOW + 1, 0)
     # the low bits hold the place inside the window, so the leftmost of equal hashes is the least
     best = np.full(size, np.iinfo(np.uint64).max, np.uint64)
+    high = short & ~np.uint64(15)
     for j in range(WINDOW - SEED_WORDS + 1):
-        np.minimum(best, (short[j:j + size] & ~np.uint64(15)) | np.uint64(j), out=best)
+        np.minimum(best, high[j:j + size] | np.uint64(j), out=best)
     places = np.arange(size) + (best & np.uint64(15)).astype(np.int64)
     starts = np.flatnonzero(owner[:size] == owner[WINDOW - 1:WINDOW - 1 + size])
-    return words, starts, owner[starts], places[starts], short[places[starts]].view(np.int64)
+    return words, np.cumsum(sizes) - sizes, starts, owner[starts], places[starts], short[places[starts]].view(np.int64)
 
 
 def _runs(*columns):
@@ -87,27 +89,51 @@ def _runs(*columns):
 
 
 def seeds(texts: DataFrame) -> DataFrame:
-    """(id, seed) of all windows of (id, row, packed) texts, once per text."""
+    """(row, seed) of all windows of (row, text) rows, once per row."""
 
     def find(batches):
         import numpy as np
 
         for batch in small_batches(batches):
-            ids = batch.column(0).to_numpy()
-            _, _, owner, _, seed = _window_seeds(_unpacked(batch.column(2)))
+            rows = batch.column(0).to_numpy()
+            *_, owner, _, seed = _window_seeds(batch.column(1))
             first = _runs(owner, seed)
             owner, seed = owner[first], seed[first]
             order = np.lexsort((seed, owner))
             owner, seed = owner[order], seed[order]
             first = _runs(owner, seed)
-            owner, seed = owner[first], seed[first]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(seed)], ["id", "seed"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[owner[first]]), pa.array(seed[first])], ["row", "seed"])
+
+    return texts.mapInArrow(find, "row long, seed long")
+
+
+def shared_seeds(found: DataFrame) -> DataFrame:
+    """(row, seeds): for every text the seeds that another text has too, if there are any.
+
+    Rows are sorted in ranges, so a seed that many texts have spans many tasks; each row looks at its neighbours only.
+    Seeds that go on from range to range are known by a small table of ends, two rows per range.
+    """
+    ranges = materialize(found.repartitionByRange("seed", "row").withColumn("range", F.spark_partition_id()), "ranges")
+    ends = ranges.groupBy("range").agg(F.min(F.struct("seed", "row")).alias("low"), F.max(F.struct("seed", "row")).alias("high"))
+    ends = ends.select(F.explode(F.array("low", "high")).alias("end")).select("end.*")
+    spanning = ends.groupBy("seed").agg((F.min("row") < F.max("row")).alias("spans")).where("spans")
+    near = Window.partitionBy("range", "seed").orderBy("row")
+    # of rows that repeat a text, one next to another text is enough
+    several = (F.lag("row").over(near) < F.col("row")) | (F.lead("row").over(near) > F.col("row"))
+    shared = ranges.withColumn("several", several).join(spanning, "seed", "left").where(
+        F.coalesce("several", F.lit(False)) | F.coalesce("spans", F.lit(False))).select("row", "seed").distinct()
+    return shared.groupBy("row").agg(F.collect_list("seed").alias("seeds"))
+
 
-    return texts.mapInArrow(find, "id long, seed long")
+def identified(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, row, check, text): two independent hashes tell texts apart, the first alone names a text in narrow tables."""
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("row"),
+                       F.xxhash64(F.lit("check"), text).alias("check"), text.alias("text"))
 
 
-def packed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, row, packed) of all rows: the text compressed for its shuffles; row tells texts of one id apart."""
+def packed(texts: DataFrame) -> DataFrame:
+    """The same rows with the text compressed, for a shuffle."""
 
     def pack(batches):
         import zstandard
@@ -115,11 +141,10 @@ def packed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in small_batches(batches):
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([squeeze(t) for t in as_bytes(batch.column(2))], pa.binary())],
-                ["id", "row", "packed"])
+                [*batch.columns[:3], pa.array([squeeze(t) for t in as_bytes(batch.column(3))], pa.binary())],
+                ["id", "row", "check", "packed"])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("row"), text_column)
-    return rows.mapInArrow(pack, "id long, row long, packed binary")
+    return texts.mapInArrow(pack, "id long, row long, check long, packed binary")
 
 
 def _unpacked(column: pa.Array) -> list[bytes]:
@@ -129,53 +154,34 @@ def _unpacked(column: pa.Array) -> list[bytes]:
     return [expand(x) for x in column.to_pylist()]
 
 
-def shared_seeds(found: DataFrame) -> DataFrame:
-    """The (id, seed) rows whose seed several ids have.
-
-    Rows are sorted in ranges, so a seed that many documents have spans many tasks; each row looks at its neighbours
-    only. Seeds that go on from range to range are known by a small table of ends, two rows per range.
-    """
-    ranges = materialize(found.repartitionByRange("seed", "id").withColumn("range", F.spark_partition_id()), "ranges")
-    ends = ranges.groupBy("range").agg(F.min(F.struct("seed", "id")).alias("low"), F.max(F.struct("seed", "id")).alias("high"))
-    ends = ends.select(F.explode(F.array("low", "high")).alias("end")).select("end.*")
-    spanning = ends.groupBy("seed").agg((F.min("id") < F.max("id")).alias("spans")).where("spans")
-    near = Window.partitionBy("range", "seed").orderBy("id")
-    # of rows that repeat an id, one next to another id is enough
-    several = (F.lag("id").over(near) < F.col("id")) | (F.lead("id").over(near) > F.col("id"))
-    return ranges.withColumn("several", several).join(spanning, "seed", "left").where(
-        F.coalesce("several", F.lit(False)) | F.coalesce("spans", F.lit(False))).select("id", "seed")
-
-
 def stretches(texts: DataFrame, shared: DataFrame) -> DataFrame:
-    """(id, row, seed, stretch, at, text): the stretches of all texts around shared seeds; `at` is the first word's
-    place in the text, `stretch` a hash of the words."""
-    lists = shared.groupBy("id").agg(F.collect_list("seed").alias("seeds"))
+    """(id, row, seed, at, text): the stretches of packed texts around shared seeds; `at` is the first word's place."""
 
     def cut(batches):
         import numpy as np
-        import xxhash
+        import pyarrow.compute as pc
 
-        for batch in small_batches(batches, 128):
+        for batch in small_batches(batches, 256):
             ids, rows = (batch.column(k).to_numpy() for k in (0, 1))
             wanted = batch.column(3)
-            wanted = wanted.combine_chunks() if isinstance(wanted, pa.ChunkedArray) else wanted
             holder = np.repeat(np.arange(len(batch)), wanted.value_lengths().to_numpy())
             wanted = wanted.flatten().to_numpy()
-            words, starts, owner, places, seed = _window_seeds(_unpacked(batch.column(2)))
-            begins = np.searchsorted(owner, np.arange(len(batch)))
+            words, before, starts, owner, places, seed = _window_seeds(pa.array(_unpacked(batch.column(2)), pa.large_binary()))
             runs = _runs(owner, places)
             lasts = np.append(runs[1:], len(starts))[:len(runs)] - 1
             hit = np.isin(_pairs(owner[runs], seed[runs]), _pairs(holder, wanted))
             runs, lasts = runs[hit], lasts[hit]
-            texts = [b" ".join(words[a:b + WINDOW]) for a, b in zip(starts[runs].tolist(), starts[lasts].tolist())]
-            at = starts[runs] - starts[begins[owner[runs]]] if len(runs) else np.zeros(0, np.int64)
+            begin, sizes = starts[runs], starts[lasts] - starts[runs] + WINDOW
+            ends = sizes.cumsum()
+            take = np.repeat(begin - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), words.take(pa.array(take)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[owner[runs]]), pa.array(rows[owner[runs]]), pa.array(seed[runs]),
-                 pa.array(np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)),
-                 pa.array(at.astype(np.int32)), pa.array(texts, pa.binary()).cast(pa.string())],
-                ["id", "row", "seed", "stretch", "at", "text"])
+                 pa.array((begin - before[owner[runs]]).astype(np.int32)),
+                 pc.binary_join(lists, pa.scalar(" ", words.type)).cast(pa.string())], ["id", "row", "seed", "at", "text"])
 
-    return texts.join(lists, "id").select("id", "row", "packed", "seeds").mapInArrow(cut, _STRETCHES)
+    rows = texts.join(shared, ["id", "row", "check"]).select("id", "row", "packed", "seeds")
+    return rows.mapInArrow(cut, "id long, row long, seed long, at int, text string").withColumn("stretch", F.xxhash64("text"))
 
 
 def _pairs(a, b):
@@ -225,69 +231,68 @@ def located(shards: DataFrame) -> DataFrame:
     def locate(table: pa.Table) -> pa.Table:
         import ahocorasick
         import numpy as np
+        import pyarrow.compute as pc
         import xxhash
 
-        texts = table.column("text").combine_chunks().cast(pa.binary()).to_pylist()
-        words = [t.split(b" ") for t in texts]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode()
-        # words as numbers from 1 on: equal numbers mean equal words
-        codes = flat.indices.to_numpy().astype(np.int64) + 1
-        ends = sizes.cumsum()
-        begins = ends - sizes
-        owner = np.repeat(np.arange(len(words)), sizes - WINDOW + 1)
+        lists = pc.split_pattern(table.column("text").combine_chunks().cast(pa.large_string()), " ")
+        sizes, words = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten()
+        begins = sizes.cumsum() - sizes
+        # every word of the shard is one character of a string over all its stretches, so equal characters mean equal
+        # words; surrogates are left out, and the first character parts the stretches
+        codes = words.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+        codes += np.where(codes < 0xD800, 0, 0x800)
+        owner = np.repeat(np.arange(len(sizes)), sizes - WINDOW + 1)
         local = np.arange(len(owner)) - np.repeat((sizes - WINDOW + 1).cumsum() - (sizes - WINDOW + 1), sizes - WINDOW + 1)
         at = begins[owner] + local
-        low, high = (table.column(c).to_numpy()[owner] for c in ("low", "high"))
-        slots, slot = (table.column(c).to_numpy()[owner] for c in ("slots", "slot"))
+        slots = table.column("slots").to_numpy()
         if (slots > 1).any():
-            mine = np.array([n == 1 or xxhash.xxh64_intdigest(b" ".join(words[o][i:i + WINDOW])) % n == s
-                             for o, i, n, s in zip(owner.tolist(), local.tolist(), slots.tolist(), slot.tolist())])
-            owner, local, at, low, high = (x[mine] for x in (owner, local, at, low, high))
-        hashed = _mix(codes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), WINDOW)[at]
-        distinct, which = np.unique(hashed, return_inverse=True)
+            texts, slot = [w.as_py() for w in words], table.column("slot").to_numpy()
+            mine = np.array([xxhash.xxh64_intdigest(" ".join(texts[p:p + WINDOW])) % n == s
+                             for p, n, s in zip(at.tolist(), slots[owner].tolist(), slot[owner].tolist())])
+            owner, at = owner[mine], at[mine]
+        distinct, first, which = np.unique(_mix(codes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), WINDOW)[at],
+                                           return_index=True, return_inverse=True)
         least, most = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
-        np.minimum.at(least, which, low)
-        np.maximum.at(most, which, high)
-        place = np.zeros(len(distinct), np.int64)
-        place[which] = at
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        numbers = codes.tolist()
+        np.minimum.at(least, which, table.column("low").to_numpy()[owner])
+        np.maximum.at(most, which, table.column("high").to_numpy()[owner])
         confirmed = np.flatnonzero(least < most)
-        for k, p in zip(confirmed.tolist(), place[confirmed].tolist()):
-            automaton.add_word(tuple(numbers[p:p + WINDOW]), k)
-        held, firsts = [], []
-        least = least.tolist()
+        line = np.zeros(len(codes) + len(sizes), "<u4")
+        shift = np.repeat(np.arange(len(sizes)), sizes)
+        line[np.arange(len(codes)) + shift] = codes
+        line = line.tobytes().decode("utf-32-le")
+        found, known = np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
         if len(confirmed):
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            place = at[first[confirmed]]
+            for k, p in zip(confirmed.tolist(), (place + shift[place]).tolist()):
+                automaton.add_word(line[p:p + WINDOW], k)
             automaton.make_automaton()
-            for k, (a, b) in enumerate(zip(begins.tolist(), ends.tolist())):
-                found = [None] * (b - a - WINDOW + 1)
-                any_found = False
-                for end, pattern in automaton.iter(tuple(numbers[a:b])):
-                    found[end - WINDOW + 1] = least[pattern]
-                    any_found = True
-                if any_found:
-                    held.append(k)
-                    firsts.append(found)
-        return pa.table({"seed": table.column("seed").take(pa.array(held, pa.int64())),
-                         "stretch": table.column("stretch").take(pa.array(held, pa.int64())),
-                         "firsts": pa.array(firsts, pa.list_(pa.int64()))})
+            hits = np.fromiter((x for hit in automaton.iter(line) for x in hit), np.int64).reshape(-1, 2)
+            ends = hits[:, 0] - np.searchsorted(begins + np.arange(len(sizes)), hits[:, 0], "right") + 1
+            found[ends - WINDOW + 1], known[ends - WINDOW + 1] = least[hits[:, 1]], True
+        held = np.flatnonzero(np.add.reduceat(known, begins) > 0) if len(sizes) else begins
+        lengths = sizes[held] - WINDOW + 1
+        offsets = np.append(0, lengths.cumsum())
+        take = np.repeat(begins[held] - offsets[:-1], lengths) + np.arange(int(lengths.sum()))
+        firsts = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found[take], mask=~known[take]))
+        return pa.table({"seed": table.column("seed").take(pa.array(held)),
+                         "stretch": table.column("stretch").take(pa.array(held)), "firsts": firsts})
 
     return shards.groupBy("shard").applyInArrow(locate, "seed long, stretch long, firsts array<long>")
 
 
-def removals(texts: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(id, row, starts): the places of the windows to remove, of every text that has some."""
-    found = materialize(seeds(texts), "seeds")
-    held = materialize(stretches(texts, shared_seeds(found)), "stretches")
-    distinct = held.groupBy("seed", "stretch", "text").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    # a stretch whose seed several documents have is kept even if only one has all its words: its windows may recur
-    distinct = materialize(distinct, "distinct")
-    firsts = located(sharded(distinct, shard))
-    hit = held.select("id", "row", "seed", "stretch", "at").join(firsts, ["seed", "stretch"])
+def removals(texts: DataFrame, firsts: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(id, row, starts): the places of the windows to remove, of the first holder of every text that has some."""
+    found = materialize(seeds(texts.select("row", "text")), "seeds")
+    shared = shared_seeds(found).join(firsts, "row")
+    held = materialize(stretches(packed(texts), shared), "stretches")
+    # a stretch that one document has is kept too: its windows may recur beside other words
+    distinct = materialize(held.groupBy("seed", "stretch", "text").agg(F.min("id").alias("low"), F.max("id").alias("high")), "distinct")
+    places = located(sharded(distinct, shard))
+    hit = held.select("id", "row", "seed", "stretch", "at").join(places, ["seed", "stretch"])
     starts = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("id"), F.col("at") + i)), lambda x: x.isNotNull())
     hit = hit.select("id", "row", starts.alias("starts")).where(F.size("starts") > 0)
-    return materialize(hit.groupBy("id", "row").agg(F.flatten(F.collect_list("starts")).alias("starts")), "removals")
+    return hit.groupBy("id", "row").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -298,35 +303,40 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     of the windows over it begins in a document with a smaller id too, judged on the whole input. Texts of fewer than
     13 words stay. Rows that share an id never remove words from each other; rows without an id neither lose words nor
     remove any. Whole texts of any length are read; other columns are not.
+
+    Of equal texts only the first holder's is searched: all windows of the others stand there already.
     """
-    texts = packed(docs, id_column, text_column)
-    places = removals(texts.where("id is not null"), shard)
+    texts = identified(docs, id_column, text_column)
+    known = texts.where("id is not null")
+    firsts = materialize(known.groupBy("row", "check").agg(F.min("id").alias("id")), "firsts")
+    places = materialize(firsts.join(removals(known, firsts, shard), ["id", "row"], "left")
+                         .select("id", "row", "check", F.coalesce("starts", F.array().cast("array<int>")).alias("starts")), "removals")
 
     def cut(batches):
         import numpy as np
 
         for batch in small_batches(batches, 128):
-            ends, out = batch.column(2), []
-            for text, starts in zip(_unpacked(batch.column(1)), ends.to_pylist()):
-                words = text.split()
-                if starts:
+            out = []
+            for text, starts in zip(_unpacked(batch.column(1)), batch.column(2).to_pylist()):
+                words = kept = text.split()
+                if starts is None and len(words) >= WINDOW:
+                    kept = []
+                elif starts:
                     change = np.zeros(len(words) + 1, np.int64)
                     places = np.unique(starts)
                     change[places] += 1
                     change[places + WINDOW] -= 1
-                    gone = change.cumsum()[:-1] > 0
-                    kept = [w for w, g in zip(words, gone.tolist()) if not g]
-                else:
-                    kept = words
+                    kept = [words[k] for k in np.flatnonzero(change.cumsum()[:-1] == 0).tolist()]
                 out.append((len(words), len(words) - len(kept), b" ".join(kept)))
             n, removed, kept = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
                  pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
 
-    known = texts.where("id is not null").join(places, ["id", "row"], "left").select("id", "packed", "starts")
-    unknown = texts.where("id is null").select("id", "packed", F.lit(None).cast("array<int>").alias("starts"))
-    return known.union(unknown).mapInArrow(cut, f"id long, {_KEPT}").withColumnRenamed("id", id_column)
+    # a row that is no first holder of its text finds no places
+    found = packed(known).join(places, ["id", "row", "check"], "left").select("id", "packed", "starts")
+    rest = packed(texts.where("id is null")).select("id", "packed", F.array().cast("array<int>").alias("starts"))
+    return found.union(rest).mapInArrow(cut, f"id long, {_KEPT}").withColumnRenamed("id", id_column)
 
 
 ORACLE = r"""
