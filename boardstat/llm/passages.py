@@ -4,9 +4,9 @@ A window is 13 consecutive words. The windows that occur in several documents ar
 Aho-Corasick automata over words, and all occurrences are located by streaming the documents through them; every word
 under a window that a document with a smaller id has too is removed.
 
-No window is shuffled on its own. A window is represented by its seed, the five words of smallest hash in it, so equal
+No window is shuffled on its own. A window is represented by its seed, the four words of smallest hash in it, so equal
 windows have the same seed, and neighbours mostly share one: consecutive windows with one seed in common are a stretch
-of at most 21 words. Only stretches whose seed several documents have can hold repeated windows; they go to the shard
+of at most 22 words. Only stretches whose seed several documents have can hold repeated windows; they go to the shard
 of their seed, each distinct one once, where the automaton of the shard's repeated windows reads them.
 """
 
@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 
 from boardstat.frames import materialize
 
-from .shared import as_bytes, small_batches
+from .shared import as_bytes, lean, small_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WINDOW, SEED_WORDS = 13, 5
-#: Distinct stretches whose windows one automaton is compiled from.
+WINDOW, SEED_WORDS = 13, 4
+#: Stretches whose windows one automaton is compiled from.
 SHARD = 16_384
+#: Rows that a task holds to combine equal ones before a shuffle.
+HELD = 1 << 20
 _KEPT = "n_words long, n_removed long, kept string"
 
 
@@ -89,40 +91,55 @@ def _runs(*columns):
 
 
 def seeds(texts: DataFrame) -> DataFrame:
-    """(row, seed) of all windows of (row, text) rows, once per row."""
+    """(row, seed, known) of all windows of (row, text) rows: known if the task has met the seed in another text too.
 
-    def find(batches):
+    Of the texts that share a seed in one task one more row, not known, stands for all towards other tasks, so a seed
+    that many documents have sends few rows to its place.
+    """
+
+    def combined(held):
         import numpy as np
 
+        rows, seed = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((rows, seed))
+        rows, seed = rows[order], seed[order]
+        once = _runs(seed, rows)
+        rows, seed = rows[once], seed[once]
+        begin = _runs(seed)
+        sizes = np.diff(np.append(begin, len(seed)))
+        known = np.repeat(sizes > 1, sizes)
+        stand = begin[sizes > 1]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([rows, rows[stand]])), pa.array(np.concatenate([seed, seed[stand]])),
+             pa.array(np.concatenate([known, np.zeros(len(stand), bool)]))], ["row", "seed", "known"])
+
+    def find(batches):
+        held, size = [], 0
         for batch in small_batches(batches):
             rows = batch.column(0).to_numpy()
             *_, owner, _, seed = _window_seeds(batch.column(1))
             first = _runs(owner, seed)
-            owner, seed = owner[first], seed[first]
-            order = np.lexsort((seed, owner))
-            owner, seed = owner[order], seed[order]
-            first = _runs(owner, seed)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[owner[first]]), pa.array(seed[first])], ["row", "seed"])
+            held.append((rows[owner[first]], seed[first]))
+            size += len(first)
+            if size >= HELD:
+                yield combined(held)
+                held, size = [], 0
+        if held:
+            yield combined(held)
 
-    return texts.mapInArrow(find, "row long, seed long")
+    return texts.mapInArrow(find, "row long, seed long, known boolean")
 
 
 def shared_seeds(found: DataFrame) -> DataFrame:
-    """(row, seeds): for every text the seeds that another text has too, if there are any.
-
-    Rows are sorted in ranges, so a seed that many texts have spans many tasks; each row looks at its neighbours only.
-    Seeds that go on from range to range are known by a small table of ends, two rows per range.
-    """
-    ranges = materialize(found.repartitionByRange("seed", "row").withColumn("range", F.spark_partition_id()), "ranges")
-    ends = ranges.groupBy("range").agg(F.min(F.struct("seed", "row")).alias("low"), F.max(F.struct("seed", "row")).alias("high"))
-    ends = ends.select(F.explode(F.array("low", "high")).alias("end")).select("end.*")
-    spanning = ends.groupBy("seed").agg((F.min("row") < F.max("row")).alias("spans")).where("spans")
-    near = Window.partitionBy("range", "seed").orderBy("row")
+    """(row, seeds): for every text the seeds that another text has too, if there are any."""
+    # known rows are spread, the others meet by seed and look at their neighbours only
+    place = F.when(F.col("known"), F.col("row")).otherwise(F.col("seed"))
+    near = Window.partitionBy("known", "place").orderBy("row")
     # of rows that repeat a text, one next to another text is enough
     several = (F.lag("row").over(near) < F.col("row")) | (F.lead("row").over(near) > F.col("row"))
-    shared = ranges.withColumn("several", several).join(spanning, "seed", "left").where(
-        F.coalesce("several", F.lit(False)) | F.coalesce("spans", F.lit(False))).select("row", "seed").distinct()
-    return shared.groupBy("row").agg(F.collect_list("seed").alias("seeds"))
+    shared = found.withColumn("place", place).withColumn("several", several).where(
+        F.col("known") | F.coalesce("several", F.lit(False)))
+    return shared.groupBy("row").agg(F.collect_set("seed").alias("seeds"))
 
 
 def identified(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -184,6 +201,17 @@ def stretches(texts: DataFrame, shared: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, "id long, row long, seed long, at int, text string").withColumn("stretch", F.xxhash64("text"))
 
 
+def _distinct(*columns):
+    """(first index of each distinct row, number of its distinct row for each row)."""
+    import numpy as np
+
+    order = np.lexsort(columns[::-1])
+    begin = _runs(*(c[order] for c in columns))
+    which = np.empty(len(order), np.int64)
+    which[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
+    return order[begin], which
+
+
 def _pairs(a, b):
     """One number per (text number, seed)."""
     import numpy as np
@@ -191,42 +219,55 @@ def _pairs(a, b):
     return b.view(np.uint64) ^ (a.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _windows(text: str) -> list[str]:
-    words = text.split(" ")
-    return [" ".join(words[i:i + WINDOW]) for i in range(len(words) - WINDOW + 1)]
-
+def sharded(held: DataFrame, shard: int) -> DataFrame:
+    """(seed, stretch, text, low, high, slots, slot, shard): stretches with the least and the largest id that has them,
+    each once per task, about `shard` to a shard and all of a seed in one. A seed with more of them has several slots,
+    by a hash of the window; its stretches go to the slots of their windows."""
+    shards = max(1, -(-held.count() // shard))
+    heavy = held.groupBy("seed").agg(F.count("*").alias("rows")).where(F.col("rows") > shard)
+    heavy = materialize(heavy.select("seed", F.ceil(F.col("rows") / shard).cast("int").alias("slots")), "heavy")
+    names = ["seed", "stretch", "text", "low", "high", "slots", "slot"]
 
-def sharded(distinct: DataFrame, shard: int) -> DataFrame:
-    """Distinct stretches with their shard: about `shard` in each, all of a seed in one. A seed with more stretches than
-    that has several slots, by a hash of the window; a stretch goes to the slots of its windows."""
-    total = distinct.count()
-    shards = max(1, -(-total // shard))
-    heavy = distinct.groupBy("seed").agg(F.count("*").alias("held")).where(F.col("held") > shard)
-    heavy = materialize(heavy.select("seed", F.ceil(F.col("held") / shard).cast("int").alias("slots")), "heavy")
-    columns = "seed long, stretch long, text string, low long, high long, slots int, slot int"
-
-    def spread(batches):
+    def combined(batches):
+        import numpy as np
         import xxhash
 
-        for batch in small_batches(batches):
-            rows = batch.to_pylist()
-            out = [r | {"slot": s} for r in rows
-                   for s in sorted({xxhash.xxh64_intdigest(w) % r["slots"] for w in _windows(r["text"])})]
-            yield pa.RecordBatch.from_pylist(out, pa.schema(
-                [("seed", pa.int64()), ("stretch", pa.int64()), ("text", pa.string()), ("low", pa.int64()),
-                 ("high", pa.int64()), ("slots", pa.int32()), ("slot", pa.int32())]))
-
-    rows = distinct.join(heavy, "seed", "left").select("seed", "stretch", "text", "low", "high", F.coalesce("slots", F.lit(1)).alias("slots"))
-    light = rows.where("slots = 1").withColumn("slot", F.lit(0))
-    spreading = rows.where("slots > 1").mapInArrow(spread, columns)
-    key = F.when(F.col("slots") == 1, F.pmod(F.xxhash64("seed"), F.lit(shards))).otherwise(-1 - F.pmod(F.xxhash64("seed", "slot"), F.lit(shards)))
-    return light.union(spreading).withColumn("shard", key)
+        table = pa.Table.from_batches(batches)
+        seed, stretch, ids = (table.column(c).to_numpy() for c in ("seed", "stretch", "id"))
+        first, which = _distinct(seed, stretch)
+        low, high = ids[first], ids[first]
+        np.minimum.at(low, which, ids)
+        np.maximum.at(high, which, ids)
+        slots = table.column("slots").to_numpy()[first]
+        texts = table.column("text").take(pa.array(first)).combine_chunks()
+        slot = [(0,)] * len(first)
+        for k in np.flatnonzero(slots > 1).tolist():
+            words, n = texts[k].as_py().split(" "), int(slots[k])
+            slot[k] = sorted({xxhash.xxh64_intdigest(" ".join(words[i:i + WINDOW])) % n for i in range(len(words) - WINDOW + 1)})
+        take = np.repeat(np.arange(len(first)), [len(x) for x in slot])
+        columns = [seed[first], stretch[first], texts, low, high, slots]
+        columns = [c.take(pa.array(take)) if c is texts else pa.array(c[take]) for c in columns]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([x for xs in slot for x in xs], pa.int32())], names)
+
+    def combine(batches):
+        waiting = []
+        for batch in lean(batches):
+            waiting.append(batch)
+            if sum(map(len, waiting)) >= HELD >> 2:
+                yield combined(waiting)
+                waiting = []
+        if waiting:
+            yield combined(waiting)
+
+    rows = held.join(heavy, "seed", "left").select("id", "seed", "stretch", "text", F.coalesce("slots", F.lit(1)).alias("slots"))
+    once = rows.mapInArrow(combine, "seed long, stretch long, text string, low long, high long, slots int, slot int")
+    return once.withColumn("shard", F.pmod(F.xxhash64("seed", "slot"), F.lit(shards)))
 
 
 def located(shards: DataFrame) -> DataFrame:
     """(seed, stretch, firsts): for each window of each distinct stretch the smallest id of the documents that hold it,
     null if no other does. One automaton per shard: compiled from the windows of several documents, run over all
-    stretches of the shard."""
+    stretches of the shard. A heavy seed's stretches have a row per slot, each with the windows of that slot."""
 
     def locate(table: pa.Table) -> pa.Table:
         import ahocorasick
@@ -270,7 +311,9 @@ def located(shards: DataFrame) -> DataFrame:
             hits = np.fromiter((x for hit in automaton.iter(line) for x in hit), np.int64).reshape(-1, 2)
             ends = hits[:, 0] - np.searchsorted(begins + np.arange(len(sizes)), hits[:, 0], "right") + 1
             found[ends - WINDOW + 1], known[ends - WINDOW + 1] = least[hits[:, 1]], True
-        held = np.flatnonzero(np.add.reduceat(known, begins) > 0) if len(sizes) else begins
+        # a stretch that several tasks have sent is answered once
+        once = np.sort(_distinct(*(table.column(c).to_numpy() for c in ("seed", "stretch", "slot")))[0])
+        held = once[np.add.reduceat(known, begins)[once] > 0]
         lengths = sizes[held] - WINDOW + 1
         offsets = np.append(0, lengths.cumsum())
         take = np.repeat(begins[held] - offsets[:-1], lengths) + np.arange(int(lengths.sum()))
@@ -281,14 +324,17 @@ def located(shards: DataFrame) -> DataFrame:
     return shards.groupBy("shard").applyInArrow(locate, "seed long, stretch long, firsts array<long>")
 
 
+def finished(table: DataFrame) -> None:
+    """The shuffles of a table that is written are of no more use; Spark drops them when the driver's JVM collects."""
+    table.sparkSession._jvm.System.gc()
+
+
 def removals(texts: DataFrame, firsts: DataFrame, shard: int = SHARD) -> DataFrame:
     """(id, row, starts): the places of the windows to remove, of the first holder of every text that has some."""
-    found = materialize(seeds(texts.select("row", "text")), "seeds")
-    shared = shared_seeds(found).join(firsts, "row")
+    shared = shared_seeds(seeds(texts.select("row", "text"))).join(firsts, "row")
     held = materialize(stretches(packed(texts), shared), "stretches")
-    # a stretch that one document has is kept too: its windows may recur beside other words
-    distinct = materialize(held.groupBy("seed", "stretch", "text").agg(F.min("id").alias("low"), F.max("id").alias("high")), "distinct")
-    places = located(sharded(distinct, shard))
+    finished(held)
+    places = located(sharded(held, shard))
     hit = held.select("id", "row", "seed", "stretch", "at").join(places, ["seed", "stretch"])
     starts = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("id"), F.col("at") + i)), lambda x: x.isNotNull())
     hit = hit.select("id", "row", starts.alias("starts")).where(F.size("starts") > 0)
@@ -311,6 +357,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     firsts = materialize(known.groupBy("row", "check").agg(F.min("id").alias("id")), "firsts")
     places = materialize(firsts.join(removals(known, firsts, shard), ["id", "row"], "left")
                          .select("id", "row", "check", F.coalesce("starts", F.array().cast("array<int>")).alias("starts")), "removals")
+    finished(places)
 
     def cut(batches):
         import numpy as np
