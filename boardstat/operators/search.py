@@ -1,8 +1,7 @@
-"""Substring search at scale: school directory search for many queries, top examinees of a school.
+"""Substring search at scale: school directory search for many queries, top examinees of a school, year and month words.
 
-Containment is no equality, but whoever contains a text contains every piece of it. Each set of words is looked up by one
-of its character pieces, the rarest one among the texts, so the join is an equi join on pieces followed by the exact
-test. Equal searches are answered once. No side is broadcast by force and no pair is formed that does not share the piece.
+Containment is looked up in the stored gram dictionary of `gram_index`: an equi join on grams, then the exact test. Equal
+searches are answered once; no side is broadcast by force and no pair is formed that does not share a gram.
 """
 
 from __future__ import annotations
@@ -10,68 +9,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import first_per_key, literal_array, top_per_key
+from ..frames import literal_array, top_per_key
 from ..functions import names
 from ..registry import MONTHS
 from ..schemas import Tables
+from .gram_index import TextIndex, build_index, containing_all, one_entity
 from .national import with_order, with_program
 
-PIECE = 8
 
+SCHOOL, PERSON, ALMA_MATER, PROGRAM = "school", "topnotcher", "topnotcher_school", "exam"
 
-def pieces(text: Column, size: int | Column) -> Column:
-    """Distinct character pieces of a given length; none when the text is shorter."""
-    size = F.lit(size) if isinstance(size, int) else size
-    last = F.length(text) - size + 1
-    return F.when(last >= 1, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, size)))).otherwise(
-        F.array().cast("array<string>"))
 
+def search_index(tables: Tables) -> TextIndex:
+    """The stored dictionary of everything that can be searched: school names, top examinees and their schools, and
+    the names, codes and slugs of programs."""
+    people, programs = tables.topnotchers, tables.programs
+    fields = F.explode(F.array(F.lower("name"), F.lower("exam_code"), F.col("slug")))
+    rows = one_entity(tables.schools.select(F.lower("name").alias("text")), SCHOOL)
+    for frame, entity in ((people.select(F.lower("name").alias("text")), PERSON),
+                          (people.select(F.lower("school").alias("text")), ALMA_MATER),
+                          (programs.select(fields.alias("text")), PROGRAM)):
+        rows = rows.union(one_entity(frame, entity))
+    return build_index(rows)
 
-def containing_all(sets: DataFrame, texts: DataFrame, size: int = PIECE) -> DataFrame:
-    """All (tokens, text) whose text holds every token of a set. Both frames hold distinct lower-cased values.
 
-    A set is looked up by the one piece, of any of its tokens, that the fewest texts have; tokens shorter than `size`
-    are pieces themselves. Pieces no set asks for are dropped where they are cut.
-    """
-    parts = sets.select("tokens", F.explode("tokens").alias("token")).where("token <> ''").select(
-        "tokens", F.explode(pieces(F.col("token"), F.least(F.length("token"), F.lit(size)))).alias("piece"))
-    wanted = parts.select("piece").distinct()
-    lengths = literal_array(range(1, size + 1))
-    cut = texts.select("text", F.explode(F.array_distinct(F.flatten(F.transform(
-        lengths, lambda n: pieces(F.col("text"), n))))).alias("piece")).join(wanted, "piece", "left_semi")
-    held = cut.groupBy("piece").agg(F.count("*").alias("texts"))
-    keys = first_per_key(parts.join(held, "piece"), ["tokens"], [F.asc("texts"), F.asc("piece")]).select("tokens", "piece")
-    return (cut.join(keys, "piece").where(F.forall("tokens", lambda t: F.contains(F.col("text"), t)))
-            .select("tokens", "text"))
-
-
-def containing_pairs(patterns: DataFrame, texts: DataFrame, size: int = PIECE) -> DataFrame:
+def containing_pairs(patterns: DataFrame, texts: DataFrame) -> DataFrame:
     """All (pattern, text) with the pattern inside the text. Both frames hold distinct lower-cased strings."""
-    sets = patterns.select(F.array("pattern").alias("tokens"))
-    return containing_all(sets, texts, size).select(F.get("tokens", F.lit(0)).alias("pattern"), "text")
+    index = build_index(one_entity(texts))
+    sets = patterns.select(F.lit("text").alias("entity"), F.array("pattern").alias("tokens"))
+    return containing_all(sets, index).select(F.get("tokens", F.lit(0)).alias("pattern"), "text")
 
 
-def school_topnotchers(tables: Tables) -> DataFrame:
+def school_topnotchers(tables: Tables, index: TextIndex | None = None) -> DataFrame:
     """Top examinees whose school text contains the name of a school."""
-    schools = tables.schools.select(F.col("id").alias("school_id"), F.lower("name").alias("pattern"))
+    schools = tables.schools.select(F.col("id").alias("school_id"), F.array(F.lower("name")).alias("tokens"))
     people = tables.topnotchers.select("id", "exam_result_id", "rank", "name", "rating", F.lower("school").alias("text"))
-    pairs = containing_pairs(schools.select("pattern").distinct(), people.select("text").distinct())
+    pairs = containing_all(schools.select(F.lit(ALMA_MATER).alias("entity"), "tokens"),
+                           index or build_index(one_entity(people, ALMA_MATER))).drop("entity")
     cycles = with_program(tables).select(F.col("id").alias("exam_result_id"), "exam_code", "exam_fullname", "year",
                                          "month")
-    found = people.join(pairs, "text").join(schools, "pattern").drop("text", "pattern")
+    found = people.join(pairs, "text").join(schools, "tokens").drop("text", "tokens")
     return found.join(cycles, "exam_result_id").drop("exam_result_id")
 
 
-def match_schools(schools: DataFrame, sets: DataFrame) -> DataFrame:
+def match_schools(schools: DataFrame, sets: DataFrame, index: TextIndex | None = None) -> DataFrame:
     """(tokens, school_id, name) where the school name holds every token; `sets` has distinct token arrays, not empty."""
     named = schools.select(F.col("id").alias("school_id"), "name", F.lower("name").alias("text"))
-    return containing_all(sets, named.select("text").distinct()).join(named, "text").select("tokens", "school_id", "name")
+    found = containing_all(sets.select(F.lit(SCHOOL).alias("entity"), "tokens"), index or build_index(one_entity(named, SCHOOL)))
+    return found.join(named, "text").select("tokens", "school_id", "name")
 
 
-def search_counts(schools: DataFrame, queries: DataFrame) -> DataFrame:
+def search_counts(schools: DataFrame, queries: DataFrame, index: TextIndex | None = None) -> DataFrame:
     """Schools found by each query (query_id, tokens); every distinct set of tokens is counted once."""
-    counts = match_schools(schools, queries.select("tokens").distinct()).groupBy("tokens").agg(
+    counts = match_schools(schools, queries.select("tokens").distinct(), index).groupBy("tokens").agg(
         F.count("*").alias("schools"))
     return queries.join(counts, "tokens").select("query_id", "schools")
 
@@ -102,57 +92,55 @@ def search_cycles(tables: Tables, queries: DataFrame) -> DataFrame:
         "query_id", "exam_result_id", "exam_code", "year", "month")
 
 
-def global_search(tables: Tables, queries: DataFrame, school_limit: int = 25, person_limit: int = 5) -> DataFrame:
-    """Answers to a table of search texts (query_id, query): schools, top examinees and programs, tagged by entity."""
+def global_search(tables: Tables, queries: DataFrame, school_limit: int = 25, person_limit: int = 5,
+                  index: TextIndex | None = None) -> DataFrame:
+    """Answers to a table of search texts (query_id, query): schools, top examinees and programs, tagged by entity.
+
+    All three are looked up together in the stored dictionary of `search_index`; without one it is written first. Equal
+    sets of words are matched once and cut to their first rows before the queries are attached.
+    """
+    index = index or search_index(tables)
     text = queries.select("query_id", F.coalesce("query", F.lit("")).alias("query"))
     tokens = names.search_tokens(F.col("query"))
-    trimmed = F.trim("query")
+    trimmed, whole = F.trim("query"), F.lower("query")
+    nothing = F.array().cast("array<string>")
     # A text without tokens but of two letters or more is looked up whole; anything shorter restricts nothing.
-    asked = text.select("query_id", F.when(F.size(tokens) > 0, tokens).when(
-        F.length(trimmed) >= 2, F.array(F.lower(trimmed))).otherwise(F.array().cast("array<string>")).alias("tokens"))
-    # Equal token sets are matched once, and keep their first schools before the queries are attached.
-    sets = asked.where(F.size("tokens") > 0)
-    found = top_per_key(match_schools(tables.schools, sets.select("tokens").distinct()), ["tokens"],
-                        [F.asc("name"), F.asc("school_id")], school_limit).join(sets, "tokens").drop("tokens")
-    first = _numbered_page(tables.schools.select("id", "name"), school_limit).withColumnRenamed("id", "school_id")
-    open_queries = asked.where(F.size("tokens") == 0).select("query_id")
-    open_found = (open_queries.withColumn("_one", F.lit(1))
-                  .join(first.withColumn("_one", F.lit(1)), "_one").drop("_one"))
-    schools = found.unionByName(open_found).select(
-        "query_id", F.lit("school").alias("entity"), "position", F.col("school_id").cast("string").alias("entity_id"),
-        "name")
-
-    people = tables.topnotchers.select("id", "name", F.lower("name").alias("text"))
-    wanted = text.select("query_id", F.lower("query").alias("pattern"))
-    pairs = containing_pairs(wanted.where("pattern <> ''").select("pattern").distinct(),
-                             people.select("text").distinct())
+    by_school = F.when(F.size(tokens) > 0, tokens).when(F.length(trimmed) >= 2, F.array(F.lower(trimmed))).otherwise(nothing)
+    by_person = F.when(whole != "", F.array(whole)).otherwise(nothing)
+    by_program = F.when(trimmed != "", F.array(whole)).otherwise(nothing)
+    asked = text.select("query_id", F.explode(F.array(*[
+        F.struct(F.lit(entity).alias("entity"), sets.alias("tokens"))
+        for entity, sets in ((SCHOOL, by_school), (PERSON, by_person), (PROGRAM, by_program))])).alias("a")).select("query_id", "a.*")
+
+    people, programs = tables.topnotchers, tables.programs
+    fields = F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("exam_code"), F.col("slug"))))
     person_order = [F.asc("name"), F.asc("id")]
-    # A name met by many rows: keep the best few rows per name before pairing names with queries.
-    few = top_per_key(people, ["text"], person_order, person_limit).drop("position")
-    hits = top_per_key(pairs.join(few, "text"), ["pattern"], person_order, person_limit).join(wanted, "pattern")
-    any_person = _numbered_page(people.select("id", "name"), person_limit).withColumn("_one", F.lit(1))
-    blanks = (wanted.where("pattern = ''").select("query_id").withColumn("_one", F.lit(1))
-              .join(any_person, "_one").drop("_one"))
-    persons = hits.select("query_id", "position", "id", "name").unionByName(blanks).select(
-        "query_id", F.lit("topnotcher").alias("entity"), "position", F.col("id").cast("string").alias("entity_id"),
-        "name")
-
-    return schools.unionByName(persons).unionByName(_program_hits(text, tables.programs))
+    # A name met by many rows: the best few rows per name are enough.
+    few = top_per_key(people.select("id", "name", F.lower("name").alias("text")), ["text"], person_order, person_limit)
+    rows = tables.schools.select(F.lit(SCHOOL).alias("entity"), "id", F.col("id").cast("string").alias("entity_id"), "name",
+                                 F.lower("name").alias("text")).unionByName(
+        few.select(F.lit(PERSON).alias("entity"), "id", F.col("id").cast("string").alias("entity_id"), "name", "text")).unionByName(
+        programs.select(F.lit(PROGRAM).alias("entity"), "id", F.col("exam_code").alias("entity_id"), "name", fields.alias("text")))
+    hits = (containing_all(asked.where(F.size("tokens") > 0), index).join(rows, ["entity", "text"])
+            .select("entity", "tokens", "id", "entity_id", "name").distinct())
+    # schools and people come by name, programs by id
+    order = [F.when(F.col("entity") == PROGRAM, "").otherwise(F.col("name")).asc(), F.asc("id")]
+    limit = F.when(F.col("entity") == SCHOOL, school_limit).when(F.col("entity") == PERSON, person_limit)
+    most = max(school_limit, person_limit)
+    place = F.row_number().over(Window.partitionBy("entity", "tokens").orderBy(*order))
+    ranked = top_per_key(hits.where(F.col("entity") != PROGRAM), ["entity", "tokens"], order, most).where(F.col("position") <= limit)
+    catalog = hits.where(F.col("entity") == PROGRAM).withColumn("position", place)  # at most the catalog per set of words
+    found = ranked.unionByName(catalog).join(asked, ["entity", "tokens"])
+
+    # what restricts nothing gets the first page
+    first = _numbered_page(tables.schools.select("id", "name"), school_limit).withColumn("entity", F.lit(SCHOOL)).unionByName(
+        _numbered_page(people.select("id", "name"), person_limit).withColumn("entity", F.lit(PERSON)))
+    blank = asked.where(F.size("tokens") == 0).join(first.withColumn("entity_id", F.col("id").cast("string")), "entity")
+    columns = ["query_id", "entity", "position", "entity_id", "name"]
+    return found.select(columns).unionByName(blank.select(columns))
 
 
 def _numbered_page(rows: DataFrame, limit: int) -> DataFrame:
     """The first rows by name with their positions; the window sees at most `limit` rows."""
     return rows.orderBy("name", "id").limit(limit).withColumn(
         "position", F.row_number().over(Window.orderBy("name", "id")))
-
-
-def _program_hits(text: DataFrame, programs: DataFrame) -> DataFrame:
-    """Programs whose name, code or slug contains the text: the catalog is searched like the schools, by pieces."""
-    asked = text.where(F.trim("query") != "").select("query_id", F.lower("query").alias("pattern"))
-    fields = programs.select("id", "exam_code", "name", F.explode(F.array(
-        F.lower("name"), F.lower("exam_code"), F.col("slug"))).alias("text"))
-    pairs = containing_pairs(asked.select("pattern").distinct(), fields.select("text").distinct())
-    hits = pairs.join(fields, "text").select("pattern", "id", "exam_code", "name").distinct().join(asked, "pattern")
-    position = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))  # at most the catalog per query
-    return hits.select("query_id", F.lit("exam").alias("entity"), position.alias("position"),
-                       F.col("exam_code").alias("entity_id"), "name")

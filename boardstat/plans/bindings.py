@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..frames import literal_array, literal_frame, number_rows, staged, top_per_key
 from ..functions import cycles as cy
 from ..functions import names, numbers
+from ..operators import search
 from ..registry import MONTHS, NATIONAL_CSV_TAG, OFFICIAL_SITE, MIRROR_SITE, PROGRAMS
 from ..schemas import Tables
 
@@ -21,6 +22,7 @@ START_YEAR, END_YEAR = 2015, 2023
 
 
 _sources: dict[tuple[str, str], DataFrame] = {}
+_indexes: dict[tuple[str, str], search.TextIndex] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -241,6 +243,15 @@ def schools(spark: SparkSession, sf_dir: str) -> Tables:
                   topnotchers=made.topnotchers)
 
 
+def search_index(spark: SparkSession, sf_dir: str) -> search.TextIndex:
+    """The gram dictionary of schools, top examinees and programs, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = search.search_index(schools(spark, sf_dir))
+    return _indexes[key]
+
+
+
 def defective_schools(spark: SparkSession, sf_dir: str) -> Tables:
     """The school tables with planted defects for the quality checks."""
     t = schools(spark, sf_dir)

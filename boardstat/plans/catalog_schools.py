@@ -28,7 +28,7 @@ def _school_search_count(spark, sf: str) -> DataFrame:
     tokens = names.search_tokens(F.col("query"))
     asked = texts.select("query_id", F.when(F.size(tokens) > 0, tokens).otherwise(
         F.array(F.lower(F.trim("query")))).alias("tokens"))
-    return search.search_counts(b.schools(spark, sf).schools, asked)
+    return search.search_counts(b.schools(spark, sf).schools, asked, b.search_index(spark, sf))
 
 
 def _cycle_texts(spark, sf: str) -> DataFrame:
@@ -92,7 +92,7 @@ QUERIES = {
         b.registered(spark, sf).exam_results.where("total_takers is not null"), "total_takers.desc",
         ["year", "total_takers"], F.asc("id")).select("exam_code", "year", "month", "total_takers", "id"),
     "search_cycles": lambda spark, sf: search.search_cycles(b.registered(spark, sf), _cycle_texts(spark, sf)),
-    "school_topnotchers": lambda spark, sf: search.school_topnotchers(b.schools(spark, sf)),
+    "school_topnotchers": lambda spark, sf: search.school_topnotchers(b.schools(spark, sf), b.search_index(spark, sf)),
     "compare_schools": lambda spark, sf: schools.compare_schools(
         b.schools(spark, sf), b.schools(spark, sf).schools.select(F.col("id").alias("school_id")), "building"),
     "regional_analytics": lambda spark, sf: schools.regional_analytics(b.schools(spark, sf)),
@@ -115,7 +115,8 @@ QUERIES = {
     "decade_view": lambda spark, sf: schools.decade_view(b.schools(spark, sf), b.AS_OF_YEAR),
     "school_filter": lambda spark, sf: schools.school_filter(b.schools(spark, sf), rates=(60, 90), ranks=(1, 50)),
     "ranking_with_consistency": lambda spark, sf: rankings.ranking_with_consistency(b.schools(spark, sf)),
-    "global_search": lambda spark, sf: search.global_search(b.schools(spark, sf), search_texts(spark, sf)),
+    "global_search": lambda spark, sf: search.global_search(b.schools(spark, sf), search_texts(spark, sf),
+                                                            index=b.search_index(spark, sf)),
     "search_tokens": lambda spark, sf: search_texts(spark, sf).withColumn(
         "tokens", F.array_join(names.search_tokens(F.col("query")), " ")),
     "school_search_count": _school_search_count,
