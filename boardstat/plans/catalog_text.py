@@ -143,7 +143,7 @@ def posts(spark, sf: str) -> DataFrame:
 
 
 def national_csv(spark, sf: str) -> DataFrame:
-    """The registered cycles written as a loosely formatted CSV and read back."""
+    """The registered cycles written as a folder of loosely formatted CSV files in three orders of columns and read back."""
     def build() -> str:
         rows = b.registered(spark, sf).exam_results
         code = (F.when(F.col("id") % 97 == 0, "NOPE").when(F.col("year") % 2 == 0, F.lower("exam_code"))
@@ -155,7 +155,10 @@ def national_csv(spark, sf: str) -> DataFrame:
                            F.concat(F.col("pass_rate").cast("string"), F.lit("%")).alias("pass_rate"),
                            F.when(F.col("id") % 3 == 0, F.col("source_url")).otherwise("").alias("source_url"))
         path = fresh_path(spark, "national-csv")
-        text.write.option("header", True).csv(path)
+        columns = text.columns
+        for k, order in enumerate((columns, columns[::-1], columns[3:] + columns[:3])):
+            text.where(F.pmod(F.col("year").cast("int"), F.lit(3)) == k).select(order).write.option("header", True).mode(
+                "append").csv(path)
         return path
     return files.read_national_csv(spark, _written(spark, "national_csv", sf, build))
 
@@ -194,6 +197,39 @@ def school_files(spark, sf: str) -> DataFrame:
         F.concat(header, F.lit("\r\n"), body, F.lit("\r\n,,,,\r\n")).alias("content"))
 
 
+def school_folder(spark, sf: str) -> str:
+    """A folder of CSV files of many schools, one per program and half-year: five spellings of the header in turn, every
+    sixth file lacks the passers. One spelling has quoted cells with line ends. The folders below it hold the names."""
+    def build() -> str:
+        rows = school_rows(spark, sf).withColumn("style", (F.col("program_id") + F.col("year") + F.when(
+            F.col("month") == "May", 1).otherwise(2)) % 6)
+        t, p, rank = F.col("takers").cast("string"), F.col("passers").cast("string"), F.col("rank").cast("string")
+        rate, name = F.format_string("%.2f%%", "pass_rate"), F.concat(F.lit('"'), "school", F.lit(', Inc"'))
+        plain, style = F.concat_ws(",", rank, name, t, p, rate), F.col("style")
+        note = F.when(F.col("school_id") % 3 == 0, '"a, ""b""\r\n\r\nc"').otherwise('""')
+        body = (F.when(style == 2, F.concat_ws(",", rate, p, t, name, rank)).when(style == 3, F.concat_ws(",", note, plain))
+                .when(style == 5, F.concat_ws(",", rank, name, t, rate)).otherwise(plain))
+        heads = F.array(*map(F.lit, ("Rank,School Name,No. of Examinees,No. of Passers,Passing Rate", "#,Institution,Examinees,Passed,%",
+                                     "pass_rate,passers,takers,school,rank", 'Note,Rank,School,Takers,Passers,"Pass ""Rate"""',
+                                     "Ranking,Name,Examinees,No. Passers,Percentage", "Rank,School,Takers,Rate")))
+        named = rows.select(F.concat(F.col("program_id").cast("string"), F.lit("_"), F.lower("month"), F.lit("_"), F.col("year").cast(
+            "string"), F.lit(".csv")).alias("file_name"), "school_id", "style", body.alias("value"))
+        header = named.select("file_name", "style").distinct().select(
+            "file_name", F.lit(-1).cast("long").alias("school_id"), F.get(heads, F.col("style").cast("int")).alias("value"))
+        lines = named.drop("style").unionByName(header).withColumn("value", F.concat("value", F.lit("\r")))
+        path = fresh_path(spark, "school-folder")
+        lines.repartition("file_name").sortWithinPartitions("file_name", "school_id").select("file_name", "value").write.partitionBy(
+            "file_name").text(path)
+        return path
+
+    return _written(spark, "school_folder", sf, build)
+
+
+def _folder_records(spark, sf: str) -> DataFrame:
+    name = F.regexp_extract("file", "file_name=([^/]+)/", 1)
+    return files.read_csv_records(spark, school_folder(spark, sf), "part-*", name)
+
+
 def _school_csv(spark, sf: str) -> DataFrame:
     made = school_files(spark, sf)
     keyed = made.select(F.col("id").cast("string").alias("file_name"), "content")
@@ -653,6 +689,8 @@ QUERIES = {
     "national_csv": lambda s, sf: files.check_national_rows(national_csv(s, sf)),
     "school_csv_rows": _school_csv,
     "school_file_errors": _school_file_errors,
+    "school_folder_rows": lambda s, sf: files.school_csv_rows(_folder_records(s, sf)),
+    "school_folder_errors": lambda s, sf: files.school_file_errors(_folder_records(s, sf)),
     "folder_cycles": _folder_cycles,
     "seed_provinces": _seed,
     "validate_rows": lambda s, sf: writes.validate_rows(validation_candidates(s, sf)).select(

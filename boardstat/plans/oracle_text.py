@@ -330,6 +330,12 @@ SQL: dict[str, str] = {
       passers, pass_rate, null::varchar as region from rr where school_id % 10 <> 0""",
     "school_file_errors": f"""{RANKED} select id::varchar as file_name, 'passers' as missing from rr
       where school_id % 10 = 0""",
+    "school_folder_rows": f"""{RANKED}, f as (select *, program_id || '_' || lower(month) || '_' || year || '.csv' as doc_id,
+      (program_id + year + case when month = 'May' then 1 else 2 end) % 6 as style from rr)
+      select doc_id, (row_number() over (partition by doc_id order by school_id) + 1)::integer as line_no,
+      school || ', Inc' as school, rank, takers, passers, pass_rate, null::varchar as region from f where style <> 5""",
+    "school_folder_errors": f"""{RANKED} select distinct program_id || '_' || lower(month) || '_' || year || '.csv' as file_name,
+      'passers' as missing from rr where (program_id + year + case when month = 'May' then 1 else 2 end) % 6 = 5""",
     "folder_cycles": f"""{RANKED}, f as (select case when school_id % 2 = 0 then 'CELE_' else '' end || case month
       when 'May' then 'May' else 'nov' end || '_' || year || case when school_id % 5 = 0 then '_final' else '' end
       || '.csv' as file_name, school_id % 5 <> 0 as fits, month, year from rr)

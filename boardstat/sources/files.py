@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..frames import literal_array, literal_frame
+from ..frames import literal_array, literal_frame, materialize
 from ..functions import links, names, numbers
 from ..operators import national, rankings, schools, series
 from ..operators.writes import stats_error, upsert_keeping_ids
@@ -16,14 +16,20 @@ NATIONAL_COLUMNS = ("exam_code", "month", "year", "total_passers", "total_takers
 
 
 def read_national_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A national CSV, or a folder of them, as text columns; refuses a file without the required ones, and a folder whose
-    files have their columns in different orders."""
-    rows = spark.read.option("header", True).option("enforceSchema", False).csv(path)
-    missing = [c for c in NATIONAL_COLUMNS if c not in rows.columns]
-    if missing:
-        raise ValueError(f"missing columns {missing}")
-    url = F.col("source_url") if "source_url" in rows.columns else F.lit(None).cast("string")
-    return rows.select(*NATIONAL_COLUMNS, url.alias("source_url"))
+    """A national CSV, or a folder of them, as text columns; every file is read by its own header, so the order and the
+    number of columns may differ from file to file. A file without the required ones is refused."""
+    records = read_csv_records(spark, path)
+    wanted = (*NATIONAL_COLUMNS, "source_url")
+    heads = csv_heads(records).select("file", F.transform(literal_array(wanted), lambda c: F.coalesce(
+        F.array_position(F.transform("header", lambda h: F.trim(h)), c), F.lit(0).cast("long"))).alias("at"))
+    required = literal_array(NATIONAL_COLUMNS)
+    lacking = heads.select("file", F.filter(required, lambda c, i: F.get(F.col("at"), i) == 0).alias("missing"))
+    refused = lacking.where(F.size("missing") > 0).orderBy("file").first()
+    if refused:
+        raise ValueError(f"missing columns {refused['missing']} in {refused['file']}")
+    body = records.where((F.col("record_no") > 1) & (F.col("text") != "")).select("file", csv_cells(F.col("text")).alias("cells"))
+    value = lambda i: F.nullif(F.get("cells", (F.get("at", F.lit(i)) - 1).cast("int")), F.lit(""))
+    return body.join(heads, "file").select(*[value(i).alias(c) for i, c in enumerate(wanted)])
 
 
 def check_national_rows(rows: DataFrame) -> DataFrame:
@@ -69,10 +75,67 @@ def csv_cells(record: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.concat(record, F.lit(",")), F.lit(_CELL), F.lit(1)), plain)
 
 
-def read_text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Small text files, one row each: file_name and content."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern)
-    return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content"))
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(file, file_name, size) of every file of a folder; no content is read. Spark's readers leave empty files out."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return found.select(F.col("path").alias("file"), _last_part(F.col("path")).alias("file_name"), F.col("length").alias("size"))
+
+
+def _last_part(path: Column) -> Column:
+    return F.url_decode(F.element_at(F.split(path, "/"), -1))
+
+
+def read_csv_records(spark: SparkSession, path: str, pattern: str = "*", name: Column | None = None) -> DataFrame:
+    """(file, file_name, record_no, text) of CSV files of any size; records are numbered from 1 in each file.
+
+    Files are read in splits. A line begins a record if the quotes before it in its file are even in number: each block
+    (the part of a file in one split) counts its quotes, the counts are added up over the blocks before, and the lines
+    of a block add to that. So a quoted line end is known as such wherever a split falls; it is read as a line feed.
+    A last quote without a partner is a plain character. `name` gives the file name if it is not the last part of the
+    path. Blank lines are records, empty files have none.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path, pathGlobFilter=pattern).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"),
+        (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).cast("long").alias("quotes"))
+    in_file, before = Window.partitionBy("file"), Window.partitionBy("file").orderBy("block").rowsBetween(
+        Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("held"), F.max(F.when(F.col("quotes") > 0, F.col("line"))).alias("last"))
+    blocks = blocks.select(
+        "file", "block", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"),
+        # the line whose last quote has no partner
+        F.when((F.sum("held").over(in_file) % 2 == 1) & (F.col("block") == F.max(F.when(F.col("held") > 0, F.col("block"))).over(in_file)),
+               F.col("last")).alias("stray"))
+    so_far = Window.partitionBy("file", "block").orderBy("line")
+    own = F.col("quotes") - F.coalesce(F.col("line") == F.col("stray"), F.lit(False)).cast("long")
+    lines = lines.join(blocks, ["file", "block"]).withColumn("own", own)
+    begins = (F.col("before") + F.sum("own").over(so_far) - F.col("own")) % 2 == 0
+    lines = materialize(lines.select("file", "block", "line", "text", "own", begins.alias("begins")), "lines")
+    starts = lines.groupBy("file", "block").agg(F.count_if("begins").alias("starts"))
+    starts = starts.select("file", "block", F.coalesce(F.sum("starts").over(before), F.lit(0)).alias("before"))
+    numbered = lines.join(starts, ["file", "block"]).withColumn(
+        "record_no", F.col("before") + F.sum(F.col("begins").cast("long")).over(so_far))
+    whole = F.col("begins") & (F.col("own") % 2 == 0)
+    parts = numbered.where(~whole).groupBy("file", "record_no").agg(
+        F.array_sort(F.collect_list(F.struct("block", "line", "text"))).alias("lines"))
+    records = numbered.where(whole).select("file", "record_no", "text").unionByName(parts.select(
+        "file", "record_no", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text")))
+    first = F.regexp_replace("text", "^\ufeff", "")
+    return records.select("file", (name if name is not None else _last_part(F.col("file"))).alias("file_name"), "record_no",
+                          F.when(F.col("record_no") == 1, first).otherwise(F.col("text")).alias("text"))
+
+
+def text_records(files: DataFrame) -> DataFrame:
+    """The records of small CSV texts that are rows already (file_name, content), in the form of `read_csv_records`."""
+    named = files.select(F.monotonically_increasing_id().cast("string").alias("file"), "file_name",
+                         csv_records(F.regexp_replace("content", "^\ufeff", "")).alias("lines"))
+    return named.select("file", "file_name", F.posexplode("lines").alias("at", "text")).select(
+        "file", "file_name", (F.col("at") + 1).cast("long").alias("record_no"), "text")
+
+
+def csv_heads(records: DataFrame) -> DataFrame:
+    """(file, file_name, header): the cells of the first record of each file."""
+    return records.where("record_no = 1").select("file", "file_name", csv_cells(F.col("text")).alias("header"))
 
 
 def file_cycle(name: Column) -> Column:
@@ -94,33 +157,36 @@ def _normal_header(text: Column) -> Column:
     return F.when(plain == "", F.trim(text)).otherwise(plain)
 
 
-def _csv_files(files: DataFrame) -> DataFrame:
-    """Lines of each file and, per canonical column, the 1-based position of its first accepted header; 0 if absent."""
+def _positions(heads: DataFrame) -> DataFrame:
+    """Per file and canonical column, the 1-based position of its first accepted header; 0 if absent."""
     aliases = F.transform(literal_array(list(HEADERS.values())), lambda names_: F.transform(names_, _normal_header))
-    header = F.transform(csv_cells(F.get(F.col("lines"), F.lit(0))), _normal_header)
 
     def positions(h: Column) -> Column:
         return F.transform(aliases, lambda options: F.coalesce(F.get(F.filter(F.transform(
             options, lambda a: F.array_position(h, a)), lambda p: p > 0), F.lit(0)), F.lit(0).cast("long")))
 
-    lines = csv_records(F.regexp_replace("content", "^\ufeff", ""))
-    return files.select("file_name", lines.alias("lines")).withColumn("at", links.once(header, positions))
+    return heads.select("file", "file_name", links.once(F.transform("header", _normal_header), positions).alias("at"))
+
+
+def _records(files: DataFrame) -> DataFrame:
+    return text_records(files) if "content" in files.columns else files
 
 
 def school_file_errors(files: DataFrame) -> DataFrame:
-    """Files that lack required columns, with the missing ones."""
+    """Files that lack required columns, with the missing ones. `files` are records or texts."""
     names_ = literal_array(list(HEADERS))
     missing = F.filter(names_, lambda c, i: F.get(F.col("at"), i) == 0)
     # An exploded constant keeps the header reading from being repeated in filter and projection.
-    rows = _csv_files(files).select("file_name", F.explode(F.array(F.array_join(missing, ", "))).alias("missing"))
-    return rows.where("missing <> ''")
+    heads = _positions(csv_heads(_records(files)))
+    return heads.select("file_name", F.explode(F.array(F.array_join(missing, ", "))).alias("missing")).where("missing <> ''")
 
 
 def school_csv_rows(files: DataFrame) -> DataFrame:
-    """School rows of CSV files whose headers may differ from file to file, with the region read off the name."""
-    usable = _csv_files(files).where(F.forall("at", lambda p: p > 0))
-    body = usable.select("file_name", "at", F.posexplode(F.slice("lines", 2, F.greatest(
-        F.size("lines"), F.lit(1)))).alias("line", "text")).where(F.trim("text") != "")
+    """School rows of CSV files whose headers may differ from file to file, with the region read off the name. `files`
+    are records of `read_csv_records` or texts (file_name, content)."""
+    records = _records(files)
+    usable = _positions(csv_heads(records)).where(F.forall("at", lambda p: p > 0)).select("file", "at")
+    body = records.where((F.col("record_no") > 1) & (F.trim("text") != "")).join(usable, "file")
     rows = body.withColumn("cells", csv_cells(F.col("text")))
     order = list(HEADERS)
 
@@ -129,7 +195,7 @@ def school_csv_rows(files: DataFrame) -> DataFrame:
 
     school = F.trim(cell("school"))
     return rows.where(school != "").select(
-        F.col("file_name").alias("doc_id"), (F.col("line") + 2).alias("line_no"), school.alias("school"),
+        F.col("file_name").alias("doc_id"), F.col("record_no").cast("int").alias("line_no"), school.alias("school"),
         numbers.to_int(cell("rank")).alias("rank"), numbers.to_int(cell("takers")).alias("takers"),
         numbers.to_int(cell("passers")).alias("passers"), numbers.to_rate(cell("pass_rate")).alias("pass_rate"),
         names.infer_region(school).alias("region"))

@@ -66,12 +66,12 @@ def test_school_folder(spark, tmp_path):
                                                 '1,"Univ, of Cebu","1,000",900,90.00%\n2, ,1,1,1\n')
     (tmp_path / "nov_2018.csv").write_text("%,passed,takers,institution,#\r\n50.0,1,2,Davao College,7\r\n")
     (tmp_path / "other.csv").write_text("a,b\n1,2\n")
-    loaded = files.read_text_files(spark, str(tmp_path))
+    loaded, listing = files.read_csv_records(spark, str(tmp_path)), files.list_files(spark, str(tmp_path))
     rows = sorted(tuple(r) for r in files.school_csv_rows(loaded).collect())
     assert rows == [("CELE_May_2019.csv", 2, "Univ, of Cebu", 1, 1000, 900, 90.0, "Region VII"),
                     ("nov_2018.csv", 2, "Davao College", 7, 2, 1, 50.0, "Region XI")]
     assert [r.file_name for r in files.school_file_errors(loaded).collect()] == ["other.csv"]
-    cycles = {r.file_name: (r.month, r.year) for r in files.folder_cycles(loaded).collect()}
+    cycles = {r.file_name: (r.month, r.year) for r in files.folder_cycles(listing).collect()}
     assert cycles == {"CELE_May_2019.csv": ("May", 2019), "nov_2018.csv": ("November", 2018), "other.csv": (None, None)}
 
 

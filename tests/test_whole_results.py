@@ -41,11 +41,66 @@ def test_quoted_header_and_line_break(spark):
     assert (row["rank"], row["school"], row["takers"], row["passers"], row["pass_rate"]) == (3, 'A "B", C', 10, 5, 50.0)
 
 
-def test_national_files_of_different_orders_are_refused(spark, tmp_path):
+def test_national_files_of_different_orders(spark, tmp_path):
     (tmp_path / "a.csv").write_text("exam_code,month,year,total_passers,total_takers,pass_rate\nCLE,May,2018,5,10,50\n")
-    (tmp_path / "b.csv").write_text("exam_code,month,total_passers,total_takers,year,pass_rate\nCLE,May,5,10,2019,50\n")
-    with pytest.raises(Exception):
-        files.read_national_csv(spark, str(tmp_path)).collect()
+    (tmp_path / "b.csv").write_text("exam_code,month,total_passers,total_takers,year,pass_rate\r\nCLE,May,5,10,2019,50\r\n")
+    (tmp_path / "c.csv").write_text('\ufeffnote,source_url, pass_rate,year,"total_takers",total_passers,month,exam_code\n'
+                                    '"a ""b"",\nc",http://x,50,2020,"1,000",500,May,CLE\n\n')
+    rows = sorted(tuple(r) for r in files.read_national_csv(spark, str(tmp_path)).collect())
+    assert rows == sorted([("CLE", "May", "2018", "5", "10", "50", None), ("CLE", "May", "2019", "5", "10", "50", None),
+                           ("CLE", "May", "2020", "500", "1,000", "50", "http://x")], key=str)
+    (tmp_path / "d.csv").write_text("exam_code,month,year\nCLE,May,2018\n")
+    with pytest.raises(ValueError, match="d.csv"):
+        files.read_national_csv(spark, str(tmp_path))
+
+
+def test_records_are_the_same_in_one_split_and_in_many(spark, tmp_path):
+    draw = random.Random(4)
+    for k in range(3):
+        rows = []
+        for i in range(300):
+            note = draw.choice(['""', '"two\nlines, ""quoted""\n\nend"', "plain", '"a, b"', '"' + "long\n" * 60 + '"'])
+            rows.append(f"{i},{note},School {i},10,5,50%")
+        stray = ['299,x,5" School,10,5,50'] if k else []
+        text = "\n".join(["Rank,Note,School,Takers,Passers,Rate", *rows, *stray, "300,y,Last,1,1,100"])
+        (tmp_path / f"f{k}.csv").write_text(text.replace("\n", "\r\n") if k == 2 else text)
+        (tmp_path / f"f{k}.csv").touch()
+    (tmp_path / "empty.csv").write_text("")
+
+    def read():
+        found = files.read_csv_records(spark, str(tmp_path))
+        splits = found.sparkSession.read.text(str(tmp_path)).select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
+        return splits, sorted(tuple(r)[1:] for r in found.collect())
+
+    whole, expected = read()
+    names, sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"), {}
+    for n in names:
+        sizes[n] = spark.conf.get(n)
+        spark.conf.set(n, "777")
+    try:
+        cut, got = read()
+    finally:
+        for n, v in sizes.items():
+            spark.conf.set(n, v)
+    assert whole == 3 and cut > 60 and got == expected
+    plain = [(f"f{k}.csv", n, r) for k in range(3) for n, r in enumerate(csv_split((tmp_path / f"f{k}.csv").read_bytes().decode()), 1)]
+    assert got == sorted(plain)
+    rows = files.school_csv_rows(files.read_csv_records(spark, str(tmp_path))).collect()
+    assert len(rows) == 3 * 301 + 2 and {r.school for r in rows} >= {'5" School', "School 7", "Last"}
+
+
+def csv_split(text):
+    """Records of a text: quotes in pairs hide line ends, a last one alone is plain."""
+    text, out, at, quoted = text.replace("\r\n", "\n"), [], "", False
+    stray = text.rfind('"') if text.count('"') % 2 else -1
+    for i, c in enumerate(text):
+        quoted ^= c == '"' and i != stray
+        if c == "\n" and not quoted:
+            out.append(at)
+            at = ""
+        else:
+            at += c
+    return [*out, at] if at else out
 
 
 def test_years_far_apart_and_long_decimals(spark):
