@@ -438,8 +438,8 @@ def _streamed(spark, sf: str) -> DataFrame:
         run = stream.stream_ingest(spark, f"{root}/in", t.programs, f"{root}/cycles", f"{root}/checkpoint",
                                    files_per_batch=1)
         run.awaitTermination()
-        return f"{root}/cycles/version={run.lastProgress['batchId']}"
-    return spark.read.parquet(_written(spark, "stream", sf, build)).select(
+        return f"{root}/cycles"
+    return stream.snapshot(spark, _written(spark, "stream", sf, build)).select(
         "program_id", "month", "year", "total_takers", "total_passers", "pass_rate", "source_url")
 
 

@@ -120,6 +120,29 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
 
 
+def test_stream_batches_write_what_changed(spark, tmp_path):
+    pages = catalog_text.arrivals(spark, SF).select("exam_code", "year", "month", "url", "source", "title", "html",
+                                                    "arrival")
+    t = b.registered(spark, SF)
+    inbox, target = str(tmp_path / "inbox"), str(tmp_path / "cycles")
+    some = pages.orderBy("arrival").limit(60).collect()
+    stream.start_snapshots(t.exam_results.where("id % 3 <> 0"), target)
+    for k in range(6):
+        spark.createDataFrame(some[10 * k:10 * k + 10], pages.schema).coalesce(1).write.mode("append").json(inbox)
+        query = stream.stream_ingest(spark, inbox, t.programs, target, str(tmp_path / "check"), files_per_batch=1, compact_every=2)
+        query.awaitTermination()
+        number = query.lastProgress["batchId"]
+        assert spark.read.parquet(f"{target}/changes/version={number}").count() <= 10
+        assert stream.status(spark, target, number).count() == 10
+        assert len(stream.versions(spark, f"{target}/base")) <= 2
+        assert len(stream.versions(spark, f"{target}/changes")) <= 4
+    batch = ingest_announcements(spark.createDataFrame(some, pages.schema),
+                                 Tables(programs=t.programs, exam_results=t.exam_results.where("id % 3 <> 0")))
+    columns = ["id", "program_id", "month", "year", "total_takers", "total_passers", "pass_rate", "source_url"]
+    want, got = batch.tables.exam_results.select(columns), stream.snapshot(spark, target).select(columns)
+    assert want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0
+
+
 def _events(spark):
     rows = [(k, t) for k in range(4) for t in ([0, 10, 10, 20, 1000, 1001, 1002, 2500, 9000] if k else range(0, 14000, 7))]
     start = 1_700_000_000_000
