@@ -18,7 +18,7 @@ from ..operators.national import with_program
 from ..schemas import Tables
 from ..sources import files
 from ..streaming import ingest as stream
-from ..streaming.throttle import throttle_events
+from ..streaming.throttle import throttle_events, throttle_stream
 from . import bindings as b
 
 
@@ -580,6 +580,32 @@ def _throttle(spark, sf: str) -> DataFrame:
     return throttle_events(events, limit=3, window_ms=6 * 3600 * 1000, partners=[7])
 
 
+def _throttle_streamed(spark, sf: str) -> DataFrame:
+    """The same log replayed in four files, in order of time, through the stream; its last file also holds rows that come
+    more than a window too late and are left out."""
+    hours = 3600 * 1000
+
+    def build() -> str:
+        root = fresh_path(spark, "throttle")
+        log = b.read(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+        low, high = log.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
+        parts = log.withColumn("part", F.floor((F.unix_millis("ts") - low) * 4 / (high - low + 1)).cast("int"))
+        for part in range(4):
+            rows = parts.where(F.col("part") == part).select("key", "ts")
+            if part == 3:
+                late = parts.where("part = 0 and key % 5 = 0").select("key", (F.col("ts") - F.expr("interval 1 day")).alias("ts"))
+                rows = rows.unionByName(late)
+            rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        live = throttle_stream(spark.readStream.schema("key long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{root}/in"),
+                               limit=3, window_ms=6 * hours, partners=[7])
+        run = (live.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+               .trigger(availableNow=True).start())
+        run.awaitTermination()
+        return f"{root}/out"
+
+    return spark.read.parquet(_written(spark, "throttle", sf, build))
+
+
 def _index(spark, sf: str) -> DataFrame:
     return b.link_index(spark, sf)
 
@@ -715,5 +741,6 @@ QUERIES = {
     "reingest_placeholders": _reingest,
     "direct_links": _direct_links,
     "throttle_events": _throttle,
+    "throttle_streamed": _throttle_streamed,
 }
 

@@ -470,3 +470,5 @@ SQL: dict[str, str] = {
         case when hits > lim - earlier then ceil((start + 21600000 - at_ms) / 1000.0)::bigint else 0 end as retry_after
       from counted""",
 }
+# the late rows are left out, so the stream decides as the whole log does
+SQL["throttle_streamed"] = SQL["throttle_events"]
