@@ -7,16 +7,16 @@ are narrow: no shuffle, one pass over the texts, whatever their size or number.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 from sys import modules
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..frames import first_per_key
 from ..functions import links, names, numbers
+from ..functions.markup import END, TEXT, events
 from ..registry import OFFICIAL_SITE, PROGRAMS, Program
 
 # The table reader travels with the job: executors need no installed package.
@@ -396,44 +396,51 @@ def json_rows(texts: DataFrame) -> DataFrame:
 
 # ── HTML tables ──────────────────────────────────────────────────────────────────────────────────────────────────────
 
-class _TableReader(HTMLParser):
-    """Tables of a page as rows of cell texts; a new row or cell closes the one before it."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.tables: list[list[list[str]]] = []
-        self._open: list[list[list[str]]] = []
-        self._in_cell = False
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            self.tables.append([])
-            self._open.append(self.tables[-1])
-        elif tag == "tr" and self._open:
-            self._open[-1].append([])
-        elif tag == "td" and self._open and self._open[-1]:
-            self._open[-1][-1].append("")
-            self._in_cell = True
-
-    def handle_endtag(self, tag):
-        if tag == "table" and self._open:
-            self._open.pop()
-        if tag in ("td", "tr", "table"):
-            self._in_cell = False
-
-    def handle_data(self, data):
-        if self._in_cell and self._open and self._open[-1] and self._open[-1][-1]:
-            self._open[-1][-1][-1] += data.strip()
-
-
-def _read_tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _page_tables(html: str) -> list[list[list[str]]]:
+    """Tables of a page as rows of cell texts; a new row or cell closes the one before it. Any string is a page."""
+    tables: list[list[list[str]]] = []
+    open_tables: list[list[list[str]]] = []
+    cell: list[str] | None = None  # the parts of the cell that is being read
+
+    def close() -> None:
+        nonlocal cell
+        if cell is not None:
+            open_row[-1] = "".join(cell)
+            cell = None
+
+    for kind, value, *_ in events(html):
+        if kind == TEXT:
+            if cell is not None:
+                cell.append(value.strip())
+        elif value not in ("table", "tr", "td"):
+            continue
+        elif kind == END:
+            close()
+            if value == "table" and open_tables:
+                open_tables.pop()
+        elif value == "table":
+            close()
+            tables.append([])
+            open_tables.append(tables[-1])
+        elif open_tables and value == "tr":
+            close()
+            open_tables[-1].append([])
+        elif open_tables and open_tables[-1]:
+            close()
+            open_row = open_tables[-1][-1]
+            open_row.append("")
+            cell = []
+    close()
+    return tables
+
+
+def _read_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.list_(pa.list_(pa.string())))
     for batch in batches:
-        tables = []
-        for html in batch["html"]:
-            reader = _TableReader()
-            reader.feed(html or "")
-            tables.append(reader.tables)
-        yield pd.DataFrame({"page_id": batch["page_id"], "tables": tables})
+        for start in range(0, len(batch), 256):  # the tables of few pages at a time
+            piece = batch.slice(start, 256)
+            tables = [_page_tables(html or "") for html in piece.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(tables, kind)], ["page_id", "tables"])
 
 
 # What a cell of a header or another table starts with.
@@ -484,7 +491,7 @@ def _cells(enough: Column, name: Column, takers: Column, passers: Column, rate:
 def html_tables(pages: DataFrame) -> DataFrame:
     """School rows of the largest result table of each page; only the markup itself is read in Python."""
     read = (pages.select("page_id", "html").where(F.contains(F.lower("html"), F.lit("<table")))
-            .mapInPandas(_read_tables, "page_id long, tables array<array<array<string>>>"))
+            .mapInArrow(_read_tables, "page_id long, tables array<array<array<string>>>"))
     rows = F.transform("tables", _table_rows)
     largest = F.array_max(F.transform(rows, lambda t, at: F.struct(F.size(t).alias("n"), (-at).alias("at"),
                                                                      t.alias("rows"))))["rows"]
