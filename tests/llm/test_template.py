@@ -1,3 +1,8 @@
+import time
+from collections import Counter
+
+import pyarrow as pa
+
 from boardstat.llm import template
 
 from .fixtures import prose
@@ -97,3 +102,68 @@ def test_template_texts_inside_the_slot_go(spark):
         wanted[i] = f"T {i}\n\n{prose(i, 70)}" + ("\n\nClosed today" if notice else "")
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r["page_id"]: r["text"] for r in template.main_texts(frame).collect()} == wanted
+
+
+ARTICLE = "The whole article stands here, and it is longer than all that stands beside it. " * 3
+
+
+def alone(html):
+    page = template.Page(html)
+    return template.extract(page, template.choose(*template._own_text(page))[0], set())
+
+
+def test_no_name_costs_an_article():
+    for html in ('<article><p class="ad-hoc">{}</p></article>', '<article><section class="share-price">{}</section></article>',
+                 '<body class="has-sidebar no-header"><article>{}</article>', '<div id="content"><div class="related-work">{}</div></div>',
+                 '<form id="aspnetForm"><div class="article">{}</div></form>', '<body><form><div><p>{}</p></div></form>',
+                 '<div class="modal"><article>{}</article></div><p>x</p>', '<article><div class="share">{}</div></article>'):
+        assert alone(html.format(ARTICLE)) == ARTICLE.strip(), html
+
+
+def test_parts_beside_the_article_go():
+    html = (f'<article><p>{ARTICLE}</p><ins class="adsbygoogle">ad</ins><div class="signup">s</div><div role="navigation">n</div>'
+            '<div role="complementary">c</div><div id="respond">r</div><div class="share-buttons">b</div>'
+            f'<div class="comment-list"><article>{ARTICLE * 3}</article></div></article>')
+    assert alone(html) == ARTICLE.strip()
+    assert alone('<article>text <button>x</button> y</article>') == "text y"
+    assert alone("<article><p>short</p></article><div class='comments'><article>" + ARTICLE + "</article></div>") == "short"
+
+
+def test_malformed_pages(spark):
+    rows = [(1, "http://x.example.com/1", "<article><p>a <![foo[ x ]]> b</p>"), (2, "http://x.example.com/2", "<p>z</p>" + "<a " * 20_000),
+            (3, "http://x.example.com/3", "<p>z</p>" + "<!--" * 20_000), (4, "http://x.example.com/4", "&#" + "9" * 9000 + ";"),
+            (5, "http://x.example.com/5", "<p>one <b class='a/b c'>two</p")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in template.main_texts(frame).collect()}
+    assert got == {1: "a b", 2: "z", 3: "z", 4: "�", 5: "one two"}
+
+
+def test_deep_pages_are_read_in_time():
+    for html in ("<div>" * 100_000 + ARTICLE, "".join(f"<div class='c{i}'>" for i in range(50_000)) + ARTICLE,
+                 "<table><tr><td>" * 20_000 + ARTICLE, "<ul><li>" * 40_000 + ARTICLE, "<b>" * 50_000 + ARTICLE):
+        begin = time.perf_counter()
+        assert alone(html) == ARTICLE.strip()
+        assert time.perf_counter() - begin < 15
+    deep = "<article>" + "<div>" * 90 + f"{ARTICLE}<script>x</script><div class='comments'>no</div>"
+    assert alone(deep) == ARTICLE.strip()
+
+
+def test_the_template_decides_where_no_name_does(spark):
+    """Hosts without marks or known names: the notice goes by its class, which no single page can tell."""
+    pages = [(i, f"http://n.example.com/{i}", f"{HEAD}<div id='k1'><div class='k2'>Printed on our own paper since then</div>"
+              f"<p>{prose(i, 50)}</p></div><div id='k3'><a href='/'>Home</a></div></body></html>") for i in range(6)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in template.main_texts(frame).collect()}
+    assert got == {i: prose(i, 50) for i in range(6)}
+    assert all("Printed" in alone(html) for _, _, html in pages)
+    # the classes, by brute force: tokens that occur equally often on each page of the host
+    counts = [Counter(t["token"] for t in tokens) for tokens in page_tokens(pages)]
+    everywhere = {t for t in counts[0] if all(t in c for c in counts)}
+    fixed = {r["host"]: set(r["fixed"]) for r in template.templates(frame).collect()}["n.example.com"]
+    assert fixed and fixed <= everywhere
+
+
+def page_tokens(pages):
+    batch = pa.RecordBatch.from_arrays([pa.array(["h"] * len(pages)), pa.array([p[2] for p in pages]), pa.array(range(len(pages)))],
+                                       ["host", "html", "page"])
+    return [t for b in template._tokens([batch]) for t in b.column(2).to_pylist()]
