@@ -24,19 +24,21 @@ from .shared import components
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 THRESHOLD = 0.93
-TREES = 6
-#: Width of a split's band in standard deviations of the projected difference of a pair at the threshold; a split can part
-#: a pair only if its projected difference is wider.
-MARGIN = 1.5
-#: A split whose band would hold more of the sample than this lowers no comparisons: 2 * ((1 + 0.4) / 2)^2 is about 1.
-DENSE = 0.4
+TREES = 8
+#: Width of a split's band in standard deviations of the projected difference of a pair at the threshold. A split parts a
+#: pair only if its projected difference is wider; more trees find such pairs at less cost than wider bands do.
+MARGIN = 0.5
+#: A node whose band would hold more of the sample than this is dense: its pairs lie as close as a pair at the threshold,
+#: so a split would part too many of them, and it stays one leaf.
+DENSE = 0.12
 #: Directions tried for a split, of which the one with the emptiest band is taken.
 TRIES = 3
-#: Vectors of one label that a leaf should hold; leaves beyond twice that are compared in blocks of this size.
-LEAF = 1024
-#: Bound of the sample that the trees are fitted on, and the fewest sample vectors that a split is fitted on.
-SAMPLE = 32_768
-SPLIT_ROWS = 64
+#: Vectors of one label that a leaf should hold, and the size of the blocks that leaves beyond two of them are compared in.
+LEAF, BLOCK = 96, 1024
+#: Bound of the sample that the trees are fitted on, and the fewest sample vectors that a split is fitted on: trees are at
+#: most 13 splits deep, so a leaf has more than two blocks from some 16 million distinct vectors of a label on.
+SAMPLE = 131_072
+SPLIT_ROWS = 16
 SEED = 11
 
 
@@ -213,14 +215,15 @@ def _compare(table: pa.Table, threshold: float) -> pa.Table:
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf_rows: int = LEAF,
-                 sample_rows: int = SAMPLE) -> DataFrame:
+                 sample_rows: int = SAMPLE, block_rows: int = BLOCK) -> DataFrame:
     """One row per row of `vectors` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Vectors of equal label link at a cosine of `threshold` or more. Equal vectors of a label are one class, compared once
     and counted as often as they occur; rows that repeat a vec_id are vectors of their own. A vector that is null, zero,
     or has null or non-finite components, or has no label, links with nothing, nor do vectors of different width.
-    A leaf with more than twice `leaf_rows` vectors of a label is compared in blocks, every block with every other, so
-    no pair of a leaf is left out and no task holds more than two blocks.
+    Trees are as deep as a leaf of `leaf_rows` vectors of the largest label needs. A leaf with more than twice `block_rows`
+    is compared in blocks, every block with every other, so no pair of a leaf is left out and no task holds more than two
+    blocks.
     """
     import numpy as np
 
@@ -235,16 +238,17 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int =
         same = classes.where(F.col("width") == width)
         share = min(1.0, sample_rows / max(1, same.count()))
         taken = same.where(F.pmod(F.xxhash64(F.lit(SEED), "rep"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-        sample = np.array([r["embedding"] for r in taken.select("embedding").collect()], float).reshape(-1, width)
+        sample = taken.select("embedding").toArrow().column(0).combine_chunks().flatten().to_numpy().astype(float).reshape(-1, width)
         sample /= np.linalg.norm(sample, axis=1, keepdims=True)
         deepest = int(np.log2(max(1, len(sample) // SPLIT_ROWS)))
         depth = min(deepest, int(np.ceil(np.log2(max(1, most / leaf_rows)))))
-        forests[width] = [grow(sample, depth, SEED + 1000 * width + t, threshold)
-                          for t in range(trees if depth else 1)]
+        grown = [grow(sample, depth, SEED + 1000 * width + t, threshold) for t in range(trees if depth else 1)]
+        # a tree whose root is dense compares all pairs, and needs no other beside it
+        forests[width] = next(([t] for t in grown if depth and np.isposinf(t.low[0])), grown)
     routed = _routed(classes, forests)
     key = ["width", "label", "leaf"]
     sizes = materialize(routed.groupBy(*key).count(), "leaf-sizes").where("count > 1").withColumn(
-        "blocks", F.when(F.col("count") > 2 * leaf_rows, F.ceil(F.col("count") / leaf_rows)).otherwise(1).cast("int"))
+        "blocks", F.when(F.col("count") > 2 * block_rows, F.ceil(F.col("count") / block_rows)).otherwise(1).cast("int"))
     placed = routed.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(SEED)), "blocks").cast("int"))
     paired = (placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
               .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
