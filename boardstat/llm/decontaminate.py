@@ -3,7 +3,8 @@
 A seed is the hash of the words of a document at the places of a fixed mask; the places between are ignored. The mask
 fits into every window of 13 words with at most two substituted ones, clear of both, so an equality join of the
 documents' and the benchmark's seeds misses no such window. Around each hit the words are compared on the hit's
-diagonal, and windows with at least 11 of 13 equal words are overlaps.
+diagonal, and windows with at least 11 of 13 equal words are overlaps. Items shorter than the mask are hashed whole and
+joined with the documents' runs of as many words.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ SUBSTITUTIONS = 2
 BROADCAST_SEEDS = 2_000_000
 #: Hits that may be broadcast to find their documents' texts again; more are joined by shuffle.
 BROADCAST_HITS = 200_000
+#: The fewest words of an item that may differ in one place: the mask fits clear of any one word of ten.
+ONE_OFF = 10
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -47,12 +50,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROAD
     """One row per document and benchmark item that overlap: doc_id, item_id, item_words, doc_start, doc_end (word
     positions, the end excluded), best_match (most equal words in a window).
 
-    Windows have 13 aligned words, 11 of them equal; an item of 8 to 12 words must occur whole, and shorter ones are no
-    evidence. Null texts have no words; rows without an id are not compared; repeated rows give one result.
+    Windows have 13 aligned words, 11 of them equal; a shorter item must occur as a whole, one of 10 to 12 words with one
+    word at most replaced. Null texts have no words, and an item without words is found nowhere; rows without an id are
+    not compared; repeated rows give one result.
     """
     items = (benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("words"))
              .select("item_id", F.filter("words", lambda w: w != "").alias("words")).distinct())
-    items = materialize(items.where(F.size("words") >= SPAN), "items")
+    every = materialize(items.where(F.size("words") > 0), "items")
+    items = every.where(F.size("words") >= SPAN)
     tests = materialize(_hashed(items, "item_id"), "seeds")
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     if tests.count() <= broadcast_seeds:
@@ -80,10 +85,32 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROAD
     size = F.least(F.lit(WINDOW), F.col("n"))
     windows = pairs.select("doc_id", "item_id", "n", "place", F.sum("equal").over(ahead).cast("int").alias("match"),
                            F.count("*").over(ahead).alias("seen"))
-    least = size - F.when(F.col("n") < WINDOW, 0).otherwise(SUBSTITUTIONS)
-    return (windows.where((F.col("seen") == size) & (F.col("match") >= least)).groupBy("doc_id", "item_id")
+    least = size - F.when(F.col("n") < ONE_OFF, 0).when(F.col("n") < WINDOW, 1).otherwise(SUBSTITUTIONS)
+    found = (windows.where((F.col("seen") == size) & (F.col("match") >= least)).groupBy("doc_id", "item_id")
             .agg(F.max("n").alias("item_words"), F.min("place").alias("doc_start"),
                  F.max(F.col("place") + size).alias("doc_end"), F.max("match").alias("best_match")))
+    return found.union(_short_overlaps(texts, every.where(F.size("words") < SPAN), broadcast_seeds))
+
+
+def _short_overlaps(texts: DataFrame, items: DataFrame, broadcast_seeds: int) -> DataFrame:
+    """Overlaps with items of fewer words than the mask spans, word for word."""
+    keyed = materialize(items.select("item_id", F.col("words").alias("test"), F.size("words").alias("n"),
+                                     F.xxhash64("words").alias("seed")), "short-items")
+    lengths = sorted(r["n"] for r in keyed.select("n").distinct().collect())  # fewer than SPAN
+
+    def runs(n: int) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0)))
+        made = F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), i.alias("at"), F.xxhash64(F.slice("words", i + 1, n)).alias("seed")))
+        return F.when(F.size("words") >= n, made).otherwise(F.array().cast("array<struct<n:int,at:int,seed:bigint>>"))
+
+    if keyed.count() <= broadcast_seeds:
+        keyed = F.broadcast(keyed)
+    known = texts.select("doc_id", F.filter(words(F.col("text")), lambda w: w != "").alias("words"))
+    known = known.where(F.lit(bool(lengths)))
+    found = known.select("doc_id", "words", F.explode(F.flatten(F.array(*map(runs, lengths or [1])))).alias("run")).select("doc_id", "words", "run.*").join(keyed, ["n", "seed"])
+    return found.where(F.slice("words", F.col("at") + 1, F.col("n")) == F.col("test")).groupBy("doc_id", "item_id").agg(
+        F.max("n").alias("item_words"), F.min("at").alias("doc_start"), F.max(F.col("at") + F.col("n")).alias("doc_end"),
+        F.max("n").alias("best_match"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -97,7 +124,7 @@ WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text,
            FROM documents WHERE doc_id IS NOT NULL),
 b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') w
       FROM benchmark WHERE item_id IS NOT NULL),
-items AS (SELECT item_id, w, len(w) n, least(13, len(w)) size FROM b WHERE len(w) >= 8),
+items AS (SELECT item_id, w, len(w) n, least(13, len(w)) size FROM b WHERE len(w) >= 1),
 dw AS (SELECT doc_id, len(w) dn, unnest(w) word, generate_subscripts(w, 1) - 1 AS p FROM d),
 iw AS (SELECT item_id, n, size, unnest(w) word, generate_subscripts(w, 1) - 1 AS q FROM items),
 equal AS (SELECT DISTINCT doc_id, dn, item_id, n, size, p - q AS diagonal, q FROM dw JOIN iw USING (word)),
@@ -114,4 +141,4 @@ windows AS (SELECT s.doc_id, s.item_id, s.n, s.size, s.diagonal, s.s, count(*) m
             GROUP BY ALL)
 SELECT doc_id, item_id, CAST(max(n) AS int) item_words, CAST(min(s + diagonal) AS int) doc_start,
        CAST(max(s + diagonal + size) AS int) doc_end, CAST(max(m) AS int) best_match
-FROM windows WHERE m >= size - CASE WHEN n < 13 THEN 0 ELSE 2 END GROUP BY doc_id, item_id"""
+FROM windows WHERE m >= size - CASE WHEN n < 10 THEN 0 WHEN n < 13 THEN 1 ELSE 2 END GROUP BY doc_id, item_id"""

@@ -36,7 +36,11 @@ def drops_white_space(path: str) -> bool:
     import regex
 
     with open(path, encoding="utf-8") as file:
-        step = json.load(file).get("pre_tokenizer") or {}
+        known = json.load(file)
+    step, before = known.get("pre_tokenizer") or {}, known.get("normalizer") or {}
+    # words are looked up in lower case, so the file must lower them itself
+    if "Lowercase" not in {n.get("type") for n in before.get("normalizers") or [before]}:
+        return False
     step = (step.get("pretokenizers") or [step])[0]
     if step.get("type") != "Split" or step.get("behavior") != "Removed" or not step.get("invert"):
         return False

@@ -17,10 +17,10 @@ def brute(docs, items):
         w = words(text)
         for j, item in items:
             t = words(item)
-            if i is None or j is None or len(t) < 8:
+            if i is None or j is None or not t:
                 continue
             size = min(13, len(t))
-            need = size if len(t) < 13 else 11
+            need = size if len(t) < 10 else size - 1 if len(t) < 13 else 11
             for a in range(len(w) - size + 1):
                 for b in range(len(t) - size + 1):
                     m = sum(x == y for x, y in zip(w[a:a + size], t[b:b + size]))
@@ -35,9 +35,15 @@ def test_the_mask_fits_every_window_with_two_substitutions():
         assert any(not {at + p for p in d.MASK} & set(spoiled) for at in range(d.WINDOW - d.SPAN + 1))
 
 
+def test_the_mask_fits_ten_words_with_one_substitution():
+    assert all(any(spoiled - at not in d.MASK for at in range(d.ONE_OFF - d.SPAN + 1)) for spoiled in range(d.ONE_OFF))
+    assert not all(any(spoiled - at not in d.MASK for at in range(d.ONE_OFF - d.SPAN)) for spoiled in range(d.ONE_OFF - 1))
+
+
 def planted():
     draw = random.Random(5)
     items = [(j, prose(100 + j, n)) for j, n in enumerate([40, 13, 20, 8, 10, 7, 60, 30])]
+    more = [(20, "zebra"), (21, prose(120, 2) + " zebra"), (22, prose(122, 11)), (23, prose(123, 12)), (24, prose(124, 9)), (25, prose(125, 4))]
     items += [(8, items[0][1]), (None, prose(1, 30)), (9, None), (10, "")]
     docs = []
     for i in range(40):
@@ -47,8 +53,10 @@ def planted():
         part = t[draw.randrange(3):] if i % 3 == 0 else t
         docs.append((i, f"..{prose(i, draw.randrange(20))} {' '.join(part).upper()}, {prose(500 + i, draw.randrange(20))}!"))
     docs += [(40, None), (41, ""), (42, "--"), (43, prose(77, 30_000)), (44, prose(78, 500) + " " + items[6][1]),
+             (50, f"{prose(90, 5)} {more[1][1]} {prose(91, 5)} Zebra"), (51, prose(92, 3) + " " + more[5][1] + " " + more[5][1]),
+             *[(60 + k, f"{prose(93, 3)} {' '.join(['x' if n == 4 else w for n, w in enumerate(words(m[1]))])} {prose(94, 4)}") for k, m in enumerate(more[2:5])],
              (None, items[0][1]), (3, docs[3][1]), (4, prose(4, 9) + items[0][1])]
-    return docs, items
+    return docs, items + more
 
 
 def test_overlaps_against_brute_force(spark):

@@ -55,3 +55,15 @@ def test_full_tables_start_anew(monkeypatch):
 def test_empty_table(spark):
     docs = documents(spark, [])
     assert tokens.token_counts(docs, WORD).collect() == []
+
+
+def test_a_file_that_keeps_case_is_no_word_file(tmp_path):
+    import json
+
+    with open(WORD, encoding="utf-8") as file:
+        known = json.load(file)
+    assert tokens.drops_white_space(WORD)
+    steps = known["normalizer"].get("normalizers", [known["normalizer"]])
+    known["normalizer"] = {"type": "Sequence", "normalizers": [s for s in steps if s["type"] != "Lowercase"]}
+    (tmp_path / "cased.json").write_text(json.dumps(known))
+    assert not tokens.drops_white_space(str(tmp_path / "cased.json"))
