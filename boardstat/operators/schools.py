@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import literal_frame
+from ..frames import fresh_path, literal_frame, number_rows
 from ..functions import cycles as cy
 from ..functions import names, numbers
 from ..schemas import Tables
@@ -41,6 +41,40 @@ def with_cycle_no(cycles: DataFrame) -> DataFrame:
     return cycles.withColumn("cycle_no", number.cast("decimal(38, 0)"))
 
 
+#: Blocks of a stored directory; also the most counts that a page collects.
+DIRECTORY_BLOCKS = 1024
+
+
+def school_directory(tables: Tables, blocks: int = DIRECTORY_BLOCKS) -> DataFrame:
+    """The schools in order of name and id, stored in at most `blocks` blocks of equal size, one partition each."""
+    rows = tables.schools.select("id", "name", "slug", "school_type", "region_id")
+    numbered = number_rows(rows, [], [F.asc("name"), F.asc("id")], "position")
+    total = rows.count()
+    block = F.floor((F.col("position") - 1) * blocks / max(total, 1)).cast("int")
+    numbered = numbered.withColumn("block", block).drop("position")
+    path = fresh_path(rows.sparkSession, "directory")
+    numbered.repartitionByRange("block", "name", "id").write.partitionBy("block").parquet(path)
+    return rows.sparkSession.read.schema(numbered.schema).parquet(path)
+
+
+def school_page(tables: Tables, directory: DataFrame, search: str | None = None, region: str | None = None, page: int = 1,
+                per_page: int = 20, region_mode: str = "filter") -> DataFrame:
+    """The page that `school_list` gives, from a stored directory: the schools that the filters leave are counted by block,
+    and only the blocks that the page lies in are read and put in order, however late it is."""
+    page, per_page = max(1, page), min(100, max(1, per_page))
+    rows = _listed(tables, directory, search, region, region_mode)
+    counts = {r["block"]: r["count"] for r in rows.groupBy("block").count().collect()}  # DIRECTORY_BLOCKS at most
+    low, before, wanted, total = (page - 1) * per_page, 0, {}, sum(counts.values())
+    for block in sorted(counts):
+        if before + counts[block] > low and before < low + per_page:
+            wanted[block] = before
+        before += counts[block]
+    shown = rows.where(F.col("block").isin(sorted(wanted))).orderBy("name", "id").offset(
+        low - min(wanted.values(), default=low)).limit(per_page)
+    return shown.select("id", "name", "slug", "school_type", "region", "region_code", F.lit(total).cast("long").alias("total"),
+                        F.lit(page).alias("page"), F.lit(-(-total // per_page)).cast("int").alias("pages"))
+
+
 def school_list(tables: Tables, search: str | None = None, region: str | None = None, page: int = 1,
                 per_page: int = 20, region_mode: str = "filter") -> DataFrame:
     """One page of the school directory by name, with the total and the number of pages.
@@ -48,21 +82,27 @@ def school_list(tables: Tables, search: str | None = None, region: str | None =
     `region_mode="embed"` keeps schools outside the region and only blanks the region columns.
     """
     page, per_page = max(1, page), min(100, max(1, per_page))
+    rows = _listed(tables, tables.schools.select("id", "name", "slug", "school_type", "region_id"), search, region, region_mode)
+    total = rows.agg(F.count("*").alias("total")).withColumn("_one", F.lit(1))
+    shown = rows.orderBy("name", "id").offset((page - 1) * per_page).limit(per_page).withColumn("_one", F.lit(1))
+    return (shown.join(total, "_one")
+            .select("id", "name", "slug", "school_type", "region", "region_code", "total", F.lit(page).alias("page"),
+                    F.ceil(F.col("total") / per_page).cast("int").alias("pages")))
+
+
+def _listed(tables: Tables, schools: DataFrame, search: str | None, region: str | None, region_mode: str) -> DataFrame:
+    """The schools of the directory that the filters leave, with their regions."""
     regions = tables.regions.select(F.col("id").alias("region_id"), F.col("name").alias("region"),
                                     F.col("code").alias("region_code"))
     how = "left"
     if region:
         regions = regions.where(F.contains(F.lower("region"), F.lit(region.lower())))
         how = "inner" if region_mode == "filter" else "left"
-    rows = tables.schools.select("id", "name", "slug", "school_type", "region_id").join(regions, "region_id", how)
+    rows = schools.join(regions, "region_id", how)
     if search and search.strip():
         # The directory filters by tokens only: a query without tokens does not restrict it.
         rows = rows.where(F.forall(names.search_tokens(F.lit(search)), lambda t: F.contains(F.lower("name"), t)))
-    total = rows.agg(F.count("*").alias("total")).withColumn("_one", F.lit(1))
-    shown = rows.orderBy("name", "id").offset((page - 1) * per_page).limit(per_page).withColumn("_one", F.lit(1))
-    return (shown.join(total, "_one")
-            .select("id", "name", "slug", "school_type", "region", "region_code", "total", F.lit(page).alias("page"),
-                    F.ceil(F.col("total") / per_page).cast("int").alias("pages")))
+    return rows
 
 
 def school_history(tables: Tables, exam_code: str | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..frames import literal_array, literal_frame, number_rows, staged, top_per_key
 from ..functions import cycles as cy
 from ..functions import names, numbers
+from ..operators import schools as school_operators
 from ..operators import search
 from ..registry import MONTHS, NATIONAL_CSV_TAG, OFFICIAL_SITE, MIRROR_SITE, PROGRAMS
 from ..schemas import Tables
@@ -23,6 +24,7 @@ START_YEAR, END_YEAR = 2015, 2023
 
 _sources: dict[tuple[str, str], DataFrame] = {}
 _indexes: dict[tuple[str, str], search.TextIndex] = {}
+_directories: dict[tuple[str, str], DataFrame] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -337,3 +339,11 @@ def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("<html><head><title>"), title, F.lit("</title><script>x(1);</script></head><body><p>The "),
                  "name", F.lit(" of "), F.col("month"), F.lit(" "), F.col("year").cast("string"),
                  F.lit(" is over.</p>\n<p>"), sentence, F.lit("</p></body></html>")).alias("html"))
+
+
+def school_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored directory of schools, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _directories:
+        _directories[key] = school_operators.school_directory(schools(spark, sf_dir), blocks=16)
+    return _directories[key]

@@ -74,6 +74,9 @@ QUERIES = {
                                                                    limit=50),
     "school_list": lambda spark, sf: schools.school_list(b.schools(spark, sf), search="state NATION_1", page=2,
                                                          per_page=15),
+    "school_page": lambda spark, sf: schools.school_page(b.schools(spark, sf), b.school_directory(spark, sf), page=4),
+    "school_page_found": lambda spark, sf: schools.school_page(
+        b.schools(spark, sf), b.school_directory(spark, sf), search="state NATION_1", region="as", page=2, per_page=7),
     "school_list_region": lambda spark, sf: schools.school_list(b.schools(spark, sf), region="as"),
     "school_list_embedded": lambda spark, sf: schools.school_list(b.schools(spark, sf), region="as", per_page=500,
                                                                   region_mode="embed"),

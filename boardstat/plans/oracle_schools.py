@@ -77,6 +77,12 @@ SQL: dict[str, str] = {
       and lower(name) like '%nation_1%')
       select id, name, slug, school_type, region, region_code, (select count(*) from f) as total, 2 as page,
       ceil((select count(*) from f) / 15.0)::integer as pages from f order by name, id limit 15 offset 15""",
+    "school_page": f"""{SCHOOLS} select id, name, slug, school_type, region, region_code, (select count(*) from located) as total,
+      4 as page, ceil((select count(*) from located) / 20.0)::integer as pages from located order by name, id limit 20 offset 60""",
+    "school_page_found": f"""{SCHOOLS}, f as (select * from located where lower(name) like '%state%'
+      and lower(name) like '%nation_1%' and lower(region) like '%as%')
+      select id, name, slug, school_type, region, region_code, (select count(*) from f) as total, 2 as page,
+      ceil((select count(*) from f) / 7.0)::integer as pages from f order by name, id limit 7 offset 7""",
     "school_list_region": f"""{SCHOOLS}, f as (select * from located where lower(region) like '%as%')
       select id, name, slug, school_type, region, region_code, (select count(*) from f) as total, 1 as page,
       ceil((select count(*) from f) / 20.0)::integer as pages from f order by name, id limit 20""",

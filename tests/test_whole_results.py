@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from boardstat import frames
 from boardstat.functions import numbers
-from boardstat.operators import ingest, rankings, search, writes
+from boardstat.operators import ingest, rankings, schools, search, writes
 from boardstat.plans import bindings as b
 from boardstat.schemas import Tables
 from boardstat.sources import files
@@ -186,3 +186,18 @@ def test_one_busy_key_is_throttled_like_a_replay(spark):
     for slots in (4, 256):
         got = throttle.throttle_events(frame, limit=3, window_ms=700, slots=slots).collect()
         assert sorted(tuple(r) for r in got) == sorted(expected)
+
+
+def test_late_pages_read_their_blocks_only(spark):
+    t = b.schools(spark, SF)
+    many = t.schools.unionByName(t.schools.withColumn("id", F.col("id") + 1000).withColumn("name", F.concat("name", F.lit(" B"))))
+    tables = Tables(schools=many, regions=t.regions)
+    directory = schools.school_directory(tables, blocks=5)
+    assert directory.select("block").distinct().count() == 5
+    for search_text in (None, "state", "nothing at all"):
+        for page in (1, 2, 4, 7, 9):
+            want = schools.school_list(tables, search=search_text, page=page, per_page=3).collect()
+            got = schools.school_page(tables, directory, search=search_text, page=page, per_page=3)
+            assert got.collect() == want
+    plan = schools.school_page(tables, directory, page=6, per_page=3)._jdf.queryExecution().toString()
+    assert "block" in plan.split("PartitionFilters: [")[1].split("]")[0]
