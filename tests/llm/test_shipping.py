@@ -24,4 +24,4 @@ def test_queries_run_where_the_library_is_absent(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     run = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert run.returncode == 0, run.stderr[-2000:]
-    assert run.stdout.count("ran ") == 11
+    assert run.stdout.count("ran ") == 14
