@@ -2,7 +2,8 @@
 
 Text and template are aligned on words that occur once in both: the longest increasing subsequence of their places
 fixes anchors, and the gaps between anchors are aligned the same way. Coverage is the part of the template's words
-that are aligned.
+that are aligned. A template that stands together is aligned in windows of the text; one that other words tear apart is
+aligned over the chain of its runs of words, however far these lie from one another.
 """
 
 from __future__ import annotations
@@ -98,6 +99,23 @@ CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY,
 LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
 CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
 ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "EPL-2.0": """This program and the accompanying materials are made available under the terms of the Eclipse Public License
+2.0 which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means.""",
+    "MIT SPDX notice": "SPDX-License-Identifier: MIT",
+    "ISC SPDX notice": "SPDX-License-Identifier: ISC",
+    "Apache-2.0 SPDX notice": "SPDX-License-Identifier: Apache-2.0",
+    "BSD-2-Clause SPDX notice": "SPDX-License-Identifier: BSD-2-Clause",
+    "BSD-3-Clause SPDX notice": "SPDX-License-Identifier: BSD-3-Clause",
+    "MPL-2.0 SPDX notice": "SPDX-License-Identifier: MPL-2.0",
+    "EPL-2.0 SPDX notice": "SPDX-License-Identifier: EPL-2.0",
+    "Unlicense SPDX notice": "SPDX-License-Identifier: Unlicense",
+    "BSD-2-Clause short notice": "BSD 2-Clause License",
+    "BSD-3-Clause short notice": "BSD 3-Clause License",
     "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
     "LGPL-2.1 notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
     "LGPL-3.0 notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
@@ -124,8 +142,11 @@ ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSI
 #: Words that tell a license from its relatives: those a template has must be aligned, and a place where only such words
 #: stand between two words that follow each other in the template is another license's.
 NAMES = frozenset("mit apache bsd cc nc sa nd noncommercial sharealike noderivatives lesser affero".split())
+NAMES |= frozenset("isc mpl epl unlicense mozilla eclipse spdx identifier endorse".split())
 BETWEEN = NAMES | frozenset("non commercial share alike no derivatives derivs noderivs library".split())
 NUMBER = re.compile(r"[0-9]+")
+VERSIONED = frozenset("version v by attribution apache bsd mpl epl".split())
+RUN = 5  # words of a run that counts as part of a license wherever it stands
 
 
 def distinguishing(template: list[str]) -> set[str]:
@@ -133,7 +154,7 @@ def distinguishing(template: list[str]) -> set[str]:
     found: list[int] = []
     for place, word in enumerate(template):
         before = template[place - 1] if place else ""
-        if word in NAMES or (NUMBER.fullmatch(word) and (before in ("version", "by", "attribution") or place - 1 in found)):
+        if word in NAMES or (NUMBER.fullmatch(word) and (before in VERSIONED or place - 1 in found)):
             found.append(place)
     return {template[place] for place in found}
 
@@ -236,6 +257,11 @@ class Scanner:
                 self.templates[name], self.marks[name], self.counts[name] = known, marks, counts
                 self.needed[name] = distinguishing(known)
         self.all_marks = sorted(set().union(*self.marks.values())) if self.marks else []
+        self.runs: dict[tuple[str, ...], list[tuple[str, int]]] = {}
+        for name, template in self.templates.items():
+            for place in range(len(template) - 1, RUN - 2, -1):  # last places first: a chain rises
+                first = place - RUN + 1
+                self.runs.setdefault(tuple(template[first:place + 1]), []).append((name, first))
 
     def scan(self, text: str) -> Iterator[tuple[str, float, int, int, int]]:
         """(license, coverage, matched, first_word, end_word) of the best place of each template that reaches it.
@@ -259,13 +285,17 @@ class Scanner:
             n = len(template)
             for block in sorted({k for p in hits for k in range(max(0, p // n - 2), p // n + 1)}):
                 heap += self._place(found, name, order[name], block)
+        chains = self._chains(found, set(self.templates) - {entry[5] for entry in heap})
+        for name, chain in chains.items():
+            heap += self._spread(found, name, order[name], chain)
         heapify(heap)
         best: dict[str, tuple] = {}
         taken: set[int] = set()
         while heap:
             matched, _, first, _, block, name, words_at = heappop(heap)
             if not taken.isdisjoint(words_at):
-                for again in self._place(found, name, order[name], block, taken):
+                for again in (self._spread(found, name, order[name], chains[name], taken) if block < 0
+                              else self._place(found, name, order[name], block, taken)):
                     heappush(heap, again)
                 continue
             taken.update(words_at)
@@ -284,14 +314,56 @@ class Scanner:
         here = Counter(w for w in window if w in counts)
         if sum(min(k, counts[w]) for w, k in here.items()) < need:
             return []
-        pairs = align(window, template)
-        if len(pairs) < need or not self.needed[name] <= {template[q] for _, q in pairs}:
+        return self._entry(found, name, order, block, [(start + p, q) for p, q in align(window, template)], taken)
+
+    def _entry(self, found: list[str], name: str, order: int, block: int, pairs: list[tuple[int, int]],
+               taken: Set[int]) -> list[tuple]:
+        """The heap entry of aligned places, if they reach the threshold and are no relative's."""
+        template = self.templates[name]
+        n = len(template)
+        if len(pairs) < self.coverage * n - 1e-9 or not self.needed[name] <= {template[q] for _, q in pairs}:
             return []
         for (a, c), (b, d) in zip(pairs, pairs[1:]):
-            if d == c + 1 and b > a + 1 and all(word in BETWEEN for word in window[a + 1:b]):
+            if d == c + 1 and b > a + 1 and all(found[p] in BETWEEN and p not in taken for p in range(a + 1, b)):
                 return []
-        at = [start + p for p, _ in pairs]
-        return [(-len(pairs), -len(pairs) / n, at[0], order, block, name, at)]
+        return [(-len(pairs), -len(pairs) / n, pairs[0][0], order, block, name, [p for p, _ in pairs])]
+
+    def _chains(self, found: list[str], names: Set[str]) -> dict[str, list[tuple[int, int]]]:
+        """Places (text, template) of all runs of the named templates that the text has words enough for."""
+        here = Counter(found)
+        names = {name for name in names if len(self.templates[name]) >= RUN and sum(
+            min(here[w], k) for w, k in self.counts[name].items()) >= self.coverage * len(self.templates[name]) - 1e-9}
+        chains: dict[str, list[tuple[int, int]]] = {}
+        if names:
+            for place in range(len(found) - RUN + 1):
+                for name, first in self.runs.get(tuple(found[place:place + RUN]), ()):
+                    if name in names:
+                        chains.setdefault(name, []).append((place, first))
+        return chains
+
+    def _spread(self, found: list[str], name: str, order: int, hits: list[tuple[int, int]],
+                taken: Set[int] = frozenset()) -> list[tuple]:
+        """The alignment over the longest chain of runs, any number of words apart, as an entry of the heap. Words between
+        two runs are aligned too unless far more stand between them than in the template."""
+        template = self.templates[name]
+        n = len(template)
+        if taken:
+            hits = [(p, q) for p, q in hits if taken.isdisjoint(range(p, p + RUN))]
+        pairs: list[tuple[int, int]] = []
+        for place in _increasing([q for _, q in hits]):
+            for p, q in zip(range(hits[place][0], hits[place][0] + RUN), range(hits[place][1], n)):
+                if not pairs or (p > pairs[-1][0] and q > pairs[-1][1]):
+                    pairs.append((p, q))
+        if not pairs:
+            return []
+        filled = list(pairs)
+        (a, c), (b, d) = pairs[0], pairs[-1]
+        ends = [(max(-1, a - 2 * c - 1), -1), *pairs, (min(len(found), b + 2 * (n - d) - 1), n)]
+        for (a, c), (b, d) in zip(ends, ends[1:]):
+            if b > a + 1 and d > c + 1 and b - a <= 2 * (d - c) + RUN:
+                between = [found[p] if p not in taken else "" for p in range(a + 1, b)]
+                filled += [(a + 1 + p, c + 1 + q) for p, q in align(between, template[c + 1:d])]
+        return self._entry(found, name, order, -1, sorted(filled), taken)
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: float = COVERAGE,
@@ -299,8 +371,9 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, cov
     """One row per document and license whose words it covers: id, license, coverage, matched, first_word, end_word.
 
     The place is the one with the most aligned words, the first of several; words are lower-case runs of letters and
-    digits, and an aligned place lies within two template lengths of text. The names and version of a template must be
-    aligned, and a word counts for one license only. Null and empty texts have none; repeated
+    digits. A place lies within two template lengths of text; a license without such a place is looked for over the whole
+    text, as the longest chain of runs of RUN words any distance apart, with single words where a gap is about as long as
+    in the template. The names and version of a template must be aligned, and a word counts for one license only. Null and empty texts have none; repeated
     rows are scanned each.
     """
     kind = dict(docs.dtypes)[id_column]

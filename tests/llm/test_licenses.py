@@ -100,3 +100,55 @@ def test_relatives_are_told_apart():
         assert name in names(text)
         if name.startswith(("GPL", "LGPL", "AGPL", "BSD", "CC")):
             assert names(text) == {name}
+
+
+def test_torn_texts_are_found_over_any_distance():
+    """Each text cut at random places, with foreign words between, is found; all its words are aligned unless a window
+    holds enough of it already."""
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    for k, (name, text) in enumerate(licenses.TEMPLATES.items()):
+        template = licenses.words(text)
+        if len(template) < 30:
+            continue
+        for distance in (300, 489, 4000):
+            draw = random.Random(k + distance)
+            cuts = sorted(draw.sample(range(6, len(template) - 6, 6), 2))
+            parts = [template[a:b] for a, b in zip([0, *cuts], [*cuts, len(template)])]
+            torn = f" {prose(k, distance)} ".join(" ".join(part) for part in parts)
+            found = {x[0]: x for x in scanner.scan(f"{prose(k + 1, 40)} {torn} {prose(k + 2, 40)}")}
+            assert set(found) == {name}
+            assert found[name][2] >= 0.8 * len(template)
+            if distance > 3 * len(template) and max(map(len, parts)) < 0.8 * len(template):
+                assert found[name][2] == len(template)
+
+
+def test_scattered_words_are_no_license():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    scattered = " ".join(f"{word} {prose(k, 12)}" for k, word in enumerate(licenses.words(licenses.TEMPLATES["MIT"])))
+    assert list(scanner.scan(scattered)) == []
+    assert list(scanner.scan(f"Released under {prose(1, 30)} the MIT {prose(2, 30)} License.")) == []
+
+
+def test_torn_copies_beside_whole_ones():
+    """A place that stands together wins; a torn text is found beside another license; repeats of a part do no harm."""
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    mit, isc = licenses.words(licenses.TEMPLATES["MIT"]), " ".join(licenses.words(licenses.TEMPLATES["ISC"]))
+    torn = f"{' '.join(mit[:80])} {prose(1, 900)} {' '.join(mit[80:])}"
+    found = {x[0]: x for x in scanner.scan(f"{torn} {isc}")}
+    assert set(found) == {"MIT", "ISC"} and found["MIT"][3:] == (0, len(mit) + 900)
+    whole = {x[0]: x for x in scanner.scan(f"{torn} {prose(2, 600)} {' '.join(mit)}")}
+    assert whole["MIT"][3] == len(mit) + 1500
+    parts = " ".join(f"{' '.join(mit[60:90])} {prose(k, 300)}" for k in range(20))
+    repeated = {x[0]: x for x in scanner.scan(f"{' '.join(mit[:60])} {prose(3, 700)} {parts} {' '.join(mit[90:])}")}
+    assert repeated["MIT"][2] == len(mit)
+
+
+def test_short_names_and_identifiers():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    for text, name in (("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0 SPDX notice"),
+                       ("# SPDX-License-Identifier: MIT", "MIT SPDX notice"),
+                       ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause SPDX notice"),
+                       ("under the BSD 2-Clause License.", "BSD-2-Clause short notice"), ("BSD 3-Clause License", "BSD-3-Clause short notice"),
+                       (licenses.TEMPLATES["MPL-2.0"], "MPL-2.0"), (licenses.TEMPLATES["Unlicense"], "Unlicense")):
+        assert [x[0] for x in scanner.scan(f"{prose(3, 20)} {text} {prose(4, 20)}")] == [name]
+    assert list(scanner.scan("SPDX-License-Identifier: Zlib")) == []
