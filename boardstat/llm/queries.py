@@ -65,7 +65,7 @@ def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preference pairs of all conversations, rendered by turn."""
-    return chat.preference_turns(*chat.swapped_replies(table(spark, sf_dir, "conversations")))
+    return chat.rendered_turns(chat.paired_replies(table(spark, sf_dir, "conversations")))
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

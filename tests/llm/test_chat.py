@@ -55,3 +55,18 @@ def test_main_path_is_native_and_empty_tables(spark):
     assert turns.collect() == []
     plan = turns._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_paired_replies_equal_both_tables_grouped(spark):
+    rows = [(c, t, "assistant" if (c + t) % 2 else "user", f"text {c * t % 5}") for c in range(40) for t in range(c % 7)]
+    rows += [(3, 1, "assistant", "again"), (3, 1, None, "a"), (5, 4, "user", "tie"), (5, 4, None, None), (7, 2, "assistant", None),
+             (90, 1, "assistant", "alone"), (91, 0, "user", "no reply"), (92, 0, "assistant", "x" * 200_000), (None, 1, "user", "x"),
+             (93, None, "assistant", "x"), rows[9], rows[10]]
+    talk = spark.createDataFrame([(*r, 0, "x") for r in rows], "conv_id long, turn long, role string, text string, at int, kept string")
+    want = chat.preference_turns(*chat.swapped_replies(talk))
+    got = chat.rendered_turns(chat.paired_replies(talk))
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() > 60 and chat.rendered_turns(chat.paired_replies(talk.limit(0))).collect() == []
+    plan = got._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
