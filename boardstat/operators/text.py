@@ -6,7 +6,7 @@ are narrow: no shuffle, one pass over the texts, whatever their size or number.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from sys import modules
 
 import pyarrow as pa
@@ -22,7 +22,9 @@ from ..registry import OFFICIAL_SITE, PROGRAMS, Program
 # The table reader travels with the job: executors need no installed package.
 cloudpickle.register_pickle_by_value(modules[__name__])
 
-NUMBER = r"([\d,]+)"
+# A run of digits is read from its start only, so a text of long runs costs no more than one of short ones.
+NUMBER = r"(?<![\d,])([\d,]+)"
+RATE = r"(?<![\d.])([\d.]+)"
 
 
 def plain_text(html: Column) -> Column:
@@ -60,23 +62,41 @@ def _stats(passers: Column, takers: Column, rate: Column | None) -> Column:
     return links.once(read, sound)
 
 
-# The usual wordings, and which groups are passers, takers and rate.
+# The usual wordings as parts that follow one another, however far apart, and where the parts hold passers,
+# takers and rate: (part, group).
 WORDINGS = (
-    (rf"(?is){NUMBER}\s+out\s+of\s+{NUMBER}\s+\(([\d.]+)%?\)", 1, 2, 3),
-    (rf"(?is){NUMBER}\s+out\s+of\s+{NUMBER}\s+passed", 1, 2, None),
-    (rf"(?is){NUMBER}\s+passed\s+and\s+{NUMBER}\s+failed\s+out\s+of\s+{NUMBER}", 1, 3, None),
-    (rf"(?is)passing\s+rate\s+of\s+([\d.]+)%.*?{NUMBER}\s+out\s+of\s+{NUMBER}", 2, 3, 1),
-    (rf"(?is){NUMBER}\s+examinees.*?{NUMBER}\s+passers.*?([\d.]+)%", 2, 1, 3),
-    (rf"(?is)total\s+(?:number\s+of\s+)?passers[:\s]+{NUMBER}.*?examinees[:\s]+{NUMBER}", 1, 2, None),
+    ((rf"(?is){NUMBER}\s+out\s+of\s+{NUMBER}\s+\({RATE}%?\)",), (0, 1), (0, 2), (0, 3)),
+    ((rf"(?is){NUMBER}\s+out\s+of\s+{NUMBER}\s+passed",), (0, 1), (0, 2), None),
+    ((rf"(?is){NUMBER}\s+passed\s+and\s+{NUMBER}\s+failed\s+out\s+of\s+{NUMBER}",), (0, 1), (0, 3), None),
+    ((rf"(?is)passing\s+rate\s+of\s+{RATE}%", rf"(?is){NUMBER}\s+out\s+of\s+{NUMBER}"), (1, 1), (1, 2), (0, 1)),
+    ((rf"(?is){NUMBER}\s+examinees", rf"(?is){NUMBER}\s+passers", rf"(?is){RATE}%"), (1, 1), (0, 1), (2, 1)),
+    ((rf"(?is)total\s+(?:number\s+of\s+)?passers[:\s]+{NUMBER}", rf"(?is)examinees[:\s]+{NUMBER}"), (0, 1), (1, 1), None),
 )
 
 
+def _following(text: Column, parts: tuple[str, ...], use: Callable[..., Column], *found: Column) -> Column:
+    """`use` of the first hit of each part after the hit of the part before; null if a part is missing.
+
+    What stands between is free, so if any hits of the parts follow one another, the first hit of each does: the text is
+    read once per part, where one pattern for the whole would start over at every first hit.
+    """
+    if not parts:
+        return use(*found)
+    rest = F.get(F.split(text, parts[0], 2), F.lit(1))
+    hit = F.regexp_extract(text, parts[0], 0)
+    read = F.struct(hit.alias("hit"), *([rest.alias("rest")] if parts[1:] else []))
+    return F.when(text.rlike(parts[0]), links.once(
+        read, lambda r: _following(r["rest"] if parts[1:] else r["hit"], parts[1:], use, *found, r["hit"])))
+
+
 def summary_stats(text: Column) -> Column:
     """National statistics from the first of six usual wordings that gives sound numbers."""
-    def worded(pattern: str, passers: int, takers: int, rate: int | None) -> Column:
-        return links.once(F.regexp_extract(text, pattern, 0), lambda hit: _stats(
-            _count(F.regexp_extract(hit, pattern, passers)), _count(F.regexp_extract(hit, pattern, takers)),
-            None if rate is None else numbers.to_rate(F.regexp_extract(hit, pattern, rate))))
+    def worded(parts: tuple[str, ...], passers: tuple, takers: tuple, rate: tuple | None) -> Column:
+        def stats(*hits: Column) -> Column:
+            def group(at: tuple) -> Column:
+                return F.regexp_extract(hits[at[0]], parts[at[0]], at[1])
+            return _stats(_count(group(passers)), _count(group(takers)), None if rate is None else numbers.to_rate(group(rate)))
+        return _following(text, parts, stats)
 
     return F.coalesce(*[worded(*w) for w in WORDINGS])
 
@@ -85,19 +105,20 @@ def extract_summary(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.withColumn("_stats", summary_stats(F.col(text))).select("*", "_stats.*").drop("_stats")
 
 
-# The wording for both teacher exams.
-DUAL = (rf"(?is){NUMBER}\s+elementary teachers?\s+out\s+of\s+{NUMBER}\s+examinees?\s*\(([\d.]+)%?\).*?"
-        rf"{NUMBER}\s+secondary teachers?\s+out\s+of\s+{NUMBER}\s+examinees?\s*\(([\d.]+)%?\)")
+# The wording for both teacher exams, one after the other.
+DUAL = tuple(rf"(?is){NUMBER}\s+{level} teachers?\s+out\s+of\s+{NUMBER}\s+examinees?\s*\({RATE}%?\)"
+             for level in ("elementary", "secondary"))
 
 
 def dual_stats(text: Column) -> Column:
     """Two (exam_code, statistics) from an announcement of both teacher exams; null unless both are sound."""
-    def part(hit: Column, code: str, at: int) -> Column:
+    def part(hit: Column, pattern: str, code: str) -> Column:
         return F.struct(F.lit(code).alias("exam_code"), _stats(
-            _count(F.regexp_extract(hit, DUAL, at)), _count(F.regexp_extract(hit, DUAL, at + 1)),
-            numbers.to_rate(F.regexp_extract(hit, DUAL, at + 2))).alias("stats"))
+            _count(F.regexp_extract(hit, pattern, 1)), _count(F.regexp_extract(hit, pattern, 2)),
+            numbers.to_rate(F.regexp_extract(hit, pattern, 3))).alias("stats"))
 
-    both = links.once(F.regexp_extract(text, DUAL, 0), lambda hit: F.array(part(hit, "LET-E", 1), part(hit, "LET-S", 4)))
+    both = _following(text, DUAL, lambda first, second: F.array(part(first, DUAL[0], "LET-E"),
+                                                                part(second, DUAL[1], "LET-S")))
     return links.once(both, lambda b: F.when(F.forall(b, lambda x: x["stats"].isNotNull()), b))
 
 

@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import fresh_path, literal_frame, number_rows
+from ..frames import fresh_path, literal_array, literal_frame, number_rows
 from ..functions import cycles as cy
 from ..functions import links, names, numbers
 from ..operators import audit, ingest, writes
 from ..operators import text as tx
 from ..operators.national import with_program
+from ..registry import PROGRAMS
 from ..schemas import Tables
 from ..sources import files
 from ..streaming import ingest as stream
@@ -528,9 +529,34 @@ def _string_lists(rows: DataFrame, *columns: str) -> DataFrame:
     return rows
 
 
-def _pages_text(spark, sf: str) -> DataFrame:
+def _pages_text(spark, sf: str, *extra: str) -> DataFrame:
     pages = b.read(spark, sf, "pages")
-    return tx.html_to_text(pages).select("page_id", tx.page_title(F.col("html")).alias("title"), "text")
+    return tx.html_to_text(pages).select("page_id", *extra, tx.page_title(F.col("html")).alias("title"), "text")
+
+
+def planted_summaries(spark, sf: str) -> DataFrame:
+    """Documents with a summary in one of the six wordings at their end, its parts far apart in some, unsound in others."""
+    d = b.read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    p, more = F.col("doc_id") % 900 + 100, F.col("doc_id") % 301
+    said = {"p": p.cast("string"), "t": (p + more).cast("string"), "f": more.cast("string"), "body": F.col("body"),
+            "r": F.format_string("%.1f", (F.col("doc_id") % 1000) / 10.0)}
+    wordings = (("p", " out of ", "t", " (", "r", "%)"), ("p", " out  of ", "t", " passed"),
+                ("p", " passed and ", "f", " failed out of ", "t"),
+                ("A passing rate of ", "r", "%. ", "body", " ", "p", " out of ", "t", " sat"),
+                ("t", " examinees. ", "body", " ", "p", " passers. ", "body", " ", "r", "%"),
+                ("Total number of passers: ", "p", ". ", "body", " Examinees: ", "t"),
+                ("t", " out of ", "p", " passed, total passers ", "p", ", examinees ", "t"))
+    end = F.lit("")
+    for k, wording in enumerate(wordings):
+        end = F.when(F.col("doc_id") % 8 == k, F.concat(*[said.get(w, F.lit(w)) for w in wording])).otherwise(end)
+    return d.select("doc_id", F.concat("body", F.lit(" 7 examinees, 8,9 out of. "), end).alias("text"))
+
+
+def titled_pages(spark, sf: str) -> DataFrame:
+    """Pages, every second one with the name of a registered program in its title."""
+    name = F.element_at(literal_array([p.name for p in PROGRAMS]), (F.col("page_id") % len(PROGRAMS) + 1).cast("int"))
+    title = F.concat(F.coalesce("title", F.lit("")), F.when(F.col("page_id") % 2 == 0, "").otherwise(F.concat(F.lit(" "), name)))
+    return _pages_text(spark, sf, "url").withColumn("title", title)
 
 
 def _cycle_labels(spark, sf: str) -> DataFrame:
@@ -677,10 +703,13 @@ QUERIES = {
     "infer_exam": lambda s, sf: tx.infer_exam(tx.html_to_text(arrivals(s, sf))).select(
         "id", "exam_code", "parsed_exam", F.array_join(F.transform("scores", lambda x: x.cast("string")), " ").alias(
             "scores")),
+    "infer_exam_titled": lambda s, sf: tx.infer_exam(titled_pages(s, sf)).select("page_id", "parsed_exam"),
     "infer_exam_pages": lambda s, sf: tx.infer_exam(_pages_text(s, sf).join(
         b.read(s, sf, "pages").select("page_id", "url"), "page_id")).groupBy("parsed_exam").agg(F.count("*").alias("n")),
     "extract_summary": lambda s, sf: tx.extract_summary(tx.html_to_text(b.announcements(s, sf))).select(
         "id", "total_passers", "total_takers", "pass_rate"),
+    "extract_summary_planted": lambda s, sf: tx.extract_summary(planted_summaries(s, sf)).select(
+        "doc_id", "total_passers", "total_takers", "pass_rate"),
     "extract_summary_corpus": lambda s, sf: tx.extract_summary(b.read(s, sf, "documents").select("doc_id", "text")
                                                               ).select("doc_id", "total_passers", "total_takers",
                                                                        "pass_rate"),

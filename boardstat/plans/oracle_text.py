@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..operators.text import WORDINGS
 from ..registry import (MONTHS, NAME_ABBREVIATIONS, NAME_STOP_WORDS, PROGRAMS, PROVINCES, REGION_HINTS, REGIONS,
                         TITLE_RULES, name_words)
 from .oracle_audit import BAD, CODES, KEEP, LINK_INDEX, NATIONAL_CHECKS, OWNER, URL_YEAR, inferred, scores
@@ -16,6 +15,14 @@ EXCLUDED_TITLE = (
     '+plumber|\\bmple\\b'
 )
 PARTIAL_ROLL = '(?i)passers\\s*\\([A-Z]-[A-Z]\\)|passers\\s*\\([A-Z]\\s*-\\s*[A-Z]\\)|\\([A-Z]-[A-Z]\\)\\s*$|sple\\b'
+WORDINGS = (  # whole patterns: pattern, groups of passers, takers and rate
+    ('(?is)([\\d,]+)\\s+out\\s+of\\s+([\\d,]+)\\s+\\(([\\d.]+)%?\\)', 1, 2, 3),
+    ('(?is)([\\d,]+)\\s+out\\s+of\\s+([\\d,]+)\\s+passed', 1, 2, None),
+    ('(?is)([\\d,]+)\\s+passed\\s+and\\s+([\\d,]+)\\s+failed\\s+out\\s+of\\s+([\\d,]+)', 1, 3, None),
+    ('(?is)passing\\s+rate\\s+of\\s+([\\d.]+)%.*?([\\d,]+)\\s+out\\s+of\\s+([\\d,]+)', 2, 3, 1),
+    ('(?is)([\\d,]+)\\s+examinees.*?([\\d,]+)\\s+passers.*?([\\d.]+)%', 2, 1, 3),
+    ('(?is)total\\s+(?:number\\s+of\\s+)?passers[:\\s]+([\\d,]+).*?examinees[:\\s]+([\\d,]+)', 1, 2, None),
+)
 EXCLUDED_ARTICLE = '(?i)middle\\s+east|special\\s+professional|room\\s+assignment|advisory|procurement'
 SCHOOL_PAGE_MARKERS = (
     'top-schools', 'top schools', 'top-performing', 'top performing', 'performance of schools',
@@ -246,10 +253,24 @@ SQL: dict[str, str] = {
     "html_to_text": f"with {PAGES} select page_id, title, text from pt",
     "infer_exam": f"""{ANNOUNCED}, sc as (select *, {scores('low')} as s from (select *, {_ANN_TEXT} as low from arr))
       select id, exam_code, {inferred('s')} as parsed_exam, array_to_string(s, ' ') as scores from sc""",
+    "infer_exam_titled": f"""with {PAGES}, named as (select * replace (coalesce(title, '') || case when page_id % 2 = 0 then '' else ' '
+        || [{', '.join(quote(p.name) for p in PROGRAMS)}][page_id % {len(PROGRAMS)} + 1] end as title) from pt),
+      sc as (select page_id, {scores('low')} as s from (select page_id, {_ANN_TEXT} as low from named))
+      select page_id, {inferred('s')} as parsed_exam from sc""",
     "infer_exam_pages": f"""with {PAGES}, sc as (select {scores('low')} as s from (select {_ANN_TEXT} as low from pt))
       select {inferred('s')} as parsed_exam, count(*) as n from sc group by 1""",
     "extract_summary": f"""{ANNOUNCED} select id, x_passers as total_passers, x_takers as total_takers, x_rate as
       pass_rate from ann""",
+    "extract_summary_planted": f"""with d as (select doc_id, coalesce(text, '') as body, doc_id % 900 + 100 as p, doc_id % 900 + 100
+        + doc_id % 301 as t, printf('%.1f', (doc_id % 1000) / 10.0) as r from documents),
+      planted as (select doc_id, body || ' 7 examinees, 8,9 out of. ' || case doc_id % 8 when 0 then p || ' out of ' || t || ' (' || r || '%)'
+        when 1 then p || ' out  of ' || t || ' passed' when 2 then p || ' passed and ' || (t - p) || ' failed out of ' || t
+        when 3 then 'A passing rate of ' || r || '%. ' || body || ' ' || p || ' out of ' || t || ' sat'
+        when 4 then t || ' examinees. ' || body || ' ' || p || ' passers. ' || body || ' ' || r || '%'
+        when 5 then 'Total number of passers: ' || p || '. ' || body || ' Examinees: ' || t
+        when 6 then t || ' out of ' || p || ' passed, total passers ' || p || ', examinees ' || t else '' end as text from d),
+      h as (select doc_id, {', '.join(_wording(i) for i in range(6))} from planted)
+      select doc_id, {_first('p')} as total_passers, {_first('t')} as total_takers, {_first('r')} as pass_rate from h""",
     "extract_summary_corpus": f"""with h as (select doc_id, {', '.join(_wording(i) for i in range(6))} from documents)
       select doc_id, {_first('p')} as total_passers, {_first('t')} as total_takers, {_first('r')} as pass_rate from h""",
     "extract_dual": f"""{REGISTERED} select id, 'LET-E' as exam_code, total_passers, total_takers, pass_rate from ordered

@@ -1,6 +1,9 @@
 """Extraction cases, file round trips, and streams against their batch twins."""
 
 import json
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,3 +195,36 @@ def test_links_of_a_program_are_written_in_several_arrays(spark, tmp_path):
     back = files.read_link_index(spark, str(tmp_path / "index"))
     key = lambda r: (str(r[0]), r[1], r[2])
     assert sorted((tuple(r) for r in back.select("exam_code", "year", "url").collect()), key=key) == sorted(rows, key=key)
+
+
+def test_wordings_are_linear(spark):
+    """Texts of many numbers that begin a wording and never end one; a single pattern starts over at each."""
+    texts = ["12 examinees " * 20_000, "1" * 200_000 + " out", "a passing rate of 5% " * 20_000, "total passers 9 " * 20_000,
+             "3 out of 4 (" * 20_000, "12 elementary teachers out of 13 examinees (1%) " * 5_000]
+    rows = literal_frame(spark, {"text": "string"}, [(t,) for t in texts]).repartition(6)
+    start = time.perf_counter()
+    assert tx.extract_summary(rows).where("total_takers is not null").count() == 0
+    assert tx.extract_dual(rows).count() == 0
+    assert time.perf_counter() - start < 60
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_wordings_equal_whole_patterns(spark, seed):
+    """The parts of every wording found one after another against one pattern over the whole text."""
+    draw = random.Random(seed)
+    parts = ["5", "12,3", ",", "7.5%", "(50%)", "(5", "out of", "passed", "passed and", "failed out of", "passing rate of", "examinees",
+             "passers", "total", "number of", "total passers:", "Total number of passers", "examinees: 9", "3 out of 4", "\n", "x", "6 passers"]
+    texts = [" ".join(draw.choices(parts, k=draw.randrange(4, 40))) for _ in range(300)]
+    whole = [((r"(?is)([\d,]+)\s+examinees.*?([\d,]+)\s+passers.*?([\d.]+)%"), (2, 1, 3), 4),
+             ((r"(?is)passing\s+rate\s+of\s+([\d.]+)%.*?([\d,]+)\s+out\s+of\s+([\d,]+)"), (2, 3, 1), 3),
+             ((r"(?is)total\s+(?:number\s+of\s+)?passers[:\s]+([\d,]+).*?examinees[:\s]+([\d,]+)"), (1, 2), 5),
+             ((r"(?is)([\d,]+)\s+out\s+of\s+([\d,]+)\s+\(([\d.]+)%?\)"), (1, 2, 3), 0)]
+    rows = literal_frame(spark, {"text": "string"}, [(t,) for t in texts])
+    for pattern, groups, at in whole:
+        wording = tx.WORDINGS[at]
+        places = [g for g in wording[1:] if g]
+        got = rows.select("text", tx._following(F.col("text"), wording[0], lambda *hits: F.array(
+            *[F.regexp_extract(hits[part], wording[0][part], group) for part, group in places])).alias("found")).collect()
+        for row in got:
+            hit = re.search(pattern, row["text"])
+            assert row["found"] == ([hit.group(g) for g in groups] if hit else None), row["text"]
