@@ -90,23 +90,29 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         remove(spark, folder)
 
 
-def write_table(df: DataFrame, name: str) -> str:
+def write_table(df: DataFrame, name: str, by: Sequence[str] = ()) -> str:
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return path
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut the lineage: the rows survive the loss of any executor because they are in the shared folder."""
-    path = write_table(df, name)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, name: str = "table", by: Sequence[str] = ()) -> DataFrame:
+    """Cut the lineage: the rows survive the loss of any executor because they are in the shared folder. `by` names the
+    columns of its partitions, one folder per value."""
+    path = write_table(df, name, by)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 
 
-def staged(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table derived once per application from the tables under `source`, then read back by every query."""
+def staged(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame],
+           by: Sequence[str] = ()) -> DataFrame:
+    """A table derived once per application from the tables under `source`, then read back by every query.
+
+    With `by`, columns of values bounded by the calendar, filters on them and joins with filtered rows of them read their
+    own folders only. Rows are written where they are: frames grouped or numbered by such a column hold it in few tasks.
+    """
     key = (spark.sparkContext.applicationId, name, source)
     if key not in _staged:
-        _staged[key] = materialize(build(), name)
+        _staged[key] = materialize(build(), name, by)
     return _staged[key]
 
 
