@@ -130,7 +130,9 @@ def throttle_events(events: DataFrame, limit: int = 60, window_ms: int = 60_000,
                    "opened": np.array(starts)[place]}
 
     def in_order(df: DataFrame) -> DataFrame:
-        return df.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "at_ms")
+        # By a number of its own: rows joined by key and stretch count as placed by them already, and the exchange would be
+        # left out, but a join that turns into a broadcast at run time reads its rows where they are and parts a stretch.
+        return df.repartition(F.xxhash64("key", "stretch")).sortWithinPartitions("key", "stretch", "at_ms")
 
     lists = in_order(moments.select("key", "stretch", "at_ms")).mapInPandas(
         lambda batches: _gathered(openings(batches)), "key long, stretch long, entry long, last long")

@@ -188,6 +188,22 @@ def test_one_busy_key_is_throttled_like_a_replay(spark):
         assert sorted(tuple(r) for r in got) == sorted(expected)
 
 
+def test_stretches_stay_whole_when_their_join_is_broadcast(spark):
+    moments = [(key, at) for key in range(40) for at in range(0, 400, 10)]
+    frame = spark.createDataFrame(moments, "key long, at long").repartition(8).select("key", F.timestamp_millis("at").alias("ts"))
+    # As in a long log: the moments lie in several partitions and are too large to be broadcast, the entries are not.
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold": "8k"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        got = throttle.throttle_events(frame, limit=3, window_ms=100).groupBy("key").agg(F.sum("allowed").alias("n")).collect()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert {r["key"]: r["n"] for r in got} == {key: 12 for key in range(40)}
+
+
 def test_late_pages_read_their_blocks_only(spark):
     t = b.schools(spark, SF)
     many = t.schools.unionByName(t.schools.withColumn("id", F.col("id") + 1000).withColumn("name", F.concat("name", F.lit(" B"))))
