@@ -71,10 +71,11 @@ def report_blocks(spark, sf: str) -> DataFrame:
     school = F.translate("school", "0123456789", "ABCDEFGHIJ")
     again = F.explode(F.when(F.col("school_id") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     lines = rows.select("*", again.alias("copy")).select(
-        (F.col("exam_result_id") * 1000 + F.expr("school_id div 25")).alias("doc_id"), F.struct(
+        "exam_result_id", F.expr("school_id div 25").alias("block"), F.struct(
             "school_id", "copy", F.concat(F.when(F.col("copy") == 1, F.lower(school)).otherwise(school), F.lit("  "), group,
                                           F.lit(" 0 0 0 0.00% "), group).alias("line")).alias("row"))
-    made = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    # Grouped by cycle and block: from the 25,000th school on, the numbers of documents of two cycles meet.
+    made = lines.groupBy((F.col("exam_result_id") * 1000 + F.col("block")).alias("doc_id"), "exam_result_id", "block").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     text = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
     reports = made.select("doc_id", F.concat(F.lit("SCHOOL PASSED FAILED TOTAL RATE\n---\n"), text, F.lit("\nend")).alias("text"))
     corpus = b.read(spark, sf, "documents").select((-F.col("doc_id") - 1).alias("doc_id"), "text")

@@ -64,6 +64,16 @@ def test_header_lines_and_fallback(spark):
     assert {r.source_no for r in enough} == {0}
 
 
+def test_report_blocks_of_two_cycles_stay_apart(spark, monkeypatch):
+    rows = literal_frame(spark, {"exam_result_id": "long", "school_id": "long", "school": "string", "takers": "int", "passers": "int",
+                                 "pass_rate": "double"}, [(101, 25_001, "B STATE 25001", 2, 1, 50.0), (102, 1, "A STATE 1", 2, 1, 50.0)])
+    monkeypatch.setattr(catalog_text, "school_rows", lambda *_: rows)
+    made = catalog_text.report_blocks(spark, SF).where("doc_id = 102000").collect()
+    assert len(made) == 2
+    got = tx.parse_school_reports(spark.createDataFrame(made)).where("source_no = 0").collect()
+    assert {(r.school, r.line_no) for r in got} == {("B STATE CFAAB", 3), ("A STATE B", 3)}
+
+
 def test_school_folder(spark, tmp_path):
     (tmp_path / "CELE_May_2019.csv").write_text("Rank,School Name,No. of Examinees,No. of Passers,Passing Rate\n"
                                                 '1,"Univ, of Cebu","1,000",900,90.00%\n2, ,1,1,1\n')
