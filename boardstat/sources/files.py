@@ -165,7 +165,8 @@ def _positions(heads: DataFrame) -> DataFrame:
         return F.transform(aliases, lambda options: F.coalesce(F.get(F.filter(F.transform(
             options, lambda a: F.array_position(h, a)), lambda p: p > 0), F.lit(0)), F.lit(0).cast("long")))
 
-    return heads.select("file", "file_name", links.once(F.transform("header", _normal_header), positions).alias("at"))
+    kept = [c for c in heads.columns if c != "header"]
+    return heads.select(*kept, links.once(F.transform("header", _normal_header), positions).alias("at"))
 
 
 def _records(files: DataFrame) -> DataFrame:
@@ -181,13 +182,28 @@ def school_file_errors(files: DataFrame) -> DataFrame:
     return heads.select("file_name", F.explode(F.array(F.array_join(missing, ", "))).alias("missing")).where("missing <> ''")
 
 
+_BODY = "record_no > 1 AND trim(text) <> ''"
+
+
+def _file_bodies(records: DataFrame) -> DataFrame:
+    """Records below a usable header, with the places of its columns."""
+    usable = _positions(csv_heads(records)).where(F.forall("at", lambda p: p > 0)).select("file", "at")
+    return records.where(_BODY).join(usable, "file")
+
+
+def _text_bodies(files: DataFrame) -> DataFrame:
+    """The same of texts that are rows already. A text brings its header along: nothing names its row, and rows counted in
+    two readings of a shuffle need not come in the same order."""
+    cut = files.select("file_name", csv_records(F.regexp_replace("content", "^\ufeff", "")).alias("lines"))
+    usable = _positions(cut.withColumn("header", csv_cells(F.get("lines", F.lit(0))))).where(F.forall("at", lambda p: p > 0))
+    return usable.select("file_name", "at", F.posexplode("lines").alias("_at", "text")).withColumn(
+        "record_no", (F.col("_at") + 1).cast("long")).where(_BODY)
+
+
 def school_csv_rows(files: DataFrame) -> DataFrame:
     """School rows of CSV files whose headers may differ from file to file, with the region read off the name. `files`
     are records of `read_csv_records` or texts (file_name, content)."""
-    records = _records(files)
-    usable = _positions(csv_heads(records)).where(F.forall("at", lambda p: p > 0)).select("file", "at")
-    body = records.where((F.col("record_no") > 1) & (F.trim("text") != "")).join(usable, "file")
-    rows = body.withColumn("cells", csv_cells(F.col("text")))
+    rows = (_text_bodies(files) if "content" in files.columns else _file_bodies(files)).withColumn("cells", csv_cells(F.col("text")))
     order = list(HEADERS)
 
     def cell(name: str) -> Column:

@@ -33,6 +33,15 @@ def test_wide_and_quoted_school_files(spark):
         "lacking": "rank, takers, passers, pass_rate"}
 
 
+def test_texts_that_come_in_another_order_when_read_again(spark):
+    heads = ("Rank,School,Takers,Passers,Rate", "Rate,Passers,Takers,School,Rank")
+    bodies = ("3,College,10,5,50%", "50%,5,10,College,3")
+    made = spark.createDataFrame([(str(i), f"{heads[i % 2]}\n{bodies[i % 2]}\n") for i in range(60)], "file_name string, content string")
+    moved = made.coalesce(1).mapInPandas(lambda batches: (batch.sample(frac=1) for batch in batches), made.schema)
+    got = {tuple(r)[:7] for r in files.school_csv_rows(moved).collect()}
+    assert got == {(str(i), 2, "College", 3, 10, 5, 50.0) for i in range(60)}
+
+
 def test_quoted_header_and_line_break(spark):
     made = spark.createDataFrame([(
         "f", '"Notes, all",Rank,"School",Takers,Passers,"Pass ""Rate"""\r\n"a\r\nb",3,"A ""B"", C",10,5,50%\r\n')],
