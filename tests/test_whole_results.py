@@ -213,6 +213,24 @@ def test_stretches_stay_whole_when_their_join_is_broadcast(spark):
     assert {r["key"]: r["n"] for r in got} == {key: 12 for key in range(40)}
 
 
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sums_of_schools_are_not_held_beside_the_sorted_lines(spark):
+    above, below = _plan(b.school_counts(spark, SF)).split("Exchange hashpartitioning(c_mktsegment", 1)
+    assert "HashAggregate" in above and "HashAggregate" not in below and "lineitem" in below
+
+
+def test_lines_do_not_move_to_their_customers(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many customers
+    try:
+        below = _plan(b.school_counts(spark, SF)).split("Exchange hashpartitioning(o_custkey", 1)[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "orders.parquet" in below.split("FileScan", 2)[1]
+
+
 def test_late_pages_read_their_blocks_only(spark):
     t = b.schools(spark, SF)
     many = t.schools.unionByName(t.schools.withColumn("id", F.col("id") + 1000).withColumn("name", F.concat("name", F.lit(" B"))))
