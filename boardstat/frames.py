@@ -120,17 +120,19 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], col
     """Exact 1-based positions inside each key, for groups of any size.
 
     A window over a key would bring a hot group to one task. Here the rows are sorted in ranges over
-    (keys, order), so a hot group spans many tasks; each range numbers its own rows and adds the count of the
-    earlier ranges of the same group. `order` must be total inside a key.
+    (keys, order), so a hot group spans many tasks, and stored with their places: a row's place in its range, counted
+    from its group's first one there, and the count of the earlier ranges of the same group give its position. The rows
+    move once; what is added to their places is a table of one row per group and range. `order` must be total inside a key.
     """
     by = [F.col(k) for k in keys] + list(order)
-    ranges = materialize(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
+    # The upper bits of such a number are the task, the lower 33 the place in it.
+    sorted_ranges = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    ranges = materialize(sorted_ranges, "ranges").withColumn("_range", F.shiftright("_at", 33))
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (ranges.groupBy(*keys, "_range").agg(F.count("*").alias("_rows"))
-              .select(*keys, "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")))
-    local = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
-    return (ranges.join(starts, [*keys, "_range"])
-            .withColumn(column, (F.col("_start") + local).cast("long")).drop("_start", "_range"))
+    parts = ranges.groupBy(*keys, "_range").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+    starts = parts.select(*keys, "_range", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return (ranges.join(materialize(starts, "starts"), [*keys, "_range"])
+            .withColumn(column, F.col("_at") + F.col("_shift")).drop("_at", "_shift", "_range"))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

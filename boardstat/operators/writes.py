@@ -194,11 +194,14 @@ def upsert_school_rows(tables: Tables, rows: DataFrame) -> Tables:
     """
     dimension, mapping = resolve_schools(tables.schools, tables.regions, rows)
     text = {c: F.col(c).cast("string") for c in ("takers", "passers", "pass_rate", "rank")}
-    coded = rows.withColumn("clean_name", names.normalize_school(F.col("school"))).join(mapping, "clean_name")
-    incoming = coded.select(
-        F.lit(None).cast("long").alias("id"), "exam_result_id", "school_id", numbers.to_int(text["takers"]).alias("takers"),
-        numbers.to_int(text["passers"]).alias("passers"), numbers.to_rate(text["pass_rate"]).alias("pass_rate"),
-        numbers.to_int(text["rank"]).alias("rank"), "arrival")
+    # Texts are read before the rows move to their schools.
+    coded = rows.select(
+        names.normalize_school(F.col("school")).alias("clean_name"), "exam_result_id",
+        numbers.to_int(text["takers"]).alias("takers"), numbers.to_int(text["passers"]).alias("passers"),
+        numbers.to_rate(text["pass_rate"]).alias("pass_rate"), numbers.to_int(text["rank"]).alias("rank"), "arrival")
+    incoming = coded.join(mapping, "clean_name").select(
+        F.lit(None).cast("long").alias("id"), "exam_result_id", "school_id", "takers", "passers", "pass_rate", "rank",
+        "arrival")
     return replace(tables, schools=dimension, school_performance=upsert_keeping_ids(
         tables.school_performance, incoming, ["exam_result_id", "school_id"]))
 
@@ -212,7 +215,7 @@ def upsert_keeping_ids(current: DataFrame, incoming: DataFrame, keys: Sequence[s
     pick = F.max_by if mode == "update" else F.min_by
     rows = both.groupBy(*keys).agg(
         F.max("id").alias("id"), F.min(F.when(F.col("arrival") >= 0, F.col("arrival"))).alias("first_arrival"),
-        pick(_row([*columns, "arrival"]), F.col("arrival")).alias("row"))
+        pick(_row(columns), F.col("arrival")).alias("row"))
     rows = rows.select(*keys, "id", "first_arrival", *[F.col(f"row.{c}").alias(c) for c in columns])
     return assign_ids(rows, "first_arrival")
 

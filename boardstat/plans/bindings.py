@@ -7,7 +7,7 @@ The expensive part, one pass over lineitem with its joins, is derived once per a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..frames import literal_array, literal_frame, number_rows, staged, top_per_key
@@ -150,33 +150,48 @@ def _segment_lines(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
 
 CYCLE = ["c_mktsegment", "year", "half"]
 TOP = 10
+NO_DATE = -1 << 29  # half-year of an order without a date, beyond any timestamp
 
 
-def _school_groups(spark: SparkSession, sf_dir: str, *extra: str) -> GroupedData:
-    """All lines of a school in a cycle: the only pass over all of lineitem for the school tables.
+def school_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Takers and passers of a school in a cycle: the only pass over all of lineitem for the school tables.
 
     Orders get their segment before they meet the lines, which move once by order and once by school. Most lines of a task
     are of different schools, so they are not added up beside the sorted join, where the sums of many groups would be held
-    together with the rows being sorted, but after their exchange."""
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", (F.col("l_returnflag") != "R").alias("passed"), *extra)
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    together with the rows being sorted, but after their exchange. What moves is kept narrow: an order's date is its
+    half-year, and past their orders the half-year and the outcome of a line are one number."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", (F.col("l_returnflag") != "R").alias("passed"))
+    later = F.when(F.month("o_orderdate") <= 6, 0).otherwise(1)
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey",
+                                                  ((F.year("o_orderdate") + 20) * 2 + later).alias("halves"))
     customers = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    placed = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
-        "o_orderkey", "c_mktsegment", (F.year("o_orderdate") + 20).alias("year"),
-        F.when(F.month("o_orderdate") <= 6, 1).otherwise(2).alias("half"))
-    rows = lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).select(*CYCLE, "l_suppkey", "passed", *extra)
-    return rows.repartition(*CYCLE, "l_suppkey").groupBy(*CYCLE, "l_suppkey")
+    placed = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_mktsegment", "halves")
+    mark = F.coalesce("halves", F.lit(NO_DATE)) * 2 + F.coalesce(F.col("passed").cast("int"), F.lit(0))
+    rows = lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).select("c_mktsegment", "l_suppkey", mark.alias("mark"))
+    halves, passed = F.shiftright("mark", 1), F.col("mark").bitwiseAND(1) == 1
+    moved = rows.repartition("c_mktsegment", halves, "l_suppkey").select(
+        "c_mktsegment", halves.alias("halves"), "l_suppkey", passed.alias("passed"))
+    dated = F.col("halves") != NO_DATE
+    year = F.when(dated, F.shiftright("halves", 1))
+    half = F.when(dated & (F.col("halves") % 2 == 0), 1).otherwise(2)
+    return (moved.groupBy("c_mktsegment", "halves", "l_suppkey")
+            .agg(F.count("*").alias("takers"), F.count_if("passed").alias("passers"))
+            .select("c_mktsegment", year.alias("year"), half.alias("half"), "l_suppkey", "takers", "passers"))
 
 
-def school_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _school_groups(spark, sf_dir).agg(
-        F.count("*").alias("takers"), F.count_if("passed").alias("passers"))
+def _school_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, "school_counts", sf_dir, lambda: school_counts(spark, sf_dir))
 
 
-def _school_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`school_counts` with the highest price of each school."""
-    return staged(spark, "school_counts", sf_dir, lambda: _school_groups(spark, sf_dir, "l_extendedprice").agg(
-        F.count("*").alias("takers"), F.count_if("passed").alias("passers"), F.max("l_extendedprice").alias("best")))
+PROBED = 64
+
+
+def _dearest_known(lines: DataFrame, counts: DataFrame) -> DataFrame:
+    """The highest price of each school in a cycle among every `PROBED`-th order, and a row without a price for each cycle
+    at all: a floor under a cycle's dearest lines holds, whatever lines it is taken from, if that cycle has enough of them."""
+    some = lines.where(F.pmod(F.xxhash64("l_orderkey"), F.lit(PROBED)) == 0)
+    best = some.groupBy(*CYCLE, "l_suppkey").agg(F.max("l_extendedprice").alias("best"))
+    return best.unionByName(counts.select(*CYCLE).distinct(), allowMissingColumns=True)
 
 
 def _least_price(counts: DataFrame) -> float | None:
@@ -205,7 +220,7 @@ def _segment_cycles(counts: DataFrame, programs: DataFrame) -> DataFrame:
             .withColumn("cycle_id", ((F.col("program_id") * 10000 + F.col("year")) * 10 + F.col("half")).cast("long")))
 
 
-def _school_tables(spark: SparkSession, sf_dir: str) -> Tables:
+def _school_tables(spark: SparkSession, sf_dir: str, people: bool) -> Tables:
     programs = segment_programs(spark, sf_dir)
     counts = _school_counts(spark, sf_dir)
 
@@ -224,19 +239,20 @@ def _school_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     def performance() -> DataFrame:
         rows = _segment_cycles(counts, programs).select(
-            (F.col("cycle_id") * 10_000_000_000 + F.col("l_suppkey")).alias("id"),
             F.col("cycle_id").alias("exam_result_id"), F.col("l_suppkey").cast("long").alias("school_id"),
             F.col("takers").cast("int").alias("takers"), F.col("passers").cast("int").alias("passers"),
             numbers.pass_rate(F.col("passers"), F.col("takers")).alias("pass_rate"))
         ranked = number_rows(rows, ["exam_result_id"],
                              [F.desc("pass_rate"), F.desc("takers"), F.asc("school_id")], "rank")
         unknown = (F.col("school_id") + F.col("exam_result_id")) % 17 == 0
-        return (ranked.withColumn("rank", F.when(~unknown, F.col("rank").cast("int")))
-                .withColumn("pass_rate", F.when(~unknown, F.col("pass_rate"))))
+        return ranked.select(
+            (F.col("exam_result_id") * 10_000_000_000 + F.col("school_id")).alias("id"), "exam_result_id", "school_id",
+            "takers", "passers", F.when(~unknown, F.col("pass_rate")).alias("pass_rate"),
+            F.when(~unknown, F.col("rank").cast("int")).alias("rank"))
 
     def topnotchers() -> DataFrame:
         lines = _segment_lines(spark, sf_dir, "l_linenumber", "l_partkey", "l_extendedprice", "l_discount")
-        least = _least_price(counts)
+        least = _least_price(_dearest_known(lines, counts))
         if least is not None:  # reaches the scan: few lines are joined at all
             lines = lines.where(F.col("l_extendedprice") >= least)
         best = top_per_key(lines, CYCLE,
@@ -254,7 +270,7 @@ def _school_tables(spark: SparkSession, sf_dir: str) -> Tables:
         programs=programs,
         exam_results=staged(spark, "segment_cycles", sf_dir, results, ["year"]),
         school_performance=staged(spark, "school_performance", sf_dir, performance, ["exam_result_id"]),
-        topnotchers=staged(spark, "topnotchers", sf_dir, topnotchers),
+        topnotchers=staged(spark, "topnotchers", sf_dir, topnotchers) if people else None,
     )
 
 
@@ -270,9 +286,9 @@ def _schools(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  (F.col("s_suppkey") % 3 + 1).cast("int")).alias("school_type")))
 
 
-def schools(spark: SparkSession, sf_dir: str) -> Tables:
-    """Market segments as programs, suppliers as schools."""
-    made = _school_tables(spark, sf_dir)
+def schools(spark: SparkSession, sf_dir: str, people: bool = True) -> Tables:
+    """Market segments as programs, suppliers as schools; top examinees, which take a pass of their own, if asked for."""
+    made = _school_tables(spark, sf_dir, people)
     regions = read(spark, sf_dir, "region").select(
         F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name"),
         F.concat(F.lit("Region "), F.col("r_regionkey").cast("string")).alias("code"))

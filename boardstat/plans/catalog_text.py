@@ -26,7 +26,7 @@ from . import bindings as b
 def school_rows(spark, sf: str) -> DataFrame:
     """School results with names and programs, as a report would print them: a result whose rate and rank are not on record
     has its computed rate and rank 0."""
-    t = b.schools(spark, sf)
+    t = b.schools(spark, sf, people=False)
     named = t.schools.select(F.col("id").alias("school_id"), F.upper("name").alias("school"))
     cycles = t.exam_results.select(F.col("id").alias("exam_result_id"), "program_id", "year", "month")
     rows = t.school_performance.withColumn("rank", F.coalesce("rank", F.lit(0))).withColumn("pass_rate", F.coalesce(
@@ -250,7 +250,7 @@ def _folder_cycles(spark, sf: str) -> DataFrame:
 
 def incoming_school_rows(spark, sf: str) -> DataFrame:
     """School results re-submitted as report text under other spellings, with new schools and repeats."""
-    t = b.schools(spark, sf)
+    t = b.schools(spark, sf, people=False)
     named = t.schools.select(F.col("id").alias("school_id"), "name")
     key = F.col("school_id")
     school = (F.when(key % 5 == 0, F.concat(F.upper("name"), F.lit(" - Main Campus")))
@@ -268,7 +268,7 @@ def incoming_school_rows(spark, sf: str) -> DataFrame:
 
 
 def _upsert_school_rows(spark, sf: str) -> Tables:
-    t = b.schools(spark, sf)
+    t = b.schools(spark, sf, people=False)
     # Half of the warehouse is known beforehand; the re-submission brings the rest.
     known = t.school_performance.where(F.col("exam_result_id") % 2 == 0)
     return writes.upsert_school_rows(

@@ -119,6 +119,13 @@ def test_number_rows_with_a_hot_group(spark):
         assert [v for _, v in rows] == sorted((v for _, v in rows), reverse=True)
 
 
+def test_numbered_rows_move_once(spark):
+    numbered = number_rows(spark.range(5000).withColumn("k", F.col("id") % 3), ["k"], [F.desc("id")], "n")
+    assert numbered.count() == numbered.select("k", "n").distinct().count() == 5000
+    assert "Exchange hashpartitioning" not in numbered._jdf.queryExecution().executedPlan().toString()
+    assert number_rows(spark.range(0), [], [F.asc("id")], "n").count() == 0
+
+
 def test_top_of_a_hot_key(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 < 2, "hot").otherwise("cold").alias("k"), "id",
                                   (F.col("id") * 7919 % 500).alias("v"))
